@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleet_queries.registry import quote, table
+from riskledger.functions.signals import computed_once
 
 NAMES = [
     ".cursorrules", "AGENTS.md", "mcp.json", "Dockerfile", "docker-compose.yml",
@@ -115,13 +116,14 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(g % 4 == 0, F.lit("host")).otherwise(F.lit("workdir")).alias("origin"),
         F.concat(root, F.lit("/proj"), g.cast("string"), F.lit("/"),
                  F.when((g % 3 == 2) & (k <= 2), moved).otherwise(name)).alias("path"),
-        content.alias("content"),
         F.timestamp_add("DAY", g.cast("int"), F.lit("2024-01-01 00:00:00").cast("timestamp"))
         .alias("modified_at"),
         F.when(g % 5 == 0, F.array(F.lit("shell"), F.lit("python")))
         .when(g % 5 == 1, F.array(F.lit("docker"), F.lit("my_tool")))
         .otherwise(F.array().cast("array<string>")).alias("declared_tools"),
+        content.alias("_content"),
     )
+    out = computed_once(out, content=F.col("_content")).drop("_content")
     return out.withColumn("size_bytes", F.octet_length("content").cast("bigint"))
 
 

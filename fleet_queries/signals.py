@@ -15,23 +15,20 @@ def joined(column):
     return F.array_join(column, "|")
 
 
-def _file_signals(spark, sf):
-    return G.with_signals(files(spark, sf).select("file_id", F.col("content").alias("text")))
-
-
-def _list_query(name, column):
+def _list_query(name, column, families):
     @query(name, f"WITH {FILES_SQL}, {SIG} SELECT file_id, {S.joined(column)} AS signals "
                  f"FROM sig WHERE len({column}) > 0")
     def run(spark, sf):
-        return (_file_signals(spark, sf).where(F.size(column) > 0)
+        df = files(spark, sf).select("file_id", F.col("content").alias("text"))
+        return (G.with_signals(df, families=families).where(F.size(column) > 0)
                 .select("file_id", joined(column).alias("signals")))
 
 
-_list_query("secret_scan", "secret_signals")
-_list_query("dangerous_keywords_and_combo", "dangerous_signals")
-_list_query("ssrf_scan", "ssrf_signals")
-_list_query("tampering_scan_with_base64", "tampering_signals")
-_list_query("combined_danger_scan", "danger_signals")
+_list_query("secret_scan", "secret_signals", ["secret"])
+_list_query("dangerous_keywords_and_combo", "dangerous_signals", ["dangerous"])
+_list_query("ssrf_scan", "ssrf_signals", ["ssrf"])
+_list_query("tampering_scan_with_base64", "tampering_signals", ["tampering"])
+_list_query("combined_danger_scan", "danger_signals", ["dangerous", "ssrf", "tampering"])
 
 
 @query("legacy_secret_flag", f"""WITH {FILES_SQL} SELECT scan_id, count(*) AS files,
@@ -41,14 +38,14 @@ def legacy_flag(spark, sf):
     df = files(spark, sf).withColumn("fold", G.folded(F.col("content")))
     return df.groupBy("scan_id").agg(
         F.count("*").alias("files"),
-        F.count_if(G.legacy_secret_flag(F.col("content"), F.col("fold"))).alias("flagged"))
+        F.count_if(G.legacy_secret_flag("content", "fold")).alias("flagged"))
 
 
 @query("shell_network_fs_combo", f"""WITH {FILES_SQL}, {SIG} SELECT f.scan_id, f.name, count(*) AS hits
   FROM sig s JOIN files f USING (file_id)
   WHERE list_contains(dangerous_signals, {quote(P.COMBO_SIGNAL)}) GROUP BY ALL""")
 def combo(spark, sf):
-    return (files(spark, sf).where(G.combo_hit(G.folded(F.col("content"))))
+    return (files(spark, sf).withColumn("fold", G.folded(F.col("content"))).where(G.combo_hit("fold"))
             .groupBy("scan_id", F.substring_index("path", "/", -1).alias("name"))
             .agg(F.count("*").alias("hits")))
 
@@ -83,7 +80,8 @@ def turn_signals(spark, sf):
     turns = table(spark, sf, "conversations").withColumn("text", F.when(
         (F.col("conv_id") + F.col("turn")) % 3 == 0,
         F.concat("text", F.lit(" disregard all previous"))).otherwise(F.col("text")))
-    return (G.with_signals(turns).select("role", F.explode("danger_signals").alias("signal"))
+    return (G.with_signals(turns, families=["dangerous", "ssrf", "tampering"])
+            .select("role", F.explode("danger_signals").alias("signal"))
             .groupBy("role", "signal").agg(F.count("*").alias("turns")))
 
 
@@ -96,7 +94,7 @@ KEYWORDS = ["tools", "Permissions", "shell", "api", "the", "que"]
   SELECT file_id, array_to_string(h, '|') AS signals, CAST(len(h) AS BIGINT) AS hits FROM hits WHERE len(h) > 0""")
 def keyword_scan(spark, sf):
     words = F.array(*[F.lit(w) for w in KEYWORDS])
-    df = files(spark, sf).select("file_id", G.keyword_signals(F.col("content"), words, F.lit("kw")).alias("h"))
+    df = files(spark, sf).select("file_id", G.keyword_signals(F.lower("content"), words, F.lit("kw")).alias("h"))
     return df.where(F.size("h") > 0).select(
         "file_id", joined("h").alias("signals"), F.size("h").cast("bigint").alias("hits"))
 
@@ -124,12 +122,11 @@ def _tokens_sql(lst):
    AS execution, {_tokens_sql(names.SHELL_TOKENS)} AS shell, {_tokens_sql(names.CREDENTIAL_TOKENS)} AS credential
    FROM files) WHERE execution || shell || credential <> ''""")
 def token_scan(spark, sf):
-    low = F.lower("content")
-    df = files(spark, sf).select(
-        "file_id", joined(G.tokens_in(low, names.EXECUTION_TOKENS)).alias("execution"),
-        joined(G.tokens_in(low, names.SHELL_TOKENS)).alias("shell"),
-        joined(G.tokens_in(low, names.CREDENTIAL_TOKENS)).alias("credential"))
-    return df.where(F.concat("execution", "shell", "credential") != "")
+    df = files(spark, sf).withColumn("low", F.lower("content"))
+    df = G.computed_once(df, execution=joined(G.tokens_in("low", names.EXECUTION_TOKENS)),
+                         shell=joined(G.tokens_in("low", names.SHELL_TOKENS)),
+                         credential=joined(G.tokens_in("low", names.CREDENTIAL_TOKENS)))
+    return df.select("file_id", "execution", "shell", "credential").where(F.concat("execution", "shell", "credential") != "")
 
 
 @query("ai_token_scan", f"""WITH {FILES_SQL}, t AS (SELECT file_id,
@@ -137,11 +134,10 @@ def token_scan(spark, sf):
   SELECT file_id, array_to_string(list_transform(ai, lambda w: 'ai_token:' || w), '|') AS signals,
     len(list_intersect(ai, {S.words(names.AGENTIC_TOKENS)})) > 0 AS agentic FROM t WHERE len(ai) > 0""")
 def ai_tokens(spark, sf):
-    low = F.lower("content")
-    df = files(spark, sf).select(
-        "file_id", joined(G.tokens_in(low, names.AI_TOKENS, "ai_token:")).alias("signals"),
-        G.contains_any(low, names.AGENTIC_TOKENS).alias("agentic"))
-    return df.where("signals <> ''")
+    df = files(spark, sf).withColumn("low", F.lower("content"))
+    df = G.computed_once(df, signals=joined(G.tokens_in("low", names.AI_TOKENS, "ai_token:")),
+                         agentic=G.contains_any(F.col("low"), names.AGENTIC_TOKENS))
+    return df.where("signals <> ''").select("file_id", "signals", "agentic")
 
 
 @query("url_extraction", f"""SELECT page_id, url, CAST(count(*) AS BIGINT) AS times FROM (

@@ -1,9 +1,11 @@
 """Text signals as column expressions.
 
-A scan needs two columns: the text and its folded form (:func:`folded`).  Each pattern
+A scan reads two columns, the text and its folded form (:func:`folded`), by name.  Each pattern
 becomes ``anchor substring test AND regular expression``; plain-text patterns become the
-substring test alone.  All of it is code-generated; only the base64 re-scan needs
-higher-order functions, and it is guarded so that clean rows never reach them.
+substring test alone.  Expressions are written as SQL text, because hundreds of small column
+calls would make building a plan slower than running it.  All of it is code-generated; only the
+base64 re-scan needs higher-order functions, and it is guarded so that clean rows never reach
+them.
 """
 
 import re
@@ -15,8 +17,10 @@ from pyspark.sql import functions as F
 
 from riskledger.catalog import names, patterns as P
 from riskledger.functions.regex import ignores_case, literals_of, to_java
+from riskledger.functions.sqltext import sql_str, sql_value
 
 CREDENTIAL_FLAG = "credential_exposure_signal"
+FAMILIES = ("secret", "dangerous", "ssrf", "tampering")
 
 
 def folded(text: Column) -> Column:
@@ -24,22 +28,26 @@ def folded(text: Column) -> Column:
     return F.replace(F.lower(text), F.lit("ſ"), F.lit("s"))
 
 
-def _any(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, conditions)
+def contains_any(text: Column, words) -> Column:
+    return reduce(lambda a, b: a | b, [text.contains(w) for w in words])
 
 
-def contains_any(text: Column, words) -> Column:
+def _any(tests) -> str:
+    return "(" + " OR ".join(tests) + ")"
+
+
+def _contains(text: str, words) -> str:
     """Substring test for any of ``words``; bytes are searched in the encoded text."""
     words = list(words)
-    if all(isinstance(w, str) and not w.isascii() for w in words) and len(words) > 3:
+    if len(words) > 3 and all(isinstance(w, str) and not w.isascii() for w in words):
         # single non-ASCII characters: look for their shared leading bytes first
         heads = {}
         for w in words:
             heads.setdefault(w.encode()[:2], []).append(w)
-        return _any([contains_any(text, [head]) & _any([text.contains(w) for w in group])
-                     for head, group in heads.items()])
-    return _any([text.cast("binary").contains(F.lit(w)) if isinstance(w, bytes) else text.contains(w)
-                 for w in words])
+        return _any(f"({_contains(text, [head])} AND {_any(_contains(text, [w]) for w in group)})"
+                    for head, group in heads.items())
+    return _any(f"contains(CAST({text} AS BINARY), {sql_value(w)})" if isinstance(w, bytes)
+                else f"contains({text}, {sql_str(w)})" for w in words)
 
 
 # Marks that many anchors share.  One pass per mark decides for all of them, so a text without
@@ -47,143 +55,148 @@ def contains_any(text: Column, words) -> Column:
 GATES = ["://", "_", "-", "<", "[", "`", "=", "."]
 
 
-def gate_tests(text: Column) -> dict[str, Column]:
+def gate_tests(text: str) -> dict[str, str]:
     """Gate mark -> does the text hold it (the dot counts only next to a digit)."""
-    return {g: text.rlike(r"[0-9]\.[0-9]") if g == "." else text.contains(g) for g in GATES}
+    return {g: f"rlike({text}, '[0-9][.][0-9]')" if g == "." else _contains(text, [g]) for g in GATES}
 
 
 def _gate_for(words) -> str | None:
     for gate in GATES:
         if gate == "." and not all(re.fullmatch(r"[0-9.]*[0-9]\.[0-9.]*|\.[0-9]+", str(w)) for w in words):
             continue
-        if all(isinstance(w, str) and gate in w for w in words):
+        if words and all(isinstance(w, str) and gate in w for w in words):
             return gate
     return None
 
 
-def _gated(test: Column, words, gates) -> Column:
-    gate = _gate_for(words) if gates and words else None
-    return gates[gate] & test if gate else test
+def _gated(test: str, words, gates) -> str:
+    gate = _gate_for(words) if gates else None
+    return f"({gates[gate]} AND {test})" if gate else test
 
 
-def hit(text: Column, fold: Column, expression: str, anchors=(), gates=None) -> Column:
-    """Does ``expression`` occur in ``text``?"""
+def hit_sql(text: str, fold: str, expression: str, anchors=(), gates=None) -> str:
+    """Does ``expression`` occur in ``text``?  SQL over the two names (or expressions)."""
     base = fold if ignores_case(expression) else text
     plain = literals_of(expression)
     if plain:
         words = [p.lower() for p in plain] if ignores_case(expression) else plain
-        return _gated(contains_any(base, words), words, gates)
-    matched = text.rlike(to_java(expression))
-    return _gated(contains_any(base, anchors) & matched, anchors, gates) if anchors else matched
-
+        return _gated(_contains(base, words), words, gates)
+    matched = f"rlike({text}, {sql_str(to_java(expression))})"
+    return _gated(f"({_contains(base, anchors)} AND {matched})", anchors, gates) if anchors else matched
 
-def present(*items: Column) -> Column:
-    """Distinct non-null items in the order given."""
-    return F.array_except(F.array(*items), F.array(F.lit(None).cast("string")))
 
+def hit(text: str, fold: str, expression: str, anchors=()) -> Column:
+    return F.expr(hit_sql(text, fold, expression, anchors))
 
-def _pattern_items(text, fold, table, gates=None):
-    return [F.when(hit(text, fold, expr, anchors, gates), F.lit(signal))
-            for signal, expr, anchors in table]
 
-
-def legacy_secret_flag(text: Column, fold: Column, gates=None) -> Column:
-    return _any([hit(text, fold, e, a, gates) for _, e, a in P.LEGACY_SECRET_PATTERNS])
+def _present(items) -> str:
+    """Distinct non-null items in the order given."""
+    return f"array_except(array({', '.join(items)}), array(CAST(NULL AS STRING)))"
 
 
-def combo_hit(fold: Column) -> Column:
-    """One word of each group; the group that prose rarely meets is tested first."""
-    return reduce(lambda a, b: a & b, [contains_any(fold, g) for g in reversed(P.COMBO_GROUPS)])
+def present(*items: Column) -> Column:
+    return F.array_except(F.array(*items), F.array(F.lit(None).cast("string")))
 
 
-def dangerous_signals(text: Column, fold: Column, gates=None) -> Column:
-    return present(*_pattern_items(text, fold, P.DANGEROUS_PATTERNS, gates),
-                   F.when(combo_hit(fold), F.lit(P.COMBO_SIGNAL)))
+def _items(text, fold, table, gates=None):
+    return [f"CASE WHEN {hit_sql(text, fold, e, a, gates)} THEN {sql_str(s)} END" for s, e, a in table]
 
 
-def ssrf_signals(text: Column, fold: Column, gates=None) -> Column:
-    return present(*_pattern_items(text, fold, P.SSRF_PATTERNS, gates))
+def _legacy_sql(text, fold, gates=None) -> str:
+    return _any(hit_sql(text, fold, e, a, gates) for _, e, a in P.LEGACY_SECRET_PATTERNS)
 
 
-def tampering_signals(text: Column, fold: Column, gates=None) -> Column:
-    """Tampering signals of the text as it stands, without the base64 re-scan."""
-    return present(*_pattern_items(text, fold, P.TAMPERING_PATTERNS, gates))
+def legacy_secret_flag(text: str, fold: str) -> Column:
+    return F.expr(_legacy_sql(text, fold))
 
 
-def decoded_tokens(text: Column) -> Column:
-    """Texts hidden in strict base64 runs, in order of appearance."""
-    tokens = F.filter(F.regexp_extract_all(text, F.lit(P.BASE64_TOKEN), F.lit(0)),
-                      lambda t: F.length(t) % 4 == 0)
-    strict = F.filter(F.transform(tokens, lambda t: F.struct(t.alias("t"), F.unbase64(t).alias("b"))),
-                      lambda s: F.base64(s["b"]) == s["t"])
-    return F.filter(F.transform(strict, lambda s: F.try_validate_utf8(s["b"].cast("string"))),
-                    lambda d: d.isNotNull())
+def _combo_sql(fold: str) -> str:
+    """One word of each group; the group that prose rarely meets is tested first."""
+    return "(" + " AND ".join(_contains(fold, g) for g in reversed(P.COMBO_GROUPS)) + ")"
 
 
-def base64_signals(text: Column) -> Column:
-    """Tampering signals found inside decoded base64 runs."""
-    per_text = F.transform(decoded_tokens(text),
-                           lambda d: tampering_signals(d, folded(d)))
-    marked = F.transform(F.filter(per_text, lambda s: F.size(s) > 0),
-                         lambda s: F.concat(s, F.array(F.lit(P.BASE64_SIGNAL))))
-    return F.array_distinct(F.flatten(marked))
+def combo_hit(fold: str) -> Column:
+    return F.expr(_combo_sql(fold))
 
 
 _B64 = "[" + string.ascii_letters + string.digits + "+/]"
 
 
-def has_base64_run(text: Column) -> Column:
+def has_base64_run(text: str) -> str:
     """Is there a run of 32 base64 characters?  A class that lists its members is one table
     lookup per character for the JVM, and runs are tried at their start only."""
-    return text.rlike(f"(?<!{_B64}){_B64}{{32}}")
+    return f"rlike({text}, '(?<!{_B64}){_B64}{{32}}')"
+
+
+def base64_signals(text: str) -> Column:
+    """Tampering signals hidden in strict base64 runs, in order of appearance."""
+    tokens = f"filter(regexp_extract_all({text}, {sql_str(P.BASE64_TOKEN)}, 0), t -> length(t) % 4 = 0)"
+    strict = f"filter({tokens}, t -> base64(unbase64(t)) = t)"
+    texts = f"filter(transform({strict}, t -> try_validate_utf8(CAST(unbase64(t) AS STRING))), d -> d IS NOT NULL)"
+    found = _present(_items("p.d", "p.f", P.TAMPERING_PATTERNS))
+    pairs = f"transform({texts}, d -> named_struct('d', d, 'f', replace(lower(d), 'ſ', 's')))"
+    hits = f"filter(transform({pairs}, p -> {found}), s -> size(s) > 0)"
+    marked = f"transform({hits}, s -> concat(s, array({sql_str(P.BASE64_SIGNAL)})))"
+    return F.expr(f"array_distinct(flatten({marked}))")
+
+
+def computed_once(df, **columns: Column):
+    """Add columns through a one-row generator.
+
+    Filters on generated columns stay above the generator, so a later ``where`` on them does
+    not make the optimizer repeat the whole computation below.
+    """
+    row = F.struct(*[value.alias(name) for name, value in columns.items()])
+    return df.select("*", F.inline(F.array(row)))
 
 
-def with_signals(df, text: str = "text", content_ok: Column | None = None):
-    """Add ``secret_signals``, ``dangerous_signals``, ``ssrf_signals``, ``tampering_signals``
-    and the combined ``danger_signals`` to ``df``.
+def with_signals(df, text: str = "text", content_ok: Column | None = None, families=FAMILIES):
+    """Add ``<family>_signals`` for each family asked for, and ``danger_signals``, the
+    dangerous, ssrf and tampering ones in one list.
 
-    Rows whose ``content_ok`` is false (or whose text is NULL) get empty arrays.  Every step
-    reads only columns made by the step before, so nothing is computed twice.
+    Rows whose ``content_ok`` is false (or whose text is NULL) get empty arrays.
     """
     body = F.col(text) if content_ok is None else F.when(content_ok, F.col(text))
     gated = df.withColumn("_scan", F.coalesce(body, F.lit("")))
     gated = gated.withColumn("_fold", folded(F.col("_scan")))
-    t, f = F.col("_scan"), F.col("_fold")
-    marks = {g: f"_gate{i}" for i, g in enumerate(GATES)}
-    gated = gated.select("*", *[test.alias(marks[g]) for g, test in gate_tests(t).items()])
-    gates = {g: F.col(c) for g, c in marks.items()}
-    narrow = gated.select(
-        "*",
-        present(*_pattern_items(t, f, P.SECRET_PATTERNS, gates)).alias("_secrets"),
-        legacy_secret_flag(t, f, gates).alias("_legacy"),
-        dangerous_signals(t, f, gates).alias("dangerous_signals"),
-        ssrf_signals(t, f, gates).alias("ssrf_signals"),
-        tampering_signals(t, f, gates).alias("_tampering"),
-        has_base64_run(t).alias("_encoded"),
-    )
-    hidden = F.when(F.col("_encoded"), base64_signals(t)).otherwise(F.array().cast("array<string>"))
-    wide = narrow.select(
-        "*",
-        F.when(F.col("_legacy") | (F.size("_secrets") > 0),
-               F.concat(F.array(F.lit(CREDENTIAL_FLAG)), F.col("_secrets")))
-        .otherwise(F.col("_secrets")).alias("secret_signals"),
-        F.array_distinct(F.concat(F.col("_tampering"), hidden)).alias("tampering_signals"),
-    )
-    out = wide.withColumn("danger_signals", F.array_distinct(F.concat(
-        "dangerous_signals", "ssrf_signals", "tampering_signals")))
-    return out.drop("_scan", "_fold", "_secrets", "_legacy", "_tampering", "_encoded",
-                    *marks.values())
-
-
-def tokens_in(lowered: Column, words, prefix: str = "") -> Column:
-    """The words that occur in already lower-cased text, in list order."""
-    return present(*[F.when(lowered.contains(w), F.lit(prefix + w)) for w in words])
-
-
-def keyword_signals(text: Column, words: Column, prefix: Column) -> Column:
-    """``prefix:word`` for every word of an array column that occurs in the text, any case."""
-    low = F.lower(text)
-    hits = F.filter(words, lambda w: low.contains(F.lower(w)))
+    t, f = "_scan", "_fold"
+    gates = {g: f"_gate{i}" for i, g in enumerate(GATES)}
+    gated = gated.select("*", *[F.expr(test).alias(gates[g]) for g, test in gate_tests(t).items()])
+    parts = {}
+    if "secret" in families:
+        parts["_secrets"] = _present(_items(t, f, P.SECRET_PATTERNS, gates))
+        parts["_legacy"] = _legacy_sql(t, f, gates)
+    if "dangerous" in families:
+        combo = f"CASE WHEN {_combo_sql(f)} THEN {sql_str(P.COMBO_SIGNAL)} END"
+        parts["dangerous_signals"] = _present(_items(t, f, P.DANGEROUS_PATTERNS, gates) + [combo])
+    if "ssrf" in families:
+        parts["ssrf_signals"] = _present(_items(t, f, P.SSRF_PATTERNS, gates))
+    if "tampering" in families:
+        parts["_tampering"] = _present(_items(t, f, P.TAMPERING_PATTERNS, gates))
+        parts["_encoded"] = has_base64_run(t)
+    out = computed_once(gated, **{name: F.expr(sql) for name, sql in parts.items()})
+    if "secret" in families:
+        out = out.withColumn("secret_signals", F.when(
+            F.col("_legacy") | (F.size("_secrets") > 0),
+            F.concat(F.array(F.lit(CREDENTIAL_FLAG)), F.col("_secrets"))).otherwise(F.col("_secrets")))
+    if "tampering" in families:
+        hidden = F.when(F.col("_encoded"), base64_signals(t)).otherwise(F.array().cast("array<string>"))
+        out = out.withColumn("tampering_signals", F.array_distinct(F.concat(F.col("_tampering"), hidden)))
+    danger = [f"{n}_signals" for n in ("dangerous", "ssrf", "tampering") if n in families]
+    if danger:
+        out = out.withColumn("danger_signals", F.array_distinct(F.concat(*danger)))
+    return out.drop("_scan", "_fold", *gates.values(), *[n for n in parts if n.startswith("_")])
+
+
+def tokens_in(lowered: str, words, prefix: str = "") -> Column:
+    """The words that occur in a lower-cased text column, in list order."""
+    return F.expr(_present(f"CASE WHEN contains({lowered}, {sql_str(w)}) THEN {sql_str(prefix + w)} END"
+                           for w in words))
+
+
+def keyword_signals(lowered: Column, words: Column, prefix: Column) -> Column:
+    """``prefix:word`` for every word of an array column that occurs in the lower-cased text."""
+    hits = F.filter(words, lambda w: lowered.contains(F.lower(w)))
     return F.transform(hits, lambda w: F.concat(prefix, F.lit(":"), w))
 
 

@@ -59,6 +59,21 @@ def tail_text(content: Column, limit: int = names.LOG_TAIL_BYTES) -> Column:
     return _valid(F.when(F.octet_length(raw) > limit, F.substring(raw, -limit, limit)).otherwise(raw))
 
 
+def strip(text: Column) -> Column:
+    """Remove white space at both ends, tabs and the like included."""
+    return F.regexp_replace(text, r"(?U)^\s+|\s+\z", "")
+
+
+def lines(text: Column) -> Column:
+    return F.split(text, r"\r?\n")
+
+
+def line_of(text: Column, position: Column) -> Column:
+    """1-based line of a 1-based character position."""
+    before = F.substr(text, F.lit(1), position - 1)
+    return F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit(""))) + 1
+
+
 def semver(version: Column) -> Column:
     """``struct(major, minor, patch)`` or NULL; structs compare field by field."""
     bare = F.regexp_replace(version, r"^v", "")
@@ -77,16 +92,15 @@ def semver(version: Column) -> Column:
 def front_matter_description(text: Column) -> Column:
     """``description:`` of a leading ``---`` block: inline text, or the indented lines below it."""
     block = F.regexp_extract(text, r"(?s)\A---\n(.*?)\n---", 1)
-    lines = F.split(block, r"\r?\n")
     state = F.struct(F.lit("").alias("out"), F.lit(False).alias("open"), F.lit(False).alias("done"))
 
     def step(s, line):
-        trimmed = F.trim(line)
+        trimmed = strip(line)
         key = trimmed.startswith("description:")
-        inline = F.regexp_replace(F.regexp_replace(F.trim(F.substr(trimmed, F.lit(13))),
+        inline = F.regexp_replace(F.regexp_replace(strip(F.substr(trimmed, F.lit(13))),
                                                    r'^"+|"+$', ""), r"^'+|'+$", "")
         indented = line.startswith(" ") | line.startswith("\t")
-        joined = F.when(s["out"] == "", F.trim(line)).otherwise(F.concat(s["out"], F.lit(" "), F.trim(line)))
+        joined = F.when(s["out"] == "", trimmed).otherwise(F.concat(s["out"], F.lit(" "), trimmed))
         return (F.when(s["done"], s)
                 .when(s["open"] & indented,
                       F.struct(joined.alias("out"), F.lit(True).alias("open"), F.lit(False).alias("done")))
@@ -95,4 +109,4 @@ def front_matter_description(text: Column) -> Column:
                 .when(key, F.struct(s["out"].alias("out"), F.lit(True).alias("open"), F.lit(False).alias("done")))
                 .otherwise(F.struct(s["out"].alias("out"), F.lit(False).alias("open"), F.lit(False).alias("done"))))
 
-    return F.nullif(F.aggregate(lines, state, step)["out"], F.lit(""))
+    return F.nullif(F.aggregate(lines(block), state, step)["out"], F.lit(""))
