@@ -141,10 +141,10 @@ def ai_tokens(spark, sf):
 
 
 @query("url_extraction", f"""SELECT page_id, url, CAST(count(*) AS BIGINT) AS times FROM (
-    SELECT page_id, unnest(regexp_extract_all(html, {quote(P.HTTP_URL)})) AS url FROM pages) GROUP BY ALL""")
+    SELECT page_id, unnest(regexp_extract_all(url || ' ' || html, {quote(P.HTTP_URL)})) AS url FROM pages) GROUP BY ALL""")
 def url_extraction(spark, sf):
     return (table(spark, sf, "pages")
-            .select("page_id", F.explode(G.urls(F.col("html"), P.HTTP_URL)).alias("url"))
+            .select("page_id", F.explode(G.urls(F.concat_ws(" ", "url", "html"), P.HTTP_URL)).alias("url"))
             .groupBy("page_id", "url").agg(F.count("*").alias("times")))
 
 
