@@ -6,6 +6,6 @@ def load():
     import importlib
 
     from fleet_queries import registry
-    for module in ("signals", "corpus_rows", "artifacts"):
+    for module in ("signals", "corpus_rows", "artifacts", "contract"):
         importlib.import_module(f"fleet_queries.{module}")
     return dict(registry.QUERIES), dict(registry.ORACLE)

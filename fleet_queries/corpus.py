@@ -56,7 +56,7 @@ SERVERS = [
     '"type":"http","url":"http://localhost:90', ("g", 10),
     '/sse"},"web', ("g", 3),
     '":{"url":"https://u:p@h', ("g", 7),
-    '.example.com/x?token=abc"}}}',
+    '.example.com/x?token=abc","version":"https://meta.example.com/v1"}}}',
 ]
 
 

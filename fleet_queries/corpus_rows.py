@@ -145,9 +145,9 @@ def dedupe(spark, sf):
 @query("candidate_cap", f"""WITH {FILES_SQL}, r AS (SELECT scan_id, path,
     row_number() OVER (PARTITION BY scan_id ORDER BY sha256(scan_id || '/' || path)) AS n,
     count(*) OVER (PARTITION BY scan_id) AS total FROM files)
-  SELECT scan_id, path, total > 100 AS truncated FROM r WHERE n <= 100""")
+  SELECT scan_id, path, total > {N.MAX_ROOT_FILES} AS truncated FROM r WHERE n <= {N.MAX_ROOT_FILES}""")
 def cap(spark, sf):
-    return C.keep_first(files(spark, sf).select("scan_id", "path"), 100)
+    return C.keep_first(files(spark, sf).select("scan_id", "path"), N.MAX_ROOT_FILES)
 
 
 @query("source_file_cap", f"""WITH {FILES_SQL}, e AS (SELECT * FROM files WHERE

@@ -101,28 +101,35 @@ def dedupe_first_origin(files: DataFrame, order: str = "tier_rank") -> DataFrame
     return files.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
+def spread_rank(rows: DataFrame, keys, digest: Column, name: str = "rank") -> DataFrame:
+    """Exact 1-based rank per key in digest order, plus ``<name>_total``, without sorting a key in
+    one task.
+
+    Digests spread evenly, so their first digits cut every key into small shares.  A table of
+    counts per share (at most 4096 rows a key) gives each share its offset, and ranking happens
+    inside shares only.
+    """
+    keys = list(keys)
+    marked = rows.withColumn("_digest", digest).withColumn("_share", F.substring("_digest", 1, 3))
+    running = Window.partitionBy(*keys).orderBy("_share").rowsBetween(Window.unboundedPreceding, -1)
+    counts = (marked.groupBy(*keys, "_share").agg(F.count("*").alias("_n"))
+              .withColumn("_before", F.coalesce(F.sum("_n").over(running), F.lit(0)))
+              .withColumn(f"{name}_total", F.sum("_n").over(Window.partitionBy(*keys))).drop("_n"))
+    inside = Window.partitionBy(*keys, "_share").orderBy("_digest")
+    return (marked.join(counts, [*keys, "_share"])
+            .withColumn(name, F.col("_before") + F.row_number().over(inside))
+            .drop("_digest", "_share", "_before"))
+
+
 def keep_first(files: DataFrame, cap: int, keys=("scan_id",)) -> DataFrame:
     """At most ``cap`` files per scan, smallest path digest first, with a ``truncated`` flag.
 
-    The walk order the limit refers to is undefined, so any fixed order will do; digests spread
-    evenly.  A small table of counts per digest range finds the range in which the limit falls, and only
-    that range is ranked, so a scan holding most files is never sorted in one task.
+    The walk order the limit refers to is undefined, so any fixed order will do.
     """
-    keys = list(keys)
     digest = F.sha2(F.concat_ws("/", *keys, "path"), 256)
-    marked = files.withColumns({"_digest": digest, "_bucket": F.substring(digest, 1, 3)})
-    running = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    counts = (marked.groupBy(*keys, "_bucket").agg(F.count("*").alias("_n"))
-              .withColumn("_before", F.coalesce(F.sum("_n").over(running), F.lit(0)))
-              .withColumn("_total", F.sum("_n").over(Window.partitionBy(*keys))))
-    placed = marked.join(counts, [*keys, "_bucket"]).where(F.col("_before") < cap)
-    inside = placed.where(F.col("_before") + F.col("_n") <= cap)
-    w = Window.partitionBy(*keys, "_bucket").orderBy("_digest")
-    edge = (placed.where(F.col("_before") + F.col("_n") > cap)
-            .withColumn("_rank", F.row_number().over(w))
-            .where(F.col("_before") + F.col("_rank") <= cap).drop("_rank"))
-    return (inside.unionByName(edge).withColumn("truncated", F.col("_total") > cap)
-            .drop("_digest", "_bucket", "_n", "_before", "_total"))
+    ranked = spread_rank(files, keys, digest, "_rank")
+    return (ranked.where(F.col("_rank") <= cap).withColumn("truncated", F.col("_rank_total") > cap)
+            .drop("_rank", "_rank_total"))
 
 
 def any_of(columns: list[Column]) -> Column:
