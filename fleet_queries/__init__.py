@@ -6,6 +6,7 @@ def load():
     import importlib
 
     from fleet_queries import registry
-    for module in ("signals", "corpus_rows", "artifacts", "contract"):
+    for module in ("signals", "corpus_rows", "artifacts", "contract", "reports", "directory",
+                   "changes"):
         importlib.import_module(f"fleet_queries.{module}")
     return dict(registry.QUERIES), dict(registry.ORACLE)

@@ -448,7 +448,7 @@ def payload_assembly(spark, sf):
             .agg(F.sum("s.n").alias("records")))
 
 
-@query("contract_conformance", f"{SERVERS} SELECT scan_id, 'mcpServers' AS section, server_name AS key, '' AS field, '' AS value FROM srv WHERE transport NOT IN "
+@query("contract_conformance", f"{SERVERS} SELECT scan_id, 'mcpServers' AS section, server_name || '-' || left(sha256(path), 12) AS key, 'transport' AS field, transport AS value FROM srv WHERE transport NOT IN "
                                "('stdio', 'sse', 'streamable-http', 'unknown')")
 def conformance(spark, sf):
     return plan.enum_violations(record_rows(spark, sf))

@@ -47,7 +47,7 @@ COMPOSE = NL.join([
 SERVERS = [
     '{"mcpServers":{"fs', ("g", 2),
     '":{"args":["--log=debug","GITHUB_TOKEN=abc","Authorization: Bearer xyz","sh","-c"],'
-    '"command":"/usr/local/bin/fs-mcp"},"srv', ("g", 6),
+    '"command":"/usr/local/bin/fs-mcp"},"odd":{"type":"pipe"},"srv', ("g", 6),
     '":{"args":["-y","pkg', ("g",),
     '","--api-key","s3cr3t"],"command":"npx","env":{"API_TOKEN":"$', "{TOK}",
     '","HOME_DIR":"/srv"}},"tool', ("g", 4),
