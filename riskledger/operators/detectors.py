@@ -142,7 +142,8 @@ def proximity_dirs(files: DataFrame) -> DataFrame:
             .select("scan_id", "dir").distinct().withColumn("ai_artifact_proximity", F.lit(True)))
 
 
-def containers(files: DataFrame, ctx: ScanOptions) -> DataFrame:
+def containers(files: DataFrame, ctx: ScanOptions, near_dirs: DataFrame | None = None) -> DataFrame:
+    """``near_dirs`` comes from the whole corpus (:func:`proximity_dirs`), never from a part of it."""
     found = prepare(files, ctx).where(F.col("name").isin(names.CONTAINER_NAMES))
     readable = F.col("text").isNotNull() & F.col("content_ok")
     scanned = G.with_signals(found, "text", readable)
@@ -150,7 +151,7 @@ def containers(files: DataFrame, ctx: ScanOptions) -> DataFrame:
     scanned = scanned.withColumns({
         "_tokens": G.tokens_in("_low", names.AI_TOKENS, "ai_token:"),
         "direct_agentic_evidence": G.contains_any(F.col("_low"), names.AGENTIC_TOKENS),
-    }).join(proximity_dirs(files), ["scan_id", "dir"], "left")
+    }).join(proximity_dirs(files) if near_dirs is None else near_dirs, ["scan_id", "dir"], "left")
     near = F.coalesce(F.col("ai_artifact_proximity"), F.lit(False))
     direct = F.size("_tokens") > 0
     text, image = F.when(readable, F.col("text")), F.col("name").contains("compose")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from riskledger.functions import paths, scoring as S
 from riskledger.operators.corpus import top_n
+from riskledger.session import cut
 
 FLAGGED, CLEAR = ["critical", "high"], ["low", "info"]
 VISIBLE = 3
@@ -39,8 +40,8 @@ def remainder_by_directory(artifacts: DataFrame, n: int = VISIBLE) -> DataFrame:
     """Everything but the ``n`` worst, counted by directory and type: ``scan_id, dir,
     artifact_type, artifacts, dir_total``."""
     keys = ["scan_id", "detector", "path", "rule_order"]
-    top = riskiest(artifacts.select(*keys, "detector_rank", "verification_status", "risk_score"), n).select(*keys)
-    rest = artifacts.select(*keys, "artifact_type").join(top, keys, "left_anti")
+    rows = cut(artifacts.select(*keys, "artifact_type", "detector_rank", "verification_status", "risk_score"))
+    rest = rows.join(riskiest(rows, n).select(*keys), keys, "left_anti")
     per_type = (rest.groupBy("scan_id", paths.parent_dir(F.col("path")).alias("dir"), "artifact_type")
                 .agg(F.count("*").alias("artifacts")))
     totals = per_type.groupBy("scan_id", "dir").agg(F.sum("artifacts").alias("dir_total"))
@@ -49,8 +50,9 @@ def remainder_by_directory(artifacts: DataFrame, n: int = VISIBLE) -> DataFrame:
 
 def review_groups(artifacts: DataFrame, examples: int = 2) -> DataFrame:
     """Medium rows per top reason: count and the first example paths (by path)."""
-    rows = artifacts.where("verification_status = 'medium'").withColumn("reason", F.coalesce(
-        S.reason_label(F.try_element_at("risk_reasons", F.lit(1))), F.lit("Other")))
+    rows = cut(artifacts.where("verification_status = 'medium'").select(
+        "scan_id", "path", "rule_order", F.coalesce(
+            S.reason_label(F.try_element_at("risk_reasons", F.lit(1))), F.lit("Other")).alias("reason")))
     counts = rows.groupBy("scan_id", "reason").agg(F.count("*").alias("artifacts"))
     shown = top_n(rows.select("scan_id", "reason", "path", "rule_order"), ["scan_id", "reason"],
                   [F.asc("path"), F.asc("rule_order")], examples, ["path", "rule_order"])
@@ -73,8 +75,10 @@ def lite_visible(artifacts: DataFrame, n: int = VISIBLE) -> DataFrame:
 
 
 def lite_hidden(artifacts: DataFrame, n: int = VISIBLE) -> DataFrame:
+    """The other artifacts of a reduced report."""
     keys = ["scan_id", "detector", "path", "rule_order"]
-    return artifacts.join(lite_visible(artifacts, n).select(*keys), keys, "left_anti")
+    rows = cut(artifacts)
+    return rows.join(lite_visible(rows, n).select(*keys), keys, "left_anti")
 
 
 def hidden_summary(hidden: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from riskledger.functions import identity as I, paths, signals as G, text as T
 from riskledger.functions.regex import to_java
 from riskledger.operators.corpus import keep_first, top_n, with_path_parts
 from riskledger.operators.detectors import NO_STRINGS, ScanOptions
+from riskledger.session import cut
 
 FINDING = "struct<family:string,signal:string,line:int,ordinal:int,summary:string>"
 
@@ -36,20 +37,6 @@ def _readable(ctx: ScanOptions) -> Column:
     return T.bounded_text(content, F.col("size_bytes"), ctx.file_bytes)
 
 
-def json_findings(files: DataFrame, ctx: ScanOptions) -> DataFrame:
-    """``scan_id, path, family, signal, line, summary`` of JSON configurations."""
-    rows = eligible(files).where(~F.col("is_source")).select("scan_id", "path", _readable(ctx).alias("text"))
-    rows = G.with_signals(rows.where("text is not null"), "text", families=["secret"])
-    rows = rows.withColumn("fold", G.folded(F.col("text")))
-    text = F.col("text")
-    items = [F.when(G.hit("text", "fold", expr, anchors),
-                    _finding(family, signal, T.line_of(text, F.regexp_instr(text, F.lit(to_java(expr)))), summary))
-             for signal, family, summary, expr, anchors in P.JSON_PATTERNS]
-    secrets = F.transform("secret_signals", lambda s: _finding("json_secret", s, None, P.JSON_SECRET_SUMMARY))
-    return (rows.select("scan_id", "path", F.explode(F.concat(secrets, _present(items))).alias("f"))
-            .select("scan_id", "path", "f.family", "f.signal", "f.line", "f.summary"))
-
-
 def nonliteral_argument(line: Column, expression: str, literal_starts: str) -> Column:
     """Is the first argument after the first match anything but a literal?"""
     first = F.regexp_extract(line, to_java(expression + r"\s*(\S?)"), 1)
@@ -66,7 +53,7 @@ _SENSITIVE_ANCHORS = [[".openclaw/", "readfile"], ["/environ"], ["_history"], ["
 _INTERNAL_ANCHORS = ["local", "internal", "corp", "intranet", "private"]
 
 
-def _line_findings(line: Column, fold: Column, number: Column) -> Column:
+def _line_findings(line: Column, fold: Column, low: Column, number: Column) -> Column:
     items = []
     for signal, summary, expr, starts in P.SOURCE_CALL_PATTERNS:
         ok = G.contains_any(fold, _LINE_ANCHORS[signal]) & nonliteral_argument(line, expr, starts)
@@ -80,7 +67,6 @@ def _line_findings(line: Column, fold: Column, number: Column) -> Column:
     for i, ((summary, expr), anchors) in enumerate(zip(P.SENSITIVE_PATH_PATTERNS, _SENSITIVE_ANCHORS)):
         items.append(F.when(G.contains_any(fold, anchors) & line.rlike(to_java(expr)),
                             _finding("sensitive_path", P.SENSITIVE_PATH_SIGNAL, number, summary, i)))
-    low = F.lower(line)
     named = F.coalesce(*[F.when(low.contains(n), F.lit(n)) for n in P.IDENTITY_FILES])
     items.append(F.when(named.isNotNull() & line.rlike(to_java(P.TARGET_CALL)),
                         _finding("cognitive_file", "cognitive_tampering:file_target", number,
@@ -88,31 +74,53 @@ def _line_findings(line: Column, fold: Column, number: Column) -> Column:
     return _present(items)
 
 
-def source_findings(files: DataFrame, ctx: ScanOptions) -> DataFrame:
-    """Earliest finding per file and signal.  Lines are exploded inside their task; only finding
-    rows, pre-reduced per file, reach the shuffle."""
-    rows = eligible(files).where("is_source").select("scan_id", "path", _readable(ctx).alias("text"))
-    rows = rows.where("text is not null")
-    lined = rows.select("scan_id", "path", F.posexplode(T.lines(F.col("text"))).alias("pos", "line")) \
-        .withColumn("fold", G.folded(F.col("line")))
-    by_line = lined.select("scan_id", "path", F.explode(
-        _line_findings(F.col("line"), F.col("fold"), F.col("pos") + 1)).alias("f"))
-    low = F.lower("text")
+def _whole_json() -> Column:
+    """Findings of a JSON configuration, from its whole text and its secret signals."""
+    text = F.col("text")
+    items = [F.when(G.hit("text", "fold", expr, anchors),
+                    _finding(family, signal, T.line_of(text, F.regexp_instr(text, F.lit(to_java(expr)))), summary))
+             for signal, family, summary, expr, anchors in P.JSON_PATTERNS]
+    secrets = F.transform("secret_signals", lambda s: _finding("json_secret", s, None, P.JSON_SECRET_SUMMARY))
+    return F.concat(secrets, _present(items))
+
+
+def _identity_write() -> Column:
+    """Does a source file name an identity file anywhere and hold a write call?"""
+    low = F.col("lower")
     named = F.coalesce(*[F.when(low.contains(n), F.lit(n)) for n in P.IDENTITY_FILES])
-    writes = (rows.withColumns({"low": low, "named": named})
-              .where(F.col("named").isNotNull() & F.col("text").rlike(to_java(P.WRITE_CALL)))
-              .select("scan_id", "path", _finding(
-                  "cognitive_file", "cognitive_tampering:file_write",
-                  T.line_of(F.col("low"), F.expr("instr(low, named)")),
-                  F.concat(F.lit("Source references and may write agent identity file "), F.col("named"))).alias("f")))
-    every = by_line.unionByName(writes)
+    ok = named.isNotNull() & F.col("text").rlike(to_java(P.WRITE_CALL))
+    return _present([F.when(ok, _finding(
+        "cognitive_file", "cognitive_tampering:file_write", T.line_of(low, F.position(named, low)),
+        F.concat(F.lit("Source references and may write agent identity file "), named)))])
+
+
+def findings(files: DataFrame, ctx: ScanOptions) -> DataFrame:
+    """``scan_id, path, family, signal, line, summary``: the earliest finding per file and signal.
+
+    Contents are read once.  Each file gives one row for its whole text and, for source files, one
+    row per line, all inside its task; only finding rows, reduced per file first, are shuffled.
+    """
+    texts = eligible(files).select("scan_id", "path", "is_source", _readable(ctx).alias("body")).where("body is not null")
+    split = F.when(F.col("is_source"), T.lines(F.col("body"))).otherwise(F.array().cast(NO_STRINGS))
+    units = texts.select("scan_id", "path", "is_source",
+                         F.posexplode(F.concat(F.array("body"), split)).alias("line", "text"))
+    whole_json = (F.col("line") == 0) & ~F.col("is_source")
+    rows = G.with_signals(units, "text", whole_json, families=["secret"])
+    rows = rows.withColumns({"fold": G.folded(F.col("text")), "lower": F.lower("text")})
+    found = (F.when(whole_json, _whole_json()).when(F.col("line") == 0, _identity_write())
+             .otherwise(_line_findings(F.col("text"), F.col("fold"), F.col("lower"), F.col("line"))))
+    every = rows.select("scan_id", "path", F.explode(found).alias("f"))
     return (every.groupBy("scan_id", "path", F.col("f.signal").alias("signal"))
             .agg(F.min(F.struct("f.line", "f.ordinal", "f.family", "f.summary")).alias("m"))
             .select("scan_id", "path", "m.family", "signal", "m.line", "m.summary"))
 
 
-def findings(files: DataFrame, ctx: ScanOptions) -> DataFrame:
-    return json_findings(files, ctx).unionByName(source_findings(files, ctx))
+def json_findings(files: DataFrame, ctx: ScanOptions) -> DataFrame:
+    return findings(files.where(paths.is_json_config(paths.basename(F.col("path")))), ctx)
+
+
+def source_findings(files: DataFrame, ctx: ScanOptions) -> DataFrame:
+    return findings(files.where(paths.is_source_file(paths.basename(F.col("path")))), ctx)
 
 
 def common_root(low: Column, high: Column) -> Column:
@@ -150,7 +158,7 @@ def source_surface(files: DataFrame, ctx: ScanOptions) -> DataFrame:
         F.min("path").alias("_low"), F.max("path").alias("_high"), F.bool_or("truncated").alias("truncated"))
     adjacent = (with_path_parts(files).groupBy("scan_id")
                 .agg(F.bool_or(paths.content_allowed(F.col("name"))).alias("ai_adjacent_context")))
-    found = findings(supported, ctx)
+    found = cut(findings(supported, ctx))
     by_family = (found.groupBy("scan_id", "family").agg(F.count("*").alias("n"),
                                                         F.collect_set("signal").alias("signals"))
                  .groupBy("scan_id").agg(

@@ -5,7 +5,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskledger.catalog import labels as L
+from riskledger.catalog import labels as L, names
 from riskledger.operators import entities as E, links, mcp_servers as M
 from riskledger.operators.detectors import ScanOptions
 from riskledger.session import cut
@@ -29,9 +29,11 @@ class Contract:
 
 def build(files: DataFrame, artifacts: DataFrame, ctx: ScanOptions, repos: DataFrame | None = None,
           skill_findings: DataFrame | None = None, host_env: DataFrame | None = None) -> Contract:
-    """All entities and links.  Artifacts, agents and server links feed several branches, so their
-    lineage is cut where the session names a checkpoint folder."""
+    """All entities and links.  Artifacts, server files, agents and server links feed several
+    branches, so their lineage is cut where the session names a checkpoint folder.  Of the corpus
+    only tool-server files are read again."""
     artifacts = cut(artifacts)
+    files = cut(files.where(F.substring_index("path", "/", -1).isin(names.MCP_NAMES)))
     plain = E.agents(artifacts, repos)
     server_links = cut(E.agent_server_links(plain, files, ctx))
     agents = cut(E.tool_counts(plain, server_links))
@@ -123,8 +125,8 @@ def records(c: Contract, logs: DataFrame | None = None) -> DataFrame:
     agents = c.agents.join(tools, ["scan_id", "dir"], "left").withColumn(
         "listPart", F.when(F.col("parts") > 1, F.col("part") + 1))
     typed = lambda kind: (lambda n: F.struct(n.alias("name"), F.lit(kind).alias("type")))
-    names = F.transform(_or_empty(agents, "items", "array<struct<first_path:string,name:string>>"), lambda i: i["name"])
-    agents = agents.withColumn("tool_names", names)
+    tool_names = F.transform(_or_empty(agents, "items", "array<struct<first_path:string,name:string>>"), lambda i: i["name"])
+    agents = agents.withColumn("tool_names", tool_names)
     first = F.coalesce(F.col("part"), F.lit(0)) == 0
     declared = F.when(first, F.col("declared_tools")).otherwise(F.expr("cast(array() as array<string>)"))
     out.append(agents.select("scan_id", F.lit("agents").alias("section"), F.col("id").alias("key"), F.to_json(_pair([

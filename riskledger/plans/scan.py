@@ -5,12 +5,14 @@ from pyspark.sql import functions as F
 
 from riskledger.catalog import names
 from riskledger.functions import identity as I, paths, scoring as S
+from riskledger.functions.signals import computed_once
 from riskledger.operators import detectors as D
 from riskledger.operators.source_risk import source_surface
+from riskledger.operators.rules import matches_any
+from riskledger.session import cut
 from riskledger.sources.rules import load_rules
 
-DETECTORS = {"custom_rules": D.custom_rules, "containers": D.containers,
-             "mcp_configs": D.mcp_configs, "source_risks": source_surface}
+PER_FILE = {"custom_rules": D.custom_rules, "mcp_configs": D.mcp_configs}
 LIST_COLUMNS = ["declared_tools", "permissions", "dependencies", "api_endpoints", "server_names"]
 
 
@@ -18,9 +20,27 @@ def options(spark, user_rules: DataFrame | None = None, **kw) -> D.ScanOptions:
     return D.ScanOptions(rules=load_rules(spark, user_rules)[0], **kw)
 
 
+def files_of_interest(files: DataFrame, ctx: D.ScanOptions) -> DataFrame:
+    """The files whose name some per-file detector knows: usually a small share of a corpus."""
+    name = paths.basename(F.col("path"))
+    return files.where(matches_any(name, ctx.rules) | name.isin(names.CONTAINER_NAMES + names.MCP_NAMES))
+
+
 def detect(files: DataFrame, ctx: D.ScanOptions, directories: DataFrame | None = None) -> DataFrame:
-    """Artifacts of every detector that runs in the mode, united by column name."""
-    parts = [DETECTORS[d](files, ctx) for d in D.detectors_for(ctx.mode) if d in DETECTORS]
+    """Artifacts of every detector that runs in the mode, united by column name.
+
+    Contents are read twice at most: once to set the files of interest aside for the per-file
+    detectors, once by the source scan.  Everything that looks across files reads paths only.
+    """
+    few = cut(files_of_interest(files, ctx))
+    parts = []
+    for name in D.detectors_for(ctx.mode):
+        if name in PER_FILE:
+            parts.append(PER_FILE[name](few, ctx))
+        elif name == "containers":
+            parts.append(D.containers(few, ctx, D.proximity_dirs(files)))
+        elif name == "source_risks":
+            parts.append(source_surface(files, ctx))
     if directories is not None and "browser_footprints" in D.detectors_for(ctx.mode):
         parts.append(D.browser_footprints(directories))
     out = parts[0]
@@ -46,22 +66,23 @@ def identify(artifacts: DataFrame) -> DataFrame:
 
 
 def score(artifacts: DataFrame) -> DataFrame:
-    out = artifacts.withColumn("_parts", S.contributions(F.col("signals"), F.col("declared_tools")))
-    out = out.withColumn("risk_score", S.risk_score(F.col("artifact_type"), F.col("_parts")))
-    return out.withColumn("risk_reasons", S.top_reasons(F.col("_parts"))).drop("_parts")
+    out = computed_once(artifacts, _parts=S.contributions(F.col("signals"), F.col("declared_tools")))
+    return computed_once(out, risk_score=S.risk_score(F.col("artifact_type"), F.col("_parts")),
+                         risk_reasons=S.top_reasons(F.col("_parts"))).drop("_parts")
 
 
 def grade(artifacts: DataFrame) -> DataFrame:
     governed = S.governed(F.col("declared_tools"), F.col("permissions"), F.col("api_endpoints"))
-    return artifacts.withColumn("verification_status", S.verify(F.col("risk_score"), F.col("signals"), governed))
+    return computed_once(artifacts, verification_status=S.verify(F.col("risk_score"), F.col("signals"), governed))
 
 
 def classify(artifacts: DataFrame, mode: str) -> DataFrame:
     kind, signals = F.col("artifact_type"), F.col("signals")
-    out = artifacts.withColumn("artifact_scope", S.artifact_scope(kind, F.col("path"), F.col("origin"), mode))
-    out = out.withColumn("registry_eligible", S.registry_eligible(
+    scope = S.artifact_scope(kind, F.col("path"), F.col("origin"), mode)
+    out = computed_once(artifacts, artifact_scope=scope,
+                        analysis_origin=S.analysis_origin(kind, signals, F.col("verification_status")))
+    return computed_once(out, registry_eligible=S.registry_eligible(
         kind, F.col("artifact_scope"), signals, F.col("confidence")))
-    return out.withColumn("analysis_origin", S.analysis_origin(kind, signals, F.col("verification_status")))
 
 
 def scan(files: DataFrame, ctx: D.ScanOptions, directories: DataFrame | None = None) -> DataFrame:
@@ -81,7 +102,3 @@ def registry_identity(artifacts: DataFrame) -> DataFrame:
         "artifact_hash", F.col("artifact_type").alias("artifact_kind"),
         F.coalesce("path", F.lit("unknown")).alias("artifact_locator"), "artifact_scope",
         "registry_eligible", F.lit("v1").alias("schema_version"))
-
-
-def parent_of(path):
-    return paths.parent_dir(path)
