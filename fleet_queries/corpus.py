@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from fleet_queries.registry import quote, table
 from riskledger.functions.signals import computed_once
+from riskledger.sources.files import spread
 
 NAMES = [
     ".cursorrules", "AGENTS.md", "mcp.json", "Dockerfile", "docker-compose.yml",
@@ -81,7 +82,7 @@ def _servers_sql():
 
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
     k, g = F.col("k"), F.col("g")
     base = docs.select("doc_id", "text", (F.col("doc_id") % 16).alias("k"),
                        F.expr("doc_id div 16").alias("g"))

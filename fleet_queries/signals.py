@@ -7,6 +7,7 @@ from fleet_queries.corpus import FILES_SQL, files
 from fleet_queries.registry import query, quote, table
 from riskledger.catalog import names, patterns as P
 from riskledger.functions import signals as G, urls as U
+from riskledger.sources.files import spread
 
 SIG = S.signal_ctes("files", "file_id", "content")
 
@@ -59,7 +60,7 @@ def _raw(name, table_name, key, group, text="text"):
 
     @query(name, sql)
     def run(spark, sf):
-        df = G.with_signals(table(spark, sf, table_name), text)
+        df = G.with_signals(spread(table(spark, sf, table_name), key), text)
         return (df.select(F.col(group).cast("string").alias("grp"),
                           F.explode(F.concat("secret_signals", "danger_signals")).alias("signal"))
                 .groupBy("grp", "signal").agg(F.count("*").alias("texts")))

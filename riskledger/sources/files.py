@@ -34,9 +34,20 @@ def read_files(spark: SparkSession, root: str, scan_id: str, origin: str = "work
         F.col("modificationTime").alias("modified_at"))
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Spread a small input over all cores.
+
+    A table in one or two row groups would be scanned by one task, however heavy the expressions
+    on its texts.  Inputs that already fill the cluster are left alone, so nothing is shuffled at
+    scale.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *keys)
+
+
 def read_inventory(spark: SparkSession, folder: str) -> DataFrame:
     """A stored Parquet inventory in corpus form."""
-    return spark.read.parquet(folder)
+    return spread(spark.read.parquet(folder), "path")
 
 
 def log_tails(files: DataFrame, now, max_files: int | None = None) -> DataFrame:

@@ -39,6 +39,19 @@ def rule_row(rule: dict, rank: int, source: str = "user") -> tuple:
             float(match.get("confidence", 0.6)), *[_block(rule, b) for b in BLOCKS])
 
 
+_COLUMNS = ["rule_rank", "source", "name", "description", "artifact_type", "filenames", "suffixes", "confidence",
+            *BLOCKS]
+_BLOCK_FIELDS = ["terms", "signals_prefix", "boost_confidence", "boost_threshold"]
+
+
+def _as_dict(row: tuple) -> dict:
+    out = dict(zip(_COLUMNS, row))
+    for block in BLOCKS:
+        if out[block] is not None:
+            out[block] = dict(zip(_BLOCK_FIELDS, out[block]))
+    return out
+
+
 def builtin_rules(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(
         [rule_row(r, i, "builtin") for i, r in enumerate(R.BUILTIN_RULES)], RULE_SCHEMA)
@@ -129,7 +142,7 @@ def load_rules(spark: SparkSession, user: DataFrame | None = None):
     Rules are configuration, held to the limits above; ``MAX_RULES`` keeps the table small enough
     to fold into expressions and to broadcast.
     """
-    accepted, errors = list(builtin_rules(spark).collect()), None
+    accepted, errors = [_as_dict(rule_row(r, i, "builtin")) for i, r in enumerate(R.BUILTIN_RULES)], None
     if user is not None:
         errors = rule_errors(user)
         bad = {r.rule_rank for r in errors.select("rule_rank").distinct().collect()}
@@ -141,8 +154,8 @@ def load_rules(spark: SparkSession, user: DataFrame | None = None):
                     uncompilable(spark, e) for b in ("patterns", "deep_patterns") if row[b]
                     for e in row[b]["terms"]):
                 continue
-            accepted.append(row)
-    return [r.asDict(recursive=True) | {"rule_rank": i} for i, r in enumerate(accepted)], errors
+            accepted.append(row.asDict(recursive=True))
+    return [r | {"rule_rank": i} for i, r in enumerate(accepted)], errors
 
 
 MAX_RULES = 2000
