@@ -15,7 +15,7 @@ _PLANS = {}
 
 
 def _memo(kind, spark, sf, build):
-    key = (kind, id(spark), sf)
+    key = (kind, spark.sparkContext.applicationId, sf)
     if key not in _PLANS:
         _PLANS[key] = build()
     return _PLANS[key]

@@ -133,10 +133,10 @@ def log_evidence(spark, sf):
 def log_tails(spark, sf):
     from riskledger.sources.files import log_tails as tails
     f = files(spark, sf)
-    latest = f.agg(F.max("modified_at").alias("now"))
+    latest = f.agg(F.max("modified_at")).scalar()
     name = F.expr("CASE file_id % 4 WHEN 0 THEN 'MCP-a.log' WHEN 1 THEN 'server.txt' WHEN 2 THEN 'other.log' ELSE 'copilot.log' END")
     logs = f.select("scan_id", F.concat(F.regexp_extract("path", "^(.*)/[^/]*$", 1), F.lit("/"), name).alias("path"),
-                    F.repeat("content", 5).cast("binary").alias("content"), "modified_at").join(F.broadcast(latest))
+                    F.repeat("content", 5).cast("binary").alias("content"), "modified_at").withColumn("now", latest)
     return tails(logs, F.col("now")).select("path", F.sha2("text", 256).alias("tail_hash"),
                                             F.octet_length("text").cast("bigint").alias("bytes"))
 

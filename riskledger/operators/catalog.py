@@ -52,9 +52,9 @@ def sort_order(sort: str, reverse: bool = False) -> list[Column]:
 def page(catalog: DataFrame, sort: str = "alpha", reverse: bool = False, number: int = 1, size: int = 20) -> DataFrame:
     """One page of a sorted listing (a bounded top-k), with ``total`` and ``total_pages``."""
     rows = catalog.orderBy(*sort_order(sort, reverse)).offset((number - 1) * size).limit(size)
-    totals = catalog.agg(F.count("*").alias("total")).withColumn(
-        "total_pages", F.ceil(F.col("total") / F.lit(size)))
-    return rows.join(F.broadcast(totals)).withColumn("page", F.lit(number))
+    total = catalog.agg(F.count("*")).scalar()
+    return rows.withColumn("total", total).withColumns({
+        "total_pages": F.ceil(F.col("total") / F.lit(size)), "page": F.lit(number)})
 
 
 def trending(catalog: DataFrame, size: int = 20) -> DataFrame:

@@ -85,11 +85,11 @@ def assign_origin(files: DataFrame, homes: DataFrame) -> DataFrame:
     parts = with_path_parts(files.select("scan_id", "path"))
     direct = (homes.select("scan_id", F.col("home").alias("root"))
               .withColumns({"tier": F.lit("home"), "tier_rank": F.lit(0)}))
-    exact = parts.join(direct, (parts.scan_id == direct.scan_id) & (parts.dir == direct.root)) \
-        .select(parts.scan_id, "path", "tier", "tier_rank")
+    exact = salted_join(parts, direct.withColumnRenamed("root", "dir"), ["scan_id", "dir"], ["path"]) \
+        .select("scan_id", "path", "tier", "tier_rank")
     roots = tier_roots(homes)
-    below = parts.select("scan_id", "path", F.explode(paths.ancestor_dirs(F.col("dir"))).alias("root")) \
-        .join(roots, ["scan_id", "root"]).select("scan_id", "path", "tier", "tier_rank")
+    below = salted_join(parts.select("scan_id", "path", F.explode(paths.ancestor_dirs(F.col("dir"))).alias("root")),
+                        roots, ["scan_id", "root"], ["path"]).select("scan_id", "path", "tier", "tier_rank")
     return (exact.unionByName(below).groupBy("scan_id", "path")
             .agg(F.min(F.struct("tier_rank", "tier")).alias("m"))
             .select("scan_id", "path", F.col("m.tier").alias("origin")))
@@ -132,6 +132,18 @@ def keep_first(files: DataFrame, cap: int, keys=("scan_id",)) -> DataFrame:
             .drop("_rank", "_rank_total"))
 
 
+def salted_join(big: DataFrame, small: DataFrame, keys, spread, how: str = "inner", salts: int = 16) -> DataFrame:
+    """Equi-join in which one key of ``big`` may hold most rows.
+
+    Rows of ``big`` go to one of ``salts`` shares of their key (by the ``spread`` columns), and the
+    rows of ``small``, few per key, are repeated for every share.  The result is that of the plain
+    join (``how``: inner, left or left_semi).
+    """
+    left = big.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
+    right = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return left.join(right, [*keys, "_salt"], how).drop("_salt")
+
+
 def any_of(columns: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, columns, F.lit(False))
 

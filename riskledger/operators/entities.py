@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from riskledger.catalog import labels as L
 from riskledger.functions import identity as I, paths, scoring as S, urls as U
 from riskledger.operators import links, mcp_servers as M
-from riskledger.operators.corpus import spread_rank
+from riskledger.operators.corpus import salted_join, spread_rank
 from riskledger.operators.detectors import NO_STRINGS, ScanOptions
 from riskledger.operators.skills import trust_of
 
@@ -257,7 +257,8 @@ def skill_consumers(skill_rows: DataFrame, agent_rows: DataFrame, server_links:
                                              .alias("skill_name")), ["scan_id", "dir"]) \
         .select("scan_id", "skill_name", "agent_id", "agent_name")
     named = skill_rows.where("kind <> 'file'").select("scan_id", F.col("name").alias("skill_name"))
-    via_tool = named.join(by_decl.unionByName(by_server), ["scan_id", "skill_name"])
+    via_tool = salted_join(by_decl.unionByName(by_server), named, ["scan_id", "skill_name"], ["agent_id"]) \
+        .select("scan_id", "skill_name", "agent_id", "agent_name")
     via_path = skill_rows.where("kind = 'file'").select("scan_id", "path", F.col("name").alias("skill_name")) \
         .join(who.select("scan_id", "path", "agent_id", "agent_name"), ["scan_id", "path"]) \
         .select("scan_id", "skill_name", "agent_id", "agent_name")

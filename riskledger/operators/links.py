@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from riskledger.catalog import names
 from riskledger.functions import paths
+from riskledger.operators.corpus import salted_join
 
 LIST_PART = 1000
 
@@ -17,7 +18,7 @@ def chunked_lists(edges: DataFrame, keys, item: Column, spread: str, size: int =
     """
     keys = list(keys)
     parts = edges.groupBy(*keys).agg(F.ceil(F.count("*") / F.lit(size)).cast("int").alias("parts"))
-    split = edges.join(parts, keys).withColumn("part", F.pmod(F.xxhash64(spread), F.col("parts")).cast("int"))
+    split = salted_join(edges, parts, keys, [spread]).withColumn("part", F.pmod(F.xxhash64(spread), F.col("parts")).cast("int"))
     return split.groupBy(*keys, "part", "parts").agg(F.array_sort(F.collect_list(item)).alias("items"))
 
 
@@ -42,15 +43,15 @@ def related_servers(agent_dirs: DataFrame, server_dirs: DataFrame) -> DataFrame:
     """
     agents = agent_dirs.select("scan_id", F.col("dir").alias("agent_dir")).distinct()
     servers = server_dirs.groupBy("scan_id", "dir", "server_name").agg(F.min("path").alias("first_path"))
-    above = (agents.withColumn("dir", F.explode(paths.string_prefixes(F.col("agent_dir"))))
-             .join(servers, ["scan_id", "dir"])
+    above = (salted_join(agents.withColumn("dir", F.explode(paths.string_prefixes(F.col("agent_dir")))),
+                         servers, ["scan_id", "dir"], ["agent_dir"])
              .select("scan_id", "agent_dir", "server_name", "first_path"))
     by_scope = (servers.withColumn("scope", F.explode(prefixed_scopes("dir")))
                 .groupBy("scan_id", "scope", "server_name").agg(F.min("first_path").alias("first_path")))
     own = agents.withColumn("scope", F.explode(F.concat(
         F.array(F.concat(F.lit("below "), "agent_dir")),
         F.transform(scope_markers(F.col("agent_dir")), lambda m: F.concat(F.lit("marker "), m)))))
-    around = own.join(by_scope, ["scan_id", "scope"]).select("scan_id", "agent_dir", "server_name", "first_path")
+    around = salted_join(own, by_scope, ["scan_id", "scope"], ["agent_dir"]).select("scan_id", "agent_dir", "server_name", "first_path")
     return (above.unionByName(around).groupBy("scan_id", "agent_dir", "server_name")
             .agg(F.min("first_path").alias("first_path")))
 
@@ -58,8 +59,8 @@ def related_servers(agent_dirs: DataFrame, server_dirs: DataFrame) -> DataFrame:
 def agents_below(container_dirs: DataFrame, agents: DataFrame) -> DataFrame:
     """Agents whose path starts with a container directory, as text: ``scan_id, dir`` + agent."""
     dirs = container_dirs.select("scan_id", "dir").distinct()
-    return (agents.withColumn("dir", F.explode(paths.string_prefixes(F.col("path"))))
-            .join(dirs, ["scan_id", "dir"]))
+    return salted_join(agents.withColumn("dir", F.explode(paths.string_prefixes(F.col("path")))), dirs,
+                       ["scan_id", "dir"], ["path"])
 
 
 def nearest_repo(entries: DataFrame, repos: DataFrame) -> DataFrame:
@@ -69,12 +70,12 @@ def nearest_repo(entries: DataFrame, repos: DataFrame) -> DataFrame:
     """
     r = repos.select("scan_id", F.col("dir").alias("repo_dir"), "remote", "head")
     dirs = entries.select("scan_id", "dir").distinct()
-    hits = (dirs.withColumn("repo_dir", F.explode(paths.ancestor_dirs(F.col("dir"))))
-            .join(r, ["scan_id", "repo_dir"]).groupBy("scan_id", "dir")
+    hits = (salted_join(dirs.withColumn("repo_dir", F.explode(paths.ancestor_dirs(F.col("dir")))), r,
+                        ["scan_id", "repo_dir"], ["dir"]).groupBy("scan_id", "dir")
             .agg(F.max_by(F.struct("repo_dir", "remote", "head"), F.length("repo_dir")).alias("m")))
     rel = F.when(F.col("dir") == F.col("m.repo_dir"), "").otherwise(
         paths.relative_to(F.col("dir"), F.col("m.repo_dir")))
     found = hits.select("scan_id", "dir", "m.repo_dir", "m.remote", "m.head", rel.alias("relative_path"))
-    return entries.join(found, ["scan_id", "dir"], "left")
+    return salted_join(entries, found, ["scan_id", "dir"], ["path"] if "path" in entries.columns else ["dir"], "left")
 
 

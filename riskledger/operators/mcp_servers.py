@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from riskledger.catalog import labels as L, names, patterns as P
 from riskledger.functions import identity as I, jsontext as J, signals as G, urls as U
+from riskledger.operators.corpus import salted_join
 from riskledger.operators.detectors import NO_STRINGS, ScanOptions, prepare
 
 EVIDENCE = "array<struct<source:string,category:string,detail:string,url:string>>"
@@ -184,7 +185,7 @@ def env_references(servers: DataFrame, host_env: DataFrame | None = None) -> Dat
     if host_env is None:
         return refs.withColumn("is_set", F.col("source_key") == "env")
     known = host_env.select("scan_id", "name").distinct().withColumn("_set", F.lit(True))
-    return refs.join(known, ["scan_id", "name"], "left").withColumn(
+    return salted_join(refs, known, ["scan_id", "name"], ["server_name"], "left").withColumn(
         "is_set", (F.col("source_key") == "env") | F.coalesce("_set", F.lit(False))).drop("_set")
 
 
@@ -210,8 +211,8 @@ def attach_logs(servers: DataFrame, log_urls: DataFrame) -> DataFrame:
     known = (servers.select("scan_id", "server_name", "path", F.explode("evidence.url").alias("u"))
              .where("u is not null").groupBy("scan_id", U.url_authority(F.col("u")).alias("authority"))
              .agg(F.min(F.struct("path", "server_name")).alias("m")))
-    return (log_urls.withColumn("authority", U.url_authority(F.col("url")))
-            .join(known, ["scan_id", "authority"])
+    return (salted_join(log_urls.withColumn("authority", U.url_authority(F.col("url"))), known,
+                        ["scan_id", "authority"], ["url", "detail"])
             .select("scan_id", F.col("m.server_name").alias("server_name"), "category", "detail", "url"))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from riskledger.catalog import labels as L, names
 from riskledger.functions import paths
 from riskledger.functions.scoring import lookup
-from riskledger.operators.corpus import with_path_parts
+from riskledger.operators.corpus import salted_join, with_path_parts
 
 
 def skill_directory_files(files: DataFrame, max_depth: int = names.SKILL_DIR_DEPTH) -> DataFrame:
@@ -20,7 +20,7 @@ def skill_directory_files(files: DataFrame, max_depth: int = names.SKILL_DIR_DEP
     below = parts.select("scan_id", "path", "name",
                          F.explode(paths.ancestor_dirs(F.col("dir"))).alias("skill_dir"))
     rel = paths.relative_to(F.col("path"), F.col("skill_dir"))
-    return (below.join(skills, ["scan_id", "skill_dir"])
+    return (salted_join(below, skills, ["scan_id", "skill_dir"], ["path"])
             .withColumn("rel_path", rel)
             .where(F.size(F.split("rel_path", "/")) <= max_depth + 1)
             .select("scan_id", "skill_path", "path", "rel_path", paths.is_text_file(F.col("name")).alias("is_text")))

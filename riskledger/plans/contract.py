@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from riskledger.catalog import labels as L, names
 from riskledger.operators import entities as E, links, mcp_servers as M
+from riskledger.operators.corpus import salted_join
 from riskledger.operators.detectors import ScanOptions
 from riskledger.session import cut
 
@@ -37,13 +38,13 @@ def build(files: DataFrame, artifacts: DataFrame, ctx: ScanOptions, repos: DataF
     plain = E.agents(artifacts, repos)
     server_links = cut(E.agent_server_links(plain, files, ctx))
     agents = cut(E.tool_counts(plain, server_links))
-    members = E.app_agents(artifacts, agents)
-    skills = E.skills(artifacts, files, ctx, skill_findings, repos)
-    servers = M.mcp_servers(files, ctx, artifacts)
+    members = cut(E.app_agents(artifacts, agents))
+    skills = cut(E.skills(artifacts, files, ctx, skill_findings, repos))
+    servers = cut(M.mcp_servers(files, ctx, artifacts))
     return Contract(
         prompts=E.prompts(artifacts), skills=skills, servers=servers,
         env_refs=M.env_references(servers, host_env), agents=agents, apps=E.apps(artifacts, members),
-        server_links=server_links, dependents=E.dependent_agents(agents, server_links),
+        server_links=server_links, dependents=cut(E.dependent_agents(agents, server_links)),
         consumers=E.skill_consumers(skills, agents, server_links), members=members)
 
 
@@ -99,14 +100,22 @@ def records(c: Contract, logs: DataFrame | None = None) -> DataFrame:
 
     env = c.env_refs.groupBy("scan_id", "server_name").agg(F.array_sort(F.collect_list(
         F.struct("ord", "name", "is_set", "source_key"))).alias("env"))
-    servers = _with_list(c.servers.join(env, ["scan_id", "server_name"], "left"), ["scan_id", "server_name"],
-                         c.dependents, F.col("agent_id"), "agent_id", "dependents")
-    evidence = F.col("evidence")
+    # agents and log rows of a server share one list, so both stay whole however long they are
+    blank = F.lit(None).cast("string")
+    edges = c.dependents.select("scan_id", "server_name", "agent_id", blank.alias("category"),
+                                blank.alias("detail"), blank.alias("url"))
     if logs is not None:
-        seen = M.attach_logs(c.servers, logs).groupBy("scan_id", "server_name").agg(F.array_sort(F.collect_set(
-            F.struct(F.lit("logs").alias("source"), "category", "detail", "url"))).alias("log_evidence"))
-        servers = servers.join(seen, ["scan_id", "server_name"], "left")
-        evidence = F.concat(evidence, F.coalesce("log_evidence", F.expr(M.NO_EVIDENCE)))
+        edges = edges.unionByName(M.attach_logs(c.servers, logs).distinct().withColumn("agent_id", blank))
+    edges = edges.withColumn("spread", F.coalesce("agent_id", "url"))
+    servers = _with_list(c.servers.join(env, ["scan_id", "server_name"], "left"), ["scan_id", "server_name"], edges,
+                         F.struct("agent_id", "category", "detail", "url"), "spread", "long_list")
+    servers = servers.withColumn("long_list", _or_empty(
+        servers, "long_list", "array<struct<agent_id:string,category:string,detail:string,url:string>>"))
+    dependents = F.transform(F.filter("long_list", lambda e: e["agent_id"].isNotNull()), lambda e: e["agent_id"])
+    seen = F.transform(F.filter("long_list", lambda e: e["agent_id"].isNull()), lambda e: F.struct(
+        F.lit("logs").alias("source"), e["category"].alias("category"), e["detail"].alias("detail"),
+        e["url"].alias("url")))
+    evidence = F.concat("evidence", seen)
     refs = F.transform(_or_empty(servers, "env", "array<struct<ord:int,name:string,is_set:boolean,source_key:string>>"),
                        lambda e: F.struct(e["name"].alias("name"), e["is_set"].alias("isSet"),
                                           e["source_key"].alias("sourceKey")))
@@ -115,7 +124,7 @@ def records(c: Contract, logs: DataFrame | None = None) -> DataFrame:
                                   ("id", "id"), ("name", "server_name"), ("transport", "transport"),
                                   ("network", "network"), ("auth", "auth"), ("verified", "verified"),
                                   ("command", "command_line"), ("tools", "tools"),
-                                  ("dependentAgents", _or_empty(servers, "dependents", "array<string>")),
+                                  ("dependentAgents", dependents),
                                   ("networkEvidence", evidence), ("envVars", refs),
                                   ("listPart", "listPart")])).alias("record")))
 
@@ -167,9 +176,10 @@ def payload(record_rows: DataFrame, scans: DataFrame, size: int = links.LIST_PAR
     records, each a valid document of its own with the same ``scanMeta``; together they hold every
     record.  ``scans``: ``scan_id, scan_meta`` (JSON text).
     """
+    record_rows = cut(record_rows)
     count = record_rows.groupBy("scan_id").agg(F.ceil(F.count("*") / F.lit(size)).cast("int").alias("parts"))
     base = scans.join(count, "scan_id", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    placed = record_rows.join(count, "scan_id").withColumn(
+    placed = salted_join(record_rows, count, ["scan_id"], ["key"]).withColumn(
         "part", F.pmod(F.xxhash64("section", "key"), F.col("parts")).cast("int"))
     lists = [F.array_join(F.transform(F.array_sort(F.collect_list(F.when(
         F.col("section") == s, F.struct("key", "record")))), lambda r: r["record"]), ",").alias(s) for s in SECTIONS]

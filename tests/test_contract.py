@@ -96,6 +96,17 @@ def test_payload(spark, ctx, corpus, tmp_path):
         src.read_reports(spark, str(tmp_path / "bad")).collect()
 
 
+def test_log_rows_join_their_server(spark, ctx, corpus):
+    c = built(spark, ctx, corpus)
+    logs = spark.createDataFrame([("s", "outbound-url", "URL observed in x", "https://api.example.com/y"),
+                                  ("s", "outbound-url", "URL observed in x", "https://nobody.example.com/")],
+                                 "scan_id string, category string, detail string, url string")
+    record = contract.records(c, logs).where("section = 'mcpServers' and key like 'zeta%'").first().record
+    server = json.loads(record)
+    assert [e["url"] for e in server["networkEvidence"] if e["source"] == "logs"] == ["https://api.example.com/y"]
+    assert len(server["dependentAgents"]) == 2
+
+
 def test_disclosure_and_conformance(spark, ctx, corpus):
     c = built(spark, ctx, corpus)
     rows = contract.records(c)
