@@ -1,10 +1,13 @@
 """Incremental re-scan, stored tables and log evidence over the derived files."""
 
+import tempfile
+import uuid
+
 from pyspark.sql import functions as F
 
 from fleet_queries import artifact_sql as A, sqltext as S
 from fleet_queries.artifacts import joined, options
-from fleet_queries.corpus import FILES_SQL, files
+from fleet_queries.corpus import FILES_SQL, files, files_of
 from fleet_queries.registry import query, quote, table
 from riskledger.catalog import names as N, patterns as P
 from riskledger.operators import detectors as D, incremental as C
@@ -93,7 +96,11 @@ LOGS_SQL = f"""logs AS (SELECT 'scan' || (user_id % 4) AS scan_id, ts, CASE even
 
 
 def log_lines(spark, sf):
-    return table(spark, sf, "events").selectExpr(
+    return log_rows(table(spark, sf, "events"))
+
+
+def log_rows(events):
+    return events.selectExpr(
         "concat('scan', user_id % 4) scan_id", "ts", "CASE event_id % 3 WHEN 0 THEN 'mcp.log' ELSE 'exthost.log' END log_name",
         """concat(event_type, ' ', CASE event_id % 6 WHEN 0 THEN concat('GET https://u:p@h', user_id % 50, '.example.com/a?token=', event_id % 4)
     WHEN 1 THEN concat('wss://live', user_id % 9, '.example.com/ws)') WHEN 2 THEN 'http://localhost:1/x https://telemetry.example.com/t'
@@ -185,3 +192,40 @@ def browser(spark, sf):
     return D.browser_footprints(rows).select("scan_id", "profile_root", "path", "extension_count")
 
 
+# --- streams ----------------------------------------------------------------------------------
+
+def _folder(spark):
+    """A new folder in the shared place the session names for checkpoints."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="streams-")
+    return f"{base}/stream-{uuid.uuid4().hex}"
+
+
+def _stream(spark, sf, name):
+    batch = table(spark, sf, name)
+    return spark.readStream.schema(batch.schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
+
+
+def _finish(rows, folder):
+    """Run a stream over everything present and read back what it wrote."""
+    q = (rows.writeStream.format("parquet").option("path", f"{folder}/out")
+         .option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start())
+    q.awaitTermination()
+    return rows.sparkSession.read.schema(rows.schema).parquet(f"{folder}/out")
+
+
+@query("log_url_stream", f"""WITH {LOG_EVIDENCE_SQL}
+  SELECT DISTINCT scan_id, category, url FROM ev WHERE url IS NOT NULL
+  UNION ALL SELECT scan_id, category, url FROM ev WHERE url IS NULL""")
+def log_url_stream(spark, sf):
+    lines = log_rows(_stream(spark, sf, "events")).withColumn("ts", F.col("ts").cast("timestamp"))
+    rows = LG.distinct_urls(LG.log_evidence(lines)).select("scan_id", "category", "url")
+    return _finish(rows, _folder(spark))
+
+
+@query("new_file_stream", f"""{A.DETECTED} SELECT f.path, c.artifact_type, {S.joined('c.signals')} AS signals
+  FROM (SELECT file_id, artifact_type, signals FROM custom UNION ALL SELECT file_id, artifact_type, signals FROM mcp) c JOIN files f USING (file_id)""")
+def new_file_stream(spark, sf):
+    docs = _stream(spark, sf, "documents").select("doc_id", "text")
+    rows = LG.stream_rule_artifacts(files_of(docs), options(spark)).select(
+        "path", "artifact_type", joined("signals").alias("signals"))
+    return _finish(rows, _folder(spark))

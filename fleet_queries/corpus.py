@@ -82,7 +82,11 @@ def _servers_sql():
 
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    return files_of(spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id"))
+
+
+def files_of(docs: DataFrame) -> DataFrame:
+    """Corpus rows of document rows (a table or a stream)."""
     k, g = F.col("k"), F.col("g")
     base = docs.select("doc_id", "text", (F.col("doc_id") % 16).alias("k"),
                        F.expr("doc_id div 16").alias("g"))

@@ -216,11 +216,20 @@ def browser_extensions(directories: DataFrame) -> DataFrame:
 
 
 def browser_footprints(directories: DataFrame) -> DataFrame:
-    """One artifact per browser root that has extensions."""
+    """One artifact per browser root that has extensions.
+
+    The ids themselves stay in :func:`browser_extensions`; the identity of the artifact covers them
+    by an order-free digest, so no list is built.
+    """
     out = (browser_extensions(directories).groupBy("scan_id", "profile_root", "path")
-           .agg(F.count("*").alias("extension_count")))
+           .agg(F.count("*").alias("extension_count"),
+                F.bit_xor(F.xxhash64("extension_id")).alias("ids_digest")))
+    facts = F.struct("extension_count", F.col("ids_digest").alias("extension_ids"), "profile_root")
+    none = F.array().cast(NO_STRINGS)
+    digest = F.sha2(F.to_json(F.struct(facts.alias("metadata"), none.alias("risk_reasons"),
+                                       none.alias("signals"))), 256)
     return out.select(
-        "scan_id", "path", "profile_root", "extension_count", F.lit("browser_footprints").alias("detector"),
+        "scan_id", "path", "profile_root", "extension_count", digest.alias("content_digest"), F.lit("browser_footprints").alias("detector"),
         F.lit(0).alias("rule_order"), F.lit("browser_footprint").alias("artifact_type"),
         F.lit(0.6).alias("confidence"), F.array().cast(NO_STRINGS).alias("signals"),
         F.lit("host").alias("origin"))

@@ -53,14 +53,14 @@ def detect(files: DataFrame, ctx: D.ScanOptions, directories: DataFrame | None =
 
 
 def identify(artifacts: DataFrame) -> DataFrame:
-    """Content digest, artifact hash and id (the id uses the scope before classification)."""
+    """Content digest, artifact hash and id (the id uses the scope before classification).
+
+    File artifacts are known by their content; artifacts without one file bring their own digest.
+    """
     digest = F.col("content_hash") if "content_hash" in artifacts.columns else F.lit(None).cast("string")
     if "content_digest" in artifacts.columns:
         digest = F.coalesce(digest, F.col("content_digest"))
-    plain = F.sha2(F.to_json(F.struct(F.struct(F.col("artifact_type")).alias("metadata"),
-                                      F.array().cast("array<string>").alias("risk_reasons"),
-                                      F.array_sort("signals").alias("signals"))), 256)
-    out = artifacts.withColumn("content_digest", F.coalesce(digest, plain))
+    out = artifacts.withColumn("content_digest", digest)
     out = out.withColumn("artifact_hash", I.artifact_hash(F.col("content_digest"), F.col("artifact_type")))
     return out.withColumn("artifact_id", I.artifact_id(F.col("artifact_hash"), F.col("origin")))
 

@@ -163,3 +163,5 @@ def test_browser_artifacts_join_the_scan(spark, corpus):
         "scan_id string, profile_root string, path string")
     row = scan.scan(corpus([("/r/AGENTS.md", "x")]), ctx, dirs).where("detector = 'browser_footprints'").first()
     assert (row.extension_count, row.path, row.artifact_scope, row.risk_score) == (2, "/b/Default/Extensions", "host", 5)
+    fewer = scan.identify(D.browser_footprints(dirs.where("path not like '%/x'"))).first()
+    assert len(row.artifact_hash) == 64 and row.artifact_hash != fewer.artifact_hash
