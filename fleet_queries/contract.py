@@ -205,7 +205,7 @@ repos AS (
 
 
 def built(spark, sf):
-    return _memo("contract", spark, sf, lambda: plan.build(
+    return _memo("contract", spark, sf, lambda: plan.Contract(
         files(spark, sf), artifacts(spark, sf), options(spark), repos(spark, sf)))
 
 

@@ -1,6 +1,6 @@
 """The contract: artifacts to six linked record sets, and their JSON form."""
 
-from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,38 +14,73 @@ from riskledger.session import cut
 SECTIONS = ["prompts", "skills", "mcpServers", "agents", "agenticApps"]
 
 
-@dataclass
 class Contract:
-    prompts: DataFrame
-    skills: DataFrame
-    servers: DataFrame
-    env_refs: DataFrame
-    agents: DataFrame
-    apps: DataFrame
-    server_links: DataFrame      # scan_id, agent_dir, server_name
-    dependents: DataFrame        # scan_id, server_name, agent_id
-    consumers: DataFrame         # scan_id, skill_name, agent_id, agent_name
-    members: DataFrame           # scan_id, dir, agent_id, agent_name, step ...
-
-
-def build(files: DataFrame, artifacts: DataFrame, ctx: ScanOptions, repos: DataFrame | None = None,
-          skill_findings: DataFrame | None = None, host_env: DataFrame | None = None) -> Contract:
-    """All entities and links.  Artifacts, server files, agents and server links feed several
-    branches, so their lineage is cut where the session names a checkpoint folder.  Of the corpus
-    only tool-server files are read again."""
-    artifacts = cut(artifacts)
-    files = cut(files.where(F.substring_index("path", "/", -1).isin(names.MCP_NAMES)))
-    plain = E.agents(artifacts, repos)
-    server_links = cut(E.agent_server_links(plain, files, ctx))
-    agents = cut(E.tool_counts(plain, server_links))
-    members = cut(E.app_agents(artifacts, agents))
-    skills = cut(E.skills(artifacts, files, ctx, skill_findings, repos))
-    servers = cut(M.mcp_servers(files, ctx, artifacts))
-    return Contract(
-        prompts=E.prompts(artifacts), skills=skills, servers=servers,
-        env_refs=M.env_references(servers, host_env), agents=agents, apps=E.apps(artifacts, members),
-        server_links=server_links, dependents=cut(E.dependent_agents(agents, server_links)),
-        consumers=E.skill_consumers(skills, agents, server_links), members=members)
+    """Entities and links of a set of scans, each made on first use.
+
+    Artifacts, server files, agents and links feed several others, so their lineage is cut where
+    the session names a checkpoint folder; of the corpus only tool-server files are read again.
+    """
+
+    def __init__(self, files: DataFrame, artifacts: DataFrame, ctx: ScanOptions, repos: DataFrame | None = None,
+                 skill_findings: DataFrame | None = None, host_env: DataFrame | None = None):
+        self._files, self._artifacts, self._ctx = files, artifacts, ctx
+        self._repos, self._skill_findings, self._host_env = repos, skill_findings, host_env
+
+    @cached_property
+    def artifacts(self) -> DataFrame:
+        return cut(self._artifacts)
+
+    @cached_property
+    def server_files(self) -> DataFrame:
+        return cut(self._files.where(F.substring_index("path", "/", -1).isin(names.MCP_NAMES)))
+
+    @cached_property
+    def prompts(self) -> DataFrame:
+        return E.prompts(self.artifacts)
+
+    @cached_property
+    def _plain_agents(self) -> DataFrame:
+        return E.agents(self.artifacts, self._repos)
+
+    @cached_property
+    def server_links(self) -> DataFrame:
+        """``scan_id, agent_dir, server_name, first_path``"""
+        return cut(E.agent_server_links(self._plain_agents, self.server_files, self._ctx))
+
+    @cached_property
+    def agents(self) -> DataFrame:
+        return cut(E.tool_counts(self._plain_agents, self.server_links))
+
+    @cached_property
+    def dependents(self) -> DataFrame:
+        """``scan_id, server_name, agent_id``"""
+        return cut(E.dependent_agents(self.agents, self.server_links))
+
+    @cached_property
+    def members(self) -> DataFrame:
+        """``scan_id, dir, agent_id, agent_name, classification, tool_count, step, step_total``"""
+        return cut(E.app_agents(self.artifacts, self.agents))
+
+    @cached_property
+    def apps(self) -> DataFrame:
+        return E.apps(self.artifacts, self.members)
+
+    @cached_property
+    def skills(self) -> DataFrame:
+        return cut(E.skills(self.artifacts, self.server_files, self._ctx, self._skill_findings, self._repos))
+
+    @cached_property
+    def consumers(self) -> DataFrame:
+        """``scan_id, skill_name, agent_id, agent_name``"""
+        return E.skill_consumers(self.skills, self.agents, self.server_links)
+
+    @cached_property
+    def servers(self) -> DataFrame:
+        return cut(M.mcp_servers(self.server_files, self._ctx, self.artifacts))
+
+    @cached_property
+    def env_refs(self) -> DataFrame:
+        return M.env_references(self.servers, self._host_env)
 
 
 def _pair(names_and_columns) -> Column:

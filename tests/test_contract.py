@@ -50,7 +50,7 @@ def built(spark, ctx, corpus):
     files = corpus([("/r/mcp.json", SERVERS), ("/r/AGENTS.md", "run shell, network"), ("/r/sub/AGENTS.md", "wipe it all"),
                     ("/r/Dockerfile", "FROM python\nRUN pip install crewai"), ("/r/SKILL.md", "---\ndescription: d\n---\ndocker"),
                     ("/r/.cursorrules", "{{user_input}} $HOME")], tools={"/r/AGENTS.md": ["shell", "my_tool"]})
-    return contract.build(files, scan.scan(files, ctx), ctx)
+    return contract.Contract(files, scan.scan(files, ctx), ctx)
 
 
 def meta(spark):

@@ -8,7 +8,7 @@ from riskledger.plans import contract, scan
 
 
 def apps_of(spark, ctx, files):
-    c = contract.build(files, scan.scan(files, ctx), ctx)
+    c = contract.Contract(files, scan.scan(files, ctx), ctx)
     return c.agents.collect(), c.apps.collect()
 
 
