@@ -4,7 +4,8 @@ import importlib
 
 from riskledger.llm import common
 
-MODULES = ("minhash",)
+MODULES = ("packing", "neighbours", "chat", "mixing", "token_counts", "vector_dedup", "minhash", "binary_output", "url_filter",
+           "language")
 
 
 def load():
