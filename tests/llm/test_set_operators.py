@@ -305,8 +305,8 @@ LANG = "doc_id long, text string, lang string, score string, held_out int"
 
 def test_language_edges(spark):
     rows = [(i, "the cat and the dog", "en", "", 0) for i in range(20)] + [(i, "der hund und die katze", "de", "", 0) for i in range(20, 40)]
-    odd = [(100, None, "en", "", 0), (101, "", None, "", 0), (102, "12 ² -- 😀", None, "", 0), (103, "THE DOG", None, "", 0), (104, "katzen hundes", "en", "", 0),
-           (104, "katzen hundes", "en", "", 0), (None, "der", None, "", 0)]
+    odd = [(100, None, "en", "", 0), (101, "", None, "", 0), (102, "12 ² -- 😀", None, "", 0), (103, "THE DOG", None, "", 0), (104, "katzen hundes", None, "", 0),
+           (104, "katzen hundes", None, "", 0), (None, "der", None, "", 0)]
     frame = spark.createDataFrame(rows + odd, LANG)
     got = {r.doc_id: r for r in language.language_ids(frame).collect()}
     assert [got[i].lang_pred for i in (100, 101, 102, 103, 104, None)] == ["und", "und", "und", "en", "de", "de"]
