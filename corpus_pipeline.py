@@ -14,7 +14,7 @@ from riskledger.llm.common import Workspace
 
 LANGUAGE, SCORE = "_pipeline_lang", "_pipeline_score"
 #: Documents whose best language has a lower score are rejected, like those without a letter.
-LEAST_SCORE = 0.5
+LEAST_SCORE = 0.35
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
