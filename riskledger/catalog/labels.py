@@ -160,20 +160,3 @@ DISCLOSURE_LABELS = {
     "dependents": "MCP dependent agent reference(s)",
     "logs": "Log-derived network evidence (URLs observed in application logs)", "env": "Environment variable name(s) (names only, not values)",
 }
-
-# section.field -> allowed values
-CONTRACT_ENUMS = {
-    "prompts.classification": ["System Prompt", "User Prompt", "Tool Prompt"],
-    "skills.type": ["Local Function", "HTTP Integration", "CLI Tool", "Remote Service"],
-    "skills.trustLevel": ["Trusted", "Conditional", "Untrusted"],
-    "skills.overallGrade": ["A", "B", "C", "F", "pending"],
-    "skills.executionEnvironment": ["Local Process", "Container", "Remote API"],
-    "mcpServers.transport": ["stdio", "sse", "streamable-http", "unknown"],
-    "mcpServers.network": ["Local Only", "LAN", "Internet Exposed"],
-    "mcpServers.auth": ["API Key", "OAuth", "mTLS", "None"],
-    "agents.classification": ["Code", "Automation", "Research", "System"],
-    "agents.executionModel": ["Autonomous", "User-in-the-loop", "Scheduled"],
-    "agenticApps.risk": ["Low", "Medium", "High"],
-    "agenticApps.reviewStatus": ["Reviewed", "Unreviewed", "Flagged"],
-    "hostNetwork.firewallMode": ["off", "on", "block-all", "unknown"],
-}

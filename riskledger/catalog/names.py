@@ -25,8 +25,7 @@ USER_SPACE_DIRS = {
     "windows": ["Desktop", "Documents", "Downloads", "Projects", "Code", "Workspace", "Source",
                 "src", "GitHub"],
 }
-MAX_DEPTH = 5
-MAX_ROOT_FILES = 500_000
+DEEP_PATH = 5
 
 CONTENT_NAMES = [
     ".cursorrules", "agents.md", "AGENTS.md", "mcp.json", "mcp_config.json",
@@ -34,14 +33,8 @@ CONTENT_NAMES = [
     "docker-compose.yaml", "docker-compose.yml", "SKILL.md", "skill.md",
 ]
 CONTENT_CONTAINS, CONTENT_SUFFIX = "prompt", ".instructions.md"
-HEAD_BYTES = 8192
-LOG_TAIL_BYTES = 32768
-LOG_MAX_FILES = 15
-LOG_MAX_AGE_DAYS = 7
+LOG_HORIZON_DAYS = 7
 LOG_NAME_TOKENS = ["mcp", "copilot", "server", "exthost"]
-FULL_HASH_LIMIT = 8 * 1024 * 1024
-PREFIX_HASH_BYTES = 1024 * 1024
-BOUNDED_READ_BYTES = 256 * 1024
 
 MCP_NAMES = ["mcp.json", "mcp_config.json", "claude_desktop_config.json", "mcp-config.json",
              "mcp_settings.json"]
@@ -63,14 +56,12 @@ AGENTIC_TOKENS = ["langchain", "langgraph", "autogen", "crewai", "autogpt", "ope
 
 SOURCE_EXTENSIONS = ["js", "jsx", "ts", "tsx", "mjs", "cjs", "py", "go", "rs", "java", "rb", "sh"]
 JSON_SKIP_NAMES = ["package.json", "package-lock.json", "tsconfig.json", "openclaw.plugin.json"]
-SOURCE_SURFACE_FILES = 512
 TOP_RISKY_FILES = 5
 TEXT_EXTENSIONS = [
     "md", "txt", "json", "yaml", "yml", "toml", "sh", "bash", "zsh", "py", "js", "ts", "mjs",
     "cjs", "rs", "go", "rb", "php", "java", "kt", "swift", "c", "cpp", "h", "cs", "html", "xml",
     "css", "sql", "env", "ini", "cfg", "conf", "lock",
 ]
-SKILL_DIR_FILES, SKILL_DIR_DEPTH = 200, 5
 
 DOC_PARTS = ["docs", "doc", "documentation", "reference", "concepts", "examples"]
 SCOPE_MARKERS = [".vscode", ".vscode-insiders", ".cursor", ".claude", "Code/User", "Cursor/User"]

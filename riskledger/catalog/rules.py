@@ -29,18 +29,18 @@ def _rule(name, artifact_type, description, filenames, confidence, words, boost,
 
 
 BUILTIN_RULES = [
-    _rule("cursor_rules", "cursor_rules", "Detect .cursorrules AI instruction files",
+    _rule("cursor_rules", "cursor_rules", "Instruction file of an editor agent",
           [".cursorrules"], 0.7, _INSTRUCTION_WORDS, 0.9, _INSTRUCTION_DEEP),
-    _rule("agents_md", "agents_md", "Detect agents.md / AGENTS.md AI agent instruction files",
+    _rule("agents_md", "agents_md", "Instruction file of a repository's agents",
           ["agents.md", "AGENTS.md"], 0.7, _INSTRUCTION_WORDS, 0.9, _INSTRUCTION_DEEP),
-    _rule("prompt_configs", "prompt_config", "Detect AI prompt configuration files",
+    _rule("prompt_configs", "prompt_config", "Prompt or instruction file by its usual name",
           ["copilot-instructions.md", "*.prompt.md", "*.instructions.md", "*.prompt.yaml",
            "*.prompt.yml"], 0.65, _PROMPT_WORDS, 0.85, _PROMPT_DEEP),
     _rule("prompt_configs_weak", "prompt_config",
-          "Detect files likely to be AI prompt configs by naming convention",
+          "Text or YAML file with prompt in its name",
           ["*prompt*.md", "*prompt*.yaml", "*prompt*.yml", "*prompt*.txt"], 0.4, _PROMPT_WORDS,
           0.85, _PROMPT_DEEP),
-    _rule("skills", "skill", "Detect SKILL.md agent skill instruction files",
+    _rule("skills", "skill", "Skill definition of an agent",
           ["SKILL.md", "skill.md"], 0.75,
           ["tools", "permissions", "instructions", "dependencies", "workflow", "agent", "shell",
            "browser", "api", "filesystem", "network", "docker", "secrets", "execute", "system"],

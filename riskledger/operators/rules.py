@@ -31,45 +31,62 @@ def glob_to_java(glob: str) -> str:
     return r"(?s)\A" + "".join(out) + r"\z"
 
 
-def _name_test(lower: Column, rule: dict) -> tuple[Column | None, Column | None, Column | None]:
-    exact = sorted({f.lower() for f in rule["filenames"] if "*" not in f})
-    globs = [f.lower() for f in rule["filenames"] if "*" in f]
-    ends = [s.lower() for s in rule["suffixes"]]
-    any_ = lambda tests: any_of(tests) if tests else None
-    return (lower.isin(exact) if exact else None, any_([lower.endswith(e) for e in ends]),
-            any_([lower.rlike(glob_to_java(g)) for g in globs]))
-
-
-def matching_rules(name: Column, rules: list[dict]) -> Column:
-    """Ordered ``array<struct(kind, rule_rank)>`` of the rules a file name meets: exact names,
-    then suffixes, then globs; a rule counts once, under the first kind that fits."""
-    lower = F.lower(name)
-    items = []
+def glob_anchor(glob: str) -> tuple[str, str]:
+    """The longer of a glob's literal tail (``s``) and head (``p``), by which names look it up."""
+    wild = [i for i, ch in enumerate(glob) if ch in "*?[]"]
+    head, tail = glob[:wild[0]], glob[wild[-1] + 1:]
+    return ("s", tail) if len(tail) >= len(head) else ("p", head)
+
+
+def rule_keys(rule: dict) -> list[str]:
+    """Where a rule is looked up: ``e`` whole names, ``s`` endings, ``p`` beginnings, ``s`` alone for any name."""
+    keys = {f"e{f.lower()}" for f in rule["filenames"] if "*" not in f} | {f"s{x.lower()}" for x in rule["suffixes"]}
+    return sorted(keys | {"".join(glob_anchor(f.lower())) for f in rule["filenames"] if "*" in f})
+
+
+def _hits(lower: Column, rules: list[dict]) -> list[Column]:
+    """For each kind and length of key: the name's key of that length if any rule has it, else NULL."""
+    found: dict[tuple, set] = {}
     for rule in rules:
-        tests = _name_test(lower, rule)
-        kind = None
-        for k, test in enumerate(tests):
-            if test is not None:
-                kind = F.when(test, k) if kind is None else kind.when(test, k)
-        if kind is not None:
-            items.append(F.when(kind.isNotNull(), F.struct(
-                kind.alias("kind"), F.lit(rule["rule_rank"]).alias("rule_rank"))))
-    if not items:
-        return F.array().cast("array<struct<kind:int,rule_rank:int>>")
-    return F.array_sort(F.filter(F.array(*items), lambda x: x.isNotNull()))
+        for key in rule_keys(rule):
+            found.setdefault((key[0], 0 if key[0] == "e" else len(key) - 1), set()).add(key[1:])
+    out = []
+    for (kind, size), words in sorted(found.items()):
+        part = lower if kind == "e" else F.right(lower, F.lit(size)) if kind == "s" else F.left(lower, F.lit(size))
+        out.append(F.when(part.isin(sorted(words)), F.concat(F.lit(kind), part)))
+    return out
 
 
 def matches_any(name: Column, rules: list[dict]) -> Column:
-    lower = F.lower(name)
-    tests = [t for rule in rules for t in _name_test(lower, rule) if t is not None]
-    return any_of(tests)
+    """May any rule fit the name?  Hash look-ups only; globs are not tried in full."""
+    return any_of([hit.isNotNull() for hit in _hits(F.lower(name), rules)])
+
+
+def match_rules(files: DataFrame, rules: list[dict]) -> DataFrame:
+    """A row for each file and rule that fits its ``name``: the rule's columns, and ``match_kind`` (0 exact
+    name, 1 suffix, 2 glob; a rule counts once, under the first kind that fits).
+
+    Names meet rules in an equality on look-up keys, however many rules there are; a glob is tried in
+    full only where its literal head or tail fits.
+    """
+    lower = F.lower("name")
+    keyed = files.withColumn("_keys", F.array_compact(F.array(*_hits(lower, rules)))).withColumn("_key", F.explode("_keys"))
+    table = rule_table(files.sparkSession, rules)
+    met = keyed.join(table.withColumn("_key", F.explode("rule_keys")), "_key")
+    first = F.filter("rule_keys", lambda k: F.array_contains("_keys", k))[0]
+    kind = (F.when(F.array_contains("exact", lower), 0).when(F.exists("endings", lambda x: lower.endswith(x)), 1)
+            .when(F.exists("globs", lambda x: F.rlike(lower, x)), 2))
+    return (met.where(F.col("_key") == first).withColumn("match_kind", kind).where("match_kind is not null")
+            .drop("_key", "_keys", "rule_keys", "exact", "endings", "globs"))
 
 
 def rule_table(spark: SparkSession, rules: list[dict]) -> DataFrame:
-    """The accepted rules as a small table with the JVM spelling of their expressions."""
+    """The accepted rules as a table with their look-up keys and the JVM spelling of their expressions."""
     rows = []
     for r in rules:
-        row = [r["rule_rank"], r["name"], r["artifact_type"], r["confidence"]]
+        names, globs = ([f.lower() for f in r["filenames"] if ("*" in f) == wild] for wild in (False, True))
+        row = [r["rule_rank"], r["name"], r["artifact_type"], r["confidence"], rule_keys(r), names,
+               [x.lower() for x in r["suffixes"]], [glob_to_java(g) for g in globs]]
         for block in BLOCKS:
             b = r[block]
             row.append(None if b is None else (
@@ -78,6 +95,7 @@ def rule_table(spark: SparkSession, rules: list[dict]) -> DataFrame:
         rows.append(tuple(row))
     block = "struct<terms:array<string>,jvm:array<string>,prefix:string,boost:double,threshold:int>"
     schema = ("rule_rank int, rule_name string, artifact_type string, match_confidence double, "
+              "rule_keys array<string>, exact array<string>, endings array<string>, globs array<string>, "
               + ", ".join(f"{b} {block}" for b in BLOCKS))
     return spark.createDataFrame(rows, schema)
 
@@ -88,14 +106,10 @@ def apply_rules(files: DataFrame, rules: list[dict], deep: bool, content_gate: b
     ``files`` needs ``name, text, content_ok``.  Texts are scanned once per file, before rows
     multiply by rule.
     """
-    spark = files.sparkSession
     readable = F.col("text").isNotNull() & (F.col("content_ok") if content_gate else F.lit(True))
     scanned = G.with_signals(files.where(matches_any(F.col("name"), rules)), "text", readable) \
         .withColumn("_low", F.lower("text"))
-    per_rule = (scanned.withColumn("_rule", F.explode(matching_rules(F.col("name"), rules)))
-                .withColumn("rule_rank", F.col("_rule.rule_rank"))
-                .withColumn("match_kind", F.col("_rule.kind"))
-                .join(F.broadcast(rule_table(spark, rules)), "rule_rank"))
+    per_rule = match_rules(scanned, rules)
     text = F.when(readable, F.col("text"))
     none = F.array().cast("array<string>")
     used = [b for b in BLOCKS if deep or not b.startswith("deep_")]
@@ -114,5 +128,5 @@ def apply_rules(files: DataFrame, rules: list[dict], deep: bool, content_gate: b
                        *[F.col(f"_{b}") for b in order], F.col("secret_signals"), F.col("danger_signals"))
     return (per_rule.withColumn("confidence", F.least(F.lit(1.0), confidence))
             .withColumn("signals", signals)
-            .drop("_rule", "_low", *BLOCKS, *[f"_{b}" for b in order], "match_confidence", "secret_signals",
+            .drop("_low", *BLOCKS, *[f"_{b}" for b in order], "match_confidence", "secret_signals",
                   "dangerous_signals", "ssrf_signals", "tampering_signals", "danger_signals"))

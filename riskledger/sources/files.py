@@ -3,22 +3,8 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskledger.catalog import names
-from riskledger.functions import signals as G, text as T
-
-REPORT_SCHEMA = (
-    "scanMeta struct<scanId:string,endpointHostname:string>, "
-    "prompts array<struct<id:string,name:string,sourceFilePath:string,classification:string,tokens:bigint,"
-    "contentHash:string,lastChangedDate:string,riskScore:int>>, "
-    "skills array<struct<id:string,name:string,type:string,trustLevel:string,overallGrade:string,"
-    "executionEnvironment:string,description:string>>, "
-    "mcpServers array<struct<id:string,name:string,transport:string,network:string,auth:string,verified:boolean,"
-    "command:string,dependentAgents:array<string>>>, "
-    "agents array<struct<id:string,name:string,sourceFilePath:string,classification:string,"
-    "executionModel:string,trustScore:int,sourceRepo:string>>, "
-    "agenticApps array<struct<id:string,name:string,sourceFilePath:string,framework:string,agentCount:int,"
-    "risk:string,reviewStatus:string,description:string,riskSummary:string>>")
-
+from riskledger.catalog.contract_schema import report_ddl
+from riskledger.functions import paths, signals as G, text as T
 
 def read_files(spark: SparkSession, root: str, scan_id: str, origin: str = "workdir",
                name_glob: str | None = None) -> DataFrame:
@@ -34,35 +20,31 @@ def read_files(spark: SparkSession, root: str, scan_id: str, origin: str = "work
         F.col("modificationTime").alias("modified_at"))
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Spread a small input over all cores.
+def read_inventory(spark: SparkSession, folder: str) -> DataFrame:
+    """A stored Parquet inventory in corpus form."""
+    return spark.read.parquet(folder)
 
-    A table in one or two row groups would be scanned by one task, however heavy the expressions
-    on its texts.  Inputs that already fill the cluster are left alone, so nothing is shuffled at
-    scale.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *keys)
 
+def log_texts(files: DataFrame, now=None, max_age_days: int | None = None) -> DataFrame:
+    """Relevant log files with their whole ``text``; bytes that are no UTF-8 are replaced.
 
-def read_inventory(spark: SparkSession, folder: str) -> DataFrame:
-    """A stored Parquet inventory in corpus form."""
-    return spread(spark.read.parquet(folder), "path")
+    With ``max_age_days``, files older than that at ``now`` (a timestamp column) are left out.
+    """
+    rows = files.where(G.log_name_relevant(F.substring_index("path", "/", -1)))
+    if max_age_days is not None:
+        rows = rows.where(F.col("modified_at") > now - F.make_dt_interval(F.lit(max_age_days)))
+    return rows.withColumn("text", T.utf8_text(F.col("content")))
 
 
-def log_tails(files: DataFrame, now, max_files: int | None = None) -> DataFrame:
-    """Recent relevant logs with the last 32 KiB as ``text`` (NULL if that cuts a character).
+def log_lines(files: DataFrame, home=None) -> DataFrame:
+    """``scan_id, ts, log_name, text`` of each relevant log file, as the log operators read them.
 
-    ``now`` is a timestamp column or literal.  ``max_files`` bounds the files per scan, latest
-    digest order as in :func:`riskledger.operators.corpus.keep_first`; None keeps all.
+    ``log_name`` is the path as evidence may show it: below ``home`` it starts with ``~``, elsewhere
+    it is the file name.
     """
-    name = F.substring_index("path", "/", -1)
-    recent = F.col("modified_at") > now - F.make_dt_interval(F.lit(names.LOG_MAX_AGE_DAYS))
-    rows = files.where(G.log_name_relevant(name) & recent)
-    if max_files is not None:
-        from riskledger.operators.corpus import keep_first
-        rows = keep_first(rows, max_files).drop("truncated")
-    return rows.withColumn("text", T.tail_text(F.col("content"))).where("text is not null")
+    home = F.lit(None).cast("string") if home is None else home
+    return log_texts(files).select("scan_id", F.col("modified_at").alias("ts"),
+                                   paths.scrub_home(F.col("path"), home).alias("log_name"), "text")
 
 
 def write_payloads(payloads: DataFrame, folder: str) -> None:
@@ -72,5 +54,5 @@ def write_payloads(payloads: DataFrame, folder: str) -> None:
 
 
 def read_reports(spark: SparkSession, folder: str) -> DataFrame:
-    """Saved contract documents; the read fails on the first one that does not parse."""
-    return spark.read.schema(REPORT_SCHEMA).option("mode", "FAILFAST").json(folder)
+    """Saved contract documents with all their fields; the read fails on the first one that does not parse."""
+    return spark.read.schema(report_ddl()).option("mode", "FAILFAST").json(folder)

@@ -1,7 +1,7 @@
 """Detection rules: TOML files or rows in, validated rows out.
 
 A rule table has one row per rule (see ``RULE_SCHEMA``).  Built-in rules come first, accepted
-user rules after them; rejected rows are returned with the reason.
+user rules after them; every rejected file, field and expression comes back as an error row.
 """
 
 import tomllib
@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskledger.catalog import rules as R
-from riskledger.functions.regex import to_java
 
 BLOCKS = ("keywords", "deep_keywords", "patterns", "deep_patterns")
 _BLOCK = ("struct<terms:array<string>,signals_prefix:string,boost_confidence:double,"
@@ -22,21 +21,39 @@ RULE_SCHEMA = (
     + ", ".join(f"{b} {_BLOCK}" for b in BLOCKS))
 
 
+ERROR_SCHEMA = "source string, rule_rank int, name string, field string, error string"
+
+
+def _table(rule: dict, name: str) -> dict:
+    value = rule.get(name, {})
+    if not isinstance(value, dict):
+        raise ValueError(f"{name}: must be a table")
+    return value
+
+
+def _strings(block: dict, name: str, where: str) -> list[str]:
+    value = block.get(name, [])
+    if not isinstance(value, list) or not all(isinstance(x, str) for x in value):
+        raise ValueError(f"{where}.{name}: must be a list of strings")
+    return value
+
+
 def _block(rule: dict, name: str):
-    block = rule.get(name)
-    if block is None:
+    if rule.get(name) is None:
         return None
-    terms = block.get("keywords" if "keywords" in name else "patterns", [])
+    block = _table(rule, name)
+    terms = _strings(block, "keywords" if "keywords" in name else "patterns", name)
     boost = block.get("boost_confidence")
     return (terms, block.get("signals_prefix", "keyword" if "keywords" in name else "pattern"),
             None if boost is None else float(boost), int(block.get("boost_threshold", 1)))
 
 
 def rule_row(rule: dict, rank: int, source: str = "user") -> tuple:
-    match, detector = rule.get("match", {}), rule.get("detector", {})
+    """A rule as a row; a rule that states no confidence has 0."""
+    match, detector = _table(rule, "match"), _table(rule, "detector")
     return (rank, source, detector.get("name"), detector.get("description", ""),
-            detector.get("artifact_type"), match.get("filenames", []), match.get("suffixes", []),
-            float(match.get("confidence", 0.6)), *[_block(rule, b) for b in BLOCKS])
+            detector.get("artifact_type"), _strings(match, "filenames", "match"), _strings(match, "suffixes", "match"),
+            float(match.get("confidence", 0.0)), *[_block(rule, b) for b in BLOCKS])
 
 
 _COLUMNS = ["rule_rank", "source", "name", "description", "artifact_type", "filenames", "suffixes", "confidence",
@@ -57,18 +74,22 @@ def builtin_rules(spark: SparkSession) -> DataFrame:
         [rule_row(r, i, "builtin") for i, r in enumerate(R.BUILTIN_RULES)], RULE_SCHEMA)
 
 
-def toml_rules(spark: SparkSession, directory: str) -> DataFrame:
-    """Rules of a folder's ``*.toml`` files (links and unreadable files are left out)."""
-    rows = []
+def toml_rules(spark: SparkSession, directory: str) -> tuple[DataFrame, DataFrame]:
+    """``(rules, errors)`` of a folder's ``*.toml`` files.
+
+    A file that cannot be read as a rule gives one error row and does not stop the others; links are
+    not followed.
+    """
+    rows, errors = [], []
     for path in sorted(Path(directory).glob("*.toml")):
         if path.is_symlink() or not path.is_file():
+            errors.append((path.name, None, None, "file", "is no plain file"))
             continue
         try:
-            rows.append(rule_row(tomllib.loads(path.read_text(encoding="utf-8")), 0))
-        except (tomllib.TOMLDecodeError, UnicodeDecodeError, ValueError):
-            continue
-    rows = [(i, *r[1:]) for i, r in enumerate(rows)]
-    return spark.createDataFrame(rows, RULE_SCHEMA)
+            rows.append(rule_row(tomllib.loads(path.read_text(encoding="utf-8")), len(rows), path.name))
+        except (tomllib.TOMLDecodeError, UnicodeDecodeError, TypeError, ValueError) as e:
+            errors.append((path.name, None, None, "file", str(e)))
+    return spark.createDataFrame(rows, RULE_SCHEMA), spark.createDataFrame(errors, ERROR_SCHEMA)
 
 
 def _identifier(value: Column, longest: int, hyphen: bool) -> Column:
@@ -82,6 +103,12 @@ def _bad_entries(values: Column, most: int, longest: int) -> Column:
                        | v.rlike(r"(?U)\p{Cc}")))
 
 
+def _compiles(expression: Column) -> Column:
+    """Does the JVM accept the expression?  Only code points and a leading ``]`` are spelled otherwise."""
+    spelled = F.regexp_replace(F.regexp_replace(expression, r"\\u\{([0-9A-Fa-f]+)\}", r"\\x{$1}"), r"\[(\^?)\]", r"[$1\\]")
+    return F.try_reflect(F.lit("java.util.regex.Pattern"), F.lit("compile"), spelled).isNotNull()
+
+
 def _block_checks(name: str) -> list[tuple[Column, str, str]]:
     block = F.col(name)
     terms, prefix = block["terms"], block["signals_prefix"]
@@ -97,11 +124,13 @@ def _block_checks(name: str) -> list[tuple[Column, str, str]]:
         (block["boost_confidence"].isNotNull() & ~block["boost_confidence"].between(0.0, 1.0),
          "boost_confidence", "must be between 0 and 1"),
     ]
+    if not words:
+        checks.append((F.exists(terms, lambda t: ~_compiles(t)), "terms", "does not compile"))
     return [(block.isNotNull() & bad, f"{name}.{field}", text) for bad, field, text in checks]
 
 
 def rule_errors(rules: DataFrame) -> DataFrame:
-    """``rule_rank, name, field, error``: one row per broken limit; valid rules give none."""
+    """``source, rule_rank, name, field, error``: one row per broken limit; valid rules give none."""
     user = F.col("source") != "builtin"
     name, kind = F.col("name"), F.col("artifact_type")
     checks = [
@@ -122,40 +151,21 @@ def rule_errors(rules: DataFrame) -> DataFrame:
         checks += _block_checks(block)
     found = F.array(*[F.when(F.coalesce(bad, F.lit(False)), F.struct(F.lit(f).alias("field"), F.lit(e).alias("error")))
                       for bad, f, e in checks])
-    return (rules.select("rule_rank", "name", F.explode(F.filter(found, lambda x: x.isNotNull())).alias("e"))
-            .select("rule_rank", "name", "e.field", "e.error"))
-
-
-def uncompilable(spark: SparkSession, expression: str) -> bool:
-    """Does the JVM refuse this expression?  Rule files are few; this runs on the driver."""
-    pattern = spark.sparkContext._jvm.java.util.regex.Pattern
-    try:
-        pattern.compile(to_java(expression))
-        return False
-    except Exception:
-        return True
+    return (rules.select("source", "rule_rank", "name", F.explode(F.filter(found, lambda x: x.isNotNull())).alias("e"))
+            .select("source", "rule_rank", "name", "e.field", "e.error"))
 
 
 def load_rules(spark: SparkSession, user: DataFrame | None = None):
-    """``(rows, errors)``: accepted rules as plain rows, built-in first, and the rejected ones.
+    """``(rows, errors)``: accepted rules as plain rows, built-in first, and a frame of what is wrong
+    with the rejected ones.
 
-    Rules are configuration, held to the limits above; ``MAX_RULES`` keeps the table small enough
-    to fold into expressions and to broadcast.
+    Rules are configuration: the driver holds them, however many there are, and operators join them.
     """
-    accepted, errors = [_as_dict(rule_row(r, i, "builtin")) for i, r in enumerate(R.BUILTIN_RULES)], None
+    accepted = [_as_dict(rule_row(r, i, "builtin")) for i, r in enumerate(R.BUILTIN_RULES)]
+    errors = spark.createDataFrame([], ERROR_SCHEMA)
     if user is not None:
         errors = rule_errors(user)
         bad = {r.rule_rank for r in errors.select("rule_rank").distinct().collect()}
-        rows = user.orderBy("rule_rank").limit(MAX_RULES + 1).collect()
-        if len(rows) > MAX_RULES:
-            raise ValueError(f"more than {MAX_RULES} user rules")
-        for row in rows:
-            if row.rule_rank in bad or any(
-                    uncompilable(spark, e) for b in ("patterns", "deep_patterns") if row[b]
-                    for e in row[b]["terms"]):
-                continue
-            accepted.append(row.asDict(recursive=True))
+        rows = sorted(user.collect(), key=lambda r: r.rule_rank)
+        accepted += [row.asDict(recursive=True) for row in rows if row.rule_rank not in bad]
     return [r | {"rule_rank": i} for i, r in enumerate(accepted)], errors
-
-
-MAX_RULES = 2000
