@@ -45,11 +45,9 @@ ARTIFACTS = A.ARTIFACTS
 def rule_match(spark, sf):
     from riskledger.operators import rules as RO
     rules = options(spark).rules
-    named = F.expr("map(" + ", ".join(f"{r['rule_rank']}, '{r['name']}'" for r in rules) + ")")
-    df = with_path_parts(files(spark, sf))
-    return (df.select("path", F.explode(RO.matching_rules(F.col("name"), rules)).alias("m"))
-            .select("path", F.element_at(named, F.col("m.rule_rank")).alias("rule_name"),
-                    (F.col("m.kind") * 100000 + F.col("m.rule_rank")).cast("bigint").alias("rule_order")))
+    df = with_path_parts(files(spark, sf)).select("path", "name")
+    return RO.match_rules(df, rules).select(
+        "path", "rule_name", (F.col("match_kind") * 100000 + F.col("rule_rank")).cast("bigint").alias("rule_order"))
 
 
 @query("rule_apply", f"""{A.DETECTED} SELECT f.path, r.rule_name, r.artifact_type,
@@ -182,6 +180,41 @@ def detector_union(spark, sf):
     return detected(spark, sf).groupBy("detector", "artifact_type").agg(F.count("*").alias("artifacts"))
 
 
+@query("surface_digests", f"""{A.FINDINGS}, fam AS (SELECT scan_id, family, count(*) AS n FROM findings GROUP BY ALL),
+  risky AS (SELECT *, row_number() OVER (PARTITION BY scan_id ORDER BY n DESC, path) AS r FROM (SELECT scan_id, path, count(*) AS n FROM findings GROUP BY ALL)),
+  counts AS (SELECT scan_id, count(*) FILTER (WHERE is_source) AS source_files, count(*) FILTER (WHERE NOT is_source) AS json_files FROM src_files GROUP BY scan_id),
+  facts AS (SELECT scan_id, '{{"metadata":{{"ai_adjacent_context":true,"finding_counts":['
+      || (SELECT string_agg('{{"key":"' || family || '","value":' || n || '}}', ',' ORDER BY family) FROM fam f WHERE f.scan_id = c.scan_id)
+      || '],"matched_families":[' || (SELECT string_agg('"' || family || '"', ',' ORDER BY family) FROM fam f WHERE f.scan_id = c.scan_id)
+      || '],"scanned_json_file_count":' || json_files || ',"scanned_source_file_count":' || source_files || ',"top_risky_files":['
+      || (SELECT string_agg('"' || path || '"', ',' ORDER BY r) FROM risky k WHERE k.scan_id = c.scan_id AND r <= 5) || ']}},"risk_reasons":[],"signals":['
+      || (SELECT string_agg(DISTINCT '"' || signal || '"', ',' ORDER BY '"' || signal || '"') FROM findings f WHERE f.scan_id = c.scan_id) || ']}}' AS text FROM counts c)
+  SELECT scan_id, sha256(text) AS content_digest,
+    sha256('{{"artifact_content":"' || sha256(text) || '","artifact_type":"source_risk_surface","version":"v1"}}') AS artifact_hash FROM facts""")
+def surface_digests(spark, sf):
+    found = plan.identify(R.source_surface(files(spark, sf), options(spark)))
+    return found.select("scan_id", "content_digest", "artifact_hash")
+
+
+@query("user_detector", f"""WITH {FILES_SQL} SELECT path, 'readme' AS artifact_type, 'readmes' AS detector,
+  CAST(CASE WHEN contains(content, 'the') THEN 3 ELSE 0 END AS BIGINT) AS base FROM files WHERE name = 'README.md'""")
+def user_detector(spark, sf):
+    from dataclasses import replace
+
+    class Readmes:
+        """A detector of a user's own, added through the options."""
+
+        name, modes = "readmes", ["workdir"]
+
+        def __call__(self, corpus, ctx):
+            found = D.prepare(corpus, ctx).where("name = 'README.md'")
+            return found.select("scan_id", "path", "name", "dir", "origin", F.lit("readme").alias("artifact_type"), F.lit(0.5).alias("confidence"),
+                                F.lit(0).alias("rule_order"), F.when(F.contains("text", F.lit("the")), 3).otherwise(0).alias("base"),
+                                F.array().cast("array<string>").alias("signals"))
+    found = plan.detect(files(spark, sf), replace(options(spark), detectors=(Readmes(),)))
+    return found.where("detector = 'readmes'").select("path", "artifact_type", "detector", F.col("base").cast("bigint").alias("base"))
+
+
 @query("risk_score_and_reasons", f"{ARTIFACTS} SELECT path, artifact_type, coalesce(rule_name, '') AS rule_name, "
                                  f"risk_score, {S.joined('risk_reasons')} AS reasons FROM artifacts")
 def risk(spark, sf):
@@ -198,11 +231,9 @@ def suppression(spark, sf):
 
 
 @query("declared_discount", f"""{ARTIFACTS} SELECT path, risk_score FROM artifacts
-  WHERE len(declared_tools) > 0 AND len(list_intersect(signals, ['keyword:shell', 'keyword:execute', 'keyword:docker'])) > 0
-    AND rule_name = 'agents_md'""")
+  WHERE len(declared_tools) > 0 AND file_id IS NOT NULL""")
 def discount(spark, sf):
-    df = detected(spark, sf).where("rule_name = 'agents_md' and size(declared_tools) > 0").where(
-        F.arrays_overlap("signals", F.array(F.lit("keyword:shell"), F.lit("keyword:execute"), F.lit("keyword:docker"))))
+    df = detected(spark, sf).where("size(declared_tools) > 0 and detector <> 'source_risks'")
     return plan.score(df).select("path", F.col("risk_score").cast("bigint").alias("risk_score"))
 
 

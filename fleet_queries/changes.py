@@ -1,6 +1,5 @@
 """Incremental re-scan, stored tables and log evidence over the derived files."""
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -10,17 +9,28 @@ from fleet_queries.artifacts import joined, options
 from fleet_queries.corpus import FILES_SQL, files, files_of
 from fleet_queries.registry import query, quote, table
 from riskledger.catalog import names as N, patterns as P
+from riskledger.functions import paths
 from riskledger.operators import detectors as D, incremental as C
 from riskledger.streaming import logs as LG
 
 VERSION, PROFILE = "1", "p"
 
 
+def two_scans(spark, sf):
+    """The corpus, and a second scan of its first half that has the same paths and contents."""
+    f = files(spark, sf)
+    return f.unionByName(f.where("file_id % 2 = 0").withColumn("scan_id", F.lit("twin")))
+
+
+TWINS_SQL = f"{FILES_SQL}, both_scans AS (SELECT * FROM files UNION ALL SELECT * REPLACE ('twin' AS scan_id) FROM files WHERE file_id % 2 = 0)"
+OLD = "file_id % 11 <> 0 AND NOT (scan_id = 'twin' AND file_id % 3 = 0)"
+
+
 def stored_state(spark, sf):
     """State keys of an earlier run: of every file but the new ones, some since edited in place."""
-    old = C.with_state_key(files(spark, sf))
+    old = C.with_state_key(two_scans(spark, sf))
     edited = F.col("file_id") % 5 == 0
-    return (old.where("file_id % 11 <> 0").withColumn("state_key", F.when(
+    return (old.where(OLD).withColumn("state_key", F.when(
         edited, F.sha2(F.concat("state_key", F.lit("old")), 256)).otherwise(F.col("state_key"))))
 
 
@@ -31,65 +41,106 @@ def stored_bundles(spark, sf):
     return C.bundle_rows(found, state, PROFILE, "custom_rules", VERSION)
 
 
-HIT = "file_id % 11 <> 0 AND file_id % 5 <> 0"
+HIT = f"{OLD} AND file_id % 5 <> 0"
 
 
-@query("rescan_hit_miss_split", f"WITH {FILES_SQL} SELECT CASE WHEN {HIT} THEN 'hit' ELSE 'miss' END AS state, path FROM files")
+@query("rescan_hit_miss_split", f"WITH {TWINS_SQL} SELECT CASE WHEN {HIT} THEN 'hit' ELSE 'miss' END AS state, scan_id, path FROM both_scans")
 def hit_miss(spark, sf):
-    now = C.with_state_key(files(spark, sf))
+    now = C.with_state_key(two_scans(spark, sf))
     hits, misses = C.split_hits(now, stored_bundles(spark, sf), PROFILE, "custom_rules",
                                 C.detector_fingerprint("custom_rules", VERSION))
-    return (hits.select(F.lit("hit").alias("state"), "path").distinct()
-            .unionAll(misses.select(F.lit("miss").alias("state"), "path")))
+    return (hits.select(F.lit("hit").alias("state"), "scan_id", "path").distinct()
+            .unionAll(misses.select(F.lit("miss").alias("state"), "scan_id", "path")))
 
 
-@query("rescan_reused_and_fresh", f"""{A.DETECTED} SELECT f.path, c.rule_name, CASE WHEN {HIT} THEN 0.123 ELSE CAST(c.confidence AS DOUBLE) END AS confidence,
-  {S.joined('c.signals')} AS signals FROM custom c JOIN files f USING (file_id)""")
+TWIN_RULES_SQL = f"""{A.DETECTED}, both_scans AS (SELECT file_id, scan_id, path, origin FROM files
+    UNION ALL SELECT file_id, 'twin', path, origin FROM files WHERE file_id % 2 = 0)"""
+
+
+@query("rescan_reused_and_fresh", f"""{TWIN_RULES_SQL} SELECT f.scan_id, f.path, c.rule_name, CASE WHEN {HIT} THEN 0.123 ELSE CAST(c.confidence AS DOUBLE) END AS confidence,
+  {S.joined('c.signals')} AS signals FROM custom c JOIN both_scans f USING (file_id)""")
 def rescan(spark, sf):
-    now = C.with_state_key(files(spark, sf))
+    now = C.with_state_key(two_scans(spark, sf))
     rows, _, _ = C.reuse(now, stored_bundles(spark, sf), PROFILE, "custom_rules", VERSION, "workdir",
                          lambda part: D.custom_rules(part, options(spark)))
-    return rows.select("path", "rule_name", "confidence", joined("signals").alias("signals"))
+    return rows.select("scan_id", "path", "rule_name", "confidence", joined("signals").alias("signals"))
 
 
-@query("rescan_unattributed", f"WITH {FILES_SQL} SELECT path FROM files WHERE file_id % 13 = 0 AND {HIT}")
+@query("rescan_unattributed", f"WITH {TWINS_SQL} SELECT scan_id, path FROM both_scans WHERE file_id % 13 = 0 AND {HIT}")
 def unattributed(spark, sf):
-    now = C.with_state_key(files(spark, sf))
+    now = C.with_state_key(two_scans(spark, sf))
     _, misses = C.split_hits(now, stored_bundles(spark, sf), PROFILE, "custom_rules",
                              C.detector_fingerprint("custom_rules", VERSION))
-    claimed = now.where("file_id % 13 = 0").select("path")
+    claimed = now.where("file_id % 13 = 0").select("scan_id", "path")
     return C.unattributed(claimed, misses)
 
 
-@query("prune_deleted", f"""{A.DETECTED} SELECT f.path, count(*) AS bundles FROM (
-    SELECT file_id FROM custom UNION ALL SELECT f.file_id FROM files f WHERE NOT EXISTS (SELECT 1 FROM custom c WHERE c.file_id = f.file_id)) b
-  JOIN files f USING (file_id) WHERE f.file_id % 11 <> 0 AND NOT (starts_with(f.path, '/home/u1/') AND f.file_id % 3 = 0) GROUP BY f.path""")
+BUNDLE_ROWS_SQL = """(SELECT file_id FROM custom UNION ALL SELECT f.file_id FROM files f WHERE NOT EXISTS (SELECT 1 FROM custom c WHERE c.file_id = f.file_id)) b"""
+GONE = "scan_id = 'scan1' AND file_id % 3 = 0"
+
+
+@query("prune_deleted", f"""{TWIN_RULES_SQL} SELECT f.scan_id, f.path, count(*) AS bundles FROM {BUNDLE_ROWS_SQL}
+  JOIN both_scans f USING (file_id) WHERE {OLD} AND NOT ({GONE}) GROUP BY ALL""")
 def prune(spark, sf):
-    left = files(spark, sf).where("file_id % 3 <> 0")
+    left = two_scans(spark, sf).where(f"NOT ({GONE})")
     kept = C.prune(stored_bundles(spark, sf), left, "/home/u1", PROFILE)
-    return kept.groupBy("path").agg(F.count("*").alias("bundles"))
+    return kept.groupBy("scan_id", "path").agg(F.count("*").alias("bundles"))
+
+
+@query("store_round_trip", f"""{TWIN_RULES_SQL}, kept AS (SELECT f.scan_id, f.path, count(*) AS bundles FROM {BUNDLE_ROWS_SQL} JOIN both_scans f USING (file_id)
+    WHERE {OLD} GROUP BY ALL)
+  SELECT 'written' AS step, scan_id, path, bundles FROM kept UNION ALL SELECT 'pruned', scan_id, path, bundles FROM kept WHERE scan_id <> 'scan1'""")
+def store_round_trip(spark, sf):
+    """Write a profile, refresh a scan of which nothing is left, write back, read."""
+    folder = _folder(spark)
+    rows = stored_bundles(spark, sf).select("profile_key", "scan_id", "detector", "path", "state_key", "fingerprint", "empty")
+    C.write_store(rows, f"{folder}/old", PROFILE)
+    stored = C.read_store(spark, f"{folder}/old", rows.schema)
+    left = two_scans(spark, sf).where("scan_id <> 'scan1'")
+    pruned = C.prune(stored, left, "/home/u1", PROFILE, spark.createDataFrame([("scan1",)], "scan_id string"))
+    touched = C.buckets_of(stored.where("scan_id = 'scan1'"))
+    C.write_store(stored, f"{folder}/new", PROFILE)
+    C.write_store(pruned, f"{folder}/new", PROFILE, touched)
+    again = C.read_store(spark, f"{folder}/new", rows.schema)
+    counted = lambda df, step: df.groupBy("scan_id", "path").agg(F.count("*").alias("bundles")).withColumn("step", F.lit(step))
+    return counted(stored, "written").unionByName(counted(again, "pruned"))
+
+
+@query("stored_candidates_by_root", f"""{TWIN_RULES_SQL} SELECT DISTINCT f.scan_id, f.path, f.origin FROM custom c JOIN both_scans f USING (file_id)
+  WHERE {OLD} AND starts_with(f.path, '/home/u2/')""")
+def stored_candidates(spark, sf):
+    states = stored_state(spark, sf).select("scan_id", "path", "origin", "state_key")
+    return C.stored_candidates(stored_bundles(spark, sf), states, "/home/u2", PROFILE).select("scan_id", "path", "origin")
 
 
-@query("stored_candidates_by_root", f"""{A.DETECTED} SELECT DISTINCT f.path, f.origin FROM custom c JOIN files f USING (file_id)
-  WHERE f.file_id % 11 <> 0 AND starts_with(f.path, '/home/u2/')""")
-def stored_candidates(spark, sf):
-    states = stored_state(spark, sf).select("path", "origin", "state_key")
-    return C.stored_candidates(stored_bundles(spark, sf), states, "/home/u2", PROFILE).select("path", "origin")
+def _rules_digest():
+    """The digest of the built-in rules as this module spells them, not as the library does."""
+    import hashlib
+    import json
 
+    from riskledger.catalog.rules import BUILTIN_RULES
+    block = lambda b: b and {"terms": b["keywords"], "signals_prefix": b["signals_prefix"],
+                             "boost_confidence": b["boost_confidence"], "boost_threshold": b["boost_threshold"]}
+    rows = [{"rule_rank": i, "source": "builtin", **r["detector"], **r["match"], **{
+        name: block(r.get(name)) for name in ("keywords", "deep_keywords", "patterns", "deep_patterns")}} for i, r in enumerate(BUILTIN_RULES)]
+    return hashlib.sha256(json.dumps(rows, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
 
-@query("profile_and_fingerprints", f"""WITH {FILES_SQL}, r AS (SELECT DISTINCT root, origin FROM files)
-  SELECT root, sha256('1:1:workdir:true:' || root || ':custom_rules,containers:' || sha256(origin)) AS profile_key,
+
+@query("profile_and_fingerprints", f"""WITH {FILES_SQL}, r AS (SELECT DISTINCT root FROM files)
+  SELECT root, sha256('1:1:workdir:true:' || root || ':custom_rules,containers:{_rules_digest()}') AS profile_key,
     sha256('1:custom_rules') AS detector_fingerprint FROM r""")
 def fingerprints(spark, sf):
-    roots = files(spark, sf).select("root", "origin").distinct()
+    roots = files(spark, sf).select("root").distinct()
+    rules = F.lit(C.rules_fingerprint(options(spark).rules))
     return roots.select("root", C.profile_key(F.lit("workdir"), F.lit(True), F.col("root"), F.lit("custom_rules,containers"),
-                                              F.sha2("origin", 256), VERSION).alias("profile_key"),
+                                              rules, VERSION).alias("profile_key"),
                         C.detector_fingerprint("custom_rules", VERSION).alias("detector_fingerprint"))
 
 
 # --- logs -------------------------------------------------------------------------------------
 
-LOGS_SQL = f"""logs AS (SELECT 'scan' || (user_id % 4) AS scan_id, ts, CASE event_id % 3 WHEN 0 THEN 'mcp.log' ELSE 'exthost.log' END AS log_name,
+LOGS_SQL = f"""logs AS (SELECT 'scan' || (user_id % 4) AS scan_id, ts, CASE WHEN event_id % 2 = 0 THEN '~/logs/' ELSE '' END
+    || CASE event_id % 3 WHEN 0 THEN 'mcp.log' ELSE 'exthost.log' END AS log_name,
   event_type || ' ' || CASE event_id % 6 WHEN 0 THEN 'GET https://u:p@h' || (user_id % 50) || '.example.com/a?token=' || (event_id % 4)
     WHEN 1 THEN 'wss://live' || (user_id % 9) || '.example.com/ws)' WHEN 2 THEN 'http://localhost:1/x https://telemetry.example.com/t'
     WHEN 3 THEN 'MCP server started' WHEN 4 THEN 'https://pypi.org/simple/p' || (user_id % 30) || ', ok' ELSE props END AS text FROM events)"""
@@ -100,8 +151,11 @@ def log_lines(spark, sf):
 
 
 def log_rows(events):
-    return events.selectExpr(
-        "concat('scan', user_id % 4) scan_id", "ts", "CASE event_id % 3 WHEN 0 THEN 'mcp.log' ELSE 'exthost.log' END log_name",
+    home = F.expr("concat('/home/u', user_id % 4)")
+    path = F.expr("""concat(CASE event_id % 2 WHEN 0 THEN concat('/home/u', user_id % 4, '/logs/') ELSE '/var/log/' END,
+      CASE event_id % 3 WHEN 0 THEN 'mcp.log' ELSE 'exthost.log' END)""")
+    return events.withColumn("log_name", paths.scrub_home(path, home)).selectExpr(
+        "concat('scan', user_id % 4) scan_id", "ts", "log_name",
         """concat(event_type, ' ', CASE event_id % 6 WHEN 0 THEN concat('GET https://u:p@h', user_id % 50, '.example.com/a?token=', event_id % 4)
     WHEN 1 THEN concat('wss://live', user_id % 9, '.example.com/ws)') WHEN 2 THEN 'http://localhost:1/x https://telemetry.example.com/t'
     WHEN 3 THEN 'MCP server started' WHEN 4 THEN concat('https://pypi.org/simple/p', user_id % 30, ', ok') ELSE props END) text""")
@@ -114,89 +168,150 @@ def _redacted(u):
 
 LOG_EVIDENCE_SQL = f"""{LOGS_SQL}, http AS (SELECT *, unnest(regexp_extract_all(text, {quote(P.HTTP_URL_LOG)})) AS u FROM logs),
   ws AS (SELECT *, unnest(regexp_extract_all(text, {quote(P.WS_URL_LOG)})) AS u FROM logs),
-  ev AS (SELECT scan_id, ts, log_name, CASE WHEN {S.any_contains('lower(u)', N.REGISTRY_URL_PARTS)} THEN 'package-registry'
+  ev AS (SELECT scan_id, ts, log_name, 'URL observed in ' || log_name AS detail, CASE WHEN {S.any_contains('lower(u)', N.REGISTRY_URL_PARTS)} THEN 'package-registry'
       WHEN {S.any_contains('lower(u)', N.LOCAL_URL_PARTS)} THEN 'local-endpoint' ELSE 'outbound-url' END AS category, {_redacted('u')} AS url
     FROM http WHERE NOT {S.any_contains('lower(u)', N.NOISY_URL_PARTS)}
-    UNION ALL SELECT scan_id, ts, log_name, 'websocket', {_redacted('u')} FROM ws
-    UNION ALL SELECT scan_id, ts, log_name, 'local-endpoint', NULL FROM logs WHERE contains(text, 'mcp.sock') OR contains(text, 'MCP server started'))"""
+    UNION ALL SELECT scan_id, ts, log_name, 'WebSocket observed in ' || log_name, 'websocket', {_redacted('u')} FROM ws
+    UNION ALL SELECT scan_id, ts, log_name, 'MCP server on unix socket observed in ' || log_name, 'local-endpoint', NULL FROM logs WHERE contains(text, 'mcp.sock') OR contains(text, 'MCP server started'))"""
 
 
-@query("log_evidence", f"""WITH {LOG_EVIDENCE_SQL}, d AS (SELECT scan_id, url, min(struct_pack(ts := ts, log_name := log_name, category := category)) AS m
-    FROM ev WHERE url IS NOT NULL GROUP BY ALL)
-  SELECT scan_id, epoch_us(m.ts) AS at, m.log_name AS log_name, m.category AS category, url FROM d
-  UNION ALL SELECT scan_id, epoch_us(ts), log_name, category, url FROM ev WHERE url IS NULL""")
-def log_evidence(spark, sf):
+DISTINCT_LOG_URLS_SQL = f"""{LOG_EVIDENCE_SQL},
+  d AS (SELECT scan_id, url, min(struct_pack(ts := ts, log_name := log_name, category := category, detail := detail)) AS m
+    FROM ev WHERE url IS NOT NULL GROUP BY ALL)"""
+
+
+def distinct_log_urls(spark, sf):
     lines = log_lines(spark, sf).withColumn("ts", F.col("ts").cast("timestamp"))
-    rows = LG.distinct_urls_batch(LG.log_evidence(lines))
-    return rows.select("scan_id", F.unix_micros("ts").alias("at"), "log_name", "category", "url")
-
-
-@query("log_tails", f"""WITH {FILES_SQL}, l AS (SELECT scan_id, dir || '/' || CASE file_id % 4 WHEN 0 THEN 'MCP-a.log' WHEN 1 THEN 'server.txt' WHEN 2 THEN 'other.log'
-      ELSE 'copilot.log' END AS path, encode(content || content || content || content || content) AS raw, modified_at FROM files),
-  latest AS (SELECT max(modified_at) AS now FROM files),
-  t AS (SELECT path, CASE WHEN octet_length(raw) > {N.LOG_TAIL_BYTES} THEN raw[octet_length(raw) - {N.LOG_TAIL_BYTES} + 1:octet_length(raw)] ELSE raw END AS tail, modified_at FROM l, latest
-    WHERE path LIKE '%.log' AND (contains(lower(path), 'mcp-a') OR contains(path, 'copilot.log')) AND modified_at > now - INTERVAL 7 DAY)
-  SELECT path, sha256(decode(tail)) AS tail_hash, CAST(octet_length(tail) AS BIGINT) AS bytes FROM t WHERE try(decode(tail)) IS NOT NULL""")
-def log_tails(spark, sf):
-    from riskledger.sources.files import log_tails as tails
-    f = files(spark, sf)
-    latest = f.agg(F.max("modified_at")).scalar()
+    return LG.distinct_urls_batch(LG.log_evidence(lines))
+
+
+@query("log_evidence", f"""WITH {DISTINCT_LOG_URLS_SQL}
+  SELECT scan_id, epoch_us(m.ts) AS at, m.log_name AS log_name, m.category AS category, m.detail AS detail, url FROM d
+  UNION ALL SELECT scan_id, epoch_us(ts), log_name, category, detail, url FROM ev WHERE url IS NULL""")
+def log_evidence(spark, sf):
+    return distinct_log_urls(spark, sf).select("scan_id", F.unix_micros("ts").alias("at"), "log_name", "category", "detail", "url")
+
+
+@query("log_tails", f"""WITH {FILES_SQL}, l AS (SELECT file_id, dir || '/' || CASE file_id % 4 WHEN 0 THEN 'MCP-a.log' WHEN 1 THEN 'server.txt' WHEN 2 THEN 'other.log'
+      ELSE 'copilot.log' END AS path, content || CASE WHEN file_id % 5 = 2 THEN chr(65533) || 'é' ELSE '' END || repeat(content, 12) AS text FROM files)
+  SELECT path, sha256(text) AS text_hash, CAST(strlen(text) AS BIGINT) AS bytes FROM l
+    WHERE path LIKE '%.log' AND (contains(lower(path), 'mcp-a') OR contains(path, 'copilot.log'))""")
+def whole_logs(spark, sf):
+    from riskledger.sources.files import log_texts
     name = F.expr("CASE file_id % 4 WHEN 0 THEN 'MCP-a.log' WHEN 1 THEN 'server.txt' WHEN 2 THEN 'other.log' ELSE 'copilot.log' END")
-    logs = f.select("scan_id", F.concat(F.regexp_extract("path", "^(.*)/[^/]*$", 1), F.lit("/"), name).alias("path"),
-                    F.repeat("content", 5).cast("binary").alias("content"), "modified_at").withColumn("now", latest)
-    return tails(logs, F.col("now")).select("path", F.sha2("text", 256).alias("tail_hash"),
-                                            F.octet_length("text").cast("bigint").alias("bytes"))
+    broken = F.when(F.col("file_id") % 5 == 2, F.lit(bytearray(b"\xff" + "é".encode()))).otherwise(F.lit(bytearray()))
+    body = F.col("content").cast("binary")
+    logs = files(spark, sf).select(F.concat(paths.parent_dir(F.col("path")), F.lit("/"), name).alias("path"),
+                                   F.concat(body, broken, F.repeat("content", F.lit(12)).cast("binary")).alias("content"), "modified_at")
+    return log_texts(logs).select("path", F.sha2("text", 256).alias("text_hash"), F.octet_length("text").cast("bigint").alias("bytes"))
 
 
 BAD_RULES_SQL = """r AS (SELECT p_partkey AS rule_rank, CASE p_partkey % 5 WHEN 0 THEN 'Rule ' || p_partkey ELSE 'rule-' || p_partkey END AS name,
     CASE p_partkey % 7 WHEN 0 THEN 'skill' WHEN 1 THEN '9bad' ELSE 'kind_' || p_size END AS artifact_type,
-    p_size / 40.0 AS confidence, p_partkey % 11 = 0 AS no_match, CASE WHEN p_partkey % 6 = 0 THEN 'secret' ELSE 'kw' END AS prefix, p_size % 4 AS threshold FROM part)"""
+    p_size / 40.0 AS confidence, p_partkey % 11 = 0 AS no_match, CASE WHEN p_partkey % 6 = 0 THEN 'secret' ELSE 'kw' END AS prefix, p_size % 4 AS threshold,
+    p_partkey % 8 = 3 AS broken FROM part)"""
+
+
+def _rule_rows(base, **columns):
+    """Rules with one block or none, from any table; columns that are not given are empty."""
+    from riskledger.sources.rules import BLOCKS, RULE_SCHEMA
+    block = "struct<terms:array<string>,signals_prefix:string,boost_confidence:double,boost_threshold:int>"
+    none = F.array().cast("array<string>")
+    plain = {"source": F.lit("user"), "description": F.lit(""), "filenames": none, "suffixes": none, "confidence": F.lit(0.0)}
+    empty = {b: F.lit(None).cast(block) for b in BLOCKS}
+    every = plain | empty | columns
+    order = ["rule_rank", "source", "name", "description", "artifact_type", "filenames", "suffixes", "confidence", *BLOCKS]
+    assert len(order) == RULE_SCHEMA.count(", ") + 1
+    return base.select(*[every[c].alias(c) for c in order])
+
+
+def _terms(terms, prefix="kw", boost=0.9, threshold=None):
+    return F.struct(terms.alias("terms"), (F.lit(prefix) if isinstance(prefix, str) else prefix).alias("signals_prefix"),
+                    F.lit(boost).alias("boost_confidence"), (F.lit(1) if threshold is None else threshold).cast("int").alias("boost_threshold"))
 
 
 @query("rule_validation", f"""WITH {BAD_RULES_SQL}, e AS (
   SELECT rule_rank, 'name' AS field FROM r WHERE name LIKE 'Rule%' UNION ALL SELECT rule_rank, 'artifact_type' FROM r WHERE artifact_type IN ('skill', '9bad')
   UNION ALL SELECT rule_rank, 'match.confidence' FROM r WHERE confidence > 1 UNION ALL SELECT rule_rank, 'match' FROM r WHERE no_match
   UNION ALL SELECT rule_rank, 'keywords.signals_prefix' FROM r WHERE prefix = 'secret'
-  UNION ALL SELECT rule_rank, 'keywords.boost_threshold' FROM r WHERE threshold < 1 OR threshold > 2)
+  UNION ALL SELECT rule_rank, 'keywords.boost_threshold' FROM r WHERE threshold < 1 OR threshold > 2
+  UNION ALL SELECT rule_rank, 'patterns.terms' FROM r WHERE broken)
   SELECT CAST(rule_rank AS BIGINT) AS rule_rank, field FROM e""")
 def rule_validation(spark, sf):
-    from riskledger.sources.rules import BLOCKS, RULE_SCHEMA, rule_errors
-    base = table(spark, sf, "part")
-    block = F.struct(F.array(F.lit("one"), F.lit("two")).alias("terms"),
-                     F.when(F.col("p_partkey") % 6 == 0, "secret").otherwise("kw").alias("signals_prefix"),
-                     F.lit(0.9).alias("boost_confidence"), (F.col("p_size") % 4).cast("int").alias("boost_threshold"))
-    none = F.array().cast("array<string>")
-    empty = F.expr("CAST(NULL AS struct<terms:array<string>,signals_prefix:string,boost_confidence:double,boost_threshold:int>)")
-    rows = base.select(
-        F.col("p_partkey").cast("int").alias("rule_rank"), F.lit("user").alias("source"),
-        F.expr("CASE p_partkey % 5 WHEN 0 THEN concat('Rule ', p_partkey) ELSE concat('rule-', p_partkey) END").alias("name"),
-        F.lit("").alias("description"),
-        F.expr("CASE p_partkey % 7 WHEN 0 THEN 'skill' WHEN 1 THEN '9bad' ELSE concat('kind_', p_size) END").alias("artifact_type"),
-        F.when(F.col("p_partkey") % 11 == 0, none).otherwise(F.array(F.lit("*.x"))).alias("filenames"), none.alias("suffixes"),
-        (F.col("p_size") / 40.0).cast("double").alias("confidence"),
-        *[(block if b == "keywords" else empty).alias(b) for b in BLOCKS])
-    assert len(rows.columns) == RULE_SCHEMA.count(", ") + 1
+    from riskledger.sources.rules import rule_errors
+    key = F.col("p_partkey")
+    prefix = F.when(key % 6 == 0, "secret").otherwise("kw")
+    patterns = F.when(key % 8 == 3, F.array(F.lit("ok"), F.lit("(")))        .otherwise(F.array(F.lit("[]a]$"), F.lit("\\u{200B}+")))
+    rows = _rule_rows(
+        table(spark, sf, "part"), rule_rank=key.cast("int"),
+        name=F.expr("CASE p_partkey % 5 WHEN 0 THEN concat('Rule ', p_partkey) ELSE concat('rule-', p_partkey) END"),
+        artifact_type=F.expr("CASE p_partkey % 7 WHEN 0 THEN 'skill' WHEN 1 THEN '9bad' ELSE concat('kind_', p_size) END"),
+        filenames=F.when(key % 11 == 0, F.array().cast("array<string>")).otherwise(F.array(F.lit("*.x"))),
+        confidence=(F.col("p_size") / 40.0).cast("double"),
+        keywords=_terms(F.array(F.lit("one"), F.lit("two")), prefix, threshold=F.col("p_size") % 4), patterns=_terms(patterns, "rx"))
     return rule_errors(rows).select(F.col("rule_rank").cast("bigint").alias("rule_rank"), "field")
 
 
+# a rule for every part: whole names, endings, globs and expressions; every fifth states no confidence
+USER_RULES_SQL = """r AS (SELECT p_partkey AS k, 'part-' || p_partkey AS rule_name, p_partkey % 4 AS kind, CASE WHEN p_partkey % 5 = 0 THEN 0.0 ELSE 0.25 END AS base FROM part),
+  f AS (SELECT doc_id, 'u' || (doc_id % 3000) || '-prompt.' || ['md', 'txt', 'tok'][doc_id % 3 + 1] AS name, text FROM documents),
+  hit AS (SELECT f.doc_id, f.name, f.text, r.* FROM f JOIN r ON CASE kind WHEN 0 THEN f.name = 'u' || k || '-prompt.md' WHEN 1 THEN ends_with(f.name, k || '-prompt.txt')
+    WHEN 2 THEN starts_with(f.name, 'u' || k || '-') ELSE f.name = 'u' || k || '-prompt.tok' END)"""
+
+
+@query("user_rule_apply", f"""WITH {USER_RULES_SQL}, s AS (SELECT *, contains(lower(text), 'and') AS kw, kind = 3 AND regexp_matches(text, '[Tt]he[a-z]+ing') AS rx FROM hit)
+  SELECT CAST(doc_id AS BIGINT) AS file_id, rule_name, CAST(CASE kind WHEN 1 THEN 1 WHEN 2 THEN 2 ELSE 0 END AS BIGINT) AS match_kind,
+    CAST(CASE WHEN rx THEN 0.9 WHEN kw THEN greatest(base, 0.5) ELSE base END AS DOUBLE) AS confidence,
+    'filename_match:' || name || CASE WHEN kw THEN '|kw:and' ELSE '' END || CASE WHEN rx THEN '|rx:[Tt]he[a-z]+ing' ELSE '' END AS signals FROM s""")
+def user_rule_apply(spark, sf):
+    from riskledger.operators import rules as RO
+    from riskledger.sources.rules import load_rules
+    part = table(spark, sf, "part").withColumn("kind", F.col("p_partkey") % 4)
+    is_kind = lambda n, text: F.when(F.col("kind") == n, F.array(F.expr(text)))
+    none = F.array().cast("array<string>")
+    user = _rule_rows(
+        part, rule_rank=F.col("p_partkey").cast("int"), name=F.concat(F.lit("part-"), "p_partkey"), artifact_type=F.lit("part_file"),
+        filenames=F.coalesce(is_kind(0, "concat('U', p_partkey, '-prompt.md')"), is_kind(2, "concat('u', p_partkey, '-*')"),
+                             is_kind(3, "concat('u', p_partkey, '-prompt.tok')"), none),
+        suffixes=F.coalesce(is_kind(1, "concat(p_partkey, '-prompt.txt')"), none),
+        confidence=F.when(F.col("p_partkey") % 5 == 0, 0.0).otherwise(0.25), keywords=_terms(F.array(F.lit("and")), boost=0.5),
+        patterns=F.when(F.col("kind") == 3, _terms(F.array(F.lit("[Tt]he[a-z]+ing")), "rx")))
+    rules = [r for r in load_rules(spark, user)[0] if r["source"] == "user"]
+    kinds = F.array(F.lit("md"), F.lit("txt"), F.lit("tok"))
+    docs = table(spark, sf, "documents").select(
+        F.col("doc_id").alias("file_id"), "text", F.lit(True).alias("content_ok"),
+        F.concat(F.lit("u"), F.col("doc_id") % 3000, F.lit("-prompt."), F.element_at(kinds, (F.col("doc_id") % 3 + 1).cast("int"))).alias("name"))
+    found = RO.apply_rules(docs, rules, deep=True)
+    own = F.filter("signals", lambda s: s.startswith("filename_match:") | s.startswith("kw:") | s.startswith("rx:"))
+    return found.select("file_id", "rule_name", F.col("match_kind").cast("bigint").alias("match_kind"), "confidence", joined(own).alias("signals"))
+
+
 @query("browser_footprints", """WITH d AS (SELECT 'scan' || (o_custkey % 4) AS scan_id, '/b/c' || o_custkey AS root, CASE o_orderkey % 3 WHEN 0 THEN 'Default' ELSE 'Profile ' || (o_orderkey % 3) END AS profile,
     'ext' || (o_orderkey % 40) AS ext FROM orders),
-  pick AS (SELECT scan_id, root, min(struct_pack(other := profile <> 'Default', profile := profile)) AS m FROM d GROUP BY ALL)
-  SELECT d.scan_id, d.root AS profile_root, d.root || '/' || profile || '/Extensions' AS path, count(DISTINCT ext) AS extension_count
-  FROM d JOIN pick p ON d.scan_id = p.scan_id AND d.root = p.root AND d.profile = p.m.profile GROUP BY ALL""")
+  pick AS (SELECT scan_id, root, min(struct_pack(other := profile <> 'Default', profile := profile)) AS m FROM d GROUP BY ALL),
+  ids AS (SELECT DISTINCT d.scan_id, d.root, d.root || '/' || profile || '/Extensions' AS path, ext, left(sha256(ext), 2) AS share
+    FROM d JOIN pick p ON d.scan_id = p.scan_id AND d.root = p.root AND d.profile = p.m.profile),
+  shares AS (SELECT scan_id, root, path, share, count(*) AS n, sha256(string_agg(ext, chr(10) ORDER BY ext)) AS digest FROM ids GROUP BY ALL)
+  SELECT scan_id, root AS profile_root, path, CAST(sum(n) AS BIGINT) AS extension_count, sha256(string_agg(digest, chr(10) ORDER BY share)) AS ids_digest
+  FROM shares GROUP BY ALL""")
 def browser(spark, sf):
-    rows = table(spark, sf, "orders").selectExpr(
+    return D.browser_footprints(_extension_dirs(spark, sf)).select("scan_id", "profile_root", "path", "extension_count", "ids_digest")
+
+
+def _extension_dirs(spark, sf):
+    return table(spark, sf, "orders").selectExpr(
         "concat('scan', o_custkey % 4) scan_id", "concat('/b/c', o_custkey) profile_root",
         """concat('/b/c', o_custkey, '/', CASE o_orderkey % 3 WHEN 0 THEN 'Default' ELSE concat('Profile ', o_orderkey % 3) END,
            '/Extensions/ext', o_orderkey % 40) path""")
-    return D.browser_footprints(rows).select("scan_id", "profile_root", "path", "extension_count")
 
 
 # --- streams ----------------------------------------------------------------------------------
 
 def _folder(spark):
-    """A new folder in the shared place the session names for checkpoints."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="streams-")
+    """A new folder in the shared place the session names for checkpoints, or that was set in its context."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        raise ValueError("streams need a shared folder: set spark.checkpoint.dir")
     return f"{base}/stream-{uuid.uuid4().hex}"
 
 
@@ -214,11 +329,11 @@ def _finish(rows, folder):
 
 
 @query("log_url_stream", f"""WITH {LOG_EVIDENCE_SQL}
-  SELECT DISTINCT scan_id, category, url FROM ev WHERE url IS NOT NULL
-  UNION ALL SELECT scan_id, category, url FROM ev WHERE url IS NULL""")
+  SELECT DISTINCT scan_id, category, string_split(detail, ' in ')[1] AS what, url FROM ev WHERE url IS NOT NULL
+  UNION ALL SELECT scan_id, category, string_split(detail, ' in ')[1], url FROM ev WHERE url IS NULL""")
 def log_url_stream(spark, sf):
     lines = log_rows(_stream(spark, sf, "events")).withColumn("ts", F.col("ts").cast("timestamp"))
-    rows = LG.distinct_urls(LG.log_evidence(lines)).select("scan_id", "category", "url")
+    rows = LG.distinct_urls(LG.log_evidence(lines)).select("scan_id", "category", F.split("detail", " in ")[0].alias("what"), "url")
     return _finish(rows, _folder(spark))
 
 

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from fleet_queries import artifact_sql as A, sqltext as S
 from fleet_queries.artifacts import _memo, artifacts, joined, options
+from fleet_queries.changes import DISTINCT_LOG_URLS_SQL, distinct_log_urls
 from fleet_queries.corpus import FILES_SQL, files
 from fleet_queries.registry import query, quote, str_list, table
 from riskledger.catalog import labels as L, names as N, patterns as P
@@ -134,19 +135,14 @@ def env_refs(spark, sf):
     return M.env_references(servers(spark, sf), host).withColumn("ord", F.col("ord").cast("bigint"))
 
 
-@query("log_evidence_attach", f"""{SERVERS}, logs AS (SELECT 'scan' || (page_id % 4) AS scan_id, 'https://h' || (page_id % 9) || '.example.com/l?p=' || page_id AS url
-    FROM pages),
+@query("log_evidence_attach", f"""{SERVERS}, {DISTINCT_LOG_URLS_SQL},
   auth AS (SELECT scan_id, server_name, regexp_extract(substr(e.url, instr(e.url, '://') + 3), '^([^/?#]*)', 1) AS authority, s.path
     FROM evidence e JOIN srv s USING (scan_id, server_name) WHERE e.url IS NOT NULL),
   firsts AS (SELECT scan_id, authority, min(struct_pack(path := path, server_name := server_name)) AS m FROM auth GROUP BY ALL)
-  SELECT l.scan_id, m.server_name AS server_name, l.url FROM logs l JOIN firsts f ON l.scan_id = f.scan_id
+  SELECT l.scan_id, f.m.server_name AS server_name, l.m.category AS category, l.m.detail AS detail, l.url FROM d l JOIN firsts f ON l.scan_id = f.scan_id
     AND regexp_extract(substr(l.url, instr(l.url, '://') + 3), '^([^/?#]*)', 1) = f.authority""")
 def attach(spark, sf):
-    logs = table(spark, sf, "pages").select(
-        F.concat(F.lit("scan"), F.col("page_id") % 4).alias("scan_id"), F.lit("outbound-url").alias("category"),
-        F.lit("URL observed").alias("detail"),
-        F.concat(F.lit("https://h"), F.col("page_id") % 9, F.lit(".example.com/l?p="), "page_id").alias("url"))
-    return M.attach_logs(servers(spark, sf), logs).select("scan_id", "server_name", "url")
+    return M.attach_logs(servers(spark, sf), distinct_log_urls(spark, sf)).select("scan_id", "server_name", "category", "detail", "url")
 
 
 # --- prompts, agents, links -------------------------------------------------------------------
@@ -451,7 +447,7 @@ def payload_assembly(spark, sf):
 @query("contract_conformance", f"{SERVERS} SELECT scan_id, 'mcpServers' AS section, server_name || '-' || left(sha256(path), 12) AS key, 'transport' AS field, transport AS value FROM srv WHERE transport NOT IN "
                                "('stdio', 'sse', 'streamable-http', 'unknown')")
 def conformance(spark, sf):
-    return plan.enum_violations(record_rows(spark, sf))
+    return plan.violations(record_rows(spark, sf))
 
 
 @query("disclosure_categories", f"""{SKILLS}, {APPS_SQL}, {_SECTION_COUNTS},
@@ -464,3 +460,34 @@ def conformance(spark, sf):
   UNION ALL SELECT DISTINCT scan_id, 'env', {quote(L.DISCLOSURE_LABELS['env'])} FROM srv WHERE contains(vt, '"env"')""")
 def disclosure(spark, sf):
     return plan.disclosure(record_rows(spark, sf), built(spark, sf), scan_rows(spark, sf))
+
+
+@query("disclosure_record_counts", f"""{SKILLS}, {APPS_SQL}, {_SECTION_COUNTS} SELECT scan_id,
+  CAST(sum(n) FILTER (WHERE section <> 'mcpServers') AS BIGINT) AS artifact_records, CAST(sum(n) FILTER (WHERE section = 'mcpServers') AS BIGINT) AS server_records
+  FROM sections GROUP BY scan_id""")
+def record_counts(spark, sf):
+    return plan.disclosure_counts(record_rows(spark, sf))
+
+
+@query("report_round_trip", f"""{SKILLS}, {APPS_SQL},
+  rows AS (SELECT scan_id, 'prompts' AS section, entity_id AS id, entity_name AS name, path AS place FROM entity WHERE artifact_type IN ('cursor_rules', 'prompt_config', 'agents_md')
+    UNION ALL SELECT scan_id, 'agents', id, name, path FROM agents
+    UNION ALL SELECT scan_id, 'mcpServers', server_name || '-' || left(sha256(path), 12), server_name, NULL FROM srv
+    UNION ALL SELECT scan_id, 'skills', NULL, name, NULL FROM skills
+    UNION ALL SELECT scan_id, 'agenticApps', entity_id, entity_name, path FROM apps)
+  SELECT DISTINCT scan_id, section, CASE WHEN section <> 'skills' THEN id END AS id, name, place FROM rows""")
+def report_round_trip(spark, sf):
+    """Documents written as JSON and read back with the whole schema."""
+    from fleet_queries.changes import _folder
+    from riskledger.sources import files as src
+    folder = _folder(spark)
+    src.write_payloads(plan.payload(record_rows(spark, sf), scan_rows(spark, sf)), folder)
+    back = src.read_reports(spark, folder)
+    none = F.lit(None).cast("string")
+
+    def rows_of(section):
+        return F.transform(section, lambda r: F.struct(
+            F.lit(section).alias("section"), (none if section == "skills" else r["id"]).alias("id"), r["name"].alias("name"),
+            (r["sourceFilePath"] if section in ("prompts", "agents", "agenticApps") else none).alias("place")))
+    listed = F.concat(*[rows_of(s) for s in plan.SECTIONS])
+    return back.select(F.col("scanMeta.scanId").alias("scan_id"), F.inline(listed)).distinct()

@@ -8,9 +8,7 @@ Every document becomes one file.  Sixteen neighbours (``g = doc_id div 16``) for
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleet_queries.registry import quote, table
-from riskledger.functions.signals import computed_once
-from riskledger.sources.files import spread
+from fleet_queries.registry import quote, spread, table
 
 NAMES = [
     ".cursorrules", "AGENTS.md", "mcp.json", "Dockerfile", "docker-compose.yml",
@@ -126,9 +124,8 @@ def files_of(docs: DataFrame) -> DataFrame:
         F.when(g % 5 == 0, F.array(F.lit("shell"), F.lit("python")))
         .when(g % 5 == 1, F.array(F.lit("docker"), F.lit("my_tool")))
         .otherwise(F.array().cast("array<string>")).alias("declared_tools"),
-        content.alias("_content"),
+        content.alias("content"),
     )
-    out = computed_once(out, content=F.col("_content")).drop("_content")
     return out.withColumn("size_bytes", F.octet_length("content").cast("bigint"))
 
 

@@ -1,4 +1,4 @@
-"""Corpus selection, bounded reads, identity keys and scalar columns."""
+"""Corpus selection, whole reads, identity keys and scalar columns."""
 
 from pyspark.sql import functions as F
 
@@ -13,28 +13,19 @@ from riskledger.operators.skills import skill_directory_files
 BAD = b"\xff\xfe"
 
 
-@query("utf8_head_reads", f"""WITH d AS (SELECT doc_id,
-    CASE WHEN doc_id % 7 = 3 THEN encode(text) || '\\xFF\\xFE'::BLOB || encode(text)
-      WHEN doc_id % 50 = 1 THEN '\\xFF\\xFE'::BLOB || encode(text) ELSE encode(text) END AS raw, text FROM documents),
-  h AS (SELECT *, raw[1:{N.HEAD_BYTES}] AS head FROM d),
-  v AS (SELECT doc_id, octet_length(raw) AS size, try(decode(head)) AS strict,
-    coalesce(try(decode(head)), CASE WHEN doc_id % 50 = 1 AND doc_id % 7 <> 3 THEN NULL ELSE coalesce(
-      try(decode(head[1:octet_length(head) - 1])), try(decode(head[1:octet_length(head) - 2])),
-      try(decode(head[1:octet_length(head) - 3])), text) END) AS lenient,
-    CASE WHEN octet_length(raw) <= {N.BOUNDED_READ_BYTES} THEN try(decode(raw)) END AS bounded FROM h)
-  SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(strlen(lenient) AS BIGINT) AS head_bytes, sha256(lenient) AS head_hash,
-    strict IS NULL AS strict_missing, CAST(strlen(bounded) AS BIGINT) AS bounded_bytes FROM v""")
+@query("utf8_head_reads", """WITH d AS (SELECT doc_id,
+    CASE WHEN doc_id % 7 = 3 THEN 'mid' WHEN doc_id % 50 = 1 THEN 'head' ELSE 'good' END AS kind, text, chr(65533) || chr(65533) AS bad FROM documents),
+  t AS (SELECT doc_id, kind, CASE kind WHEN 'mid' THEN text || bad || text WHEN 'head' THEN bad || text ELSE text END AS whole FROM d)
+  SELECT doc_id, CAST(strlen(whole) - CASE WHEN kind = 'good' THEN 0 ELSE 4 END AS BIGINT) AS size, CAST(length(whole) AS BIGINT) AS chars,
+    sha256(whole) AS text_hash, kind <> 'good' AS strict_missing FROM t""")
 def utf8_reads(spark, sf):
     doc, body = F.col("doc_id"), F.col("text").cast("binary")
     bad = F.lit(bytearray(BAD))
     raw = (F.when(doc % 7 == 3, F.concat(body, bad, body)).when(doc % 50 == 1, F.concat(bad, body)).otherwise(body))
-    df = G.computed_once(table(spark, sf, "documents").select("doc_id", "text"), raw=raw)
-    df = df.select("doc_id", F.octet_length("raw").cast("bigint").alias("size"),
-                   T.utf8_head(F.col("raw")).alias("head"), T.strict_head(F.col("raw")).alias("strict"),
-                   T.bounded_text(F.col("raw"), F.octet_length("raw")).alias("bounded"))
-    return df.select("doc_id", "size", F.octet_length("head").cast("bigint").alias("head_bytes"),
-                     F.sha2("head", 256).alias("head_hash"), F.col("strict").isNull().alias("strict_missing"),
-                     F.octet_length("bounded").cast("bigint").alias("bounded_bytes"))
+    df = table(spark, sf, "documents").select("doc_id", raw.alias("raw"))
+    df = df.select("doc_id", F.octet_length("raw").cast("bigint").alias("size"), T.utf8_text(F.col("raw")).alias("whole"),
+                   T.strict_text(F.col("raw")).isNull().alias("strict_missing"))
+    return df.select("doc_id", "size", F.length("whole").cast("bigint").alias("chars"), F.sha2("whole", 256).alias("text_hash"), "strict_missing")
 
 
 REL = "string_split(substr(path, length(root) + 2), '/')"
@@ -62,10 +53,12 @@ def system_excluded(spark, sf):
 
 
 @query("depth_limit", f"""WITH {FILES_SQL}, f AS (SELECT path || '/a/b/' || name AS path, root, name FROM files)
-  SELECT path FROM f WHERE NOT {_excluded(N.EXCLUDED_DIRS)} AND NOT coalesce({NOISE}, FALSE) AND len({REL}) <= 5""")
+  SELECT path, CAST(len({REL}) AS BIGINT) AS depth, len({REL}) > 5 AS deep FROM f
+  WHERE NOT {_excluded(N.EXCLUDED_DIRS)} AND NOT coalesce({NOISE}, FALSE)""")
 def depth_limit(spark, sf):
     df = files(spark, sf).withColumn("path", F.concat("path", F.lit("/a/b/"), paths.basename(F.col("path"))))
-    return C.candidates(df, max_depth=N.MAX_DEPTH).select("path")
+    depth = C.relative_depth(F.col("path"), F.col("root")).cast("bigint")
+    return C.candidates(df).select("path", depth.alias("depth"), (depth > N.DEEP_PATH).alias("deep"))
 
 
 @query("editor_dir_exception", f"""WITH {FILES_SQL}, f AS (SELECT path, root, name FROM files
@@ -142,23 +135,23 @@ def dedupe(spark, sf):
     return C.dedupe_first_origin(direct.unionAll(below)).withColumn("tier_rank", F.col("tier_rank").cast("bigint"))
 
 
-@query("candidate_cap", f"""WITH {FILES_SQL}, r AS (SELECT scan_id, path,
-    row_number() OVER (PARTITION BY scan_id ORDER BY sha256(scan_id || '/' || path)) AS n,
-    count(*) OVER (PARTITION BY scan_id) AS total FROM files)
-  SELECT scan_id, path, total > {N.MAX_ROOT_FILES} AS truncated FROM r WHERE n <= {N.MAX_ROOT_FILES}""")
-def cap(spark, sf):
-    return C.keep_first(files(spark, sf).select("scan_id", "path"), N.MAX_ROOT_FILES)
+_WALK = """row_number() OVER (PARTITION BY scan_id ORDER BY sha256(scan_id || '/' || path)) AS walk_rank, count(*) OVER (PARTITION BY scan_id) AS walk_total"""
+
+
+@query("candidate_cap", f"WITH {FILES_SQL} SELECT scan_id, path, {_WALK} FROM files")
+def walk_order(spark, sf):
+    rows = C.in_walk_order(files(spark, sf).select("scan_id", "path"))
+    return rows.select("scan_id", "path", F.col("walk_rank").cast("bigint").alias("walk_rank"), "walk_total")
 
 
 @query("source_file_cap", f"""WITH {FILES_SQL}, e AS (SELECT * FROM files WHERE
     lower({S.ext_of('name')}) IN ({', '.join(quote(e) for e in N.SOURCE_EXTENSIONS)}) OR (lower({S.ext_of('name')}) = 'json'
-    AND lower(name) NOT IN ({', '.join(quote(n) for n in N.JSON_SKIP_NAMES)}))),
-  r AS (SELECT scan_id, path, row_number() OVER (PARTITION BY scan_id ORDER BY sha256(scan_id || '/' || path)) AS n,
-    count(*) OVER (PARTITION BY scan_id) AS total FROM e)
-  SELECT scan_id, path, total > {N.SOURCE_SURFACE_FILES} AS truncated FROM r WHERE n <= {N.SOURCE_SURFACE_FILES}""")
-def source_cap(spark, sf):
+    AND lower(name) NOT IN ({', '.join(quote(n) for n in N.JSON_SKIP_NAMES)})))
+  SELECT scan_id, path, {_WALK} FROM e""")
+def source_walk_order(spark, sf):
     from riskledger.operators.source_risk import eligible
-    return C.keep_first(eligible(files(spark, sf)).select("scan_id", "path"), N.SOURCE_SURFACE_FILES)
+    rows = C.in_walk_order(eligible(files(spark, sf)).select("scan_id", "path"))
+    return rows.select("scan_id", "path", F.col("walk_rank").cast("bigint").alias("walk_rank"), "walk_total")
 
 
 @query("content_allowlist", f"WITH {FILES_SQL} SELECT path, {S.content_allowed('name')} AS allowed FROM files")
@@ -183,12 +176,18 @@ def adjacent(spark, sf):
         F.bool_or(paths.content_allowed(F.col("name"))).alias("adjacent"))
 
 
-@query("skill_directory_files", f"""WITH {FILES_SQL} SELECT s.path AS skill_path, substr(f.path, length(s.dir) + 2) AS rel_path,
+DEEP_FILES_SQL = """deep AS (SELECT scan_id, path, name FROM files
+    UNION ALL SELECT scan_id, dir || '/a/b/c/d/e/f/g/' || file_id || '.md', file_id || '.md' FROM files WHERE lower(name) = 'skill.md')"""
+
+
+@query("skill_directory_files", f"""WITH {FILES_SQL}, {DEEP_FILES_SQL} SELECT s.path AS skill_path, substr(f.path, length(s.dir) + 2) AS rel_path,
   lower({S.ext_of('f.name')}) IN ('', {', '.join(quote(e) for e in N.TEXT_EXTENSIONS)}) AS is_text
-  FROM files s JOIN files f ON f.scan_id = s.scan_id AND starts_with(f.path, s.dir || '/')
-  WHERE lower(s.name) = 'skill.md' AND len(string_split(substr(f.path, length(s.dir) + 2), '/')) <= {N.SKILL_DIR_DEPTH + 1}""")
+  FROM files s JOIN deep f ON f.scan_id = s.scan_id AND starts_with(f.path, s.dir || '/') WHERE lower(s.name) = 'skill.md'""")
 def skill_dirs(spark, sf):
-    return skill_directory_files(files(spark, sf)).select("skill_path", "rel_path", "is_text")
+    own = files(spark, sf).select("scan_id", "path", "file_id")
+    below = F.concat(paths.parent_dir(F.col("path")), F.lit("/a/b/c/d/e/f/g/"), "file_id", F.lit(".md"))
+    deep = own.where(F.lower(paths.basename(F.col("path"))) == "skill.md").select("scan_id", below.alias("path"))
+    return skill_directory_files(own.select("scan_id", "path").unionByName(deep)).select("skill_path", "rel_path", "is_text")
 
 
 @query("detector_routing", """WITH d(detector, modes, cached) AS (VALUES """ + ", ".join(
@@ -292,12 +291,16 @@ def qualified(spark, sf):
     return files(spark, sf).select("path", paths.qualified_name(path).alias("qualified"), paths.scrub_home(path, home).alias("shown"))
 
 
-@query("file_primitives", f"""WITH {FILES_SQL} SELECT path, sha256(content) AS content_hash, 'full_sha256' AS mode,
-  size_bytes AS hashed FROM files""")
+@query("file_primitives", f"""WITH {FILES_SQL}, big AS (SELECT path, content AS body FROM files
+    UNION ALL SELECT path || '.big', repeat(content, CAST(9000000 // size_bytes + 1 AS BIGINT)) || file_id FROM files WHERE file_id % 500 = 7)
+  SELECT path, sha256(body) AS content_hash, 'full_sha256' AS mode, CAST(strlen(body) AS BIGINT) AS hashed FROM big""")
 def primitives(spark, sf):
-    content, size = F.col("content"), F.col("size_bytes")
-    return files(spark, sf).select("path", I.content_hash(content, size).alias("content_hash"), I.hash_mode(size).alias("mode"),
-                                   I.bytes_hashed(size).alias("hashed"))
+    f = files(spark, sf).select("file_id", "path", "content", "size_bytes")
+    body = F.concat(F.repeat("content", F.expr("int(9000000 div size_bytes + 1)")), F.col("file_id").cast("string"))
+    big = f.where("file_id % 500 = 7").select(F.concat("path", F.lit(".big")).alias("path"), body.alias("content"))
+    return f.select("path", "content").unionByName(big).select(
+        "path", I.content_hash(F.col("content")).alias("content_hash"), F.lit(I.HASH_MODE).alias("mode"),
+        F.octet_length("content").cast("bigint").alias("hashed"))
 
 
 @query("file_state_keys", f"""WITH {FILES_SQL} SELECT path, sha256(path || ':' || origin || ':' ||

@@ -16,6 +16,12 @@ def table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df, *keys):
+    """Deal the rows of a one-file table to all cores: the test tables are one row group each, which a
+    single task would scan.  Tables of several files are left alone."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, *keys) if len(df.inputFiles()) < 2 else df
+
+
 def quote(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 

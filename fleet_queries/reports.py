@@ -8,7 +8,6 @@ from fleet_queries.registry import query, quote
 from riskledger.catalog import labels as L, weights as W
 from riskledger.operators import reports as R
 from riskledger.plans import scan as plan
-from riskledger.session import cut
 
 ARTIFACTS = A.ARTIFACTS
 RANKED = """ranked AS (SELECT *, row_number() OVER (PARTITION BY scan_id ORDER BY srank DESC, risk_score DESC, detector_rank, path, rule_order) AS r
@@ -26,20 +25,17 @@ def count_by_type(spark, sf):
   CAST(count(*) FILTER (WHERE srank = 3) AS BIGINT) AS review, CAST(count(*) FILTER (WHERE srank < 3) AS BIGINT) AS clear, count(*) AS artifacts
   FROM (SELECT *, 'overview' AS form FROM artifacts UNION ALL SELECT *, 'summary' FROM artifacts WHERE registry_eligible) GROUP BY ALL""")
 def posture_headline(spark, sf):
-    a = cut(artifacts(spark, sf).select("scan_id", "verification_status", "registry_eligible"))
-    return (R.headline(a).withColumn("form", F.lit("overview"))
-            .unionByName(R.headline(a, eligible_only=True).withColumn("form", F.lit("summary"))))
+    forms = F.when(F.col("registry_eligible"), F.array(F.lit("overview"), F.lit("summary"))).otherwise(F.array(F.lit("overview")))
+    return R.headline(artifacts(spark, sf).withColumn("form", F.explode(forms)), ["scan_id", "form"])
 
 
 @query("minimum_severity_filter", f"""{ARTIFACTS} SELECT level, verification_status, count(*) AS artifacts FROM artifacts,
   (VALUES ('critical', 90), ('high', 70), ('medium', 40), ('low', 10)) t(level, least_score) WHERE risk_score >= least_score GROUP BY ALL""")
 def minimum_severity(spark, sf):
-    a = cut(artifacts(spark, sf).select("verification_status", "risk_score"))
-    out = None
-    for level, _ in W.SEVERITY_BANDS:
-        part = plan.filter_by_severity(a, level).withColumn("level", F.lit(level))
-        out = part if out is None else out.unionByName(part)
-    return out.groupBy("level", "verification_status").agg(F.count("*").alias("artifacts"))
+    counts = artifacts(spark, sf).groupBy("verification_status", "risk_score").agg(F.count("*").alias("n"))
+    levels = F.array(*[F.lit(level) for level, _ in W.SEVERITY_BANDS])
+    kept = plan.filter_by_severity(counts.withColumn("level", F.explode(levels)), F.col("level"))
+    return kept.groupBy("level", "verification_status").agg(F.sum("n").alias("artifacts"))
 
 
 @query("riskiest_artifacts", f"{ARTIFACTS}, {RANKED} SELECT scan_id, CAST(r AS BIGINT) AS rank, path, artifact_type, verification_status, risk_score "

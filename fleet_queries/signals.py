@@ -4,10 +4,9 @@ from pyspark.sql import functions as F
 
 from fleet_queries import sqltext as S
 from fleet_queries.corpus import FILES_SQL, files
-from fleet_queries.registry import query, quote, table
+from fleet_queries.registry import query, quote, spread, table
 from riskledger.catalog import names, patterns as P
 from riskledger.functions import signals as G, urls as U
-from riskledger.sources.files import spread
 
 SIG = S.signal_ctes("files", "file_id", "content")
 
@@ -155,8 +154,8 @@ def url_extraction(spark, sf):
   SELECT scan_id, kind, url, count(*) AS times FROM u GROUP BY ALL""")
 def ws_urls(spark, sf):
     f = files(spark, sf)
-    both = (f.select("scan_id", F.lit("ws").alias("kind"), F.explode(G.urls(F.col("content"), P.WS_URL)).alias("url"))
-            .unionAll(f.select("scan_id", F.lit("log"), F.explode(G.urls(F.col("content"), P.HTTP_URL_LOG)))))
+    marked = lambda kind, expr: F.transform(G.urls(F.col("content"), expr), lambda u: F.struct(F.lit(kind).alias("kind"), u.alias("url")))
+    both = f.select("scan_id", F.inline(F.concat(marked("ws", P.WS_URL), marked("log", P.HTTP_URL_LOG))))
     return both.groupBy("scan_id", "kind", "url").agg(F.count("*").alias("times"))
 
 

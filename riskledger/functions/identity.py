@@ -3,24 +3,12 @@
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from riskledger.catalog import names
+HASH_MODE = "full_sha256"
 
 
-def hashed_part(content: Column, size: Column) -> Column:
-    raw = content.cast("binary")
-    return F.when(size > names.FULL_HASH_LIMIT, F.substring(raw, 1, names.PREFIX_HASH_BYTES)).otherwise(raw)
-
-
-def content_hash(content: Column, size: Column) -> Column:
-    return F.sha2(hashed_part(content, size), 256)
-
-
-def hash_mode(size: Column) -> Column:
-    return F.when(size > names.FULL_HASH_LIMIT, "prefix_sha256").otherwise("full_sha256")
-
-
-def bytes_hashed(size: Column) -> Column:
-    return F.when(size > names.FULL_HASH_LIMIT, F.lit(names.PREFIX_HASH_BYTES)).otherwise(size).cast("bigint")
+def content_hash(content: Column) -> Column:
+    """Digest of all bytes, however large the file."""
+    return F.sha2(content.cast("binary"), 256)
 
 
 def _json(*pairs) -> Column:

@@ -1,62 +1,17 @@
-"""Bounded UTF-8 reads and small scalar parsers."""
+"""Texts of files, and small scalar parsers."""
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from riskledger.catalog import names
 
+def utf8_text(content: Column) -> Column:
+    """The whole content as text; bytes that are no UTF-8 become replacement characters."""
+    return F.make_valid_utf8(content.cast("binary").cast("string"))
 
-def _valid(binary: Column) -> Column:
-    return F.try_validate_utf8(binary.cast("string"))
 
-
-def utf8_head(content: Column, limit: int | None = names.HEAD_BYTES) -> Column:
-    """Longest valid UTF-8 prefix of the first ``limit`` bytes (of all bytes if None).
-
-    NULL if the bytes are invalid from the start.  A character cut at the end is solved by
-    dropping up to three bytes; an invalid byte further inside by halving the search range,
-    which works because "valid after dropping at most three bytes" only changes once.
-    """
-    head = content.cast("binary") if limit is None else F.substring(content.cast("binary"), 1, limit)
-    size = F.octet_length(head)
-
-    def valid_upto(n):
-        return F.coalesce(*[_valid(F.substr(head, F.lit(1), F.greatest(n - d, F.lit(0))))
-                            for d in range(4)])
-
-    def middle(s):
-        return F.shiftright(s["low"] + s["high"], 1)
-
-    steps = 31
-    found = F.aggregate(
-        F.sequence(F.lit(1), F.lit(steps)),
-        F.struct(F.lit(0).alias("low"), size.alias("high")),
-        lambda s, _: F.when(
-            s["high"] - s["low"] <= 1, s
-        ).when(
-            valid_upto(middle(s)).isNotNull(),
-            F.struct(middle(s).alias("low"), s["high"].alias("high"))
-        ).otherwise(
-            F.struct(s["low"].alias("low"), middle(s).alias("high"))),
-    )
-    inside = F.nullif(valid_upto(found["low"]), F.lit(""))
-    return F.coalesce(_valid(head), F.nullif(valid_upto(size), F.lit("")), inside)
-
-
-def strict_head(content: Column, limit: int | None = names.HEAD_BYTES) -> Column:
-    """First ``limit`` bytes as text, NULL if they do not end on a character."""
-    raw = content.cast("binary")
-    return _valid(raw if limit is None else F.substring(raw, 1, limit))
-
-
-def bounded_text(content: Column, size: Column, limit: int = names.BOUNDED_READ_BYTES) -> Column:
-    """Whole text, NULL if larger than ``limit`` bytes or not UTF-8."""
-    return F.when(size <= limit, _valid(content.cast("binary")))
-
-
-def tail_text(content: Column, limit: int = names.LOG_TAIL_BYTES) -> Column:
-    raw = content.cast("binary")
-    return _valid(F.when(F.octet_length(raw) > limit, F.substring(raw, -limit, limit)).otherwise(raw))
+def strict_text(content: Column) -> Column:
+    """The whole content as text, NULL if any byte is no UTF-8."""
+    return F.try_validate_utf8(content.cast("binary").cast("string"))
 
 
 def strip(text: Column) -> Column:

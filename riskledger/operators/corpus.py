@@ -49,12 +49,9 @@ def editor_noise(path: Column, root: Column) -> Column:
     return (paths.basename(root) != ".vscode") & (first > 0) & ~direct
 
 
-def candidates(files: DataFrame, system: bool = False, max_depth: int | None = None) -> DataFrame:
+def candidates(files: DataFrame, system: bool = False) -> DataFrame:
     path, root = F.col("path"), F.col("root")
-    keep = ~below_excluded_dir(path, root, system) & ~editor_noise(path, root)
-    if max_depth is not None:
-        keep = keep & (relative_depth(path, root) <= max_depth)
-    return files.where(keep)
+    return files.where(~below_excluded_dir(path, root, system) & ~editor_noise(path, root))
 
 
 def tier_roots(homes: DataFrame) -> DataFrame:
@@ -82,16 +79,12 @@ def assign_origin(files: DataFrame, homes: DataFrame) -> DataFrame:
     A file below several roots gets the first tier.  The join is on the ancestor directories of a
     file, an equality, so it never compares every file with every root.
     """
-    parts = with_path_parts(files.select("scan_id", "path"))
-    direct = (homes.select("scan_id", F.col("home").alias("root"))
-              .withColumns({"tier": F.lit("home"), "tier_rank": F.lit(0)}))
-    exact = salted_join(parts, direct.withColumnRenamed("root", "dir"), ["scan_id", "dir"], ["path"]) \
-        .select("scan_id", "path", "tier", "tier_rank")
-    roots = tier_roots(homes)
-    below = salted_join(parts.select("scan_id", "path", F.explode(paths.ancestor_dirs(F.col("dir"))).alias("root")),
-                        roots, ["scan_id", "root"], ["path"]).select("scan_id", "path", "tier", "tier_rank")
-    return (exact.unionByName(below).groupBy("scan_id", "path")
-            .agg(F.min(F.struct("tier_rank", "tier")).alias("m"))
+    parts = with_path_parts(files.select("scan_id", "path")).select("scan_id", "path", "dir")
+    roots = tier_roots(homes).withColumn("only_here", F.lit(False)).unionByName(homes.select(
+        "scan_id", F.col("home").alias("root"), F.lit("home").alias("tier"), F.lit(0).alias("tier_rank"), F.lit(True).alias("only_here")))
+    above = parts.withColumn("root", F.explode(paths.ancestor_dirs(F.col("dir"))))
+    return (salted_join(above, roots, ["scan_id", "root"], ["path"]).where(~F.col("only_here") | (F.col("root") == F.col("dir")))
+            .groupBy("scan_id", "path").agg(F.min(F.struct("tier_rank", "tier")).alias("m"))
             .select("scan_id", "path", F.col("m.tier").alias("origin")))
 
 
@@ -121,15 +114,14 @@ def spread_rank(rows: DataFrame, keys, digest: Column, name: str = "rank") -> Da
             .drop("_digest", "_share", "_before"))
 
 
-def keep_first(files: DataFrame, cap: int, keys=("scan_id",)) -> DataFrame:
-    """At most ``cap`` files per scan, smallest path digest first, with a ``truncated`` flag.
+def in_walk_order(files: DataFrame, keys=("scan_id",)) -> DataFrame:
+    """Every file with ``walk_rank`` and ``walk_total`` in its scan, in the order of path digests.
 
-    The walk order the limit refers to is undefined, so any fixed order will do.
+    The order of a directory walk is undefined, so any fixed order will do.
     """
     digest = F.sha2(F.concat_ws("/", *keys, "path"), 256)
-    ranked = spread_rank(files, keys, digest, "_rank")
-    return (ranked.where(F.col("_rank") <= cap).withColumn("truncated", F.col("_rank_total") > cap)
-            .drop("_rank", "_rank_total"))
+    ranked = spread_rank(files, keys, digest, "walk_rank")
+    return ranked.withColumnRenamed("walk_rank_total", "walk_total")
 
 
 def salted_join(big: DataFrame, small: DataFrame, keys, spread, how: str = "inner", salts: int = 16) -> DataFrame:
@@ -157,3 +149,15 @@ def top_n(df: DataFrame, keys, order, n: int, salt_from, salts: int = 32) -> Dat
     return (df.withColumn("_salt", F.pmod(F.xxhash64(*salt_from), F.lit(salts)))
             .withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= n).drop("_salt", "_n")
             .withColumn("rank", F.row_number().over(last)).where(F.col("rank") <= n))
+
+
+def beyond_top_n(df: DataFrame, keys, order, n: int, salt_from, salts: int = 32) -> DataFrame:
+    """The rows that :func:`top_n` leaves out, from one pass: what is not among the first ``n`` of its
+    share is out, and the few others are ranked per key."""
+    keys = list(keys)
+    shares = Window.partitionBy(*keys, "_salt").orderBy(*order)
+    few = F.when(F.col("_n") > n, F.col("_salt")).otherwise(-1)
+    last = Window.partitionBy(*keys, "_group").orderBy(*order)
+    return (df.withColumn("_salt", F.pmod(F.xxhash64(*salt_from), F.lit(salts))).withColumn("_n", F.row_number().over(shares))
+            .withColumn("_group", few).withColumn("_last", F.row_number().over(last))
+            .where((F.col("_n") > n) | (F.col("_last") > n)).drop("_salt", "_n", "_group", "_last"))

@@ -5,7 +5,7 @@ which modes it runs and when its results may be reused.  Artifact rows of all de
 united by column name.
 """
 
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, field
 from typing import Protocol
 
 from pyspark.sql import Column, DataFrame
@@ -22,24 +22,20 @@ NO_STRINGS = "array<string>"
 
 @dataclass(frozen=True)
 class ScanOptions:
-    """``head_bytes``/``file_bytes``/``source_files`` bound reads; None reads everything."""
+    """``content_gate``: read only texts of files on the allow list, as a scan does by default."""
 
     mode: str = "workdir"
     deep: bool = True
     content_gate: bool = True
-    head_bytes: int | None = None
-    file_bytes: int | None = None
-    source_files: int | None = None
     rules: list = field(default_factory=list)
-
-    def bounded(self) -> "ScanOptions":
-        """The same scan with 8 KiB heads, 256 KiB source files and 512 source files per scan."""
-        return replace(self, head_bytes=names.HEAD_BYTES, file_bytes=names.BOUNDED_READ_BYTES,
-                       source_files=names.SOURCE_SURFACE_FILES)
+    detectors: tuple = ()
 
 
 class Detector(Protocol):
+    """A detector of the user's own goes into ``ScanOptions.detectors``; ``modes``: where it runs."""
+
     name: str
+    modes: list[str]
 
     def __call__(self, files: DataFrame, ctx: ScanOptions) -> DataFrame: ...
 
@@ -55,9 +51,9 @@ def cacheable(mode: str, detector: str) -> bool:
 def prepare(files: DataFrame, ctx: ScanOptions) -> DataFrame:
     """Add path parts, the readable ``text`` and the content gate to corpus rows."""
     out = with_path_parts(files)
-    whole_text = ctx.head_bytes is None and out.schema["content"].dataType.simpleString() == "string"
+    is_text = out.schema["content"].dataType.simpleString() == "string"
     return out.withColumns({
-        "text": F.col("content") if whole_text else T.utf8_head(F.col("content"), ctx.head_bytes),
+        "text": F.col("content") if is_text else T.utf8_text(F.col("content")),
         "content_ok": paths.content_allowed(F.col("name")),
     })
 
@@ -72,9 +68,9 @@ def _file_facts() -> list[Column]:
     gated = F.when(F.col("content_ok"), text)
     return [
         *[F.col(c) for c in _CARRIED],
-        I.content_hash(content, size).alias("content_hash"),
-        I.hash_mode(size).alias("content_hash_mode"),
-        I.bytes_hashed(size).alias("content_hash_bytes"),
+        I.content_hash(content).alias("content_hash"),
+        F.lit(I.HASH_MODE).alias("content_hash_mode"),
+        size.cast("bigint").alias("content_hash_bytes"),
         G.env_marker(gated).alias("env_marker"),
         F.coalesce(G.template_surface(gated), F.lit(False)).alias("template_surface"),
         F.coalesce(G.user_input_surface(gated), F.lit(False)).alias("user_input_surface"),
@@ -219,17 +215,20 @@ def browser_footprints(directories: DataFrame) -> DataFrame:
     """One artifact per browser root that has extensions.
 
     The ids themselves stay in :func:`browser_extensions`; the identity of the artifact covers them
-    by an order-free digest, so no list is built.
+    by ``ids_digest``, a digest over the digests of 256 shares of sorted ids.
     """
-    out = (browser_extensions(directories).groupBy("scan_id", "profile_root", "path")
-           .agg(F.count("*").alias("extension_count"),
-                F.bit_xor(F.xxhash64("extension_id")).alias("ids_digest")))
+    key = ["scan_id", "profile_root", "path"]
+    shares = (browser_extensions(directories).withColumn("share", F.left(F.sha2("extension_id", 256), F.lit(2)))
+              .groupBy(*key, "share").agg(F.count("*").alias("n"), F.sha2(F.array_join(
+                  F.array_sort(F.collect_list("extension_id")), "\n"), 256).alias("digest")))
+    out = shares.groupBy(*key).agg(F.sum("n").alias("extension_count"), F.sha2(F.array_join(F.transform(
+        F.array_sort(F.collect_list(F.struct("share", "digest"))), lambda s: s["digest"]), "\n"), 256).alias("ids_digest"))
     facts = F.struct("extension_count", F.col("ids_digest").alias("extension_ids"), "profile_root")
     none = F.array().cast(NO_STRINGS)
     digest = F.sha2(F.to_json(F.struct(facts.alias("metadata"), none.alias("risk_reasons"),
                                        none.alias("signals"))), 256)
     return out.select(
-        "scan_id", "path", "profile_root", "extension_count", digest.alias("content_digest"), F.lit("browser_footprints").alias("detector"),
+        "scan_id", "path", "profile_root", "extension_count", "ids_digest", digest.alias("content_digest"), F.lit("browser_footprints").alias("detector"),
         F.lit(0).alias("rule_order"), F.lit("browser_footprint").alias("artifact_type"),
         F.lit(0.6).alias("confidence"), F.array().cast(NO_STRINGS).alias("signals"),
         F.lit("host").alias("origin"))

@@ -1,6 +1,6 @@
 """Relations between directories, and long lists cut into bounded parts."""
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskledger.catalog import names
@@ -14,12 +14,14 @@ def chunked_lists(edges: DataFrame, keys, item: Column, spread: str, size: int =
     """``keys, part, parts, items``: the sorted items of each key in parts of about ``size``.
 
     A key with few items gives one row.  A key with millions gives many, each built in its own
-    group, so no group grows with the data and nothing is left out.
+    group, so no group grows with the data and nothing is left out.  Parts are numbered from 0.
     """
     keys = list(keys)
     parts = edges.groupBy(*keys).agg(F.ceil(F.count("*") / F.lit(size)).cast("int").alias("parts"))
     split = salted_join(edges, parts, keys, [spread]).withColumn("part", F.pmod(F.xxhash64(spread), F.col("parts")).cast("int"))
-    return split.groupBy(*keys, "part", "parts").agg(F.array_sort(F.collect_list(item)).alias("items"))
+    lists = split.groupBy(*keys, "part").agg(F.array_sort(F.collect_list(item)).alias("items"))
+    place = Window.partitionBy(*keys)
+    return lists.withColumns({"part": F.row_number().over(place.orderBy("part")) - 1, "parts": F.count("*").over(place).cast("int")})
 
 
 def scope_markers(directory: Column) -> Column:

@@ -1,12 +1,11 @@
 """Reports over scored artifacts.  Every ranking and example list works per scan (or over the
 fleet) with bounded rows per group; counts are pre-aggregated before they shuffle."""
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskledger.functions import paths, scoring as S
-from riskledger.operators.corpus import top_n
-from riskledger.session import cut
+from riskledger.operators.corpus import beyond_top_n, top_n
 
 FLAGGED, CLEAR = ["critical", "high"], ["low", "info"]
 VISIBLE = 3
@@ -39,9 +38,8 @@ def riskiest(artifacts: DataFrame, n: int = VISIBLE) -> DataFrame:
 def remainder_by_directory(artifacts: DataFrame, n: int = VISIBLE) -> DataFrame:
     """Everything but the ``n`` worst, counted by directory and type: ``scan_id, dir,
     artifact_type, artifacts, dir_total``."""
-    keys = ["scan_id", "detector", "path", "rule_order"]
-    rows = cut(artifacts.select(*keys, "artifact_type", "detector_rank", "verification_status", "risk_score"))
-    rest = rows.join(riskiest(rows, n).select(*keys), keys, "left_anti")
+    rows = artifacts.select("scan_id", "path", "rule_order", "artifact_type", "detector_rank", "verification_status", "risk_score")
+    rest = beyond_top_n(rows, ["scan_id"], _riskiest(), n, ["path", "rule_order"])
     per_type = (rest.groupBy("scan_id", paths.parent_dir(F.col("path")).alias("dir"), "artifact_type")
                 .agg(F.count("*").alias("artifacts")))
     totals = per_type.groupBy("scan_id", "dir").agg(F.sum("artifacts").alias("dir_total"))
@@ -50,15 +48,16 @@ def remainder_by_directory(artifacts: DataFrame, n: int = VISIBLE) -> DataFrame:
 
 def review_groups(artifacts: DataFrame, examples: int = 2) -> DataFrame:
     """Medium rows per top reason: count and the first example paths (by path)."""
-    rows = cut(artifacts.where("verification_status = 'medium'").select(
+    rows = artifacts.where("verification_status = 'medium'").select(
         "scan_id", "path", "rule_order", F.coalesce(
-            S.reason_label(F.try_element_at("risk_reasons", F.lit(1))), F.lit("Other")).alias("reason")))
-    counts = rows.groupBy("scan_id", "reason").agg(F.count("*").alias("artifacts"))
-    shown = top_n(rows.select("scan_id", "reason", "path", "rule_order"), ["scan_id", "reason"],
-                  [F.asc("path"), F.asc("rule_order")], examples, ["path", "rule_order"])
-    listed = shown.groupBy("scan_id", "reason").agg(F.array_sort(F.collect_list(F.struct("rank", "path"))).alias("e"))
-    return counts.join(listed, ["scan_id", "reason"]).select(
-        "scan_id", "reason", "artifacts", F.transform("e", lambda x: x["path"]).alias("examples"))
+            S.reason_label(F.try_element_at("risk_reasons", F.lit(1))), F.lit("Other")).alias("reason"))
+    keys, order = ["scan_id", "reason"], [F.asc("path"), F.asc("rule_order")]
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64("path", "rule_order"), F.lit(32)))
+    place = F.row_number().over(Window.partitionBy(*keys, "_salt").orderBy(*order))
+    shares = salted.withColumn("_n", place).groupBy(*keys, "_salt").agg(
+        F.count("*").alias("artifacts"), F.collect_list(F.when(F.col("_n") <= examples, F.struct("path", "rule_order"))).alias("e"))
+    return shares.groupBy(*keys).agg(F.sum("artifacts").alias("artifacts"), F.array_sort(F.flatten(F.collect_list("e"))).alias("e")).select(
+        *keys, "artifacts", F.transform(F.slice("e", 1, examples), lambda x: x["path"]).alias("examples"))
 
 
 def with_lite_rank(artifacts: DataFrame) -> DataFrame:
@@ -67,18 +66,19 @@ def with_lite_rank(artifacts: DataFrame) -> DataFrame:
         "confidence_milli": (F.col("confidence") * 1000).cast("bigint")})
 
 
+def _lite_order() -> list[Column]:
+    return [F.desc("local_score"), F.desc("risk_score"), F.desc("confidence_milli"),
+            F.asc("detector_rank"), F.asc("path"), F.asc("rule_order")]
+
+
 def lite_visible(artifacts: DataFrame, n: int = VISIBLE) -> DataFrame:
     """The ``n`` artifacts a reduced report shows per scan, with their rank."""
-    order = [F.desc("local_score"), F.desc("risk_score"), F.desc("confidence_milli"),
-             F.asc("detector_rank"), F.asc("path"), F.asc("rule_order")]
-    return top_n(with_lite_rank(artifacts), ["scan_id"], order, n, ["path", "rule_order"])
+    return top_n(with_lite_rank(artifacts), ["scan_id"], _lite_order(), n, ["path", "rule_order"])
 
 
 def lite_hidden(artifacts: DataFrame, n: int = VISIBLE) -> DataFrame:
     """The other artifacts of a reduced report."""
-    keys = ["scan_id", "detector", "path", "rule_order"]
-    rows = cut(artifacts)
-    return rows.join(lite_visible(rows, n).select(*keys), keys, "left_anti")
+    return beyond_top_n(with_lite_rank(artifacts), ["scan_id"], _lite_order(), n, ["path", "rule_order"])
 
 
 def hidden_summary(hidden: DataFrame) -> DataFrame:

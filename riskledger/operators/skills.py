@@ -3,13 +3,13 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskledger.catalog import labels as L, names
+from riskledger.catalog import labels as L
 from riskledger.functions import paths
 from riskledger.functions.scoring import lookup
 from riskledger.operators.corpus import salted_join, with_path_parts
 
 
-def skill_directory_files(files: DataFrame, max_depth: int = names.SKILL_DIR_DEPTH) -> DataFrame:
+def skill_directory_files(files: DataFrame) -> DataFrame:
     """Files below each skill file's directory: ``scan_id, skill_path, path, rel_path, is_text``.
 
     Files are joined through their ancestor directories, an equality on ``(scan_id, dir)``.
@@ -22,7 +22,6 @@ def skill_directory_files(files: DataFrame, max_depth: int = names.SKILL_DIR_DEP
     rel = paths.relative_to(F.col("path"), F.col("skill_dir"))
     return (salted_join(below, skills, ["scan_id", "skill_dir"], ["path"])
             .withColumn("rel_path", rel)
-            .where(F.size(F.split("rel_path", "/")) <= max_depth + 1)
             .select("scan_id", "skill_path", "path", "rel_path", paths.is_text_file(F.col("name")).alias("is_text")))
 
 

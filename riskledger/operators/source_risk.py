@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from riskledger.catalog import names, patterns as P
 from riskledger.functions import identity as I, paths, signals as G, text as T
 from riskledger.functions.regex import to_java
-from riskledger.operators.corpus import keep_first, top_n, with_path_parts
+from riskledger.operators.corpus import top_n, with_path_parts
 from riskledger.operators.detectors import NO_STRINGS, ScanOptions
 from riskledger.session import cut
 
@@ -30,13 +30,6 @@ def eligible(files: DataFrame) -> DataFrame:
     return parts.where(F.col("is_source") | paths.is_json_config(F.col("name")))
 
 
-def _readable(ctx: ScanOptions) -> Column:
-    content = F.col("content")
-    if ctx.file_bytes is None:
-        return F.try_validate_utf8(content.cast("binary").cast("string"))
-    return T.bounded_text(content, F.col("size_bytes"), ctx.file_bytes)
-
-
 def nonliteral_argument(line: Column, expression: str, literal_starts: str) -> Column:
     """Is the first argument after the first match anything but a literal?"""
     first = F.regexp_extract(line, to_java(expression + r"\s*(\S?)"), 1)
@@ -100,7 +93,7 @@ def findings(files: DataFrame, ctx: ScanOptions) -> DataFrame:
     Contents are read once.  Each file gives one row for its whole text and, for source files, one
     row per line, all inside its task; only finding rows, reduced per file first, are shuffled.
     """
-    texts = eligible(files).select("scan_id", "path", "is_source", _readable(ctx).alias("body")).where("body is not null")
+    texts = eligible(files).select("scan_id", "path", "is_source", T.utf8_text(F.col("content")).alias("body")).where("body is not null")
     split = F.when(F.col("is_source"), T.lines(F.col("body"))).otherwise(F.array().cast(NO_STRINGS))
     units = texts.select("scan_id", "path", "is_source",
                          F.posexplode(F.concat(F.array("body"), split)).alias("line", "text"))
@@ -127,7 +120,7 @@ def common_root(low: Column, high: Column) -> Column:
     """Longest common directory of a set of paths, given the smallest and the largest of them."""
     size = F.least(F.length(low), F.length(high))
     shared = F.aggregate(
-        F.sequence(F.lit(1), F.lit(13)),
+        F.sequence(F.lit(1), F.lit(32)),
         F.struct(F.lit(0).alias("a"), size.alias("b")),
         lambda s, _: F.when(s["a"] >= s["b"], s).when(
             F.left(low, F.shiftright(s["a"] + s["b"] + 1, 1)) == F.left(high, F.shiftright(s["a"] + s["b"] + 1, 1)),
@@ -148,14 +141,10 @@ def top_risky_files(found: DataFrame, n: int = names.TOP_RISKY_FILES) -> DataFra
 def source_surface(files: DataFrame, ctx: ScanOptions) -> DataFrame:
     """One artifact row per scan that has source or JSON files next to agent files."""
     supported = eligible(files)
-    if ctx.source_files is not None:
-        supported = keep_first(supported, ctx.source_files)
-    else:
-        supported = supported.withColumn("truncated", F.lit(False))
     counts = supported.groupBy("scan_id").agg(
         F.count_if("is_source").alias("scanned_source_file_count"),
         F.count_if(~F.col("is_source")).alias("scanned_json_file_count"),
-        F.min("path").alias("_low"), F.max("path").alias("_high"), F.bool_or("truncated").alias("truncated"))
+        F.min("path").alias("_low"), F.max("path").alias("_high"))
     adjacent = (with_path_parts(files).groupBy("scan_id")
                 .agg(F.bool_or(paths.content_allowed(F.col("name"))).alias("ai_adjacent_context")))
     found = cut(findings(supported, ctx))
@@ -176,13 +165,11 @@ def source_surface(files: DataFrame, ctx: ScanOptions) -> DataFrame:
         F.map_from_entries(F.coalesce("families", F.array().cast("array<struct<family:string,n:bigint>>")))
         .alias("finding_counts"),
         F.coalesce(F.transform("top", lambda t: t["path"]), none).alias("top_risky_files"),
-        "scanned_source_file_count", "scanned_json_file_count", "ai_adjacent_context", "truncated",
+        "scanned_source_file_count", "scanned_json_file_count", "ai_adjacent_context",
         (F.col("_low") if ctx.mode == "file" else
          F.coalesce(common_root(F.col("_low"), F.col("_high")), paths.parent_dir(F.col("_low")))).alias("path"))
-    limit = names.SOURCE_SURFACE_FILES
-    facts = F.struct("ai_adjacent_context", F.lit(limit).alias("bounded_scan_limit"), "finding_counts",
-                     "matched_families", "scanned_json_file_count", "scanned_source_file_count",
-                     "top_risky_files", "truncated")
+    facts = F.struct("ai_adjacent_context", F.map_entries("finding_counts").alias("finding_counts"), "matched_families",
+                     "scanned_json_file_count", "scanned_source_file_count", "top_risky_files")
     digest = F.sha2(F.to_json(F.struct(facts.alias("metadata"), none.alias("risk_reasons"),
                                        F.col("signals").alias("signals"))), 256)
     return rows.withColumns({

@@ -5,7 +5,7 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskledger.catalog import labels as L, names
+from riskledger.catalog import contract_schema as X, labels as L, names
 from riskledger.operators import entities as E, links, mcp_servers as M
 from riskledger.operators.corpus import salted_join
 from riskledger.operators.detectors import ScanOptions
@@ -91,8 +91,12 @@ def _with_list(rows: DataFrame, keys, edges: DataFrame, item: Column, spread: st
     """Attach a long list to its record, in as many record parts as the list needs."""
     chunks = links.chunked_lists(edges, keys, item, spread).select(
         *keys, F.col("items").alias(name), "part", "parts")
-    return rows.join(chunks, keys, "left").withColumn(
-        "listPart", F.when(F.col("parts") > 1, F.col("part") + 1)).drop("part", "parts")
+    return _numbered(rows.join(chunks, keys, "left")).drop("part", "parts")
+
+
+def _numbered(rows: DataFrame) -> DataFrame:
+    """Part numbers of a record: 1 of 1 where its list has one part or none."""
+    return rows.withColumns({"listPart": F.coalesce(F.col("part"), F.lit(0)) + 1, "listParts": F.coalesce("parts", F.lit(1))})
 
 
 def _or_empty(rows: DataFrame, name: str, kind: str) -> Column:
@@ -102,8 +106,10 @@ def _or_empty(rows: DataFrame, name: str, kind: str) -> Column:
 def records(c: Contract, logs: DataFrame | None = None) -> DataFrame:
     """``scan_id, section, key, record``: every contract record as JSON.
 
-    Field names follow the contract; absent optional fields are left out.  A record whose list is
-    longer than one part appears once per part with a ``listPart`` number.
+    Field names follow the contract; absent optional fields are left out.  A record with a list of no
+    fixed size carries ``listPart`` and ``listParts``; a longer list appears as several such parts, which
+    hold every item once.  The lists are also tables of their own: ``server_links``, ``dependents``,
+    ``members`` and ``consumers`` of :class:`Contract`.
     """
     out = [c.prompts.select("scan_id", F.lit("prompts").alias("section"), F.col("id").alias("key"), F.to_json(_pair([
         ("id", "id"), ("name", "name"), ("sourceFilePath", "source_file_path"),
@@ -124,7 +130,7 @@ def records(c: Contract, logs: DataFrame | None = None) -> DataFrame:
                                         "binaries", "apis")),
               ("consumers", _or_empty(skills, "consumers",
                                       "array<struct<id:string,name:string,type:string,invocations:int>>")),
-              ("listPart", "listPart")]
+              ("listPart", "listPart"), ("listParts", "listParts")]
     if "detected_source" in skills.columns:
         s = F.col("detected_source")
         fields.append(("detectedSource", F.when(s.isNotNull(), F.struct(
@@ -161,13 +167,12 @@ def records(c: Contract, logs: DataFrame | None = None) -> DataFrame:
                                   ("command", "command_line"), ("tools", "tools"),
                                   ("dependentAgents", dependents),
                                   ("networkEvidence", evidence), ("envVars", refs),
-                                  ("listPart", "listPart")])).alias("record")))
+                                  ("listPart", "listPart"), ("listParts", "listParts")])).alias("record")))
 
     tool = F.struct("first_path", F.col("server_name").alias("name"))
     tools = links.chunked_lists(c.server_links, ["scan_id", "agent_dir"], tool, "server_name") \
         .withColumnRenamed("agent_dir", "dir")
-    agents = c.agents.join(tools, ["scan_id", "dir"], "left").withColumn(
-        "listPart", F.when(F.col("parts") > 1, F.col("part") + 1))
+    agents = _numbered(c.agents.join(tools, ["scan_id", "dir"], "left"))
     typed = lambda kind: (lambda n: F.struct(n.alias("name"), F.lit(kind).alias("type")))
     tool_names = F.transform(_or_empty(agents, "items", "array<struct<first_path:string,name:string>>"), lambda i: i["name"])
     agents = agents.withColumn("tool_names", tool_names)
@@ -178,26 +183,31 @@ def records(c: Contract, logs: DataFrame | None = None) -> DataFrame:
         ("executionModel", "execution_model"), ("trustScore", "trust_score"), ("version", "version"),
         ("author", "author"), ("sourceRepo", "source_repo"), ("capabilities", "capabilities"),
         ("tools", F.concat(F.transform(declared, typed("skill")), F.transform("tool_names", typed("mcp")))),
-        ("trustBreakdown", "trust_breakdown"), ("listPart", "listPart")])).alias("record")))
+        ("trustBreakdown", "trust_breakdown"), ("listPart", "listPart"), ("listParts", "listParts")])).alias("record")))
 
-    tool_names = agents.select("scan_id", F.col("id").alias("agent_id"),
+    # members and the tool lists of members share one list: an agent is one member, however many parts its tools have
+    tool_names = agents.select("scan_id", F.col("id").alias("agent_id"), F.col("listPart").alias("tool_part"),
                                F.concat(declared, "tool_names").alias("tool_names"))
-    member = F.struct("step", F.col("agent_id").alias("id"), F.col("agent_name").alias("name"),
-                      E.workflow_action(F.col("classification"), F.col("tool_count")).alias("action"), "tool_names")
-    apps = _with_list(c.apps, ["scan_id", "dir"], c.members.join(tool_names, ["scan_id", "agent_id"]), member,
-                      "agent_id", "members")
-    kind = "array<struct<step:bigint,id:string,name:string,action:string,tool_names:array<string>>>"
+    who = c.members.select("scan_id", "dir", "agent_id", "step", F.col("agent_name").alias("name"),
+                           E.workflow_action(F.col("classification"), F.col("tool_count")).alias("action"))
+    with_tools = salted_join(who.select("scan_id", "dir", "agent_id", "step"), tool_names, ["scan_id", "agent_id"], ["dir"])
+    member = F.struct("step", "tool_part", F.col("agent_id").alias("id"), "name", "action", "tool_names")
+    edges = who.withColumn("tool_part", F.lit(0)).unionByName(with_tools, allowMissingColumns=True)
+    apps = _with_list(c.apps, ["scan_id", "dir"], edges, member, "agent_id", "members")
+    kind = "array<struct<step:bigint,tool_part:int,id:string,name:string,action:string,tool_names:array<string>>>"
     apps = apps.withColumn("members", _or_empty(apps, "members", kind))
+    apps = apps.withColumns({"tool_lists": F.filter("members", lambda m: m["tool_part"] > 0),
+                             "members": F.filter("members", lambda m: m["tool_part"] == 0)})
     out.append(apps.select("scan_id", F.lit("agenticApps").alias("section"), F.col("id").alias("key"), F.to_json(_pair([
         ("id", "id"), ("name", "name"), ("sourceFilePath", "source_file_path"), ("framework", "framework"),
         ("agentCount", "agent_count"), ("risk", "risk"), ("reviewStatus", "review_status"),
         ("description", "description"),
         ("agents", F.transform("members", lambda m: F.struct(m["id"].alias("id"), m["name"].alias("name")))),
-        ("toolsByAgent", F.transform("members", lambda m: m["tool_names"])),
+        ("toolsByAgent", F.transform("tool_lists", lambda m: m["tool_names"])),
         ("workflow", F.transform("members", lambda m: F.struct(
             m["step"].alias("step"), m["name"].alias("agent"), m["action"].alias("action")))),
         ("integrations", "integrations"), ("verificationChecks", "verification_checks"),
-        ("riskTags", "risk_tags"), ("riskSummary", "risk_summary"), ("listPart", "listPart")])).alias("record")))
+        ("riskTags", "risk_tags"), ("riskSummary", "risk_summary"), ("listPart", "listPart"), ("listParts", "listParts")])).alias("record")))
     every = out[0]
     for part in out[1:]:
         every = every.unionByName(part)
@@ -250,14 +260,31 @@ def disclosure(record_rows: DataFrame, c: Contract, scans: DataFrame) -> DataFra
         .select("scan_id", "c.category", "c.label")
 
 
-def enum_violations(record_rows: DataFrame) -> DataFrame:
-    """``scan_id, section, key, field, value`` where a label is outside the contract's enum."""
-    checks = []
-    for name, allowed in L.CONTRACT_ENUMS.items():
-        section, field = name.split(".")
-        value = F.get_json_object("record", f"$.{field}")
-        checks.append(F.when((F.col("section") == section) & (value.isNull() | ~value.isin(allowed)),
-                             F.struct(F.lit(field).alias("field"), value.alias("value"))))
-    return record_rows.select("scan_id", "section", "key", F.explode(
-        F.filter(F.array(*checks), lambda x: x.isNotNull())).alias("v")).select(
-        "scan_id", "section", "key", "v.field", "v.value")
+def disclosure_counts(record_rows: DataFrame) -> DataFrame:
+    """``scan_id, artifact_records, server_records``: how many records a submission shows."""
+    part = F.get_json_object("record", "$.listPart")
+    each = record_rows.where(part.isNull() | (part == "1"))
+    servers = F.col("section") == "mcpServers"
+    return each.groupBy("scan_id").agg(F.count_if(~servers).alias("artifact_records"), F.count_if(servers).alias("server_records"))
+
+
+def violations(record_rows: DataFrame) -> DataFrame:
+    """``scan_id, section, key, field, value``: required fields that are missing (value NULL) and labels
+    outside the contract's lists, those inside lists of a record included."""
+    out = None
+    for section, ddl in X.RECORDS.items():
+        rows = record_rows.where(F.col("section") == section).withColumn("r", F.from_json("record", ddl))
+        bad = [F.when(F.col(f"r.{name}").isNull(), F.array(F.struct(F.lit(name).alias("field"), F.lit(None).cast("string").alias("value"))))
+               for name in X.required(section)]
+        for path, allowed in X.ENUMS.items():
+            of, *names = path.split(".")
+            if of != section:
+                continue
+            field, values = ".".join(names), F.col(f"r.{names[0]}")
+            listed = F.array(values) if len(names) == 1 else F.transform(values, lambda x: x[names[1]])
+            odd = F.array_distinct(F.filter(listed, lambda v: v.isNotNull() & ~v.isin(allowed)))
+            bad.append(F.transform(odd, lambda v: F.struct(F.lit(field).alias("field"), v.alias("value"))))
+        none = F.expr("cast(array() as array<struct<field:string,value:string>>)")
+        part = rows.select("scan_id", "section", "key", F.inline(F.concat(*[F.coalesce(b, none) for b in bad])))
+        out = part if out is None else out.unionByName(part)
+    return out

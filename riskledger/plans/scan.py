@@ -1,9 +1,9 @@
 """The scan: corpus to scored, graded and classified artifacts."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskledger.catalog import names
+from riskledger.catalog import names, weights as W
 from riskledger.functions import identity as I, paths, scoring as S
 from riskledger.functions.signals import computed_once
 from riskledger.operators import detectors as D
@@ -29,8 +29,9 @@ def files_of_interest(files: DataFrame, ctx: D.ScanOptions) -> DataFrame:
 def detect(files: DataFrame, ctx: D.ScanOptions, directories: DataFrame | None = None) -> DataFrame:
     """Artifacts of every detector that runs in the mode, united by column name.
 
-    Contents are read twice at most: once to set the files of interest aside for the per-file
-    detectors, once by the source scan.  Everything that looks across files reads paths only.
+    Contents are read twice: once to set the files of interest aside for the per-file detectors, once
+    by the source scan; a detector of the user's own reads what it asks for.  Everything that looks
+    across files reads paths only.
     """
     few = cut(files_of_interest(files, ctx))
     parts = []
@@ -43,6 +44,9 @@ def detect(files: DataFrame, ctx: D.ScanOptions, directories: DataFrame | None =
             parts.append(source_surface(files, ctx))
     if directories is not None and "browser_footprints" in D.detectors_for(ctx.mode):
         parts.append(D.browser_footprints(directories))
+    for detector in ctx.detectors:
+        if ctx.mode in detector.modes:
+            parts.append(detector(files, ctx).withColumn("detector", F.lit(detector.name)))
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part, allowMissingColumns=True)
@@ -92,9 +96,13 @@ def scan(files: DataFrame, ctx: D.ScanOptions, directories: DataFrame | None = N
     return classify(grade(score(ranked)), ctx.mode)
 
 
-def filter_by_severity(artifacts: DataFrame, level: str) -> DataFrame:
-    """Keeps by score, not by severity label, so a critical row of low score can drop out."""
-    return artifacts.where(F.col("risk_score") >= S.min_score_of(level))
+def filter_by_severity(artifacts: DataFrame, level: str | Column) -> DataFrame:
+    """Keeps by score, not by severity label, so a critical row of low score can drop out.
+
+    ``level`` is one level for all rows, or a column that names each row's own.
+    """
+    least = F.lit(S.min_score_of(level)) if isinstance(level, str) else S.lookup(dict(W.SEVERITY_BANDS), level, 0)
+    return artifacts.where(F.col("risk_score") >= least)
 
 
 def registry_identity(artifacts: DataFrame) -> DataFrame:

@@ -79,7 +79,7 @@ def test_payload(spark, ctx, corpus, tmp_path):
     app = doc["agenticApps"][0]
     assert (app["framework"], app["agentCount"], len(app["workflow"]), len(app["toolsByAgent"])) == ("CrewAI", 2, 2, 2)
     server = next(s for s in doc["mcpServers"] if s["name"] == "alpha")
-    assert len(server["dependentAgents"]) == 2 and "listPart" not in server
+    assert len(server["dependentAgents"]) == 2 and (server["listPart"], server["listParts"]) == (1, 1)
     prompt = next(p for p in doc["prompts"] if p["sourceFilePath"] == "/r/.cursorrules")
     assert prompt["secretRefs"][0]["detail"].endswith("via $") and len(prompt["injectionSurfaces"]) == 2
 
@@ -116,12 +116,35 @@ def test_disclosure_and_conformance(spark, ctx, corpus):
     assert got["empty"] == {"meta", "roots", "hostname", "version"}
     assert got["s"] == {"meta", "roots", "hostname", "version", "prompts", "skills", "agents", "apps", "commands",
                         "tools", "dependents", "logs", "env"}
-    assert contract.enum_violations(rows).count() == 0
+    assert contract.violations(rows).count() == 0
     broken = rows.where("section = 'mcpServers'").withColumn("record", F.replace("record", F.lit('"sse"'), F.lit('"odd"')))
-    assert [r.value for r in contract.enum_violations(broken).collect()] == ["odd"]
+    assert [r.value for r in contract.violations(broken).collect()] == ["odd"]
 
 
 def test_server_id(spark, ctx, corpus):
     row = M.mcp_servers(corpus([("/r/mcp.json", SERVERS)]), ctx).where("server_name = 'gh'").select(
         "id", short_hash(F.lit("/r/mcp.json")).alias("h")).first()
     assert row.id == "gh-" + row.h
+
+
+def test_long_lists_come_in_parts_that_hold_everything_once(spark, ctx, corpus, monkeypatch):
+    files = corpus([("/r/mcp.json", SERVERS), ("/r/Dockerfile", "FROM python\nRUN pip install crewai")]
+                   + [(f"/r/d{i}/AGENTS.md", "run shell") for i in range(5)])
+    c = contract.Contract(files, scan.scan(files, ctx), ctx)
+    whole = [r.record for r in contract.records(c).where("section = 'agenticApps'").collect()]
+    monkeypatch.setattr(contract.links.chunked_lists, "__defaults__", (2,))
+    parts = [json.loads(r.record) for r in contract.records(c).where("section = 'agenticApps'").collect()]
+    one = json.loads(whole[0])
+    assert len(whole) == 1 and one["agentCount"] == len(one["agents"]) == 5 and len(one["toolsByAgent"]) == 5
+    assert len(parts) > 1 and {p["listParts"] for p in parts} == {len(parts)}
+    assert sorted(w["step"] for p in parts for w in p["workflow"]) == [1, 2, 3, 4, 5]
+    assert sorted(a["id"] for p in parts for a in p["agents"]) == sorted(a["id"] for a in one["agents"])
+    assert sorted(t for p in parts for ts in p["toolsByAgent"] for t in ts) == sorted(t for ts in one["toolsByAgent"] for t in ts)
+
+
+def test_missing_fields_are_violations(spark, ctx, corpus):
+    rows = contract.records(built(spark, ctx, corpus))
+    broken = rows.where("section = 'agents'").withColumn("record", F.regexp_replace("record", '"author":"[^"]*",', ""))
+    assert {(r.field, r.value) for r in contract.violations(broken).collect()} == {("author", None)}
+    odd = rows.where("section = 'prompts'").withColumn("record", F.replace("record", F.lit('"tone":"safe"'), F.lit('"tone":"odd"')))
+    assert ("secretRefs.tone", "odd") in {(r.field, r.value) for r in contract.violations(odd).collect()}

@@ -21,7 +21,8 @@ def test_query(spark, con, name):
 
 
 def test_every_query_has_sql():
-    assert set(ORACLE) <= set(QUERIES)
+    """Every query of the library has check SQL; of the others, only those SQL can express."""
+    assert {q for q in QUERIES if not q.startswith("op") and q != "pipeline"} <= set(ORACLE) <= set(QUERIES)
 
 
 def test_entry(spark):

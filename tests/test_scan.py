@@ -96,18 +96,25 @@ def test_severity_filter_uses_the_score(spark, ctx, corpus):
     assert scan.filter_by_severity(rows, "high").count() == 0
 
 
-def test_keep_first_and_ranks_against_brute_force(spark):
+def test_walk_order_and_ranks_against_brute_force(spark):
     rows = [("hot" if i % 3 else f"s{i % 5}", f"/p/{i}") for i in range(3000)]
     df = spark.createDataFrame(rows, "scan_id string, path string")
     order = F.sha2(F.concat_ws("/", "scan_id", "path"), 256)
     want = df.withColumn("rank", F.row_number().over(Window.partitionBy("scan_id").orderBy(order)))
     got = C.spread_rank(df, ["scan_id"], order).drop("rank_total")
     assert got.select("scan_id", "path", "rank").exceptAll(want.withColumn("rank", F.col("rank").cast("bigint"))).count() == 0
-    for cap in (1, 70, 5000):
-        kept = C.keep_first(df, cap)
-        assert kept.drop("truncated").exceptAll(want.where(F.col("rank") <= cap).drop("rank")).count() == 0
-        assert kept.count() == want.where(F.col("rank") <= cap).count()
-        assert {r.truncated for r in kept.where("scan_id = 'hot'").collect()} == {cap < 2000}
+    every = C.in_walk_order(df)
+    assert every.select("scan_id", "path", F.col("walk_rank").alias("rank")).exceptAll(want.withColumn("rank", F.col("rank").cast("bigint"))).count() == 0
+    assert every.count() == 3000 and {r.walk_total for r in every.where("scan_id = 'hot'").collect()} == {2000}
+
+
+def test_beyond_top_n_is_the_rest(spark):
+    rows = [("hot" if i % 3 else f"s{i % 5}", i * 7919 % 1000, f"/p/{i}") for i in range(900)]
+    df = spark.createDataFrame(rows, "scan_id string, score int, path string")
+    order = [F.desc("score"), F.asc("path")]
+    first = C.top_n(df, ["scan_id"], order, 3, ["path"], salts=8).drop("rank")
+    rest = C.beyond_top_n(df, ["scan_id"], order, 3, ["path"], salts=8)
+    assert rest.columns == df.columns and first.intersect(rest).count() == 0 and first.count() + rest.count() == 900
 
 
 def test_top_n_against_brute_force(spark):
