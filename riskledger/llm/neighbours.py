@@ -24,18 +24,20 @@ from riskledger.llm.vectors import classed, matrix, vectors
 class Forest:
     """Production parameters.
 
-    The forest is grown on the ``sample`` vectors of the smallest hashes.  ``leaf``: rows a leaf should
-    have; ``share``: the part of all leaf entries (trees times rows) that a query looks at; ``chunk``:
-    rows of a leaf that one group holds.
+    The forest is grown on the ``sample`` vectors of the smallest hashes.  A tree has about ``leaves``
+    leaves, fewer where they would hold less than ``least`` rows.  A query looks at the part ``share`` of all
+    leaf entries (trees times rows), and at ``entries`` at least.  One group holds ``chunk`` rows of a leaf.
     """
 
     trees: int = 6
-    leaf: int = 1024
-    share: float = 0.18
+    leaves: int = 32
+    least: int = 256
+    share: float = 0.2
+    entries: int = 6144
     sample: int = 50_000
     neighbours: int = 20
     query_step: int = 20
-    chunk: int = 4096
+    chunk: int = 65_536
     seed: int = 5
 
 
@@ -47,7 +49,8 @@ class Trees:
         self.norm = float(np.sqrt((sample ** 2).sum(axis=1).max())) if len(sample) else 1.0
         points = self.lifted(sample)
         self.normals, self.cuts, self.children, self.roots, self.part = [], [], [], [], []
-        least = max(8, int(p.leaf * len(sample) / max(rows, 1)))
+        least = max(8, -(-len(sample) // p.leaves), p.least * len(sample) // max(rows, 1))
+        self.goal = p.trees * max(p.share, p.entries / max(1, rows * p.trees))
 
         def grow(index):
             while len(index) > least:
@@ -102,13 +105,13 @@ class Trees:
                     todo.append((self.children[node][1], rows[high]))
         return out
 
-    def search(self, q: np.ndarray, share: float) -> list[int]:
-        """Leaves in the order of one queue over all trees, up to ``share`` of all entries."""
+    def search(self, q: np.ndarray) -> list[int]:
+        """Leaves in the order of one queue over all trees, until enough entries are seen."""
         margin = (np.append(q, 0.0) @ self.normals.T - self.cuts).tolist() if len(self.cuts) else []
         queue = [(float("-inf"), root) for root in self.roots]
         heapq.heapify(queue)
         out, seen = [], 0.0
-        while queue and seen < share * len(self.roots):
+        while queue and seen < self.goal:
             worst, node = heapq.heappop(queue)
             if node < 0:
                 out.append(-node - 1)
@@ -199,7 +202,7 @@ def _of_one_length(spark, single: DataFrame, n: int, dim: int, p: Forest) -> Dat
     def ask(batches):
         for batch in batches:
             if batch.num_rows:
-                found = [trees.value.search(q, p.share) for q in matrix(batch.column("embedding"))]
+                found = [trees.value.search(q) for q in matrix(batch.column("embedding"))]
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.list_(pa.int64()))], names=[*batch.schema.names, "leaves"])
     ddl = "vec_id long, embedding array<double>, leaves array<long>"
     own = single.select("vec_id", "embedding")

@@ -164,7 +164,7 @@ def plain_nearest(rows, query, k):
 def test_nearest_with_the_whole_forest_is_exact(spark):
     rows, odd = vector_rows(5)
     rows = [(i, v) for i, v in rows if len(v) == 24]
-    p = neighbours.Forest(leaf=20, share=1.0, chunk=30, neighbours=7, query_step=3)
+    p = neighbours.Forest(leaves=1000, least=20, share=1.0, chunk=30, neighbours=7, query_step=3)
     got = {}
     for r in neighbours.nearest(vector_frame(spark, rows + odd[:6] + rows[:3]), p).orderBy("query_id", "rank").collect():
         got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
