@@ -203,7 +203,17 @@ def digested(short: DataFrame, hot: DataFrame) -> DataFrame:
     return short.select(*wanted).mapInArrow(digests, DIGEST_DDL).union(later)
 
 
-@query("op3_chat_format")
+_SHA = "sha256(coalesce(string_agg({}, '' ORDER BY turn NULLS FIRST, role, text){}, ''))"
+_SQL = f"""WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')),
+  c AS (SELECT *, length(role) + length(text) + len(regexp_extract_all(role || ' ' || text, '\\\\|</?s>|\\[/?INST\\]')) AS shown FROM t)
+SELECT conv_id, count(*) AS n_turns, {_SHA.format("role || chr(10) || text || chr(10)", "")} AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  {_SHA.format("text", " FILTER (WHERE role = 'assistant')")} AS loss_sha256,
+  CAST({len(BEGIN)} + sum(shown + {len(ROLE) + len(TEXT) + len(END)}) AS BIGINT) AS formatted_chars FROM c GROUP BY conv_id"""
+
+
+@query("op3_chat_format", _SQL)
 def op3(spark, sf_dir):
     """All conversations formatted and read back, with one that says nothing but control strings."""
     own = spark.createDataFrame([(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")],

@@ -229,7 +229,20 @@ def near_duplicates(docs: DataFrame, p: MinHash | None = None) -> DataFrame:
     return out.union(nameless)
 
 
-@query("op7_minhash_near_dedup")
+_SQL = """WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+  s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) < 2 THEN w ELSE list_transform(list_zip(w[:-2], w[2:]), lambda p: p[1] || ' ' || p[2]) END) AS s FROM w),
+  n AS (SELECT doc_id, len(s) AS n FROM s), u AS (SELECT doc_id, unnest(s) AS x, len(s) AS n FROM s),
+  both_ AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both_, any_value(a.n) AS na, any_value(b.n) AS nb FROM u a JOIN u b
+    ON a.x = b.x AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n) GROUP BY a.doc_id, b.doc_id),
+  half AS (SELECT a, b FROM both_ WHERE 100 * both_ >= 80 * (na + nb - both_)), links AS (SELECT a, b FROM half UNION ALL SELECT b, a FROM half),
+  reach AS (SELECT a AS x, b AS y FROM links UNION SELECT r.x, l.b FROM reach r JOIN links l ON l.a = r.y),
+  parts AS (SELECT x, least(x, min(y)) AS c FROM reach GROUP BY x)
+SELECT n.doc_id, CAST(n.n AS BIGINT) AS n_shingles, coalesce(p.c, n.doc_id) AS component_id, coalesce(p.c, n.doc_id) = n.doc_id AS kept
+FROM n LEFT JOIN parts p ON p.x = n.doc_id"""
+
+
+@query("op7_minhash_near_dedup", _SQL)
 def op7(spark, sf_dir):
     """Near-duplicate documents: two-word shingles, Jaccard 0.8 or more, whole texts."""
     return near_duplicates(table(spark, sf_dir, "documents"))
