@@ -35,10 +35,10 @@ class LanguageId:
     so many independent words in the score, because its words are not independent.
     """
 
-    train_rows: int = 4000
-    words: int = 200_000
-    grams: int = 100_000
-    longest: int = 5
+    train_rows: int = 2000
+    words: int = 100_000
+    grams: int = 20_000
+    longest: int = 4
     smoothing: float = 0.5
     evidence: float = 20.0
 
@@ -83,63 +83,79 @@ def counted(rows: DataFrame, p: LanguageId) -> DataFrame:
 class Model:
     """Units of each size with a row of log frequencies by language."""
 
-    def __init__(self, rows: list[tuple], totals: dict, p: LanguageId):
+    def __init__(self, sizes: np.ndarray, units: list[str], langs: list[str], counts: np.ndarray, totals: dict, p: LanguageId):
+        """Counts of units by language, column by column; ``totals``: all counts of (size, language)."""
         self.p, self.langs = p, sorted({lang for _, lang in totals})
         at = {lang: i for i, lang in enumerate(self.langs)}
-        self.units: list[dict[str, int]] = [{} for _ in range(p.longest + 1)]
-        for size, unit, _, _ in rows:
-            self.units[size].setdefault(unit, len(self.units[size]))
-        self.logs = []
-        for size, units in enumerate(self.units):
-            counts = np.zeros((len(units), len(self.langs)))
-            for s, unit, lang, n in rows:
-                if s == size:
-                    counts[units[unit], at[lang]] += n
+        column = np.array([at[lang] for lang in langs], np.int64)
+        self.units: list[dict[str, int]] = []
+        self.logs: list[np.ndarray] = []
+        for size in range(p.longest + 1):
+            rows = np.flatnonzero(np.asarray(sizes) == size)
+            known: dict[str, int] = {}
+            place = np.array([known.setdefault(units[r], len(known)) for r in rows], np.int64)
+            found = np.zeros((len(known), len(self.langs)))
+            np.add.at(found, (place, column[rows]), np.asarray(counts)[rows])
             total = np.array([totals.get((size, lang), 0) for lang in self.langs], float)
-            self.logs.append(np.log((counts + p.smoothing) / (total + p.smoothing * (len(units) + 1))))
-
-    def word(self, word: str) -> np.ndarray:
-        """Scores of one word: its own, or the mean over its longest known n-grams."""
-        known = self.units[0].get(word)
-        if known is not None:
-            return self.logs[0][known]
+            self.units.append(known)
+            self.logs.append(np.log((found + p.smoothing) / (total + p.smoothing * (len(known) + 1))).astype(np.float32))
+
+    def words(self, words: list[str]) -> np.ndarray:
+        """A row of scores for each word: its own, or the mean over its longest known n-grams."""
+        out = np.zeros((len(words), len(self.langs)), np.float32)
+        known = self.units[0]
+        place = np.array([known.get(w, -1) for w in words], np.int64)
+        own = np.flatnonzero(place >= 0)
+        out[own] = self.logs[0][place[own]]
+        rest = np.flatnonzero(place < 0).tolist()
         for size in range(self.p.longest, 0, -1):
-            rows = [r for g in grams_of(word, size) if (r := self.units[size].get(g)) is not None]
-            if rows:
-                return self.logs[size][rows].mean(axis=0)
-        return np.zeros(len(self.langs))
+            grams, found, starts, left, rows = self.units[size], [], [], [], []
+            for i in rest:
+                hits = [r for g in grams_of(words[i], size) if (r := grams.get(g)) is not None]
+                if hits:
+                    found.append(i)
+                    starts.append(len(rows))
+                    rows += hits
+                else:
+                    left.append(i)
+            if found:
+                total = np.add.reduceat(self.logs[size][rows], starts, axis=0)
+                out[found] = total / np.diff([*starts, len(rows)])[:, None]
+            rest = left
+        return out
 
 
 class Scorer:
     """Predictions of a model; scores of words are kept for up to ``MOST`` distinct words."""
 
-    MOST = 300_000
+    MOST = 200_000
 
     def __init__(self, model: Model):
-        self.model, self.row = model, dict(model.units[0])
-        self.fixed = len(self.row)
+        self.model, self.row = model, {}
         room = min(self.MOST, 4 * self.MOST // max(1, len(model.langs)))
-        self.scores = np.concatenate([model.logs[0], np.zeros((room, len(model.langs)))]).astype(np.float32)
+        self.scores = np.zeros((room, len(model.langs)), np.float32)
 
-    def _rows(self, words: list[str]) -> np.ndarray:
+    def __call__(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        """The language and score of each text."""
+        words = [WORD.findall((t or "").lower()) for t in texts]
         row = self.row
-        fresh = list(set(words).difference(row))
-        if len(row) + len(fresh) > len(self.scores):
-            for _ in range(len(row) - self.fixed):
-                row.popitem()
-            fresh = list(set(words).difference(row))
-            if len(row) + len(fresh) > len(self.scores):
-                return np.array([self.model.word(w) for w in words])
+        fresh = list(set().union(*words).difference(row))
+        first, room = len(row), len(self.scores)
+        scores = self.model.words(fresh)
         for word in fresh:
-            self.scores[len(row)] = self.model.word(word)
             row[word] = len(row)
-        return self.scores[list(map(row.__getitem__, words))]
-
-    def __call__(self, text: str | None) -> tuple[str, float]:
-        words = WORD.findall((text or "").lower())
+        kept = min(room, len(row)) - first
+        self.scores[first:first + kept] = scores[:kept]
+        table = self.scores if kept == len(fresh) else np.concatenate([self.scores, scores[kept:]])
+        out = [self._judged(w, table) for w in words]
+        while len(row) > room:
+            row.popitem()
+        return out
+
+    def _judged(self, words: list[str], table: np.ndarray) -> tuple[str, float]:
         if not self.model.langs or not any(c.isalpha() for w in words for c in w):
             return UNKNOWN, 0.0
-        total = self._rows(words).sum(axis=0, dtype=np.float64)
+        total = table[list(map(self.row.__getitem__, words))].sum(axis=0, dtype=np.float64)
         best = int(np.argmax(total))
         scaled = (total - total[best]) * min(1.0, self.model.p.evidence / len(words))
         return self.model.langs[best], float(1 / np.exp(scaled).sum())
@@ -155,10 +171,10 @@ def fit(docs: DataFrame, p: LanguageId | None = None) -> Model:
         bound = F.when(F.col("size") == 0, p.words // langs).otherwise(p.grams // langs)
         rank = F.row_number().over(Window.partitionBy("size", "lang").orderBy(F.desc("n"), "unit"))
         rows = found.withColumn("rank", rank).where(F.col("rank") <= max(p.words, p.grams)).where(F.col("rank") <= bound)
-        rows = sorted((r["size"], r["unit"], r["lang"], r["n"]) for r in rows.drop("rank").collect())
+        rows = rows.select("size", "unit", "lang", "n").toArrow().sort_by([("size", "ascending"), ("unit", "ascending"), ("lang", "ascending")])
     finally:
         found.unpersist()
-    return Model(rows, totals, p)
+    return Model(rows.column("size").to_numpy(), rows.column("unit").to_pylist(), rows.column("lang").to_pylist(), rows.column("n").to_numpy(), totals, p)
 
 
 def identify(docs: DataFrame, model: Model, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
@@ -176,7 +192,7 @@ def identify(docs: DataFrame, model: Model, names: tuple[str, str] = ("lang_pred
         score = Scorer(sent.value)
         for whole in batches:
             for batch in slices(whole, 1000, "text"):
-                found = [score(t) for t in batch.column(at).to_pylist()]
+                found = score(batch.column(at).to_pylist())
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())],
                                                  names=[*batch.schema.names, *names])
     schema = T.StructType([*docs.schema.fields, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])

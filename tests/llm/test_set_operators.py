@@ -320,14 +320,19 @@ def test_backoff_equals_a_plain_one():
     p = language.LanguageId(longest=3)
     rows = [(0, "abc", "x", 4), (0, "abd", "y", 2), (3, "<ab", "x", 4), (3, "<ab", "y", 2), (2, "zz", "y", 1), (1, "q", "x", 1)]
     totals = {(s, lang): sum(n for a, _, b, n in rows if (a, b) == (s, lang)) for s, _, lang, _ in rows}
-    model = language.Model(rows, totals, p)
+    model = language.Model(*zip(*((a, b, c, n) for a, b, c, n in rows)), totals, p)
     for word, size, units in (("abc", 0, ["abc"]), ("abx", 3, ["<ab"]), ("ozz", 2, ["zz"]), ("uq", 1, ["q"])):
         for k, lang in enumerate(model.langs):
             n = len({u for s, u, _, _ in rows if s == size})
             want = np.mean([np.log((sum(c for s, a, b, c in rows if (s, a, b) == (size, u, lang)) + 0.5) / (totals.get((size, lang), 0) + 0.5 * (n + 1)))
                             for u in units])
-            assert abs(model.word(word)[k] - want) < 1e-9
-    assert (model.word("ö") == 0).all()
+            assert abs(model.words([word])[0][k] - want) < 1e-5
+    assert (model.words(["ö"]) == 0).all()
+    scorer = language.Scorer(model)
+    texts = ["abc abx", "ozz uq ö", None, "abd", "abc ozz abx uq"]
+    want = language.Scorer(model)(texts)
+    scorer.scores = scorer.scores[:2]
+    assert [scorer([t])[0] for t in texts] == want and scorer(texts) == want and len(scorer.row) <= 2
 
 
 def test_pipeline_stages(spark):
