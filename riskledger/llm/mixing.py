@@ -24,14 +24,16 @@ class Mixing:
 
     ``weights``: target share by source; None: shares of the sources' sizes to the power ``smooth``,
     which lifts small sources.  ``block_chars`` is the size of a block, ``period`` the least number of
-    parts that weights are rounded to.  The number of sources is taken to fit on the driver.
+    parts that weights are rounded to.  The number of sources is taken to fit on the driver.  Rows are
+    counted in up to ``shares`` shares of a source, of about ``share_rows`` rows of the corpus.
     """
 
     weights: tuple | None = None
     smooth: float = 0.7
     block_chars: int = 1 << 16
     period: int = 4096
-    share_rows: int = 100_000
+    share_rows: int = 2048
+    shares: int = 4096
 
 
 def whole_parts(weights: dict, period: int) -> tuple[dict, int]:
@@ -77,7 +79,7 @@ def _placed(docs: DataFrame, p: Mixing, work: Workspace) -> DataFrame:
                        (F.coalesce(F.length("text"), F.lit(0)) + 1).cast("long").alias("_size"),
                        F.xxhash64("doc_id", F.lit(7)).alias("_h"), F.xxhash64("text").alias("_t"))
     sized = rows.select("_key", "_size", "_h")
-    shares = max(1, -(-sized.count() // p.share_rows))
+    shares = max(1, min(p.shares, -(-sized.count() // p.share_rows)))
     share = F.pmod(F.xxhash64("_h", "_t"), F.lit(shares))
     sums = rows.select("_key", "_size", share.alias("_share")).groupBy("_key", "_share").agg(F.sum("_size").alias("_sum"))
     sums = sums.select("_key", "_share", (F.sum("_sum").over(Window.partitionBy("_key").orderBy("_share")) - F.col("_sum")).alias("_before"))
