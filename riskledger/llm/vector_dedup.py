@@ -30,8 +30,8 @@ class Pigeonhole:
 
     cosine: float = 0.9
     block: int = 16
-    cell: int = 16_384
-    chunk: int = 32_768
+    cell: int = 65_536
+    chunk: int = 65_536
     seed: int = 3
 
 
@@ -109,13 +109,19 @@ def linked(sizes: dict[int, int], p: Pigeonhole):
         s, e = blocks.edges[b], blocks.edges[b + 1]
         right = rotated[members, s:e].astype(np.float32)
         right = np.column_stack([right, -(right.astype(np.float64) ** 2).sum(axis=1) / 2]).astype(np.float32)
+        strips = [(members[m:m + 2048], np.ascontiguousarray(right[m:m + 2048].T)) for m in range(0, len(members), 2048)]
         for at in range(0, len(homes), 256):
             some = homes[at:at + 256]
             left = rotated[some, s:e].astype(np.float32)
             need = ((left.astype(np.float64) ** 2).sum(axis=1) - blocks.budget[b] - SLACK) / 2
-            score = np.column_stack([left, np.ones(len(some), np.float32)]) @ right.T
-            i, j = np.nonzero(score >= need[:, None].astype(np.float32))
-            i, j = some[i], members[j]
+            left, need = np.column_stack([left, np.ones(len(some), np.float32)]), need[:, None].astype(np.float32)
+            i, j = [], []
+            for strip, columns in strips:
+                met = np.flatnonzero(left @ columns >= need)
+                if len(met):
+                    i.append(some[met // len(strip)])
+                    j.append(strip[met % len(strip)])
+            i, j = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (i, j))
             other = ids[i] != ids[j]
             i, j = i[other], j[other]
             for k in range(0, len(i), 1 << 17):
@@ -206,7 +212,16 @@ def near_vectors(table_: DataFrame, p: Pigeonhole | None = None) -> DataFrame:
     return known.union(rest).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
 
 
-@query("op6_vector_near_dedup")
+_SQL = """WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+  links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.9),
+  reach AS (SELECT a AS x, b AS y FROM links UNION SELECT r.x, l.b FROM reach r JOIN links l ON l.a = r.y),
+  parts AS (SELECT x, least(x, min(y)) AS c FROM reach GROUP BY x), n AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT e.vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, coalesce(p.c, e.vec_id) AS component_id, coalesce(p.c, e.vec_id) = e.vec_id AS kept
+FROM embeddings e LEFT JOIN n ON n.a = e.vec_id LEFT JOIN parts p ON p.x = e.vec_id"""
+
+
+@query("op6_vector_near_dedup", _SQL)
 def op6(spark, sf_dir):
     """Near-duplicate embeddings: cosine 0.9 or more."""
     return near_vectors(table(spark, sf_dir, "embeddings"))
