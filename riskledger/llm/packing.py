@@ -27,13 +27,15 @@ from riskledger.llm.common import Workspace, batch_of, query, slices, table
 @dataclass(frozen=True)
 class Packing:
     """Production parameters: lengths over ``capacity // large`` are large; the best of several numbers
-    of groups is taken."""
+    of groups is taken.  Pieces of a length are ranked in up to ``shares`` shares, of about ``share_rows``
+    rows of the corpus."""
 
     capacity: int = 4096
     end_id: int = 1
     large: int = 6
     groups: tuple[int, ...] = (6, 10, 16, 24, 32)
-    shard_rows: int = 100_000
+    share_rows: int = 2048
+    shares: int = 4096
 
 
 PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()),
@@ -260,7 +262,7 @@ def ranked(found: DataFrame, rows: int, p: Packing) -> DataFrame:
     Pieces are dealt to shares by a hash; shares of a length are counted, their offsets are sums over
     that small table, and ranks inside a share are added to them.
     """
-    shares = max(1, -(-rows // p.shard_rows))
+    shares = max(1, min(p.shares, -(-rows // p.share_rows)))
     found = found.withColumn("share", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(shares)))
     sums = found.groupBy("length", "share").agg(F.count("*").alias("n"))
     before = F.sum("n").over(Window.partitionBy("length").orderBy("share")) - F.col("n")
