@@ -92,6 +92,10 @@ def loss_mask(token_starts: np.ndarray, token_ends: np.ndarray, starts: list[int
 
 
 class Encoder:
+    """Ids and offsets of texts; about ``CHARS`` characters are encoded at once, which bounds memory."""
+
+    CHARS = 1 << 18
+
     def __init__(self, data: bytes):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_buffer(data)
@@ -99,9 +103,16 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
 
     def __call__(self, texts: list[str]):
-        for found in self.tokenizer.encode_batch(texts, add_special_tokens=False):
-            offsets = np.array(found.offsets, np.int64).reshape(-1, 2)
-            yield np.array(found.ids, "<u4"), offsets[:, 0], offsets[:, 1]
+        at = 0
+        while at < len(texts):
+            end, size = at, 0
+            while end < len(texts) and (end == at or size + len(texts[end]) <= self.CHARS):
+                size += len(texts[end])
+                end += 1
+            for found in self.tokenizer.encode_batch(texts[at:end], add_special_tokens=False):
+                offsets = np.array(found.offsets, np.int64).reshape(-1, 2)
+                yield np.array(found.ids, "<u4"), offsets[:, 0], offsets[:, 1]
+            at = end
 
 
 def _format(encode: Encoder, p: Chat, conversations: list[tuple]) -> pa.RecordBatch | None:
