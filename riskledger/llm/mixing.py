@@ -2,16 +2,20 @@
 
 A source is cut into blocks of equal size; with weight w its i-th block is released at floor(i / w) and
 due at ceil((i + 1) / w), in slots of one block.  Earliest deadline first meets every deadline, so at
-any time each source is less than one block from its weight.  Weights are whole parts of a period, so
-the schedule repeats: one period is scheduled on the driver, whatever the size of the corpus, and every
-block finds its slot from its number.
+any time each source is less than one block from its weight.  Weights are exact fractions, however long
+the schedule.  One task goes through all slots with a block of each source in hand and writes the table of
+slots, a row a block; places of rows are joined to it by share, before any text.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
+from collections.abc import Iterator
 from dataclasses import dataclass
+from fractions import Fraction
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,21 +27,22 @@ class Mixing:
     """Production parameters.
 
     ``weights``: target share by source; None: shares of the sources' sizes to the power ``smooth``,
-    which lifts small sources.  ``block_chars`` is the size of a block, ``period`` the least number of
-    parts that weights are rounded to.  The number of sources is taken to fit on the driver.  Rows are
-    counted in up to ``shares`` shares of a source, of about ``share_rows`` rows of the corpus.
+    which lifts small sources.  ``block_chars`` is the size of a block.  ``period`` is not read: weights
+    are not rounded.  Up to ``sources`` sources are scheduled, more are an error.  Rows are counted in up to
+    ``shares`` shares of a source, of about ``share_rows`` rows of the corpus.
     """
 
     weights: tuple | None = None
     smooth: float = 0.7
     block_chars: int = 1 << 16
     period: int = 4096
+    sources: int = 200_000
     share_rows: int = 2048
     shares: int = 4096
 
 
 def whole_parts(weights: dict, period: int) -> tuple[dict, int]:
-    """Weights as whole parts of a period, each positive one at least 1, by largest remainders."""
+    """Weights rounded to whole parts of a period, each positive one at least 1, by largest remainders; `exact` does not round."""
     weights = {s: w for s, w in weights.items() if w > 0}
     total, period = sum(weights.values()), max(period, 8 * len(weights))
     exact = {s: w / total * period for s, w in weights.items()}
@@ -52,29 +57,104 @@ def whole_parts(weights: dict, period: int) -> tuple[dict, int]:
     return parts, period
 
 
+def exact(weights: dict) -> tuple[dict, int]:
+    """Weights as integers in exactly their ratio, and their sum."""
+    fractions = {s: Fraction(w) for s, w in weights.items() if w > 0}
+    scale = math.lcm(*(x.denominator for x in fractions.values()))
+    parts = {s: int(x * scale) for s, x in fractions.items()}
+    common = math.gcd(*parts.values())
+    return {s: n // common for s, n in parts.items()}, sum(parts.values()) // max(common, 1)
+
+
 def window(j: int, parts: int, period: int) -> tuple[int, int]:
     """Release time and deadline of a source's j-th block."""
     return j * period // parts, -(-(j + 1) * period // parts)
 
 
-def schedule(parts: dict, period: int) -> dict[object, list[int]]:
-    """One period of earliest deadline first: the slots of each source's blocks, in order."""
+def turns(parts: dict, period: int, first: dict | None = None, end: int | None = None) -> Iterator[tuple]:
+    """Earliest deadline first: source, number, release and deadline of the block in each slot, without end.
+
+    With ``first`` and ``end``, the first ``first[s]`` blocks of each source are due at ``end`` at the latest.
+    The turns stop after the last of them, or with a None if one can't be in time.
+    """
+    left = sum(first.values()) if first else None
     waiting = [(0, s, 0) for s in parts]
     heapq.heapify(waiting)
-    ready, slots = [], {s: [] for s in parts}
-    for slot in range(period):
+    ready, slot = [], 0
+    while left is None or left:
         while waiting and waiting[0][0] <= slot:
-            _, s, j = heapq.heappop(waiting)
-            heapq.heappush(ready, (window(j, parts[s], period)[1], s, j))
-        _, s, j = heapq.heappop(ready)
+            release, s, j = heapq.heappop(waiting)
+            due = window(j, parts[s], period)[1]
+            heapq.heappush(ready, (min(due, end) if first and j < first[s] else due, s, j, release, due))
+        by, s, j, release, due = heapq.heappop(ready)
+        if by <= slot:
+            yield None
+            return
+        yield s, j, release, due
+        left = left - (j < first[s]) if first else None
+        heapq.heappush(waiting, (window(j + 1, parts[s], period)[0], s, j + 1))
+        slot += 1
+
+
+def schedule(parts: dict, period: int) -> dict[object, list[int]]:
+    """One period: the slots of each source's blocks, in order."""
+    slots = {s: [] for s in parts}
+    for slot, (s, *_) in zip(range(period), turns(parts, period)):
         slots[s].append(slot)
-        if j + 1 < parts[s]:
-            heapq.heappush(waiting, (window(j + 1, parts[s], period)[0], s, j + 1))
     return slots
 
 
-def _placed(docs: DataFrame, p: Mixing, work: Workspace) -> DataFrame:
-    """Each row as ``_row`` with its place in its source: ``_key``, ``_start`` (characters before it), ``_block``."""
+def horizon(parts: dict, period: int, first: dict) -> int:
+    """A slot by which the first ``first[s]`` blocks of each source can be given within their windows.
+
+    It is tried from the least slot that the releases allow, in growing steps, so a source with a small
+    weight makes the schedule longer only where the weights leave no earlier slot to it.
+    """
+    windows = [window(n - 1, parts[s], period) for s, n in first.items()]
+    least, most = max(r for r, _ in windows) + 1, max(d for _, d in windows)
+    step, end = len(parts), least
+    while end < most and any(turn is None for turn in turns(parts, period, first, end)):
+        end, step = least + step, 2 * step
+    return min(end, most)
+
+
+TURNS = pa.schema([("_key", pa.string()), ("_block", pa.int64()), ("_epoch", pa.int64()), ("_slot", pa.int64()),
+                   ("_release", pa.int64()), ("_deadline", pa.int64())])
+
+
+def weights_of(totals: dict, p: Mixing) -> dict:
+    """Target weights, not scaled, of the sources with these numbers of characters."""
+    if p.weights is None:
+        return {k: n ** p.smooth for k, n in totals.items()}
+    return {k: float(w) for s, w in p.weights if (k := "" if s is None else f"s{s}") in totals}
+
+
+def _slots(p: Mixing):
+    """The whole schedule, from one partition of (_key, _total)."""
+    def run(batches):
+        totals = {}
+        for batch in batches:
+            totals.update(zip(batch.column("_key").to_pylist(), batch.column("_total").to_pylist()))
+            if len(totals) > p.sources:
+                raise ValueError(f"more than {p.sources} sources to mix")
+        parts, period = exact(weights_of(totals, p))
+        if not parts:
+            return
+        blocks = {k: (totals[k] - 1) // p.block_chars + 1 for k in parts}
+        held = []
+        for slot, (k, j, release, due) in enumerate(turns(parts, period, blocks, horizon(parts, period, blocks))):
+            held.append((k, j % blocks[k], j // blocks[k], slot, release, due))
+            if len(held) == 1 << 14:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), TURNS)], schema=TURNS)
+                held = []
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), TURNS)], schema=TURNS)
+    return run
+
+
+def _rows(docs: DataFrame, p: Mixing) -> DataFrame:
+    """Every use of every row: ``_row``, ``_id``, ``_start`` (characters before it in its source), ``_block``, ``_epoch``, ``_slot``, ``_release``, ``_deadline``."""
+    work = Workspace(docs.sparkSession)
     rows = docs.select(F.struct("*").alias("_row"), F.col("doc_id").alias("_id"), F.coalesce(F.concat(F.lit("s"), "source"), F.lit("")).alias("_key"),
                        (F.coalesce(F.length("text"), F.lit(0)) + 1).cast("long").alias("_size"),
                        F.xxhash64("doc_id", F.lit(7)).alias("_h"), F.xxhash64("text").alias("_t"))
@@ -82,44 +162,25 @@ def _placed(docs: DataFrame, p: Mixing, work: Workspace) -> DataFrame:
     shares = max(1, min(p.shares, -(-sized.count() // p.share_rows)))
     share = F.pmod(F.xxhash64("_h", "_t"), F.lit(shares))
     sums = rows.select("_key", "_size", share.alias("_share")).groupBy("_key", "_share").agg(F.sum("_size").alias("_sum"))
-    sums = sums.select("_key", "_share", (F.sum("_sum").over(Window.partitionBy("_key").orderBy("_share")) - F.col("_sum")).alias("_before"))
+    sums = sums.withColumn("_before", F.sum("_sum").over(Window.partitionBy("_key").orderBy("_share")) - F.col("_sum"))
     sums = work.keep(sums, "shares")
+    slots = sums.groupBy("_key").agg(F.sum("_sum").alias("_total")).repartition(1).mapInArrow(
+        _slots(p), "_key string, _block long, _epoch long, _slot long, _release long, _deadline long")
+    slots = work.keep(slots, "slots")
+    place = lambda c: F.floor(c / p.block_chars)
+    blocks = sums.withColumn("_first", place(F.col("_before")))
+    blocks = blocks.withColumn("_block", F.explode(F.sequence("_first", place(F.col("_before") + F.col("_sum") - 1))))
+    uses = blocks.join(slots, ["_key", "_block"]).groupBy("_key", "_share", "_before", "_first", "_block").agg(
+        F.collect_list(F.struct("_epoch", "_slot", "_release", "_deadline")).alias("_uses"))
+    uses = uses.groupBy("_key", "_share", "_before", "_first").agg(F.array_sort(F.collect_list(F.struct("_block", "_uses"))).alias("_blocks"))
+    uses = work.keep(uses, "uses")
     inside = F.sum("_size").over(Window.partitionBy("_key", "_share").orderBy("_h", "_id", "_t", "_size")
                                  .rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_size")
-    placed = rows.withColumn("_share", share).withColumn("_inside", inside).join(sums, ["_key", "_share"])
+    placed = rows.withColumn("_share", share).withColumn("_inside", inside).join(uses, ["_key", "_share"])
     placed = placed.withColumn("_start", F.col("_before") + F.col("_inside"))
-    return placed.withColumn("_block", F.floor(F.col("_start") / p.block_chars)).drop("_share", "_inside", "_before", "_h", "_t", "_size")
-
-
-def _rows(docs: DataFrame, p: Mixing) -> DataFrame:
-    """Every use of every row with ``_epoch``, ``_slot``, ``_release``, ``_deadline``."""
-    spark, work = docs.sparkSession, Workspace(docs.sparkSession)
-    totals = {r["k"]: r["n"] for r in docs.select(
-        F.coalesce(F.concat(F.lit("s"), "source"), F.lit("")).alias("k"), (F.coalesce(F.length("text"), F.lit(0)) + 1).alias("z"))
-        .groupBy("k").agg(F.sum("z").alias("n")).collect()}
-    if p.weights is None:
-        weights = {k: n ** p.smooth for k, n in totals.items()}
-    else:
-        weights = {k: float(w) for s, w in p.weights if (k := "" if s is None else f"s{s}") in totals}
-    parts, period = whole_parts(weights, p.period) if any(w > 0 for w in weights.values()) else ({}, p.period)
-    slots = schedule(parts, period) if parts else {}
-    blocks = {k: (totals[k] - 1) // p.block_chars + 1 for k in parts}
-
-    def slot(k, g):
-        return g // parts[k] * period + slots[k][g % parts[k]]
-    end = max((slot(k, blocks[k] - 1) + 1 for k in parts), default=0)
-    used = {k: end // period * parts[k] + sum(s < end % period for s in slots[k]) for k in parts}
-    sources = spark.createDataFrame([(k, parts[k], blocks[k], used[k]) for k in parts], "_key string, _parts long, _blocks long, _used long")
-    turns = spark.createDataFrame([(k, j, s) for k in parts for j, s in enumerate(slots[k])], "_key string, _turn long, _at long")
-    found = _placed(docs, p, work).join(F.broadcast(sources), "_key")
-    last = F.floor((F.col("_used") - 1 - F.col("_block")) / F.col("_blocks"))
-    found = found.withColumn("_epoch", F.explode(F.when(last >= 0, F.sequence(F.lit(0).cast("long"), last))))
-    found = found.withColumn("_number", F.col("_epoch") * F.col("_blocks") + F.col("_block"))
-    found = found.withColumn("_turn", F.col("_number") % F.col("_parts")).join(F.broadcast(turns), ["_key", "_turn"])
-    return found.withColumns({
-        "_slot": F.floor(F.col("_number") / F.col("_parts")) * period + F.col("_at"),
-        "_release": F.expr(f"_number * {period}L div _parts"),
-        "_deadline": F.expr(f"((_number + 1) * {period}L + _parts - 1) div _parts")})
+    mine = F.col("_blocks")[(place(F.col("_start")) - F.col("_first")).cast("int")]
+    placed = placed.select("_row", "_id", "_start", mine.alias("_mine"))
+    return placed.select("_row", "_id", "_start", F.col("_mine._block").alias("_block"), F.inline("_mine._uses"))
 
 
 def schedule_of(docs: DataFrame, p: Mixing | None = None) -> DataFrame:

@@ -258,6 +258,39 @@ def _rows_of(docs, doc_id):
     return [_CACHE[doc_id]]
 
 
+@pytest.mark.parametrize("weights", [None, (("a", 1000), ("b", 1000.5), ("c", 50))])
+def test_mix_keeps_the_target_weights_over_many_periods(spark, weights):
+    p = mixing.Mixing(weights=weights, block_chars=50, period=16, share_rows=50)
+    docs = mix_frame(spark)
+    size = {}
+    for r in docs.collect():
+        size[r.source] = size.get(r.source, 0) + len(r.text or "") + 1
+    target = dict(weights) if weights else {s: n ** 0.7 for s, n in size.items()}
+    total, seen = sum(target.values()), set()
+    for r in mixing.schedule_of(docs, p).collect():
+        number, share = r.epoch * ((size[r.source] - 1) // 50 + 1) + r.block, target[r.source] / total
+        assert r.block == r.start // 50
+        assert abs(number - r.slot * share) < 1 and abs(number + 1 - (r.slot + 1) * share) < 1
+        seen.add(r.slot)
+    assert max(seen) > 20 * p.period
+
+
+def test_small_weights_do_not_stretch_the_mix(spark):
+    parts, period = mixing.exact({"a": 0.1, "b": 0.2, "c": 1e-7})
+    assert period == sum(parts.values()) and abs(parts["b"] / parts["a"] - 2) < 1e-12
+    first = {"a": 100, "b": 200, "c": 1}
+    end = mixing.horizon(parts, period, first)
+    got = list(mixing.turns(parts, period, first, end))
+    assert None not in got and len(got) <= end < 310
+    count = dict.fromkeys(parts, 0)
+    for slot, (s, j, release, due) in enumerate(got):
+        assert j == count[s] and release <= slot < due and (release, due) == mixing.window(j, parts[s], period)
+        count[s] += 1
+    assert all(count[s] >= n for s, n in first.items())
+    with pytest.raises(Exception, match="more than 2 sources"):
+        mixing.schedule_of(mix_frame(spark), mixing.Mixing(sources=2)).count()
+
+
 def test_mix_of_nothing(spark):
     assert mixing.schedule_of(mix_frame(spark).limit(0)).count() == 0 and mixing.mixed(mix_frame(spark).limit(0)).count() == 0
 
