@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from riskledger.llm import language, minhash, mixing, packing
 from riskledger.llm.common import Workspace
 
-LANGUAGE, SCORE = "_pipeline_lang", "_pipeline_score"
+LANGUAGE, SCORE, TEXT_HASH = "_pipeline_lang", "_pipeline_score", "_pipeline_text_hash"
 #: Documents whose best language has a lower score are rejected, like those without a letter.
 LEAST_SCORE = 0.35
 
@@ -32,10 +32,13 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: five-word shingles, Jaccard 0.8 or more.
 
-    Of rows that repeat a doc_id one stays; rows with a null doc_id can't be told apart and stay.
+    Of rows that repeat a doc_id the one that was compared stays; rows with a null doc_id can't be told
+    apart and stay.
     """
-    kept = minhash.near_duplicates(docs, minhash.MinHash(words=5)).where("kept and doc_id is not null").select("doc_id")
-    single = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    key = ["doc_id", TEXT_HASH]
+    kept = minhash.judged(docs, minhash.MinHash(words=5)).where("kept and doc_id is not null")
+    kept = kept.select("doc_id", F.col("text_hash").alias(TEXT_HASH))
+    single = docs.withColumn(TEXT_HASH, F.xxhash64("text")).join(kept, key, "left_semi").dropDuplicates(key)
     return single.select(*docs.columns).union(docs.where("doc_id is null"))
 
 

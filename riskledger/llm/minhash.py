@@ -41,7 +41,7 @@ class MinHash:
 
 
 SKETCH = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()),
-                    ("signature", pa.binary()), ("bands", pa.list_(pa.int64()))])
+                    ("signature", pa.binary()), ("bands", pa.list_(pa.int64())), ("text_hash", pa.int64())])
 SETS = pa.schema([("doc_id", pa.int64()), ("group_id", pa.int64()), ("tile", pa.int64()), ("hashes", pa.binary())])
 EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 LABELS = pa.schema([("doc_id", pa.int64()), ("label", pa.int64()), ("tiled", pa.bool_())])
@@ -54,7 +54,7 @@ def ddl(schema: pa.Schema) -> str:
 
 
 def sketch(docs: DataFrame, p: MinHash) -> DataFrame:
-    """doc_id, n_shingles, fingerprint, signature (a byte a bin), band keys of every text."""
+    """doc_id, n_shingles, fingerprint, signature (a byte a bin), band keys and hash of every text."""
     def run(batches):
         shingler, permutation = S.Shingler(p.words), S.OnePermutation(p.bands, p.rows)
         for whole in batches:
@@ -69,8 +69,8 @@ def sketch(docs: DataFrame, p: MinHash) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([
                     batch.column("doc_id").cast(pa.int64()), pa.array(np.bincount(owner, minlength=n), pa.int64()),
                     pa.array(prints[:, 0]), pa.array(prints[:, 1]),
-                    pa.array([row.tobytes() for row in low], pa.binary()), keys_of], schema=SKETCH)
-    return docs.select("doc_id", "text").mapInArrow(run, ddl(SKETCH))
+                    pa.array([row.tobytes() for row in low], pa.binary()), keys_of, batch.column("text_hash")], schema=SKETCH)
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(run, ddl(SKETCH))
 
 
 def _spread(close, n: int) -> np.ndarray:
@@ -177,22 +177,30 @@ def sets_of(p: MinHash):
 
 
 def near_duplicates(docs: DataFrame, p: MinHash | None = None) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for each distinct doc_id of ``docs``.
+    """doc_id, n_shingles, component_id, kept for each distinct doc_id of ``docs``; see ``judged``."""
+    return judged(docs, p).drop("text_hash")
+
+
+def judged(docs: DataFrame, p: MinHash | None = None) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept, text_hash for each distinct doc_id of ``docs``.
 
     Documents with ``percent`` per cent of common distinct ``words``-word shingles or more are linked;
     component_id is the smallest doc_id reachable by links, kept the document that bears it.  Texts
     that are null or have no word have no shingle and link with nothing.  Rows with a null doc_id link
     with nothing and come back with a null component.  Rows that repeat a doc_id count as one document:
-    the one whose set comes first.  Other columns are not read.  An empty table gives no rows.
+    the one whose set comes first, by size and fingerprint; ``text_hash`` (xxhash64) is that of its text.
+    Other columns are not read.  An empty table gives no rows.
     """
     p = p or MinHash()
     work = Workspace(docs.sparkSession)
     all_rows = work.keep(sketch(docs, p), "sketch")
     rows = all_rows.where("doc_id is not null")
 
-    filled = rows.where("n_shingles > 0")
-    classes = work.keep(filled.groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("rep")), "classes")
-    reps = filled.join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    once = rows.groupBy("doc_id").agg(F.min(F.struct("n_shingles", "f1", "f2", "text_hash")).alias("x")).select("doc_id", "x.*")
+    once = work.keep(once, "once")
+    classes = work.keep(once.where("n_shingles > 0").groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("rep")), "classes")
+    chosen = once.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "text_hash")
+    reps = rows.join(chosen, ["doc_id", "text_hash"], "left_semi").dropDuplicates(["doc_id", "text_hash"])
     reps = work.keep(reps, "reps")
 
     keyed = reps.select("doc_id", F.explode("bands").alias("bucket"))
@@ -207,11 +215,11 @@ def near_duplicates(docs: DataFrame, p: MinHash | None = None) -> DataFrame:
              .mapInArrow(bucket_edges(p), ddl(EDGES)))
     groups = work.keep(components(stars, work, "groups").select(F.col("id").alias("doc_id"), F.col("component_id").alias("group_id")), "candidates")
 
-    groups = groups.join(reps.select("doc_id", "n_shingles"), "doc_id")
+    groups = groups.join(reps.select("doc_id", "n_shingles", "text_hash"), "doc_id")
     sized = groups.groupBy("group_id").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("mass"))
     sized = sized.select("group_id", F.ceil(F.greatest(F.col("n") / p.tile_docs, F.col("mass") / p.tile_shingles)).alias("parts"))
-    texts = docs.select("doc_id", "text").join(groups, "doc_id").dropDuplicates(["doc_id"])
-    sets = texts.mapInArrow(sets_of(p), "doc_id long, group_id long, n_shingles long, hashes binary")
+    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).join(groups, ["doc_id", "text_hash"]).dropDuplicates(["doc_id", "text_hash"])
+    sets = texts.drop("text_hash").mapInArrow(sets_of(p), "doc_id long, group_id long, n_shingles long, hashes binary")
     sets = tiles(sets, sized.where("parts > 1"), "group_id", "doc_id", p.tile_docs)
     labels = (sets.repartition("group_id", "tile").sortWithinPartitions("group_id", "tile")
               .mapInArrow(verified(p), ddl(LABELS)))
@@ -220,12 +228,10 @@ def near_duplicates(docs: DataFrame, p: MinHash | None = None) -> DataFrame:
     tiled = components(labels.where("tiled and doc_id <> label").select(F.col("doc_id").alias("a"), F.col("label").alias("b")), work, "tiled")
     found = found.union(tiled.where("id <> component_id").select("id", "component_id"))
 
-    once = all_rows.select("doc_id", "n_shingles", "f1", "f2")
-    once = once.groupBy("doc_id").agg(F.min(F.struct("n_shingles", "f1", "f2")).alias("x")).where("doc_id is not null").select("doc_id", "x.*")
     out = (once.join(classes, ["f1", "f2", "n_shingles"], "left").join(found, "rep", "left")
            .withColumn("component_id", F.coalesce("component", "rep", "doc_id")))
-    out = out.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
-    nameless = all_rows.where("doc_id is null").select("doc_id", "n_shingles", F.lit(None).cast("long").alias("component_id"), F.lit(True).alias("kept"))
+    out = out.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"), "text_hash")
+    nameless = all_rows.where("doc_id is null").select("doc_id", "n_shingles", F.lit(None).cast("long").alias("component_id"), F.lit(True).alias("kept"), "text_hash")
     return out.union(nameless)
 
 

@@ -368,6 +368,20 @@ def test_backoff_equals_a_plain_one():
     assert [scorer([t])[0] for t in texts] == want and scorer(texts) == want and len(scorer.row) <= 2
 
 
+@pytest.mark.parametrize("turned", [False, True])
+def test_a_repeated_doc_id_is_one_text(spark, turned):
+    x, y = " ".join(f"x{i}" for i in range(40)), " ".join(f"y{i}" for i in range(60))
+    z = " ".join(f"z{i}" for i in range(80))
+    rows = [(5, x), (5, y), (5, z), (9, y), (11, y + " more"), (12, x + " more"), (13, z)]
+    docs = spark.createDataFrame([(i, t, "en", "a", 0) for i, t in (rows[::-1] if turned else rows)],
+                                 "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = {r.doc_id: (r.component_id, r.kept) for r in minhash.near_duplicates(docs, minhash.MinHash(words=5)).collect()}
+    assert got == {5: (5, True), 12: (5, False), 9: (9, True), 11: (9, False), 13: (13, True)}
+    kept = corpus_pipeline.near_dedup(spark, docs, SF)
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id, r.text) for r in kept.collect()) == [(5, x), (9, y), (13, z)]
+
+
 def test_pipeline_stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     names = [n for n, _ in corpus_pipeline.STAGES]
