@@ -26,7 +26,8 @@ class Forest:
 
     The forest is grown on the ``sample`` vectors of the smallest hashes.  A tree has about ``leaves``
     leaves, fewer where they would hold less than ``least`` rows.  A query looks at the part ``share`` of all
-    leaf entries (trees times rows), and at ``entries`` at least.  One group holds ``chunk`` rows of a leaf.
+    leaf entries (trees times rows), and at ``entries`` at least.  One group holds about ``chunk`` members
+    of a leaf and ``chunk`` of its queries.
     """
 
     trees: int = 6
@@ -123,10 +124,13 @@ class Trees:
         return out
 
 
+GROUP = ["leaf", "part", "ask_part"]
+
+
 def _leaf_scores(p: Forest, keep: int):
-    """The best ``keep`` members of each (leaf, part) for each of its queries."""
+    """The best ``keep`` members of each (leaf, part, ask_part) for each of its queries."""
     def work(rows: pa.Table):
-        starts = group_starts(rows, ["leaf", "part"])
+        starts = group_starts(rows, GROUP)
         asks, ids, x = rows.column("ask").to_numpy(), rows.column("vec_id").to_numpy(), matrix(rows.column("embedding"))
         out: list[list] = [[], [], []]
         for s, e in zip(starts, [*starts[1:], rows.num_rows]):
@@ -147,7 +151,7 @@ def _leaf_scores(p: Forest, keep: int):
                 out[2].append(np.einsum("ij,ij->i", x[some][q], x[members][m]))
         if out[0]:
             return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], names=["query", "vec_id", "score"])
-    return by_group(["leaf", "part"], work)
+    return by_group(GROUP, work)
 
 
 def nearest(table_: DataFrame, p: Forest | None = None) -> DataFrame:
@@ -171,7 +175,7 @@ def nearest(table_: DataFrame, p: Forest | None = None) -> DataFrame:
     single = work.keep(single.join(asked_for, ["k1", "k2"], "left").fillna(0, ["ask"]), "single")
     found = None
     for dim, n in sorted((r["dim"], r["n"]) for r in single.groupBy("dim").agg(F.count("*").alias("n")).collect()):
-        part = _of_one_length(spark, single.where(F.col("dim") == dim), n, dim, p)
+        part = _of_one_length(work, single.where(F.col("dim") == dim), n, dim, p)
         found = part if found is None else found.union(part)
     if found is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
@@ -187,8 +191,25 @@ def nearest(table_: DataFrame, p: Forest | None = None) -> DataFrame:
     return out.withColumn("rank", rank).where(F.col("rank") <= p.neighbours).select("query_id", "rank", "vec_id", "score")
 
 
-def _of_one_length(spark, single: DataFrame, n: int, dim: int, p: Forest) -> DataFrame:
+def _parts(leaves: DataFrame, p: Forest):
+    """The number of parts of each leaf by its rows in ``leaves``, as a column over ``leaf``."""
+    sizes = leaves.groupBy("leaf").agg(F.ceil(F.count("*") / p.chunk).alias("parts"))
+    sizes = {r["leaf"]: r["parts"] for r in sizes.where("parts > 1").collect()}
+    parts = F.lit(1).cast("long")
+    if sizes:
+        parts = F.coalesce(F.create_map(*(F.lit(v).cast("long") for kv in sizes.items() for v in kv))[F.col("leaf")], parts)
+    return parts
+
+
+def _of_one_length(work: Workspace, single: DataFrame, n: int, dim: int, p: Forest) -> DataFrame:
     """query, vec_id, score: candidates of the classes asked for."""
+    both = _meetings(work, single, n, dim, p).repartition(*GROUP).sortWithinPartitions(*GROUP, "ask")
+    return both.mapInArrow(_leaf_scores(p, p.neighbours + 1), "query long, vec_id long, score double")
+
+
+def _meetings(work: Workspace, single: DataFrame, n: int, dim: int, p: Forest) -> DataFrame:
+    """leaf, part, ask_part, ask, vec_id, embedding: each query of a leaf meets each of its members in one group."""
+    spark = single.sparkSession
     sample = single.orderBy(F.xxhash64("vec_id"), "vec_id").limit(p.sample).select("embedding").toArrow()
     trees = spark.sparkContext.broadcast(Trees(matrix(sample.column(0)), n, p))
 
@@ -207,17 +228,16 @@ def _of_one_length(spark, single: DataFrame, n: int, dim: int, p: Forest) -> Dat
     ddl = "vec_id long, embedding array<double>, leaves array<long>"
     own = single.select("vec_id", "embedding")
     entries = own.mapInArrow(enter, ddl).select("vec_id", "embedding", F.explode("leaves").alias("leaf"))
-    sizes = own.mapInArrow(enter, ddl).select(F.explode("leaves").alias("leaf")).groupBy("leaf").agg(
-        F.ceil(F.count("*") / p.chunk).alias("parts"))
-    sizes = {r["leaf"]: r["parts"] for r in sizes.where("parts > 1").collect()}
-    parts = F.lit(1).cast("long")
-    if sizes:
-        parts = F.coalesce(F.create_map(*(F.lit(v).cast("long") for kv in sizes.items() for v in kv))[F.col("leaf")], parts)
-    entries = entries.select("leaf", F.pmod(F.xxhash64("vec_id"), parts).alias("part"), F.lit(0).alias("ask"), "vec_id", "embedding")
-    queries = single.where("ask = 1").select("vec_id", "embedding").mapInArrow(ask, ddl).select("vec_id", "embedding", F.explode("leaves").alias("leaf"))
-    queries = queries.select("leaf", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"), F.lit(1).alias("ask"), "vec_id", "embedding")
-    both = entries.union(queries).repartition("leaf", "part").sortWithinPartitions("leaf", "part", "ask")
-    return both.mapInArrow(_leaf_scores(p, p.neighbours + 1), "query long, vec_id long, score double")
+    parts = _parts(own.mapInArrow(enter, ddl).select(F.explode("leaves").alias("leaf")), p)
+    asked = work.keep(single.where("ask = 1").select("vec_id", "embedding").mapInArrow(ask, ddl), f"asked-{dim}")
+    ask_parts = _parts(asked.select(F.explode("leaves").alias("leaf")), p)
+    every = lambda parts: F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))
+    entries = entries.select("leaf", F.pmod(F.xxhash64("vec_id"), parts).alias("part"), every(ask_parts).alias("ask_part"),
+                             F.lit(0).alias("ask"), "vec_id", "embedding")
+    queries = asked.select("vec_id", "embedding", F.explode("leaves").alias("leaf"))
+    queries = queries.select("leaf", every(parts).alias("part"), F.pmod(F.xxhash64("vec_id"), ask_parts).alias("ask_part"),
+                             F.lit(1).alias("ask"), "vec_id", "embedding")
+    return entries.union(queries)
 
 
 @query("op2_nearest_neighbours")

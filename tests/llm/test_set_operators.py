@@ -195,6 +195,18 @@ def test_recall_with_production_parameters(spark):
     assert hits >= 0.9 * total
 
 
+def test_groups_of_a_leaf_are_bounded(spark):
+    rng = np.random.default_rng(3)
+    single = spark.createDataFrame([(i, rng.normal(size=8).tolist(), int(i % 2 == 0)) for i in range(600)], "vec_id long, embedding array<double>, ask int")
+    p = neighbours.Forest(trees=2, leaves=2, least=20, share=1.0, chunk=50)
+    groups = {}
+    for r in neighbours._meetings(Workspace(spark), single, 600, 8, p).collect():
+        groups.setdefault((r.leaf, r.part, r.ask_part), ([], []))[r.ask].append(r.vec_id)
+    assert max(len(rows) for both in groups.values() for rows in both) < 2 * p.chunk
+    met = [(leaf, q, m) for (leaf, _, _), (members, queries) in groups.items() for q in queries for m in members]
+    assert len(met) == len(set(met)) and len({(q, m) for _, q, m in met}) == 300 * 600
+
+
 def test_schedule_stays_within_one_block():
     rng = random.Random(6)
     for _ in range(30):
