@@ -5,7 +5,7 @@ import importlib
 from riskledger.llm import common
 
 MODULES = ("packing", "neighbours", "chat", "mixing", "token_counts", "vector_dedup", "minhash", "binary_output", "url_filter",
-           "language", "piece_codec", "fill_middle")
+           "language", "piece_codec", "spelling", "fill_middle")
 
 
 def load():
