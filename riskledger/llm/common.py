@@ -42,15 +42,26 @@ class Workspace:
     """Tables that cut lineage: Parquet under the shared folder, so lost executors lose nothing.
 
     ``drop`` removes tables that no later step reads.  What a returned frame still reads stays until
-    the caller deletes the ``llm-*`` folder.
+    the caller deletes the ``llm-*`` folder.  With ``free_shuffles`` the shuffle files of a table go as
+    soon as it is written, so disk use is that of the widest step and not of all together.
     """
 
-    def __init__(self, spark: SparkSession):
+    FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+    def __init__(self, spark: SparkSession, free_shuffles: bool = False):
         self.spark, self.root = spark, f"{shared_folder(spark)}/llm-{uuid.uuid4().hex}"
+        self.free_shuffles = free_shuffles
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
-        df.write.mode("overwrite").parquet(path)
+        before = self.spark.conf.get(self.FREE, "false")
+        if self.free_shuffles:
+            self.spark.conf.set(self.FREE, "true")
+        try:
+            df.write.mode("overwrite").parquet(path)
+        finally:
+            if self.free_shuffles:
+                self.spark.conf.set(self.FREE, before)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:

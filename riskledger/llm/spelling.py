@@ -6,9 +6,10 @@ words share a node; a word shorter by a letter is searched from the longer one,
 differ in a letter from one of them.  Chains without a branch are one edge, so the number of levels is
 that of branches, not of letters.
 
-The frontier holds states (word, position, node) after their edit.  A level joins them with the edge
-table on node and next letter; those whose rest of the word fits the edge's label go on at its child.
-A state that has used up its word at a terminal node is a pair of neighbours.
+The frontier holds states (word, position, node, edits).  Those without an edit meet a table of the
+letters that lead from a node to an edge with the letter after the edit; then a level joins the states
+with the edge table on node and next letter, and those whose rest of the word fits the edge's label go
+on at its child.  A state that has used up its word at a terminal node is a pair of neighbours.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -70,11 +72,16 @@ def mixed(values: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def numbered(words: DataFrame) -> DataFrame:
+    """word, n with an ``id`` that is smaller for shorter words."""
+    return words.orderBy(F.length("word"), "word").withColumn("id", F.monotonically_increasing_id())
+
+
 def trie_paths(words: DataFrame) -> DataFrame:
-    """id, n, back, pos, a, b, c: the nodes of each word from its middle on, with the letter that follows.
+    """id, n, back, pos, a, b, c: the nodes of each word from its middle on, with the two letters that follow.
 
     A node is a prefix (of the reversed word if ``back``), known by two 64-bit sums over its letters and
-    their places; ``c`` is empty where the word ends.
+    their places.  ``c`` is shorter where the word ends; ``n`` is null but there.
     """
     def run(batches):
         for whole in batches:
@@ -91,80 +98,94 @@ def paths(texts: list[str], ids: np.ndarray, n: np.ndarray, back: bool) -> pa.Re
     start = np.cumsum(size) - size
     place = np.arange(len(joined)) - np.repeat(start, size)
     letter = np.frombuffer(joined.encode("utf-32-le"), np.uint32).astype(np.uint64) + (place.astype(np.uint64) << np.uint64(21))
-    sums = []
-    for seed in (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03):
-        running = np.concatenate([[np.uint64(0)], np.cumsum(mixed(letter * np.uint64(2) + np.uint64(back) + np.uint64(seed)))])
-        sums.append(running)
+    sums = [np.concatenate([[np.uint64(0)], np.cumsum(mixed(letter * np.uint64(2) + np.uint64(back) + np.uint64(seed)))])
+            for seed in (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03)]
     half = size // 2
     count = size - half + 1
     which = np.repeat(np.arange(len(texts)), count)
     pos = np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count) + half[which]
     at = start[which] + pos
     a, b = (mixed(s[at] - s[start[which]] + pos.astype(np.uint64)).view(np.int64) for s in sums)
-    letters = pa.array(list(joined) + [""], pa.string())
-    following = letters.take(pa.array(np.where(pos < size[which], at, len(joined))))
-    return pa.RecordBatch.from_arrays([pa.array(ids[which]), pa.array(n[which]), pa.array(np.full(len(which), back)),
+    pairs = pa.array([joined[i:i + 2] for i in range(len(joined) - 1)] + [joined[-1:], ""], pa.string())
+    following = pairs.take(pa.array(np.where(pos < size[which], at, len(joined))))
+    last = np.flatnonzero(pos == size[which] - 1)
+    if len(last):
+        ends = pa.array(list(joined), pa.string()).take(pa.array(at[last]))
+        following = pc.replace_with_mask(following, pa.array(pos == size[which] - 1), ends)
+    return pa.RecordBatch.from_arrays([pa.array(ids[which]), pa.array(n[which], mask=pos < size[which]), pa.array(np.full(len(which), back)),
                                        pa.array(pos.astype(np.int32)), pa.array(a), pa.array(b), following], schema=PATHS)
 
 
-def trie(words: DataFrame, work: Workspace, share: int = SHARE) -> tuple[DataFrame, DataFrame]:
-    """(steps, edges) of the two tries.
+def trie(words: DataFrame, work: Workspace, share: int = SHARE) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(steps, edges, wild) of the two tries, over the nodes where words part or end.
 
-    steps: word, n, back, nodes: the branches and ends on the word's path, in order, each with position, key,
-    the letters that follow it (empty: a word ends there) and the number of shares of its states.
-    edges: a, b, c, share -> label, child key, child's shares, and the count of the word that ends at the child.
+    steps: word, n, nodes: such nodes on the word's paths with direction, position, key and number of shares.
+    edges: a, b, c, share -> label, child's key and shares, and the count of the word that ends at the child.
+    wild: a, b, after, share -> the letters of the edges that go on with ``after``, whether ``after`` is itself
+    an edge (an end of a word if empty), and that word's count.
+
+    An edge is written by the shortest of the words that share it, so it is written once.
     """
-    path = work.keep(trie_paths(words), "paths")
+    path = trie_paths(words)
     nodes = path.groupBy("a", "b").agg(F.sort_array(F.collect_set("c")).alias("next"), F.count("*").alias("through"),
-                                       F.max(F.when(F.col("c") == "", F.col("n"))).alias("end_n"))
-    nodes = nodes.where((F.size("next") > 1) | F.col("end_n").isNotNull())
-    nodes = nodes.withColumn("shares", (1 + F.floor(F.col("through") / share)).cast("int")).drop("through")
-    step = F.struct("pos", "a", "b", "next", "shares", "end_n")
-    steps = path.select("id", "back", "pos", "a", "b").join(nodes, ["a", "b"])
-    steps = steps.groupBy("id", "back").agg(F.sort_array(F.collect_list(step)).alias("nodes"))
+                                       F.min("id").alias("first"), F.max("n").alias("end_n"))
+    nodes = nodes.where("end_n is not null or left(next[0], 1) <> left(element_at(next, -1), 1)")
+    nodes = work.keep(nodes.withColumn("shares", (1 + F.floor(F.col("through") / share)).cast("int")).drop("through"), "nodes")
+
+    known = nodes.select("a", "b", "first", "shares", "end_n")
+    steps = path.select("id", "back", "pos", "a", "b").join(known, ["a", "b"]).withColumn("own", F.col("first") == F.col("id"))
+    steps = steps.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("back", "pos", "a", "b", "shares", "own", "end_n"))).alias("nodes"))
     steps = work.keep(steps.join(words, "id").drop("id"), "steps")
-    text = F.when(F.col("back"), F.reverse("word")).otherwise(F.col("word"))
-    pairs = steps.withColumn("text", text).selectExpr(
-        "text", "explode(transform(slice(nodes, 2, greatest(size(nodes) - 1, 0)), (x, i) -> struct(nodes[i] as up, x as down))) as e")
-    edges = pairs.selectExpr(
+
+    pairs = steps.selectExpr("word", "explode(filter(transform(slice(nodes, 2, size(nodes)), (x, i) -> struct(nodes[i] as up, x as down)), "
+                             "e -> e.down.own and e.up.back = e.down.back)) as e")
+    edges = pairs.withColumn("text", F.when(F.col("e.up.back"), F.reverse("word")).otherwise(F.col("word"))).selectExpr(
         "e.up.a as a", "e.up.b as b", "substring(text, e.up.pos + 1, 1) as c", "substring(text, e.up.pos + 1, e.down.pos - e.up.pos) as label",
-        "e.down.a as child_a", "e.down.b as child_b", "e.down.shares as child_shares", "e.down.end_n as end_n", "e.up.shares as shares")
-    edges = edges.groupBy("a", "b", "c").agg(*(F.first(x).alias(x) for x in ("label", "child_a", "child_b", "child_shares", "end_n", "shares")))
-    edges = edges.withColumn("share", F.explode(F.expr("sequence(0, shares - 1)"))).drop("shares")
-    return steps, work.keep(edges, "edges")
+        "e.down.a as child_a", "e.down.b as child_b", "e.down.shares as child_shares", "e.down.end_n as end_n",
+        "explode(sequence(0, e.up.shares - 1)) as share")
+
+    wild = nodes.selectExpr(
+        "a", "b", "next", "end_n", "shares",
+        "explode(array_distinct(concat(transform(next, x -> left(x, 1)), transform(filter(next, x -> x <> ''), x -> substring(x, 2, 1))))) as after")
+    wild = wild.selectExpr(
+        "a", "b", "after", "transform(filter(next, x -> x <> '' and substring(x, 2, 1) = after), x -> left(x, 1)) as letters",
+        "exists(next, x -> left(x, 1) = after) as child", "case when after = '' then end_n end as end_n", "explode(sequence(0, shares - 1)) as share")
+    return steps, work.keep(edges, "edges"), wild
 
 
-def first_states(steps: DataFrame) -> DataFrame:
-    """States just after their edit: text (in the trie's direction), n, back, found, pos, a, b, c, shares.
+def first_states(steps: DataFrame, wild: DataFrame) -> DataFrame:
+    """States just after their edit: text (in the trie's direction), n, back, found, pos, a, b, c, shares, found_n.
 
-    ``found`` is the word they would meet.  A replaced letter is followed to the greater letters only, a
-    deleted one to shorter words only; the other direction is the same pair.
+    ``found`` is the word they would meet.  A replaced letter is followed to greater letters only, a deleted
+    one to shorter words only; the other direction is the same pair.
     """
-    text = F.when(F.col("back"), F.reverse("word")).otherwise(F.col("word"))
-    at = steps.withColumn("text", text).selectExpr("text", "n", "back", "explode(nodes) as s").selectExpr(
-        "text", "n", "back", "s.pos as p", "s.a as a", "s.b as b", "s.next as next", "s.shares as shares",
-        "substring(text, s.pos + 1, 1) as own", "substring(text, s.pos + 2, 1) as after", "s.end_n as end_n").where("p < length(text)")
-    replaced = at.selectExpr(
-        "text", "n", "back", "p", "a", "b", "shares", "explode(filter(next, x -> x > own)) as c").selectExpr(
-        "text", "n", "back", "concat(substring(text, 1, p), c, substring(text, p + 2)) as found", "p as pos", "a", "b", "c", "shares",
-        "cast(null as long) as found_n")
-    deleted = at.where("after <> own and array_contains(next, after)").selectExpr(
-        "text", "n", "back", "concat(substring(text, 1, p), substring(text, p + 2)) as found", "p as pos", "a", "b", "after as c", "shares",
-        "case when after = '' then end_n end as found_n")
-    return replaced.unionByName(deleted)
+    at = steps.selectExpr("word", "n", "explode(nodes) as s").withColumn("text", F.when(F.col("s.back"), F.reverse("word")).otherwise(F.col("word")))
+    at = at.selectExpr("text", "n", "s.back as back", "s.pos as pos", "s.a as a", "s.b as b", "s.shares as shares",
+                       "substring(text, s.pos + 2, 1) as after").where("pos < length(text)")
+    at = at.withColumn("share", F.pmod(F.xxhash64("text"), F.col("shares")).cast("int")).join(wild, ["a", "b", "after", "share"])
+    own = "substring(text, pos + 1, 1)"
+    at = at.selectExpr(
+        "text", "n", "back", "pos", "a", "b", "shares", "end_n", "explode(concat("
+        f"transform(filter(letters, x -> x > {own}), x -> struct(x as c, concat(substring(text, 1, pos), x, substring(text, pos + 2)) as found, false as shorter)), "
+        f"if(child and after <> {own}, array(struct(after as c, concat(substring(text, 1, pos), substring(text, pos + 2)) as found, true as shorter)), array()))) as e")
+    return at.selectExpr("text", "n", "back", "e.found as found", "pos", "a", "b", "e.c as c", "shares",
+                         "case when e.shorter and e.c = '' then end_n end as found_n")
 
 
 def neighbours(words: DataFrame, work: Workspace, share: int = SHARE) -> DataFrame:
-    """word, n, near, near_n: all pairs of different words that one edit apart makes equal, both ways round."""
-    steps, edges = trie(words, work, share)
-    frontier = work.keep(first_states(steps), "level0")
+    """word, n, near, near_n: all pairs of different words that one edit apart makes equal, both ways round.
+
+    ``words``: id, word, n as :func:`numbered` gives them.
+    """
+    steps, edges, wild = trie(words, work, share)
+    frontier = work.keep(first_states(steps, wild), "level0")
+    work.drop("steps", "nodes")
     met, level = [], 0
     while True:
         met.append(frontier.where("found_n is not null").select("text", "n", "back", "found", "found_n"))
         going = frontier.where("found_n is null").withColumn("share", F.pmod(F.xxhash64("text"), F.col("shares")).cast("int")).drop("shares", "found_n")
-        going = going.join(edges, ["a", "b", "c", "share"])
-        # ``pos`` counts letters of the found word; its rest must begin with the label.
-        going = going.where("substring(found, pos + 1, length(label)) = label").withColumn("pos", F.expr("pos + length(label)"))
+        going = going.join(edges, ["a", "b", "c", "share"]).where("substring(found, pos + 1, length(label)) = label")
+        going = going.withColumn("pos", F.expr("pos + length(label)"))
         ended = F.col("pos") == F.length("found")
         going = going.where(~ended | F.col("end_n").isNotNull()).select(
             "text", "n", "back", "found", "pos", F.col("child_a").alias("a"), F.col("child_b").alias("b"),
@@ -216,13 +237,10 @@ def variants(docs: DataFrame, drop_every: int = DROP_EVERY, length: int = LEAST_
     texts have no words, repeated rows count each, an empty table has no words; only doc_id and text are
     read.  Jobs run while the frame is built: one for each level of the trie.
     """
-    work = Workspace(docs.sparkSession)
-    words = word_counts(docs, drop_every).where((F.length("word") >= length) & (F.col("n") >= count))
-    words = work.keep(words.withColumn("id", F.monotonically_increasing_id()), "words")
+    work = Workspace(docs.sparkSession, free_shuffles=True)
+    words = work.keep(numbered(word_counts(docs, drop_every).where((F.length("word") >= length) & (F.col("n") >= count))), "words")
     found = work.keep(forms(words, neighbours(words, work, share), ratio), "forms")
-    out = rooted(found, work)
-    work.drop("paths", "steps", "edges")
-    return out
+    return rooted(found, work)
 
 
 #: CRC-32 goes bit by bit over the text; neighbours meet on a word with one letter hidden or left out.

@@ -92,14 +92,16 @@ def test_long_runs_chains_and_nothing(spark):
 
 
 def test_nodes_are_prefixes(spark):
-    words = spark.createDataFrame([(i, w, 2) for i, w in enumerate(["abcdefg", "abcdefh", "gfedcba", "éabcdefg"])], "id long, word string, n long")
+    words = spelling.numbered(spark.createDataFrame([(w, 2) for w in ("éabcdefg", "abcdefg", "abcdefh", "gfedcba")], "word string, n long"))
+    words = Workspace(spark).keep(words, "words")
     rows = spelling.trie_paths(words).collect()
-    text = {0: "abcdefg", 1: "abcdefh", 2: "gfedcba", 3: "éabcdefg"}
+    text = {r.id: r.word for r in words.collect()}
+    assert [len(text[i]) for i in sorted(text)] == [7, 7, 7, 8]
     by_prefix = {}
     for r in rows:
         w = text[r.id][::-1] if r.back else text[r.id]
         by_prefix.setdefault((r.back, w[:r.pos]), set()).add((r.a, r.b))
-        assert r.c == w[r.pos:r.pos + 1] and len(w) // 2 <= r.pos <= len(w)
+        assert r.c == w[r.pos:r.pos + 2] and len(w) // 2 <= r.pos <= len(w) and (r.n is None) == (r.pos < len(w))
     assert all(len(k) == 1 for k in by_prefix.values()) and len({next(iter(k)) for k in by_prefix.values()}) == len(by_prefix)
-    steps, edges = spelling.trie(words, Workspace(spark))
+    _, edges, _ = spelling.trie(words, Workspace(spark))
     assert edges.select("a", "b", "c", "share").distinct().count() == edges.count()
