@@ -14,26 +14,24 @@ on at its child.  A state that has used up its word at a terminal node is a pair
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskledger.llm.common import Workspace, query, slices, table
 
-RUN = re.compile("[A-Za-zÀ-ÿ]+")
-LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
+#: Latin-1 code points to those of words: A-Z lower-cased, a-z and À-ÿ as they are, a blank for all others.
+LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 192 else 32 for c in range(256))
 DROP_EVERY = 31
 LEAST_LENGTH, LEAST_COUNT, RATIO = 7, 2, 10
 #: Words that pass a node beyond which its edges are kept several times, for as many shares of its states.
 SHARE = 20_000
 PATHS = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("back", pa.bool_()), ("pos", pa.int32()),
-                   ("a", pa.int64()), ("b", pa.int64()), ("c", pa.string())])
+                   ("a", pa.int64()), ("b", pa.int64()), ("c", pa.int32())])
 
 
 def word_counts(docs: DataFrame, drop_every: int = DROP_EVERY) -> DataFrame:
@@ -53,13 +51,14 @@ def word_counts(docs: DataFrame, drop_every: int = DROP_EVERY) -> DataFrame:
                     if not text:
                         continue
                     base = zlib.crc32(b"%s:" % (b"" if doc is None else b"%d" % doc))
-                    for word, n in Counter(RUN.findall(text.translate(LOWER))).items():
-                        h = zlib.crc32(word.encode(), base)
+                    for word, n in Counter(text.encode("latin-1", "replace").translate(LETTERS).split()).items():
+                        h = zlib.crc32(word if word.isascii() else word.decode("latin-1").encode(), base)
                         if h % drop_every == 0:
                             at = h % len(word)
                             word = word[:at] + word[at + 1:]
                         total[word] += n
-                yield pa.RecordBatch.from_arrays([pa.array(total.keys(), pa.string()), pa.array(total.values(), pa.int64())], schema=schema)
+                words = pa.array([w.decode("latin-1") for w in total], pa.string())
+                yield pa.RecordBatch.from_arrays([words, pa.array(total.values(), pa.int64())], schema=schema)
     found = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "word string, n long")
     return found.groupBy("word").agg(F.sum("n").alias("n")).where("word <> ''")
 
@@ -81,7 +80,8 @@ def trie_paths(words: DataFrame) -> DataFrame:
     """id, n, back, pos, a, b, c: the nodes of each word from its middle on, with the two letters that follow.
 
     A node is a prefix (of the reversed word if ``back``), known by two 64-bit sums over its letters and
-    their places.  ``c`` is shorter where the word ends; ``n`` is null but there.
+    their places.  Letters are code points below 256, so ``c`` holds two: 256 times the first and the second,
+    0 for each that the word has no more; ``n`` is null but where it ends.
     """
     def run(batches):
         for whole in batches:
@@ -89,7 +89,7 @@ def trie_paths(words: DataFrame) -> DataFrame:
                 texts, ids, n = batch.column("word").to_pylist(), batch.column("id").to_numpy(), batch.column("n").to_numpy()
                 for back in (False, True):
                     yield paths(texts, ids, n, back)
-    return words.select("id", "word", "n").mapInArrow(run, "id long, n long, back boolean, pos int, a long, b long, c string")
+    return words.select("id", "word", "n").mapInArrow(run, "id long, n long, back boolean, pos int, a long, b long, c int")
 
 
 def paths(texts: list[str], ids: np.ndarray, n: np.ndarray, back: bool) -> pa.RecordBatch:
@@ -106,14 +106,11 @@ def paths(texts: list[str], ids: np.ndarray, n: np.ndarray, back: bool) -> pa.Re
     pos = np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count) + half[which]
     at = start[which] + pos
     a, b = (mixed(s[at] - s[start[which]] + pos.astype(np.uint64)).view(np.int64) for s in sums)
-    pairs = pa.array([joined[i:i + 2] for i in range(len(joined) - 1)] + [joined[-1:], ""], pa.string())
-    following = pairs.take(pa.array(np.where(pos < size[which], at, len(joined))))
-    last = np.flatnonzero(pos == size[which] - 1)
-    if len(last):
-        ends = pa.array(list(joined), pa.string()).take(pa.array(at[last]))
-        following = pc.replace_with_mask(following, pa.array(pos == size[which] - 1), ends)
+    points = np.append(np.frombuffer(joined.encode("utf-32-le"), np.int32), [0, 0])
+    left = size[which] - pos
+    following = np.where(left > 0, points[at], 0) * 256 + np.where(left > 1, points[at + 1], 0)
     return pa.RecordBatch.from_arrays([pa.array(ids[which]), pa.array(n[which], mask=pos < size[which]), pa.array(np.full(len(which), back)),
-                                       pa.array(pos.astype(np.int32)), pa.array(a), pa.array(b), following], schema=PATHS)
+                                       pa.array(pos.astype(np.int32)), pa.array(a), pa.array(b), pa.array(following.astype(np.int32))], schema=PATHS)
 
 
 def trie(words: DataFrame, work: Workspace, share: int = SHARE) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -122,14 +119,14 @@ def trie(words: DataFrame, work: Workspace, share: int = SHARE) -> tuple[DataFra
     steps: word, n, nodes: such nodes on the word's paths with direction, position, key and number of shares.
     edges: a, b, c, share -> label, child's key and shares, and the count of the word that ends at the child.
     wild: a, b, after, share -> the letters of the edges that go on with ``after``, whether ``after`` is itself
-    an edge (an end of a word if empty), and that word's count.
+    an edge (an end of a word if 0), and that word's count.
 
     An edge is written by the shortest of the words that share it, so it is written once.
     """
     path = trie_paths(words)
     nodes = path.groupBy("a", "b").agg(F.sort_array(F.collect_set("c")).alias("next"), F.count("*").alias("through"),
                                        F.min("id").alias("first"), F.max("n").alias("end_n"))
-    nodes = nodes.where("end_n is not null or left(next[0], 1) <> left(element_at(next, -1), 1)")
+    nodes = nodes.where("end_n is not null or next[0] div 256 <> element_at(next, -1) div 256")
     nodes = work.keep(nodes.withColumn("shares", (1 + F.floor(F.col("through") / share)).cast("int")).drop("through"), "nodes")
 
     known = nodes.select("a", "b", "first", "shares", "end_n")
@@ -140,16 +137,15 @@ def trie(words: DataFrame, work: Workspace, share: int = SHARE) -> tuple[DataFra
     pairs = steps.selectExpr("word", "explode(filter(transform(slice(nodes, 2, size(nodes)), (x, i) -> struct(nodes[i] as up, x as down)), "
                              "e -> e.down.own and e.up.back = e.down.back)) as e")
     edges = pairs.withColumn("text", F.when(F.col("e.up.back"), F.reverse("word")).otherwise(F.col("word"))).selectExpr(
-        "e.up.a as a", "e.up.b as b", "substring(text, e.up.pos + 1, 1) as c", "substring(text, e.up.pos + 1, e.down.pos - e.up.pos) as label",
+        "e.up.a as a", "e.up.b as b", "ascii(substring(text, e.up.pos + 1, 1)) as c", "substring(text, e.up.pos + 1, e.down.pos - e.up.pos) as label",
         "e.down.a as child_a", "e.down.b as child_b", "e.down.shares as child_shares", "e.down.end_n as end_n",
         "explode(sequence(0, e.up.shares - 1)) as share")
 
-    wild = nodes.selectExpr(
-        "a", "b", "next", "end_n", "shares",
-        "explode(array_distinct(concat(transform(next, x -> left(x, 1)), transform(filter(next, x -> x <> ''), x -> substring(x, 2, 1))))) as after")
+    wild = nodes.selectExpr("a", "b", "next", "end_n", "shares", "explode(array_distinct(concat(transform(next, x -> x div 256), "
+                            "transform(filter(next, x -> x > 0), x -> x % 256)))) as after")
     wild = wild.selectExpr(
-        "a", "b", "after", "transform(filter(next, x -> x <> '' and substring(x, 2, 1) = after), x -> left(x, 1)) as letters",
-        "exists(next, x -> left(x, 1) = after) as child", "case when after = '' then end_n end as end_n", "explode(sequence(0, shares - 1)) as share")
+        "a", "b", "cast(after as int) as after", "transform(filter(next, x -> x > 0 and x % 256 = after), x -> cast(x div 256 as int)) as letters",
+        "exists(next, x -> x div 256 = after) as child", "case when after = 0 then end_n end as end_n", "explode(sequence(0, shares - 1)) as share")
     return steps, work.keep(edges, "edges"), wild
 
 
@@ -161,15 +157,15 @@ def first_states(steps: DataFrame, wild: DataFrame) -> DataFrame:
     """
     at = steps.selectExpr("word", "n", "explode(nodes) as s").withColumn("text", F.when(F.col("s.back"), F.reverse("word")).otherwise(F.col("word")))
     at = at.selectExpr("text", "n", "s.back as back", "s.pos as pos", "s.a as a", "s.b as b", "s.shares as shares",
-                       "substring(text, s.pos + 2, 1) as after").where("pos < length(text)")
+                       "ascii(substring(text, s.pos + 1, 1)) as own_letter", "ascii(substring(text, s.pos + 2, 1)) as after").where("pos < length(text)")
     at = at.withColumn("share", F.pmod(F.xxhash64("text"), F.col("shares")).cast("int")).join(wild, ["a", "b", "after", "share"])
-    own = "substring(text, pos + 1, 1)"
     at = at.selectExpr(
         "text", "n", "back", "pos", "a", "b", "shares", "end_n", "explode(concat("
-        f"transform(filter(letters, x -> x > {own}), x -> struct(x as c, concat(substring(text, 1, pos), x, substring(text, pos + 2)) as found, false as shorter)), "
-        f"if(child and after <> {own}, array(struct(after as c, concat(substring(text, 1, pos), substring(text, pos + 2)) as found, true as shorter)), array()))) as e")
-    return at.selectExpr("text", "n", "back", "e.found as found", "pos", "a", "b", "e.c as c", "shares",
-                         "case when e.shorter and e.c = '' then end_n end as found_n")
+        "transform(filter(letters, x -> x > own_letter), x -> struct(x as c, false as shorter)), "
+        "if(child and after <> own_letter, array(struct(after as c, true as shorter)), array()))) as e")
+    found = "concat(substring(text, 1, pos), if(e.shorter, '', char(e.c)), substring(text, pos + 2))"
+    return at.selectExpr("text", "n", "back", f"{found} as found", "pos", "a", "b", "e.c as c", "shares",
+                         "case when e.shorter and e.c = 0 then end_n end as found_n")
 
 
 def neighbours(words: DataFrame, work: Workspace, share: int = SHARE) -> DataFrame:
@@ -189,7 +185,7 @@ def neighbours(words: DataFrame, work: Workspace, share: int = SHARE) -> DataFra
         ended = F.col("pos") == F.length("found")
         going = going.where(~ended | F.col("end_n").isNotNull()).select(
             "text", "n", "back", "found", "pos", F.col("child_a").alias("a"), F.col("child_b").alias("b"),
-            F.expr("substring(found, pos + 1, 1)").alias("c"), F.col("child_shares").alias("shares"),
+            F.expr("ascii(substring(found, pos + 1, 1))").alias("c"), F.col("child_shares").alias("shares"),
             F.when(ended, F.col("end_n")).alias("found_n"))
         level += 1
         frontier = work.keep(going, f"level{level}")

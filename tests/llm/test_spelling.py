@@ -101,7 +101,8 @@ def test_nodes_are_prefixes(spark):
     for r in rows:
         w = text[r.id][::-1] if r.back else text[r.id]
         by_prefix.setdefault((r.back, w[:r.pos]), set()).add((r.a, r.b))
-        assert r.c == w[r.pos:r.pos + 2] and len(w) // 2 <= r.pos <= len(w) and (r.n is None) == (r.pos < len(w))
+        after = (w[r.pos:r.pos + 2] + "\0\0")[:2]
+        assert r.c == ord(after[0]) * 256 + ord(after[1]) and len(w) // 2 <= r.pos <= len(w) and (r.n is None) == (r.pos < len(w))
     assert all(len(k) == 1 for k in by_prefix.values()) and len({next(iter(k)) for k in by_prefix.values()}) == len(by_prefix)
     _, edges, _ = spelling.trie(words, Workspace(spark))
     assert edges.select("a", "b", "c", "share").distinct().count() == edges.count()
