@@ -265,6 +265,32 @@ def agent_links(spark, sf):
     return built(spark, sf).server_links.select("scan_id", "agent_dir", "server_name", "first_path")
 
 
+@query("agent_reach_counts", f"""{ENTITIES} SELECT a.scan_id, a.agent_dir, count(l.server_name) AS servers FROM agent_dirs a
+  LEFT JOIN links l ON a.scan_id = l.scan_id AND a.agent_dir = l.agent_dir GROUP BY ALL""")
+def reach_counts(spark, sf):
+    return built(spark, sf).reach
+
+
+@query("reach_scopes", f"""{ENTITIES}, asked AS (
+    SELECT scan_id, 'below ' || agent_dir AS scope FROM agent_dirs
+    UNION ALL SELECT a.scan_id, 'marker ' || m FROM agent_dirs a, markers WHERE contains(agent_dir, m)
+    UNION ALL SELECT a.scan_id, 'at ' || e.dir FROM agent_dirs a JOIN (SELECT DISTINCT scan_id, dir FROM entries) e
+      ON a.scan_id = e.scan_id AND starts_with(a.agent_dir, e.dir)),
+  offered AS (
+    SELECT DISTINCT scan_id, 'at ' || dir AS scope, server_name FROM entries
+    UNION SELECT scan_id, 'marker ' || m, server_name FROM entries, markers WHERE contains(dir, m)
+    UNION SELECT a.scan_id, 'below ' || a.agent_dir, server_name FROM agent_dirs a JOIN entries e
+      ON a.scan_id = e.scan_id AND starts_with(e.dir, a.agent_dir) AND e.dir <> a.agent_dir)
+  SELECT scan_id, scope, CAST(sum(d) AS BIGINT) AS directories, CAST(sum(s) AS BIGINT) AS servers FROM (
+    SELECT scan_id, scope, 1 AS d, 0 AS s FROM asked UNION ALL SELECT scan_id, scope, 0, 1 FROM offered) GROUP BY ALL""")
+def reach_scopes(spark, sf):
+    """The two narrow tables behind the links, by scope."""
+    scopes = built(spark, sf).scopes
+    both = scopes.directories.select("scan_id", "scope", F.lit(1).alias("d"), F.lit(0).alias("s")).unionByName(
+        scopes.servers.select("scan_id", "scope", F.lit(0).alias("d"), F.lit(1).alias("s")))
+    return both.groupBy("scan_id", "scope").agg(F.sum("d").alias("directories"), F.sum("s").alias("servers"))
+
+
 @query("dependent_agents", f"""{ENTITIES} SELECT DISTINCT l.scan_id, l.server_name, a.id AS agent_id FROM links l
   JOIN agents a ON a.scan_id = l.scan_id AND a.dir = l.agent_dir""")
 def dependents(spark, sf):

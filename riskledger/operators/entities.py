@@ -139,22 +139,16 @@ def agents(artifacts: DataFrame, repos: DataFrame | None = None) -> DataFrame:
         trust_breakdown(F.col("artifact_type"), signals, F.col("verification_status")).alias("trust_breakdown"))
 
 
-def agent_server_links(agent_rows: DataFrame, files: DataFrame, ctx: ScanOptions) -> DataFrame:
-    """``scan_id, agent_dir, server_name, first_path``; all agents of a directory share its links."""
-    return links.related_servers(agent_rows, M.server_entries(files, ctx))
-
-
-def tool_counts(agent_rows: DataFrame, server_links: DataFrame) -> DataFrame:
-    """Agents with ``tool_count``: declared tools plus servers in reach."""
-    reach = server_links.groupBy("scan_id", F.col("agent_dir").alias("dir")).agg(F.count("*").alias("_n"))
-    return agent_rows.join(reach, ["scan_id", "dir"], "left").withColumn(
-        "tool_count", F.size("declared_tools") + F.coalesce("_n", F.lit(0))).drop("_n")
+def tool_counts(agent_rows: DataFrame, reach: DataFrame) -> DataFrame:
+    """Agents with ``tool_count``: declared tools plus servers in reach (:func:`links.reach_counts`)."""
+    return salted_join(agent_rows, reach.withColumnRenamed("agent_dir", "dir"), ["scan_id", "dir"], ["path"], "left").withColumn(
+        "tool_count", F.size("declared_tools") + F.coalesce("servers", F.lit(0))).drop("servers")
 
 
 def dependent_agents(agent_rows: DataFrame, server_links: DataFrame) -> DataFrame:
     """``scan_id, server_name, agent_id``: agents that have the server among their tools."""
     who = agent_rows.select("scan_id", F.col("dir").alias("agent_dir"), F.col("id").alias("agent_id")).distinct()
-    return server_links.select("scan_id", "agent_dir", "server_name").join(who, ["scan_id", "agent_dir"]) \
+    return salted_join(who, server_links.select("scan_id", "agent_dir", "server_name"), ["scan_id", "agent_dir"], ["agent_id"]) \
         .select("scan_id", "server_name", "agent_id").distinct()
 
 
@@ -247,16 +241,16 @@ def skills(artifacts: DataFrame, files: DataFrame, ctx: ScanOptions, skill_findi
         F.when(~github, remote).alias("remote_url")))).drop("repo_dir", "remote", "head", "relative_path")
 
 
-def skill_consumers(skill_rows: DataFrame, agent_rows: DataFrame, server_links: DataFrame) -> DataFrame:
+def skill_consumers(skill_rows: DataFrame, agent_rows: DataFrame, scopes: links.ServerScopes) -> DataFrame:
     """``scan_id, skill_name, agent_id, agent_name``: agents that list a tool of the skill's name;
-    for skill files, agents defined by the same file."""
+    for skill files, agents defined by the same file.  Only servers named like a skill are paired."""
     who = agent_rows.select("scan_id", "path", "dir", "declared_tools", F.col("id").alias("agent_id"),
                             F.col("name").alias("agent_name"))
     by_decl = who.select("scan_id", F.explode("declared_tools").alias("skill_name"), "agent_id", "agent_name")
-    by_server = who.join(server_links.select("scan_id", F.col("agent_dir").alias("dir"), F.col("server_name")
-                                             .alias("skill_name")), ["scan_id", "dir"]) \
-        .select("scan_id", "skill_name", "agent_id", "agent_name")
     named = skill_rows.where("kind <> 'file'").select("scan_id", F.col("name").alias("skill_name"))
+    listed = scopes.pairs(names=named.withColumnRenamed("skill_name", "server_name"))
+    by_server = salted_join(who, listed.select("scan_id", F.col("agent_dir").alias("dir"), F.col("server_name").alias("skill_name")),
+                            ["scan_id", "dir"], ["agent_id"]).select("scan_id", "skill_name", "agent_id", "agent_name")
     via_tool = salted_join(by_decl.unionByName(by_server), named, ["scan_id", "skill_name"], ["agent_id"]) \
         .select("scan_id", "skill_name", "agent_id", "agent_name")
     via_path = skill_rows.where("kind = 'file'").select("scan_id", "path", F.col("name").alias("skill_name")) \

@@ -42,14 +42,33 @@ class Contract:
     def _plain_agents(self) -> DataFrame:
         return E.agents(self.artifacts, self._repos)
 
+    @cached_property
+    def entries(self) -> DataFrame:
+        """``scan_id, path, dir, server_name, value``"""
+        return cut(M.server_entries(self.server_files, self._ctx))
+
+    @cached_property
+    def agent_dirs(self) -> DataFrame:
+        return cut(self._plain_agents.select("scan_id", "dir").distinct())
+
+    @cached_property
+    def scopes(self) -> links.ServerScopes:
+        found = links.server_scopes(self.agent_dirs, self.entries)
+        return links.ServerScopes(cut(found.directories), cut(found.servers))
+
+    @cached_property
+    def reach(self) -> DataFrame:
+        """``scan_id, agent_dir, servers``"""
+        return cut(links.reach_counts(self.agent_dirs, self.entries))
+
     @cached_property
     def server_links(self) -> DataFrame:
-        """``scan_id, agent_dir, server_name, first_path``"""
-        return cut(E.agent_server_links(self._plain_agents, self.server_files, self._ctx))
+        """``scan_id, agent_dir, server_name, first_path``: written out for the records that list them."""
+        return cut(self.scopes.pairs())
 
     @cached_property
     def agents(self) -> DataFrame:
-        return cut(E.tool_counts(self._plain_agents, self.server_links))
+        return cut(E.tool_counts(self._plain_agents, self.reach))
 
     @cached_property
     def dependents(self) -> DataFrame:
@@ -72,7 +91,7 @@ class Contract:
     @cached_property
     def consumers(self) -> DataFrame:
         """``scan_id, skill_name, agent_id, agent_name``"""
-        return E.skill_consumers(self.skills, self.agents, self.server_links)
+        return E.skill_consumers(self.skills, self.agents, self.scopes)
 
     @cached_property
     def servers(self) -> DataFrame:
@@ -88,15 +107,9 @@ def _pair(names_and_columns) -> Column:
 
 
 def _with_list(rows: DataFrame, keys, edges: DataFrame, item: Column, spread: str, name: str) -> DataFrame:
-    """Attach a long list to its record, in as many record parts as the list needs."""
-    chunks = links.chunked_lists(edges, keys, item, spread).select(
-        *keys, F.col("items").alias(name), "part", "parts")
-    return _numbered(rows.join(chunks, keys, "left")).drop("part", "parts")
-
-
-def _numbered(rows: DataFrame) -> DataFrame:
-    """Part numbers of a record: 1 of 1 where its list has one part or none."""
-    return rows.withColumns({"listPart": F.coalesce(F.col("part"), F.lit(0)) + 1, "listParts": F.coalesce("parts", F.lit(1))})
+    """Attach a long list to its record, in as many record parts as the list needs, numbered from 1."""
+    return links.with_list(rows, edges, keys, item, spread, name).withColumns({
+        "listPart": F.col("part") + 1, "listParts": F.col("parts")}).drop("part", "parts")
 
 
 def _or_empty(rows: DataFrame, name: str, kind: str) -> Column:
@@ -170,13 +183,11 @@ def records(c: Contract, logs: DataFrame | None = None) -> DataFrame:
                                   ("listPart", "listPart"), ("listParts", "listParts")])).alias("record")))
 
     tool = F.struct("first_path", F.col("server_name").alias("name"))
-    tools = links.chunked_lists(c.server_links, ["scan_id", "agent_dir"], tool, "server_name") \
-        .withColumnRenamed("agent_dir", "dir")
-    agents = _numbered(c.agents.join(tools, ["scan_id", "dir"], "left"))
+    agents = _with_list(c.agents, ["scan_id", "dir"], c.server_links.withColumnRenamed("agent_dir", "dir"), tool, "server_name", "items")
     typed = lambda kind: (lambda n: F.struct(n.alias("name"), F.lit(kind).alias("type")))
     tool_names = F.transform(_or_empty(agents, "items", "array<struct<first_path:string,name:string>>"), lambda i: i["name"])
     agents = agents.withColumn("tool_names", tool_names)
-    first = F.coalesce(F.col("part"), F.lit(0)) == 0
+    first = F.col("listPart") == 1
     declared = F.when(first, F.col("declared_tools")).otherwise(F.expr("cast(array() as array<string>)"))
     out.append(agents.select("scan_id", F.lit("agents").alias("section"), F.col("id").alias("key"), F.to_json(_pair([
         ("id", "id"), ("name", "name"), ("sourceFilePath", "path"), ("classification", "classification"),
@@ -243,7 +254,8 @@ def disclosure(record_rows: DataFrame, c: Contract, scans: DataFrame) -> DataFra
     ``scans``: ``scan_id, host_security`` (does the host block carry data).
     """
     present = record_rows.groupBy("scan_id").agg(F.collect_set("section").alias("sections"))
-    deps = c.dependents.select("scan_id").distinct().withColumn("has_deps", F.lit(True))
+    met = c.scopes.directories.join(c.scopes.servers.select("scan_id", "scope").distinct(), ["scan_id", "scope"], "left_semi")
+    deps = met.select("scan_id").distinct().withColumn("has_deps", F.lit(True))
     env = c.env_refs.select("scan_id").distinct().withColumn("has_env", F.lit(True))
     rows = (scans.select("scan_id", "host_security").join(present, "scan_id", "left")
             .join(deps, "scan_id", "left").join(env, "scan_id", "left"))

@@ -132,7 +132,7 @@ def test_long_lists_come_in_parts_that_hold_everything_once(spark, ctx, corpus,
                    + [(f"/r/d{i}/AGENTS.md", "run shell") for i in range(5)])
     c = contract.Contract(files, scan.scan(files, ctx), ctx)
     whole = [r.record for r in contract.records(c).where("section = 'agenticApps'").collect()]
-    monkeypatch.setattr(contract.links.chunked_lists, "__defaults__", (2,))
+    monkeypatch.setattr(contract.links, "LIST_PART", 2)
     parts = [json.loads(r.record) for r in contract.records(c).where("section = 'agenticApps'").collect()]
     one = json.loads(whole[0])
     assert len(whole) == 1 and one["agentCount"] == len(one["agents"]) == 5 and len(one["toolsByAgent"]) == 5

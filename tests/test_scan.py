@@ -126,27 +126,61 @@ def test_top_n_against_brute_force(spark):
 
 def test_long_lists_stay_whole(spark):
     edges = spark.range(5000).selectExpr("CASE WHEN id % 3 = 0 THEN 'x' ELSE 'hot' END k", "id")
-    parts = links.chunked_lists(edges, ["k"], F.col("id"), "id", size=100).collect()
+    sizes = links.list_parts(edges, ["k"], 100)
+    parts = links.chunked_lists(edges, sizes, ["k"], F.col("id"), "id").collect()
     hot = [r for r in parts if r.k == "hot"]
-    assert len(hot) == hot[0].parts > 20 and max(len(r["items"]) for r in hot) < 250
+    assert len(hot) == {r.k: r.parts for r in sizes.collect()}["hot"] > 20 and max(len(r["items"]) for r in hot) < 250
     assert sorted(i for r in hot for i in r["items"]) == [i for i in range(5000) if i % 3]
-
-
-def test_related_servers_against_brute_force(spark):
-    rng = random.Random(11)
-    seg = ["p", "p1", "p13", ".vscode", "Code/User", "x"]
-    dirs = sorted({"/" + "/".join(rng.choice(seg) for _ in range(rng.randint(0, 3))) for _ in range(30)})
-    agents = [("s", d) for d in dirs[::2]]
-    servers = [("s", d, f"{d}/mcp.json", f"n{rng.randint(0, 4)}") for d in dirs[1::2] for _ in range(2)]
-    marks = [".vscode", ".vscode-insiders", ".cursor", ".claude", "Code/User", "Cursor/User"]
-    want = {}
-    for _, a in agents:
-        for _, d, path, name in servers:
-            if a.startswith(d) or d.startswith(a) or any(m in a and m in d for m in marks):
-                want[(a, name)] = min(path, want.get((a, name), path))
-    got = links.related_servers(spark.createDataFrame(agents, "scan_id string, dir string"),
-                                spark.createDataFrame(servers, "scan_id string, dir string, path string, server_name string"))
-    assert {(r.agent_dir, r.server_name): r.first_path for r in got.collect()} == want
+    rows = spark.createDataFrame([("x",), ("none",)], "k string")
+    got = {(r.k, r.part, r.parts): r.ids for r in links.with_list(rows, edges, ["k"], F.col("id"), "id", "ids").collect()}
+    assert got.pop(("none", 0, 1)) is None and sorted(i for ids in got.values() for i in ids) == list(range(0, 5000, 3))
+
+
+MARKS = [".vscode", ".vscode-insiders", ".cursor", ".claude", "Code/User", "Cursor/User"]
+
+
+def random_reach(seeds):
+    """Agent directories and servers of one scan a seed, and what each directory reaches."""
+    agents, servers, want = [], [], {}
+    for seed in seeds:
+        rng, scan_id = random.Random(seed), f"s{seed}"
+        seg = ["p", "p1", "p13", ".vscode", ".vscode-insiders", "Code/User", ".claude", "x"]
+        dirs = sorted({"/" + "/".join(rng.choice(seg) for _ in range(rng.randint(0, 4))) for _ in range(30)})
+        rng.shuffle(dirs)
+        own = [(scan_id, d, f"{d}/mcp.json", f"n{rng.randint(0, 6)}") for d in dirs[:18] for _ in range(2)]
+        for a in dirs[10:]:
+            agents.append((scan_id, a))
+            for _, d, path, name in own:
+                if a.startswith(d) or d.startswith(a) or any(m in a and m in d for m in MARKS):
+                    want[(scan_id, a, name)] = min(path, want.get((scan_id, a, name), path))
+        servers += own
+    return agents, servers, want
+
+
+def test_reach_against_brute_force(spark):
+    agents, servers, want = random_reach(range(25))
+    agent_rows = spark.createDataFrame(agents, "scan_id string, dir string")
+    server_rows = spark.createDataFrame(servers, "scan_id string, dir string, path string, server_name string")
+    scopes = links.server_scopes(agent_rows, server_rows)
+    assert {(r.scan_id, r.agent_dir, r.server_name): r.first_path for r in scopes.pairs().collect()} == want
+    counts = {(r.scan_id, r.agent_dir): r.servers for r in links.reach_counts(agent_rows, server_rows).collect()}
+    assert counts == {a: sum(k[:2] == a for k in want) for a in agents}
+    some = spark.createDataFrame([("s3", "n1"), ("s4", "n2")], "scan_id string, server_name string")
+    few = {(r.scan_id, r.agent_dir, r.server_name) for r in scopes.pairs(names=some).collect()}
+    assert few == {k for k in want if (k[0], k[2]) in {("s3", "n1"), ("s4", "n2")}}
+    one = spark.createDataFrame([agents[0]], "scan_id string, agent_dir string")
+    assert {(r.scan_id, r.agent_dir) for r in scopes.pairs(one).collect()} == {agents[0]}
+
+
+def test_reach_of_a_root_config_stays_linear(spark):
+    agents = [("s", f"/r/p{i}") for i in range(300)] + [("s", f"/r/.claude/a{i}") for i in range(100)]
+    servers = [("s", "/r", "/r/mcp.json", f"n{i}") for i in range(200)] + [("s", f"/r/.claude/b{i}", f"/r/.claude/b{i}/mcp.json", f"m{i}") for i in range(100)]
+    agent_rows = spark.createDataFrame(agents, "scan_id string, dir string")
+    server_rows = spark.createDataFrame(servers, "scan_id string, dir string, path string, server_name string")
+    scopes = links.server_scopes(agent_rows, server_rows)
+    assert scopes.directories.count() + scopes.servers.count() <= 3 * (len(agents) + len(servers))
+    counts = {r.agent_dir: r.servers for r in links.reach_counts(agent_rows, server_rows).collect()}
+    assert {counts[d] for _, d in agents[:300]} == {200} and {counts[d] for _, d in agents[300:]} == {300}
 
 
 def test_nearest_repo(spark):
