@@ -52,6 +52,38 @@ def sorted_page(spark, sf):
         F.col("page").cast("bigint").alias("page"))
 
 
+@query("catalog_late_page", """WITH t AS (SELECT count(*) AS total FROM orders)
+  SELECT 'order-' || o_orderkey AS slug, total, CAST(ceil(total / 20.0) AS BIGINT) AS total_pages, CAST(60 AS BIGINT) AS page FROM
+    (SELECT * FROM orders ORDER BY o_custkey % 5 DESC, 'order-' || o_orderkey LIMIT 20 OFFSET 1180), t""")
+def late_page(spark, sf):
+    """A page far back, read by position from a stored listing."""
+    from fleet_queries.changes import _folder
+    folder = _folder(spark)
+    rows = table(spark, sf, "orders").selectExpr("concat('order-', o_orderkey) slug", "o_custkey % 5 as downloads")
+    C.write_sorted(rows, folder, "downloads", ranges=16)
+    return C.page_of(spark.read.parquet(folder), "downloads", number=60).select(
+        "slug", "total", F.col("total_pages").cast("bigint").alias("total_pages"), F.col("page").cast("bigint").alias("page"))
+
+
+@query("catalog_ranked_search", """WITH w AS (SELECT doc_id AS slug, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents),
+  n AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM w),
+  i AS (SELECT slug, len(w) AS length, unnest(w) AS term FROM w),
+  p AS (SELECT slug, length, term, count(*) AS times FROM i WHERE term IN ('ring', 'tion', 'the', 'que') GROUP BY ALL),
+  h AS (SELECT term, count(*) AS held FROM p GROUP BY ALL)
+  SELECT slug, round(sum(ln(1 + (n - held + 0.5) / (held + 0.5)) * times * 2.2 / (times + 1.2 * (0.25 + 0.75 * length / mean))), 6) AS score
+  FROM p JOIN h USING (term), n GROUP BY slug ORDER BY score DESC, slug LIMIT 50""")
+def ranked_search(spark, sf):
+    """BM25 over the texts of the documents as a catalog, from an index that is stored and updated."""
+    from fleet_queries.changes import _folder
+    folder = _folder(spark)
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("slug"), "text")
+    stale = docs.withColumn("text", F.when(F.col("slug") % 10 == 0, F.lit("an older text")).otherwise(F.col("text")))
+    C.search_index(stale, ["text"]).write.parquet(f"{folder}/old")
+    old = spark.read.parquet(f"{folder}/old")
+    C.update_index(old, docs.where("slug % 10 = 0"), ["text"]).write.parquet(f"{folder}/new")
+    return C.ranked(spark.read.parquet(f"{folder}/new"), "The ring? tion QUE", 50).select("slug", F.round("score", 6).alias("score"))
+
+
 @query("catalog_trending", f"WITH {CATALOG_SQL} SELECT {ROWS} FROM catalog ORDER BY downloads DESC, slug LIMIT 20")
 def trending(spark, sf):
     return C.trending(catalog(spark, sf)).select("slug", "name", "downloads")

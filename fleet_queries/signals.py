@@ -75,13 +75,13 @@ _raw("page_signals", "pages", "page_id", "page_id", "html")
     FROM conversations),
   {S.signal_ctes('turns', 'turn_id', 'body2')}
   SELECT role, signal, count(*) AS turns FROM (
-    SELECT t.role, unnest(s.danger_signals) AS signal FROM sig s JOIN turns t USING (turn_id)) GROUP BY ALL""")
+    SELECT t.role, unnest(list_concat(s.secret_signals, s.danger_signals)) AS signal FROM sig s JOIN turns t USING (turn_id)) GROUP BY ALL""")
 def turn_signals(spark, sf):
     turns = table(spark, sf, "conversations").withColumn("text", F.when(
         (F.col("conv_id") + F.col("turn")) % 3 == 0,
         F.concat("text", F.lit(" disregard all previous"))).otherwise(F.col("text")))
-    return (G.with_signals(turns, families=["dangerous", "ssrf", "tampering"])
-            .select("role", F.explode("danger_signals").alias("signal"))
+    return (G.with_signals(turns)
+            .select("role", F.explode(F.concat("secret_signals", "danger_signals")).alias("signal"))
             .groupBy("role", "signal").agg(F.count("*").alias("turns")))
 
 
@@ -99,6 +99,33 @@ def keyword_scan(spark, sf):
         "file_id", joined("h").alias("signals"), F.size("h").cast("bigint").alias("hits"))
 
 
+# a rule for each part, of pieces of texts: long ones, short ones and one that many texts hold
+TERM_RULES_SQL = """r AS (SELECT p_partkey AS rule_rank, [substring(text, 11 + p_partkey % 40, 9), translate(substring(text, 60, 5), 'abcdefghij', 'ABCDEFGHIJ'),
+      CASE WHEN p_partkey % 50 = 0 THEN 'ing' ELSE 'no such term ' || p_partkey END] AS terms, p_size / 100.0 AS confidence
+    FROM part JOIN documents ON doc_id = p_partkey % 977)"""
+
+
+@query("keyword_rules_by_term", f"""WITH {TERM_RULES_SQL}, each AS (
+    SELECT rule_rank, confidence, unnest(terms) AS term, generate_subscripts(terms, 1) AS i FROM r),
+  low AS MATERIALIZED (SELECT DISTINCT lower(term) AS t FROM each WHERE term <> ''),
+  texts AS MATERIALIZED (SELECT doc_id, lower(text) AS x FROM documents),
+  met AS (SELECT doc_id, t FROM texts JOIN low ON contains(x, t)),
+  h AS (SELECT doc_id, rule_rank, confidence, count(*) AS n, string_agg('kw:' || term, '|' ORDER BY i) AS signals
+    FROM met JOIN each ON lower(term) = t GROUP BY ALL)
+  SELECT doc_id, CAST(rule_rank AS BIGINT) AS rule_rank, CAST(CASE WHEN n >= 2 THEN greatest(confidence, 0.4) ELSE confidence END AS DOUBLE) AS confidence,
+    signals FROM h""")
+def keyword_rules_by_term(spark, sf):
+    """One keyword rule for every part, tried on every text."""
+    from riskledger.operators.rules import term_rules
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    rules = table(spark, sf, "part").join(docs, F.col("doc_id") == F.col("p_partkey") % 977).selectExpr(
+        "p_partkey as rule_rank", """array(substring(text, 11 + p_partkey % 40, 9), translate(substring(text, 60, 5), 'abcdefghij', 'ABCDEFGHIJ'),
+          CASE WHEN p_partkey % 50 = 0 THEN 'ing' ELSE concat('no such term ', p_partkey) END) as terms""",
+        "'kw' as prefix", "cast(p_size / 100.0 as double) as confidence", "0.4D as boost", "2 as threshold")
+    found = term_rules(docs, ["doc_id"], rules)
+    return found.select("doc_id", F.col("rule_rank").cast("bigint").alias("rule_rank"), "confidence", joined("signals").alias("signals"))
+
+
 USER_REGEX = ['token = "[0-9a-f]{40}"', r"\$$", r"(?i)the\b"]
 
 

@@ -4,6 +4,8 @@
 agents, stars, leaderboard_rank, aggregators, official, updated_at`` (all but ``slug`` may be NULL).
 """
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -57,6 +59,63 @@ def page(catalog: DataFrame, sort: str = "alpha", reverse: bool = False, number:
         "total_pages": F.ceil(F.col("total") / F.lit(size)), "page": F.lit(number)})
 
 
+def write_sorted(catalog: DataFrame, folder: str, sort: str = "alpha", reverse: bool = False, ranges: int = 64) -> None:
+    """Store a listing in sorted order, cut into up to ``ranges`` folders of about equal size.
+
+    Pages are then read by position (:func:`page_of`); the order is that of :func:`sort_order`.
+    """
+    rows = catalog.repartitionByRange(ranges, *sort_order(sort, reverse)).withColumn("range", F.spark_partition_id())
+    rows.write.mode("overwrite").partitionBy("range").parquet(folder)
+
+
+def page_of(stored: DataFrame, sort: str = "alpha", reverse: bool = False, number: int = 1, size: int = 20) -> DataFrame:
+    """One page of a listing that :func:`write_sorted` stored, as :func:`page` gives it.
+
+    Counts of the ranges, few whatever the listing holds, tell in which of them the page lies; only those are
+    read, so a late page costs as much as the first.
+    """
+    first, last = (number - 1) * size, number * size
+    wanted, skip, total = [], 0, 0
+    for r in stored.groupBy("range").count().orderBy("range").collect():
+        if total + r["count"] > first and total < last:
+            skip = skip if wanted else first - total
+            wanted.append(r["range"])
+        total += r["count"]
+    rows = stored.where(F.col("range").isin(wanted)).drop("range").orderBy(*sort_order(sort, reverse)).offset(skip).limit(size)
+    return rows.withColumns({"total": F.lit(total).cast("bigint"), "total_pages": F.ceil(F.lit(total) / F.lit(size)), "page": F.lit(number)})
+
+
+WORD = "[a-z0-9]+"
+K1, B = 1.2, 0.75
+
+
+def search_index(catalog: DataFrame, columns=("slug", "name", "description")) -> DataFrame:
+    """``term, slug, times, length``: the words of each row, to be stored and searched by :func:`ranked`.
+
+    A row without a word has one entry with a null term, so that it counts among the rows.
+    """
+    words = F.regexp_extract_all(F.lower(F.concat_ws(" ", *columns)), F.lit(WORD), F.lit(0))
+    listed = catalog.select("slug", words.alias("w")).select("slug", F.size("w").alias("length"), F.explode_outer("w").alias("term"))
+    return listed.groupBy("term", "slug", "length").agg(F.count("*").alias("times"))
+
+
+def update_index(index: DataFrame, changed: DataFrame, columns=("slug", "name", "description")) -> DataFrame:
+    """The index with the entries of the ``changed`` rows replaced; others are not computed again."""
+    return index.join(changed.select("slug").distinct(), "slug", "left_anti").unionByName(search_index(changed, columns))
+
+
+def ranked(index: DataFrame, query: str, size: int = 20) -> DataFrame:
+    """``slug, score``: the best rows for the words of a query by BM25, ties by slug."""
+    terms = sorted(set(re.findall(WORD, query.lower())))
+    rows = index.select("slug", "length").distinct().agg(F.count("*").alias("n"), F.avg("length").alias("mean")).first()
+    found = index.where(F.col("term").isin(terms))
+    known = found.groupBy("term").agg(F.count("*").alias("held"))
+    weight = F.log(1 + (F.lit(rows.n) - F.col("held") + 0.5) / (F.col("held") + 0.5))
+    part = F.col("times") * (K1 + 1) / (F.col("times") + K1 * (1 - B + B * F.col("length") / F.lit(rows["mean"] or 1.0)))
+    scored = found.join(known, "term").groupBy("slug").agg(F.sum(weight * part).alias("score"))
+    return scored.orderBy(F.desc("score"), "slug").limit(size)
+
+
 def trending(catalog: DataFrame, size: int = 20) -> DataFrame:
     return catalog.orderBy(*sort_order("downloads")).limit(size)
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from riskledger.functions import signals as G
 from riskledger.functions.regex import to_java
-from riskledger.operators.corpus import any_of
+from riskledger.operators.corpus import any_of, salted_join
 from riskledger.sources.rules import BLOCKS
 
 
@@ -130,3 +130,57 @@ def apply_rules(files: DataFrame, rules: list[dict], deep: bool, content_gate: b
             .withColumn("signals", signals)
             .drop("_low", *BLOCKS, *[f"_{b}" for b in order], "match_confidence", "secret_signals",
                   "dangerous_signals", "ssrf_signals", "tampering_signals", "danger_signals"))
+
+
+GRAM = 4
+
+
+def _grams(text: Column, size: int) -> Column:
+    """The distinct runs of ``size`` characters of a text, found in one pass over it."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1)))
+
+
+def term_hits(texts: DataFrame, keys: list[str], terms: DataFrame) -> DataFrame:
+    """``keys, term``: every term that occurs in a text, case aside, for any number of terms.
+
+    ``texts``: ``keys, text``; ``terms``: ``term``.  A term is looked up by the run of four characters in it
+    that the fewest texts hold (a shorter term by itself).  Runs of texts meet those keys in an equality, and
+    only such meetings are tested in full, so the cost follows the texts and the hits and not texts x terms.
+    Null and empty terms occur nowhere.
+    """
+    words = terms.select("term", F.lower("term").alias("_low")).where("_low <> ''").distinct()
+    texts = texts.select(*keys, F.lower("text").alias("_text"))
+    sized = words.withColumn("_size", F.least(F.length("_low"), F.lit(GRAM)))
+    in_terms = None
+    in_texts = None
+    for size in range(1, GRAM + 1):
+        a = sized.where(F.col("_size") == size).select("term", "_low", F.explode(_grams(F.col("_low"), size)).alias("_gram"))
+        in_terms = a if in_terms is None else in_terms.unionByName(a)
+    needed = in_terms.select("_gram").distinct()
+    for size in range(1, GRAM + 1):
+        b = texts.select(*keys, F.explode(_grams(F.col("_text"), size)).alias("_gram"))
+        in_texts = b if in_texts is None else in_texts.unionByName(b)
+    met = salted_join(in_texts, needed, ["_gram"], keys, "left_semi")
+    spread = met.groupBy("_gram").agg(F.count("*").alias("_texts"))
+    rarest = (in_terms.join(spread, "_gram", "left").groupBy("term", "_low")
+              .agg(F.min(F.struct(F.coalesce("_texts", F.lit(0)).alias("n"), F.col("_gram").alias("g"))).alias("_m"))
+              .where("_m.n > 0").select("term", "_low", F.col("_m.g").alias("_gram")))
+    likely = salted_join(met, rarest, ["_gram"], keys).select(*keys, "term", "_low")
+    return likely.join(texts, keys).where(F.contains("_text", F.col("_low"))).select(*keys, "term").distinct()
+
+
+def term_rules(texts: DataFrame, keys: list[str], rules: DataFrame) -> DataFrame:
+    """``keys, rule_rank, confidence, signals`` of each text and each keyword rule with a hit in it.
+
+    ``rules``: ``rule_rank, terms, prefix, confidence, boost, threshold``, a frame that stays one: rules are
+    neither collected nor written into the plan.  Signals follow the order of a rule's terms; the boost counts
+    once the threshold is reached.
+    """
+    each = rules.select("rule_rank", F.posexplode("terms").alias("_at", "term"))
+    hits = salted_join(term_hits(texts, keys, each.select("term")), each, ["term"], keys)
+    grouped = hits.groupBy(*keys, "rule_rank").agg(F.array_sort(F.collect_set(F.struct("_at", "term"))).alias("_hits"))
+    found = salted_join(grouped, rules.drop("terms"), ["rule_rank"], keys)
+    reached = F.size("_hits") >= F.col("threshold")
+    return found.select(
+        *keys, "rule_rank", F.greatest("confidence", F.when(reached, F.col("boost"))).alias("confidence"),
+        F.transform("_hits", lambda h: F.concat("prefix", F.lit(":"), h["term"])).alias("signals"))

@@ -103,3 +103,35 @@ def test_server_maps_are_sorted_and_typed(spark):
                  lambda c: J.server_entries(J.normal_json(c)))
     assert [e.key for e in got[0]] == ["a", "b"] and got[1:] == [None, None, None]
     assert column(spark, ['{"command":5}', '{"command":"c"}'], lambda c: J.json_string(c, "command")) == [None, "c"]
+
+
+def test_pages_by_position_equal_sorted_pages(spark, tmp_path):
+    from riskledger.operators import catalog as K
+    rows = spark.range(500).selectExpr("concat('s', id) slug", "id % 7 downloads", "CASE WHEN id % 9 = 0 THEN NULL ELSE concat('n', id % 50) END name")
+    for sort, reverse in (("downloads", False), ("alpha", True)):
+        folder = str(tmp_path / sort)
+        K.write_sorted(rows, folder, sort, reverse, ranges=9)
+        stored = spark.read.parquet(folder)
+        for number in (1, 7, 18, 29, 30):
+            want = K.page(rows, sort, reverse, number, 17).select("slug", "total", "total_pages").collect()
+            assert K.page_of(stored, sort, reverse, number, 17).select("slug", "total", "total_pages").collect() == want
+
+
+def test_ranked_search_and_update(spark):
+    import math
+    from riskledger.operators import catalog as K
+    rows = [("a", "red fox", "a fox, a red fox"), ("b", "blue", None), ("c", "", "fox"), ("d", None, "")]
+    frame = spark.createDataFrame(rows, "slug string, name string, description string")
+    index = K.search_index(frame.where("slug <> 'd'"))
+    index = K.update_index(index, frame.where("slug in ('c', 'd')"))
+    words = {s: " ".join(x or "" for x in (s, n, d)).replace(",", " ").split() for s, n, d in rows}
+    mean = sum(map(len, words.values())) / 4
+    want = {}
+    for term in ("fox", "red"):
+        held = [s for s, w in words.items() if term in w]
+        for s in held:
+            t = words[s].count(term)
+            want[s] = want.get(s, 0) + math.log(1 + (4 - len(held) + 0.5) / (len(held) + 0.5)) * t * 2.2 / (t + 1.2 * (0.25 + 0.75 * len(words[s]) / mean))
+    got = {r.slug: r.score for r in K.ranked(index, "Red fox!").collect()}
+    assert got.keys() == want.keys() and all(abs(got[s] - want[s]) < 1e-9 for s in want)
+    assert [r.slug for r in K.ranked(index, "fox", 1).collect()] == ["a"] and K.ranked(index, "none").collect() == []
