@@ -11,7 +11,7 @@ from fleet_queries.registry import query, quote, table
 from riskledger.catalog import names as N, patterns as P
 from riskledger.functions import paths
 from riskledger.operators import detectors as D, incremental as C
-from riskledger.streaming import logs as LG
+from riskledger.streaming import logs as LG, rescan as RS
 
 VERSION, PROFILE = "1", "p"
 
@@ -352,3 +352,35 @@ def new_file_stream(spark, sf):
     rows = LG.stream_rule_artifacts(files_of(docs), options(spark)).select(
         "path", "artifact_type", joined("signals").alias("signals"))
     return _finish(rows, _folder(spark))
+
+
+# Three batches: what is there, some of it in an older state; new, edited and unchanged files; deletions and
+# changes that come too late.  The result is a cold scan of the last state, and shows which change was scanned.
+CHANGE_BATCHES = [
+    ("file_id % 7 <> 0", "file_id % 5 = 0", "1", "false"),
+    ("file_id % 7 = 0 OR file_id % 5 = 0 OR file_id % 3 = 0", "false", "2", "false"),
+    ("file_id % 11 = 0 OR file_id % 13 = 0", "file_id % 13 = 0", "CASE WHEN file_id % 11 = 0 THEN 3 ELSE 0 END", "file_id % 11 = 0"),
+]
+LAST_STATE = A.DETECTED.replace("FROM documents", "FROM (SELECT * FROM documents WHERE doc_id % 11 <> 0)")
+
+
+@query("change_stream", f"""{LAST_STATE}, found AS (SELECT file_id, detector, rule_name, artifact_type, confidence, signals FROM custom
+    UNION ALL SELECT file_id, detector, rule_name, artifact_type, confidence, signals FROM box
+    UNION ALL SELECT file_id, detector, rule_name, artifact_type, confidence, signals FROM mcp)
+  SELECT f.scan_id, f.path, c.detector, coalesce(c.rule_name, '') AS rule_name, c.artifact_type, CAST(c.confidence AS DOUBLE) AS confidence,
+    {S.joined('c.signals')} AS signals, CAST(CASE WHEN file_id % 7 = 0 OR file_id % 5 = 0 THEN 2 ELSE 1 END AS BIGINT) AS scanned_no
+  FROM found c JOIN files f USING (file_id)""")
+def change_stream(spark, sf):
+    folder, ctx, corpus = _folder(spark), options(spark), files(spark, sf)
+    stream, schema = None, None
+    for there, old, number, deleted in CHANGE_BATCHES:
+        rows = corpus.where(there).withColumns({
+            "content": F.when(F.expr(old), F.concat(F.lit("shell "), "content")).otherwise(F.col("content")),
+            "change_no": F.expr(f"CAST({number} AS BIGINT)"), "deleted": F.expr(deleted)})
+        rows.write.mode("append").parquet(f"{folder}/changes")
+        schema = schema or rows.schema
+        stream = LG.stream_new_files(spark, f"{folder}/changes", schema)
+        RS.follow(stream, f"{folder}/store", PROFILE, ctx, f"{folder}/state").awaitTermination()
+    found = RS.artifacts(spark, f"{folder}/store", RS.stored_schema(spark, stream, ctx), PROFILE)
+    return found.select("scan_id", "path", "detector", F.coalesce("rule_name", F.lit("")).alias("rule_name"), "artifact_type",
+                        "confidence", joined("signals").alias("signals"), "scanned_no")

@@ -138,6 +138,23 @@ def proximity_dirs(files: DataFrame) -> DataFrame:
             .select("scan_id", "dir").distinct().withColumn("ai_artifact_proximity", F.lit(True)))
 
 
+NEAR_AGENT = "ai_artifact_proximity"
+
+
+def container_confidence(direct: Column, near: Column) -> Column:
+    return F.when(direct, 0.8).when(near, 0.55).otherwise(0.4)
+
+
+def placed(found: DataFrame, near_dirs: DataFrame) -> DataFrame:
+    """Container rows of an earlier scan with what depends on their neighbours set anew."""
+    rows = found.drop(NEAR_AGENT).join(near_dirs, ["scan_id", "dir"], "left")
+    near = F.coalesce(F.col(NEAR_AGENT), F.lit(False))
+    mark = F.when(near, F.array(F.lit(NEAR_AGENT))).otherwise(F.array().cast(NO_STRINGS))
+    return rows.withColumns({
+        "signals": F.concat(mark, F.filter("signals", lambda s: s != NEAR_AGENT)),
+        "confidence": container_confidence(F.col("direct_ai_evidence"), near), NEAR_AGENT: near})
+
+
 def containers(files: DataFrame, ctx: ScanOptions, near_dirs: DataFrame | None = None) -> DataFrame:
     """``near_dirs`` comes from the whole corpus (:func:`proximity_dirs`), never from a part of it."""
     found = prepare(files, ctx).where(F.col("name").isin(names.CONTAINER_NAMES))
@@ -154,8 +171,8 @@ def containers(files: DataFrame, ctx: ScanOptions, near_dirs: DataFrame | None =
     return scanned.select(
         *_file_facts(), F.lit("containers").alias("detector"), F.lit(0).alias("rule_order"),
         F.when(direct, "container_config").otherwise("container_candidate").alias("artifact_type"),
-        F.when(direct, 0.8).when(near, 0.55).otherwise(0.4).alias("confidence"),
-        F.concat(F.when(near, F.array(F.lit("ai_artifact_proximity"))).otherwise(F.array().cast(NO_STRINGS)),
+        container_confidence(direct, near).alias("confidence"),
+        F.concat(F.when(near, F.array(F.lit(NEAR_AGENT))).otherwise(F.array().cast(NO_STRINGS)),
                  "_tokens", "secret_signals", "danger_signals").alias("signals"),
         container_kind(F.col("name")).alias("container_kind"),
         F.when(~image, base_image(text)).alias("base_image"),
