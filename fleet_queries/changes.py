@@ -372,15 +372,15 @@ LAST_STATE = A.DETECTED.replace("FROM documents", "FROM (SELECT * FROM documents
   FROM found c JOIN files f USING (file_id)""")
 def change_stream(spark, sf):
     folder, ctx, corpus = _folder(spark), options(spark), files(spark, sf)
-    stream, schema = None, None
+    schema = None
     for there, old, number, deleted in CHANGE_BATCHES:
         rows = corpus.where(there).withColumns({
             "content": F.when(F.expr(old), F.concat(F.lit("shell "), "content")).otherwise(F.col("content")),
             "change_no": F.expr(f"CAST({number} AS BIGINT)"), "deleted": F.expr(deleted)})
         rows.write.mode("append").parquet(f"{folder}/changes")
-        schema = schema or rows.schema
-        stream = LG.stream_new_files(spark, f"{folder}/changes", schema)
-        RS.follow(stream, f"{folder}/store", PROFILE, ctx, f"{folder}/state").awaitTermination()
-    found = RS.artifacts(spark, f"{folder}/store", RS.stored_schema(spark, stream, ctx), PROFILE)
+        schema = schema or RS.stored_schema(spark, rows, ctx)
+        stream = LG.stream_new_files(spark, f"{folder}/changes", rows.schema)
+        RS.follow(stream, f"{folder}/store", PROFILE, ctx, f"{folder}/state", schema).awaitTermination()
+    found = RS.artifacts(spark, f"{folder}/store", schema, PROFILE)
     return found.select("scan_id", "path", "detector", F.coalesce("rule_name", F.lit("")).alias("rule_name"), "artifact_type",
                         "confidence", joined("signals").alias("signals"), "scanned_no")
