@@ -180,7 +180,7 @@ def detector_union(spark, sf):
     return detected(spark, sf).groupBy("detector", "artifact_type").agg(F.count("*").alias("artifacts"))
 
 
-@query("surface_digests", f"""{A.FINDINGS}, fam AS (SELECT scan_id, family, count(*) AS n FROM findings GROUP BY ALL),
+SURFACE_HASHES = f"""fam AS (SELECT scan_id, family, count(*) AS n FROM findings GROUP BY ALL),
   risky AS (SELECT *, row_number() OVER (PARTITION BY scan_id ORDER BY n DESC, path) AS r FROM (SELECT scan_id, path, count(*) AS n FROM findings GROUP BY ALL)),
   counts AS (SELECT scan_id, count(*) FILTER (WHERE is_source) AS source_files, count(*) FILTER (WHERE NOT is_source) AS json_files FROM src_files GROUP BY scan_id),
   facts AS (SELECT scan_id, '{{"metadata":{{"ai_adjacent_context":true,"finding_counts":['
@@ -188,9 +188,14 @@ def detector_union(spark, sf):
       || '],"matched_families":[' || (SELECT string_agg('"' || family || '"', ',' ORDER BY family) FROM fam f WHERE f.scan_id = c.scan_id)
       || '],"scanned_json_file_count":' || json_files || ',"scanned_source_file_count":' || source_files || ',"top_risky_files":['
       || (SELECT string_agg('"' || path || '"', ',' ORDER BY r) FROM risky k WHERE k.scan_id = c.scan_id AND r <= 5) || ']}},"risk_reasons":[],"signals":['
-      || (SELECT string_agg(DISTINCT '"' || signal || '"', ',' ORDER BY '"' || signal || '"') FROM findings f WHERE f.scan_id = c.scan_id) || ']}}' AS text FROM counts c)
-  SELECT scan_id, sha256(text) AS content_digest,
-    sha256('{{"artifact_content":"' || sha256(text) || '","artifact_type":"source_risk_surface","version":"v1"}}') AS artifact_hash FROM facts""")
+      || (SELECT string_agg(DISTINCT '"' || signal || '"', ',' ORDER BY '"' || signal || '"') FROM findings f WHERE f.scan_id = c.scan_id) || ']}}' AS text FROM counts c),
+  surfaces AS (SELECT scan_id, sha256(text) AS content_digest,
+    sha256('{{"artifact_content":"' || sha256(text) || '","artifact_type":"source_risk_surface","version":"v1"}}') AS artifact_hash FROM facts)"""
+KNOWN = f"""{ARTIFACTS}, {SURFACE_HASHES}, known AS (SELECT a.* REPLACE (coalesce(a.artifact_hash, s.artifact_hash) AS artifact_hash)
+  FROM artifacts a LEFT JOIN surfaces s ON a.file_id IS NULL AND s.scan_id = a.scan_id)"""
+
+
+@query("surface_digests", f"{A.FINDINGS}, {SURFACE_HASHES} SELECT scan_id, content_digest, artifact_hash FROM surfaces")
 def surface_digests(spark, sf):
     found = plan.identify(R.source_surface(files(spark, sf), options(spark)))
     return found.select("scan_id", "content_digest", "artifact_hash")
@@ -231,9 +236,9 @@ def suppression(spark, sf):
 
 
 @query("declared_discount", f"""{ARTIFACTS} SELECT path, risk_score FROM artifacts
-  WHERE len(declared_tools) > 0 AND file_id IS NOT NULL""")
+  WHERE len(declared_tools) > 0""")
 def discount(spark, sf):
-    df = detected(spark, sf).where("size(declared_tools) > 0 and detector <> 'source_risks'")
+    df = detected(spark, sf).where("size(declared_tools) > 0")
     return plan.score(df).select("path", F.col("risk_score").cast("bigint").alias("risk_score"))
 
 
@@ -277,22 +282,22 @@ def label(spark, sf):
             .withColumn("label_rank", SC.severity_rank(F.lower("label")).cast("bigint")))
 
 
-@query("artifact_identity", f"""{ARTIFACTS} SELECT path, artifact_type, artifact_hash,
+@query("artifact_identity", f"""{KNOWN} SELECT path, artifact_type, artifact_hash,
   sha256('{{"artifact_hash":"' || artifact_hash || '","artifact_scope":"' || origin || '"}}') AS artifact_id,
   path || ':' || left(artifact_hash, 12) AS entity_id, left(sha256(path), 12) AS short_hash
-  FROM artifacts WHERE file_id IS NOT NULL""")
+  FROM known""")
 def identity(spark, sf):
     from riskledger.functions import identity as I
-    df = plan.identify(detected(spark, sf).where("detector <> 'source_risks'"))
+    df = plan.identify(detected(spark, sf))
     return df.select("path", "artifact_type", "artifact_hash", "artifact_id",
                      I.entity_id(F.col("path"), F.col("artifact_hash")).alias("entity_id"),
                      I.short_hash(F.col("path")).alias("short_hash"))
 
 
-@query("registry_identity", f"""{ARTIFACTS} SELECT artifact_hash, artifact_type AS artifact_kind, path AS artifact_locator,
-  artifact_scope, registry_eligible, 'v1' AS schema_version FROM artifacts WHERE file_id IS NOT NULL""")
+@query("registry_identity", f"""{KNOWN} SELECT artifact_hash, artifact_type AS artifact_kind, path AS artifact_locator,
+  artifact_scope, registry_eligible, 'v1' AS schema_version FROM known""")
 def registry_identity(spark, sf):
-    return plan.registry_identity(artifacts(spark, sf).where("detector <> 'source_risks'"))
+    return plan.registry_identity(artifacts(spark, sf))
 
 
 @query("posture_by_scan", f"""{ARTIFACTS} SELECT scan_id, artifact_type,
