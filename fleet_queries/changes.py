@@ -10,7 +10,7 @@ from fleet_queries.corpus import FILES_SQL, files, files_of
 from fleet_queries.registry import query, quote, table
 from riskledger.catalog import names as N, patterns as P
 from riskledger.functions import paths
-from riskledger.operators import detectors as D, incremental as C
+from riskledger.operators import detectors as D, digests as DG, incremental as C
 from riskledger.streaming import logs as LG, rescan as RS
 
 VERSION, PROFILE = "1", "p"
@@ -136,6 +136,85 @@ def fingerprints(spark, sf):
                         C.detector_fingerprint("custom_rules", VERSION).alias("detector_fingerprint"))
 
 
+def _bag_sql(rows, item, name):
+    """Digest of a bag of texts under (scan_id, dir), in shares of shares, as CTEs that end in ``name``."""
+    step = lambda source, digits, more: (f"SELECT scan_id, dir, left(share, {digits}) AS share, sha256(string_agg(digest, chr(10) ORDER BY share, digest)) AS digest, "
+                                         f"sum(items) AS items FROM {source} GROUP BY scan_id, dir, left(share, {digits}){more}")
+    return (f"{name}0 AS (SELECT scan_id, dir, sha256({item}) AS digest, sha256({item}) AS share, 1 AS items FROM {rows}), "
+            f"{name}4 AS ({step(name + '0', 4, '')}), {name}2 AS ({step(name + '4', 2, '')}), {name} AS ({step(name + '2', 0, '')})")
+
+
+def _digests_sql(name, states):
+    """``name``: own and tree digests of the directories of a state table."""
+    return (f"{name}_files AS (SELECT *, regexp_extract(path, '^(.*)/[^/]*$', 1) AS dir FROM ({states})), "
+            + _bag_sql(f"{name}_files", "path || chr(10) || state_key", f"{name}_own") + ", "
+            + f"""{name}_up AS (SELECT scan_id, dir || chr(10) || digest AS line, items, unnest(list_transform(range(1, len(string_split(dir, '/')) + 1),
+                lambda n: array_to_string(string_split(dir, '/')[1:n], '/'))) AS dir FROM {name}_own), """
+            + _bag_sql(f"{name}_up", "line", f"{name}_tree") + ", "
+            + f"""{name} AS (SELECT t.scan_id, t.dir, o.digest AS own, CAST(coalesce(o.items, 0) AS BIGINT) AS files, t.digest AS tree,
+                (SELECT CAST(sum(u.items) AS BIGINT) FROM {name}_up u WHERE u.scan_id = t.scan_id AND u.dir = t.dir) AS tree_files
+              FROM {name}_tree t LEFT JOIN {name}_own o ON o.scan_id = t.scan_id AND o.dir = t.dir)""")
+
+
+_KEY_SQL = """sha256(path || ':' || origin || '::' || size_bytes || ':' || epoch_ns(modified_at) || ':' || sha256(content))"""
+_NOW_SQL = f"SELECT scan_id, path, {_KEY_SQL} AS state_key FROM both_scans"
+#: In the earlier state projects of an odd number are as they are now, but for those whose number 9 divides, which are gone since.
+_EARLIER = "file_id // 16 % 2 = 1"
+_EARLIER_SQL = f"""SELECT scan_id, CASE WHEN file_id // 16 % 9 = 0 THEN path || '.old' ELSE path END AS path,
+    CASE WHEN {_EARLIER} OR file_id % 5 <> 0 THEN state_key ELSE sha256(state_key || 'old') END AS state_key
+  FROM (SELECT *, {_KEY_SQL} AS state_key FROM both_scans) WHERE {_EARLIER} OR file_id % 11 <> 0"""
+
+
+def earlier_states(spark, sf):
+    """State keys of an earlier run: files of every second project differ, are missing, or have other names."""
+    now = C.with_state_key(two_scans(spark, sf)).select("file_id", "scan_id", "path", "state_key")
+    steady = F.expr(_EARLIER.replace("//", "div"))
+    renamed = F.expr("file_id div 16 % 9 = 0")
+    return now.where(steady | (F.col("file_id") % 11 != 0)).select(
+        "scan_id", F.when(renamed, F.concat("path", F.lit(".old"))).otherwise(F.col("path")).alias("path"),
+        F.when(steady | (F.col("file_id") % 5 != 0), F.col("state_key")).otherwise(F.sha2(F.concat("state_key", F.lit("old")), 256)).alias("state_key"))
+
+
+def both_states(spark, sf):
+    """The two state tables, stored as a run leaves them for the next one."""
+    folder = _folder(spark)
+    now = C.with_state_key(two_scans(spark, sf)).select("scan_id", "path", "state_key")
+    for name, rows in (("earlier", earlier_states(spark, sf)), ("now", now)):
+        rows.write.parquet(f"{folder}/{name}")
+    return spark.read.parquet(f"{folder}/earlier"), spark.read.parquet(f"{folder}/now")
+
+
+_COMPARED_SQL = f"""WITH {TWINS_SQL}, {_digests_sql('old_d', _EARLIER_SQL)}, {_digests_sql('new_d', _NOW_SQL)},
+  compared AS (SELECT scan_id, dir, CASE WHEN o.tree IS NULL THEN 'new' WHEN n.tree IS NULL THEN 'gone' WHEN o.tree <> n.tree THEN 'changed' ELSE 'same' END AS state,
+    o.own IS DISTINCT FROM n.own AS own_differs FROM old_d o FULL JOIN new_d n USING (scan_id, dir))"""
+
+
+@query("directory_digests", f"WITH {TWINS_SQL}, {_digests_sql('d', _NOW_SQL)} SELECT * FROM d")
+def directory_digests(spark, sf):
+    return DG.directory_digests(C.with_state_key(two_scans(spark, sf)))
+
+
+def _compared(old, new):
+    return DG.compare_directories(DG.directory_digests(old), DG.directory_digests(new))
+
+
+@query("directories_compared", f"""{_COMPARED_SQL} SELECT *, state = 'same' AND NOT EXISTS (SELECT 1 FROM compared u WHERE u.state = 'same'
+    AND u.scan_id = c.scan_id AND c.dir <> '' AND u.dir = regexp_extract(c.dir, '^(.*)/[^/]*$', 1)) AS unchanged_root FROM compared c""")
+def directories_compared(spark, sf):
+    compared = _compared(*both_states(spark, sf))
+    roots = DG.unchanged_roots(compared).withColumn("root", F.lit(True))
+    return compared.join(roots, ["scan_id", "dir"], "left").withColumn("unchanged_root", F.coalesce("root", F.lit(False))).drop("root")
+
+
+@query("files_of_changed_directories", f"""WITH {TWINS_SQL}, o AS ({_EARLIER_SQL}), n AS ({_NOW_SQL})
+  SELECT * FROM (SELECT scan_id, path, CASE WHEN o.state_key IS NULL THEN 'new' WHEN n.state_key IS NULL THEN 'gone'
+    WHEN o.state_key <> n.state_key THEN 'changed' END AS state FROM o FULL JOIN n USING (scan_id, path)) WHERE state IS NOT NULL""")
+def files_of_changed_directories(spark, sf):
+    """The SQL compares all files one by one; here only directories that differ are looked into."""
+    old, new = both_states(spark, sf)
+    return DG.changed_files(old, new, _compared(old, new))
+
+
 # --- logs -------------------------------------------------------------------------------------
 
 LOGS_SQL = f"""logs AS (SELECT 'scan' || (user_id % 4) AS scan_id, ts, CASE WHEN event_id % 2 = 0 THEN '~/logs/' ELSE '' END
