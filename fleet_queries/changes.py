@@ -215,6 +215,57 @@ def files_of_changed_directories(spark, sf):
     return DG.changed_files(old, new, _compared(old, new))
 
 
+# --- files on disk ------------------------------------------------------------------------------
+
+def _on_disk(spark, sf, projects):
+    """Files of so many projects one after the other in one file on disk, ``bundle=<number>/...``."""
+    folder = _folder(spark)
+    rows = files(spark, sf).select(F.expr(f"file_id div {16 * projects}").alias("bundle"), "file_id", "content")
+    (rows.repartition("bundle").sortWithinPartitions("bundle", "file_id").select("bundle", F.col("content").alias("value"))
+     .write.partitionBy("bundle").text(folder))
+    return folder
+
+
+def _bundle(path):
+    return F.regexp_extract(path, "bundle=([0-9]+)/", 1).cast("bigint")
+
+
+def _bundles_sql(projects):
+    return f"""bundles AS (SELECT file_id // {16 * projects} AS bundle, string_agg(content, chr(10) ORDER BY file_id) || chr(10) AS content
+    FROM files GROUP BY ALL)"""
+
+
+@query("files_on_disk", f"""WITH {FILES_SQL}, {_bundles_sql(1)} SELECT CAST(bundle AS BIGINT) AS bundle, CAST(strlen(content) AS BIGINT) AS size_bytes,
+  sha256(content) AS content_hash FROM bundles""")
+def files_on_disk(spark, sf):
+    from riskledger.sources.files import read_files
+    read = read_files(spark, _on_disk(spark, sf, 1), "disk", name_glob="*.txt")
+    return read.select(_bundle(F.col("path")).alias("bundle"), "size_bytes", F.sha2("content", 256).alias("content_hash"))
+
+
+RANGE_BYTES = 1 << 20
+_LINE_SQL = A.FINDINGS_SQL[A.FINDINGS_SQL.index("src_lines AS"):A.FINDINGS_SQL.index("findings AS (")].rstrip().rstrip(",")
+
+
+@query("large_file_findings", f"""WITH {FILES_SQL}, {_bundles_sql(64)}, src_files AS (
+    SELECT bundle AS file_id, 'disk' AS scan_id, CAST(bundle AS BIGINT) AS path, content, TRUE AS is_source FROM bundles),
+  {_LINE_SQL} SELECT path AS bundle, signal, m.family AS family, CAST(m.line AS BIGINT) AS line, m.summary AS summary FROM src_first""")
+def large_file_findings(spark, sf):
+    """Large files in ranges of a megabyte; the SQL reads each of them whole."""
+    from riskledger.operators.source_risk import findings_in_lines
+    from riskledger.sources.files import read_lines
+    folder, setting = _folder(spark), "spark.sql.files.maxPartitionBytes"
+    usual = spark.conf.get(setting)
+    root = _on_disk(spark, sf, 64)
+    spark.conf.set(setting, str(RANGE_BYTES))
+    try:
+        findings_in_lines(read_lines(spark, root, "disk")).write.parquet(folder)
+    finally:
+        spark.conf.set(setting, usual)
+    return spark.read.parquet(folder).select(_bundle(F.col("path")).alias("bundle"), "signal", "family",
+                                             F.col("line").cast("bigint").alias("line"), "summary")
+
+
 # --- logs -------------------------------------------------------------------------------------
 
 LOGS_SQL = f"""logs AS (SELECT 'scan' || (user_id % 4) AS scan_id, ts, CASE WHEN event_id % 2 = 0 THEN '~/logs/' ELSE '' END

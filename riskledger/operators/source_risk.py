@@ -108,6 +108,32 @@ def findings(files: DataFrame, ctx: ScanOptions) -> DataFrame:
             .select("scan_id", "path", "m.family", "signal", "m.line", "m.summary"))
 
 
+def findings_in_lines(lines: DataFrame) -> DataFrame:
+    """Findings of source files that come as numbered lines (:func:`riskledger.sources.files.read_lines`).
+
+    The columns of :func:`findings`, and its rows, except that a write call which goes over a line end is
+    not seen.  Rows are reduced to one a file and signal before they are shuffled, so a file of any size is no
+    more than its findings.
+    """
+    rows = lines.select("scan_id", "path", F.col("line").cast("int").alias("line"), "text").withColumns(
+        {"fold": G.folded(F.col("text")), "lower": F.lower("text")})
+    every = rows.select("scan_id", "path", F.explode(_line_findings(
+        F.col("text"), F.col("fold"), F.col("lower"), F.col("line"))).alias("f"))
+    order = ["line", "ordinal", "family", "summary"]
+    first = (every.groupBy("scan_id", "path", F.col("f.signal").alias("signal"))
+             .agg(F.min(F.struct(*[f"f.{c}" for c in order])).alias("m")))
+    named = [F.min(F.when(F.col("lower").contains(n), F.col("line"))) for n in P.IDENTITY_FILES]
+    files = rows.groupBy("scan_id", "path").agg(
+        F.bool_or(F.col("text").rlike(to_java(P.WRITE_CALL))).alias("writes"),
+        *[n.alias(f"named{i}") for i, n in enumerate(named)])
+    target = F.coalesce(*[F.when(F.col(f"named{i}").isNotNull(), F.struct(
+        F.col(f"named{i}").alias("line"), F.lit(n).alias("name"))) for i, n in enumerate(P.IDENTITY_FILES)])
+    written = files.where("writes").withColumn("t", target).where("t is not null").select(
+        "scan_id", "path", F.lit("cognitive_file").alias("family"), F.lit("cognitive_tampering:file_write").alias("signal"),
+        F.col("t.line").alias("line"), F.concat(F.lit("Source references and may write agent identity file "), "t.name").alias("summary"))
+    return first.select("scan_id", "path", "m.family", "signal", "m.line", "m.summary").unionByName(written)
+
+
 def json_findings(files: DataFrame, ctx: ScanOptions) -> DataFrame:
     return findings(files.where(paths.is_json_config(paths.basename(F.col("path")))), ctx)
 

@@ -1,6 +1,6 @@
 """Corpus, log and report sources; the contract sink."""
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from riskledger.catalog.contract_schema import report_ddl
@@ -20,6 +20,32 @@ def read_files(spark: SparkSession, root: str, scan_id: str, origin: str = "work
         F.col("modificationTime").alias("modified_at"))
 
 
+def read_lines(spark: SparkSession, root: str, scan_id: str, origin: str = "workdir",
+               name_glob: str | None = None) -> DataFrame:
+    """``scan_id, root, origin, path, line, text``: numbered lines of files of any size.
+
+    A large file is read in ranges of ``spark.sql.files.maxPartitionBytes`` by many tasks, so that no file has
+    to be one value; a line has.  Line ends are ``\\n`` and ``\\r\\n``, bytes that are no UTF-8 are replaced.
+    Lines are numbered from the number of lines in each range: these counts are the only thing that is
+    brought together, in a first pass.  The files must not change while they are read.
+    """
+    reader = spark.read.option("recursiveFileLookup", "true").option("lineSep", "\n")
+    if name_glob:
+        reader = reader.option("pathGlobFilter", name_glob)
+    rows = reader.text(root).select("value", "_metadata.file_path", F.col("_metadata.file_block_start").alias("start"),
+                                    F.monotonically_increasing_id().alias("at"))
+    ranges = rows.groupBy("file_path", "start").agg(F.count("*").alias("n"), F.min("at").alias("first"))
+    before = F.sum("n").over(Window.partitionBy("file_path").orderBy("start")) - F.col("n")
+    numbered = rows.join(ranges.select("file_path", "start", "first", before.alias("before")), ["file_path", "start"])
+    text = T.utf8_text(F.col("value"))
+    plain = F.url_decode(F.replace("file_path", F.lit("+"), F.lit("%2B")))
+    return numbered.select(
+        F.lit(scan_id).alias("scan_id"), F.lit(root.rstrip("/")).alias("root"), F.lit(origin).alias("origin"),
+        F.regexp_replace(plain, r"^file:/*(?=/)", "").alias("path"),
+        (F.col("before") + F.col("at") - F.col("first") + 1).alias("line"),
+        F.when(text.endswith("\r"), F.left(text, F.length(text) - 1)).otherwise(text).alias("text"))
+
+
 def read_inventory(spark: SparkSession, folder: str) -> DataFrame:
     """A stored Parquet inventory in corpus form."""
     return spark.read.parquet(folder)
