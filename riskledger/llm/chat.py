@@ -21,6 +21,7 @@ from riskledger.llm import tokens
 from riskledger.llm.common import by_group, group_starts, query, table
 
 BEGIN, ROLE, TEXT, END = "<s>", "[INST]", "[/INST]", "</s>"
+FRONT, BACK = "<s", ">"
 _CONTROL = re.compile(r"\\|</?s>|\[/?INST\]")
 _ESCAPED = re.compile(r"\\\\|\\")
 
@@ -67,8 +68,21 @@ def render(turns: list[tuple[str, str]], loss_role: str, begin: bool = True) ->
     return "".join(out), starts, ends
 
 
+def render_segment(turns: list[tuple[str, str]], loss_role: str) -> tuple[str, list[int], list[int]]:
+    """Some turns of a longer conversation: from the last character of the control string before them to
+    the last but one of that after them.
+
+    The whole is ``FRONT``, its segments in order and ``BACK``.  A tokenizer that keeps letters and signs apart has
+    a border between ``s`` and ``>`` whatever stands around, so ids of segments in order are those of the whole.
+    """
+    text, starts, ends = render(turns, loss_role, False)
+    return BACK + text[:-len(BACK)], [s + len(BACK) for s in starts], [e + len(BACK) for e in ends]
+
+
 def parse(formatted: str) -> list[tuple[str, str]]:
     """The turns of a formatted text, or of a segment of one."""
+    if formatted.startswith(BACK):
+        formatted = formatted[len(BACK):] + BACK
     at, out = len(BEGIN) if formatted.startswith(BEGIN) else 0, []
     while at < len(formatted):
         middle = formatted.index(TEXT, at)
@@ -117,7 +131,7 @@ class Encoder:
 
 def _format(encode: Encoder, p: Chat, conversations: list[tuple]) -> pa.RecordBatch | None:
     """Rows of FORMATTED for (conv_id, segment, turns, whether it begins a conversation)."""
-    drawn = [render(turns, p.loss_role, begin) for _, _, turns, begin in conversations]
+    drawn = [(render if begin else render_segment)(turns, p.loss_role) for _, _, turns, begin in conversations]
     columns: dict[str, list] = {n: [] for n in FORMATTED.names}
     for (conv, segment, _, _), (text, starts, ends), (ids, a, b) in zip(conversations, drawn, encode([d[0] for d in drawn])):
         mask, s, e = loss_mask(a, b, starts, ends)
@@ -140,7 +154,8 @@ def formatted(conversations: DataFrame, p: Chat | None = None, path: str = token
     """Two frames of conv_id, segment, formatted, ids, starts, ends, mask, loss_starts, loss_ends.
 
     In the first a row is a whole conversation; the second holds conversations beyond the limits of
-    ``p``, cut between turns: segments in order make up the formatted text.  ``starts``, ``ends``: the
+    ``p``, cut between turns: ``FRONT``, the segments in order and ``BACK`` make up the formatted text, and ids,
+    offsets from the segment's place and masks are those of the whole, wherever it is cut.  ``starts``, ``ends``: the
     characters of each token; ``mask``: a byte a token, 1 if it has a character under the loss;
     ``loss_starts``, ``loss_ends``: the characters under the loss, one span for each non-empty text.
 
@@ -206,11 +221,11 @@ def digests(batches):
 def digested(short: DataFrame, hot: DataFrame) -> DataFrame:
     """Digests of both frames of ``formatted``; those of the second are read segment by segment.
 
-    The second frame leaves out the text's opening string, which is counted here.
+    The second frame leaves out ``FRONT`` and ``BACK``, which are counted here.
     """
     wanted = ["conv_id", "segment", "formatted", "loss_starts", "loss_ends"]
     later = hot.select(*wanted).repartition("conv_id").sortWithinPartitions("conv_id", "segment").mapInArrow(digests, DIGEST_DDL)
-    later = later.withColumn("formatted_chars", F.col("formatted_chars") + len(BEGIN))
+    later = later.withColumn("formatted_chars", F.col("formatted_chars") + len(FRONT) + len(BACK))
     return short.select(*wanted).mapInArrow(digests, DIGEST_DDL).union(later)
 
 

@@ -221,6 +221,43 @@ def test_conversations(spark, limits):
     assert chat.digested(*chat.formatted(frame_.limit(0))).count() == 0
 
 
+@pytest.mark.parametrize("path", ["BYTE_BPE", "WORD_BPE"])
+def test_segments_have_the_ids_offsets_and_mask_of_the_whole(spark, path):
+    rng = random.Random(5)
+    said = ["", None, "ok", " lead", "trail ", "</s", ">", "s>", "</s>[INST]", "it's", "'s", "\u0338x", "x\n\n ", "多字节 🙂.", "<s", "[", "\\"]
+    rows = [(c, i, rng.choice(["user", "assistant", "s", "", ">", None]), "".join(rng.choice(said) or "" for _ in range(rng.randint(0, 3))), "", 0)
+            for c in range(6) for i in range(rng.randint(4, 60))]
+    frame_ = spark.createDataFrame(rows, TURNS)
+    file, numbers = getattr(chat.tokens, path), {"ids": "<u4", "starts": "<i4", "ends": "<i4", "mask": np.uint8}
+    whole, none = chat.formatted(frame_, path=file)
+    assert none.count() == 0
+    want = {r.conv_id: r for r in whole.collect()}
+    ends = list(chat.Encoder(open(file, "rb").read())([chat.FRONT, chat.BACK]))
+    for parts, limits in ((1, chat.Chat(turns=3, slice_rows=7)), (5, chat.Chat(turns=3, slice_rows=2))):
+        short, hot = chat.formatted(frame_.repartition(parts), limits, path=file)
+        assert short.count() == 0
+        cut = {}
+        for r in hot.collect():
+            cut.setdefault(r.conv_id, []).append(r)
+        assert set(cut) == set(want) and all(len(v) > 1 for v in cut.values())
+        for c, segments in cut.items():
+            segments.sort(key=lambda r: r.segment)
+            text, got = chat.FRONT, {"ids": [ends[0][0]], "starts": [ends[0][1]], "ends": [ends[0][2]], "mask": [np.zeros(len(ends[0][0]), np.uint8)]}
+            spans = []
+            for r in segments:
+                for name, kind in numbers.items():
+                    found = np.frombuffer(r[name], kind)
+                    got[name].append(found + len(text) if name in ("starts", "ends") else found)
+                spans += [(s + len(text), e + len(text)) for s, e in zip(r.loss_starts, r.loss_ends)]
+                text += r.formatted
+            for name, found in zip(("ids", "starts", "ends", "mask"), (*ends[1], np.zeros(len(ends[1][0]), np.uint8))):
+                got[name].append(found + len(text) if name in ("starts", "ends") else found)
+            assert text + chat.BACK == want[c].formatted
+            assert spans == list(zip(want[c].loss_starts, want[c].loss_ends))
+            for name, kind in numbers.items():
+                assert np.concatenate(got[name]).tolist() == np.frombuffer(want[c][name], kind).tolist(), (c, name)
+
+
 def test_mask_covers_the_loss_tokens(spark):
     rows = [(0, 0, "user", "hi", "", 0), (0, 1, "assistant", "...well, yes", "", 0)]
     row = chat.formatted(spark.createDataFrame(rows, TURNS))[0].first()
