@@ -112,11 +112,16 @@ def matrices(docs: DataFrame, p: Matrices | None = None, path: str = tokens.BYTE
     pieces[k] of document doc_ids[k] from token starts[k] on.  A null or empty text is its end id alone; a null
     doc_id stays null; repeated rows are packed each; special strings in texts are ordinary text.  An
     empty table gives no rows.
+
+    Pieces are dealt to shares by a hash and taken up in its order; a share of more tokens than its texts let
+    expect is packed in several goes.  So rows depend on the documents alone, not on partitions or arrival.  The
+    number of shares comes from the lengths of the texts, counted in a job while the frame is built.
     """
     p = p or Matrices()
     size = docs.select(F.sum(F.coalesce(F.length("text"), F.lit(0)) + p.chars_a_token).alias("n")).first()["n"] or 0
     shares = max(1, int(size / p.chars_a_token / p.length / p.share_rows) + 1)
-    dealt = token_pieces(docs, p, path).repartition(shares, F.xxhash64("doc_id", "piece", "ids"))
+    key = F.xxhash64("doc_id", "piece", "ids")
+    dealt = token_pieces(docs, p, path).repartition(shares, key).sortWithinPartitions(key, "doc_id", "piece", "start", "ids")
     most = 4 * p.share_rows * p.length
 
     def packed(held: list[tuple], share: int, first: int):

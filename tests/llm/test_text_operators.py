@@ -151,6 +151,18 @@ def test_rules_place_every_rank_once():
             assert made <= 1.05 * plain + large / p.groups[-1] + p.groups[-1]
 
 
+def test_matrices_do_not_depend_on_partitions(spark):
+    """Texts of many tokens a character: shares hold far more than their characters let expect."""
+    rng = random.Random(8)
+    rows = [(i if i % 9 else None, rng.choice(["", None, "🙂", *("🙂🦜𝒳" * rng.randint(1, 60) for _ in range(9))])) for i in range(600)]
+    rows += [(i, f"other text {i}") for i in range(40)] + [(3, "🙂" * 50)] * 30
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    p = binary_output.Matrices(length=64, share_rows=16)
+    first, second = (sorted(map(str, binary_output.matrices(d, p).collect())) for d in (
+        docs.coalesce(1), spark.createDataFrame(rows[::-1], docs.schema).repartition(7)))
+    assert first == second and len(first) > 16
+
+
 def test_matrices_round_trip(spark, real_texts):
     texts = ODD + real_texts[:80]
     p = binary_output.Matrices(length=256, share_rows=16)
