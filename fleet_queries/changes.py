@@ -381,6 +381,31 @@ def rule_validation(spark, sf):
     return rule_errors(rows).select(F.col("rule_rank").cast("bigint").alias("rule_rank"), "field")
 
 
+# two words of the letters a and b for each document, from the digest of its whole text; a text that joins two such
+# words over and over can be read in two ways exactly if the words commute
+WORDS_SQL = """w AS (SELECT doc_id, CAST(doc_id % 6 AS INT) AS kind, translate(substr(h, 3, 1 + strpos('0123456789abcdef', substr(h, 1, 1)) % 3), '0123456789abcdef', 'aaaaaaaabbbbbbbb') AS x,
+    translate(substr(h, 9, 1 + strpos('0123456789abcdef', substr(h, 2, 1)) % 3), '0123456789abcdef', 'aaaaaaaabbbbbbbb') AS y FROM (SELECT doc_id, md5(coalesce(text, '')) AS h FROM documents))"""
+
+
+@query("expression_safety", f"""WITH {WORDS_SQL} SELECT CAST(doc_id AS BIGINT) AS doc_id, CASE kind WHEN 0 THEN '(?:' || x || '|' || y || ')+$' WHEN 1 THEN '(?:(?:' || x || ')+(?:' || y || ')?)*c'
+      WHEN 2 THEN '(?:' || x || ')*(?:' || y || ')*c' WHEN 3 THEN '(?:(?:' || x || '){{2}}|(?<n>' || y || '){{3}})*c' WHEN 4 THEN '(?=' || x || ')' || y ELSE '(?i)(?:' || x || '|' || upper(x) || 'c|' || y || 'c+)+$' END AS expression,
+    CASE WHEN kind = 4 THEN 'needs a backtracking engine' WHEN kind IN (0, 3) AND x || y = y || x THEN 'can backtrack exponentially'
+      WHEN kind = 1 OR kind = 5 AND x || y = y || x AND length(y) % length(x) = 0 THEN 'can backtrack exponentially' END AS error FROM w""")
+def expression_safety(spark, sf):
+    from riskledger.sources.rules import rule_errors
+    digest = table(spark, sf, "documents").select("doc_id", F.md5(F.coalesce("text", F.lit(""))).alias("h"))
+    word = lambda at, size: F.expr(
+        f"translate(substr(h, {at}, 1 + instr('0123456789abcdef', substr(h, {size}, 1)) % 3), '0123456789abcdef', 'aaaaaaaabbbbbbbb')")
+    kinds = ["concat('(?:', x, '|', y, ')+$')", "concat('(?:(?:', x, ')+(?:', y, ')?)*c')", "concat('(?:', x, ')*(?:', y, ')*c')",
+             "concat('(?:(?:', x, '){2}|(?<n>', y, '){3})*c')", "concat('(?=', x, ')', y)", "concat('(?i)(?:', x, '|', upper(x), 'c|', y, 'c+)+$')"]
+    made = digest.select("doc_id", word(3, 1).alias("x"), word(9, 2).alias("y")).withColumn(
+        "expression", F.expr("CASE doc_id % 6 " + " ".join(f"WHEN {i} THEN {k}" for i, k in enumerate(kinds)) + " END"))
+    rows = _rule_rows(made, rule_rank=F.col("doc_id"), name=F.lit("made"), artifact_type=F.lit("made"), filenames=F.array(F.lit("x")),
+                      patterns=_terms(F.array("expression"), "rx"))
+    errors = rule_errors(rows).select(F.col("rule_rank").alias("doc_id"), "error").distinct()
+    return made.select(F.col("doc_id").cast("bigint").alias("doc_id"), "expression").join(errors, "doc_id", "left")
+
+
 # a rule for every part: whole names, endings, globs and expressions; every fifth states no confidence
 USER_RULES_SQL = """r AS (SELECT p_partkey AS k, 'part-' || p_partkey AS rule_name, p_partkey % 4 AS kind, CASE WHEN p_partkey % 5 = 0 THEN 0.0 ELSE 0.25 END AS base FROM part),
   f AS (SELECT doc_id, 'u' || (doc_id % 3000) || '-prompt.' || ['md', 'txt', 'tok'][doc_id % 3 + 1] AS name, text FROM documents),

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskledger.catalog import rules as R
+from riskledger.functions.ambiguity import EXPONENTIAL, FOREIGN, TOO_LARGE, UNREADABLE, expression_faults
 
 BLOCKS = ("keywords", "deep_keywords", "patterns", "deep_patterns")
 _BLOCK = ("struct<terms:array<string>,signals_prefix:string,boost_confidence:double,"
@@ -109,6 +110,12 @@ def _compiles(expression: Column) -> Column:
     return F.try_reflect(F.lit("java.util.regex.Pattern"), F.lit("compile"), spelled).isNotNull()
 
 
+def _has_fault(terms: Column, faults: Column, fault: str) -> Column:
+    """Has any expression that compiles this fault?"""
+    marked = F.zip_with(terms, faults, lambda term, found: (found == fault) & _compiles(term))
+    return F.exists(marked, lambda bad: F.coalesce(bad, F.lit(False)))
+
+
 def _block_checks(name: str) -> list[tuple[Column, str, str]]:
     block = F.col(name)
     terms, prefix = block["terms"], block["signals_prefix"]
@@ -126,11 +133,16 @@ def _block_checks(name: str) -> list[tuple[Column, str, str]]:
     ]
     if not words:
         checks.append((F.exists(terms, lambda t: ~_compiles(t)), "terms", "does not compile"))
+        checks += [(_has_fault(terms, F.col(f"_{name}_faults"), fault), "terms", fault)
+                   for fault in (EXPONENTIAL, FOREIGN, UNREADABLE, TOO_LARGE)]
     return [(block.isNotNull() & bad, f"{name}.{field}", text) for bad, field, text in checks]
 
 
 def rule_errors(rules: DataFrame) -> DataFrame:
-    """``source, rule_rank, name, field, error``: one row per broken limit; valid rules give none."""
+    """``source, rule_rank, name, field, error``: one row per broken limit; valid rules give none.
+
+    Expressions that a backtracking engine may not end on are refused (``functions.ambiguity``).
+    """
     user = F.col("source") != "builtin"
     name, kind = F.col("name"), F.col("artifact_type")
     checks = [
@@ -149,6 +161,7 @@ def rule_errors(rules: DataFrame) -> DataFrame:
     ]
     for block in BLOCKS:
         checks += _block_checks(block)
+    rules = rules.withColumns({f"_{b}_faults": expression_faults(F.col(b)["terms"]) for b in BLOCKS if "patterns" in b})
     found = F.array(*[F.when(F.coalesce(bad, F.lit(False)), F.struct(F.lit(f).alias("field"), F.lit(e).alias("error")))
                       for bad, f, e in checks])
     return (rules.select("source", "rule_rank", "name", F.explode(F.filter(found, lambda x: x.isNotNull())).alias("e"))
