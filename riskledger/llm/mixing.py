@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskledger.llm.common import Workspace, query, table
+from riskledger.operators.corpus import salted_join
 
 
 @dataclass(frozen=True)
@@ -27,34 +28,18 @@ class Mixing:
     """Production parameters.
 
     ``weights``: target share by source; None: shares of the sources' sizes to the power ``smooth``,
-    which lifts small sources.  ``block_chars`` is the size of a block.  ``period`` is not read: weights
-    are not rounded.  Up to ``sources`` sources are scheduled, more are an error.  Rows are counted in up to
-    ``shares`` shares of a source, of about ``share_rows`` rows of the corpus.
+    which lifts small sources.  ``block_chars`` is the size of a block.  Up to ``sources`` sources are scheduled, more are an error.  Rows are counted in up to
+    ``shares`` shares of a source, of about ``share_rows`` rows of the corpus.  No list holds the uses of more
+    than ``part`` blocks in ``part`` epochs.
     """
 
     weights: tuple | None = None
     smooth: float = 0.7
     block_chars: int = 1 << 16
-    period: int = 4096
     sources: int = 200_000
     share_rows: int = 2048
     shares: int = 4096
-
-
-def whole_parts(weights: dict, period: int) -> tuple[dict, int]:
-    """Weights rounded to whole parts of a period, each positive one at least 1, by largest remainders; `exact` does not round."""
-    weights = {s: w for s, w in weights.items() if w > 0}
-    total, period = sum(weights.values()), max(period, 8 * len(weights))
-    exact = {s: w / total * period for s, w in weights.items()}
-    parts = {s: max(1, int(x)) for s, x in exact.items()}
-    order = sorted(parts, key=lambda s: (parts[s] - exact[s], s))
-    k = 0
-    while sum(parts.values()) != period:
-        more = sum(parts.values()) < period
-        s = order[k % len(order)] if more else max((s for s in parts if parts[s] > 1), key=lambda s: (parts[s] - exact[s], s))
-        parts[s] += 1 if more else -1
-        k += 1
-    return parts, period
+    part: int = 256
 
 
 def exact(weights: dict) -> tuple[dict, int]:
@@ -96,14 +81,6 @@ def turns(parts: dict, period: int, first: dict | None = None, end: int | None =
         slot += 1
 
 
-def schedule(parts: dict, period: int) -> dict[object, list[int]]:
-    """One period: the slots of each source's blocks, in order."""
-    slots = {s: [] for s in parts}
-    for slot, (s, *_) in zip(range(period), turns(parts, period)):
-        slots[s].append(slot)
-    return slots
-
-
 def horizon(parts: dict, period: int, first: dict) -> int:
     """A slot by which the first ``first[s]`` blocks of each source can be given within their windows.
 
@@ -168,17 +145,23 @@ def _rows(docs: DataFrame, p: Mixing) -> DataFrame:
         _slots(p), "_key string, _block long, _epoch long, _slot long, _release long, _deadline long")
     slots = work.keep(slots, "slots")
     place = lambda c: F.floor(c / p.block_chars)
-    blocks = sums.withColumn("_first", place(F.col("_before")))
-    blocks = blocks.withColumn("_block", F.explode(F.sequence("_first", place(F.col("_before") + F.col("_sum") - 1))))
-    uses = blocks.join(slots, ["_key", "_block"]).groupBy("_key", "_share", "_before", "_first", "_block").agg(
-        F.collect_list(F.struct("_epoch", "_slot", "_release", "_deadline")).alias("_uses"))
-    uses = uses.groupBy("_key", "_share", "_before", "_first").agg(F.array_sort(F.collect_list(F.struct("_block", "_uses"))).alias("_blocks"))
+    blocks = sums.select("_key", "_share", "_before", F.explode(
+        F.sequence(place(F.col("_before")), place(F.col("_before") + F.col("_sum") - 1))).alias("_block"))
+    # a block of a small source can be used in every few slots: its uses come in parts, rows meet the parts in a join
+    part = [F.floor(F.col(c) / p.part).alias(f"{c}_part") for c in ("_block", "_epoch")]
+    uses = salted_join(slots, blocks, ["_key", "_block"], ["_epoch"]).select("*", *part)
+    key = ["_key", "_share", "_before", "_block_part", "_epoch_part"]
+    uses = uses.groupBy(*key, "_block").agg(F.collect_list(F.struct("_epoch", "_slot", "_release", "_deadline")).alias("_uses"))
+    uses = uses.groupBy(*key).agg(F.collect_list(F.struct("_block", "_uses")).alias("_blocks"))
     uses = work.keep(uses, "uses")
     inside = F.sum("_size").over(Window.partitionBy("_key", "_share").orderBy("_h", "_id", "_t", "_size")
                                  .rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_size")
-    placed = rows.withColumn("_share", share).withColumn("_inside", inside).join(uses, ["_key", "_share"])
-    placed = placed.withColumn("_start", F.col("_before") + F.col("_inside"))
-    mine = F.col("_blocks")[(place(F.col("_start")) - F.col("_first")).cast("int")]
+    placed = rows.withColumn("_share", share).withColumn("_inside", inside).alias("r")
+    start = F.col("_inside") + F.col("_before")
+    here = (start >= F.col("_block_part") * p.part * p.block_chars) & (start < (F.col("_block_part") + 1) * p.part * p.block_chars)
+    on = (F.col("r._key") == F.col("u._key")) & (F.col("r._share") == F.col("u._share")) & here
+    placed = placed.join(uses.alias("u"), on).select("_row", "_id", start.alias("_start"), "_blocks")
+    mine = F.get(F.filter("_blocks", lambda b: b["_block"] == place(F.col("_start"))), F.lit(0))
     placed = placed.select("_row", "_id", "_start", mine.alias("_mine"))
     return placed.select("_row", "_id", "_start", F.col("_mine._block").alias("_block"), F.inline("_mine._uses"))
 

@@ -1,8 +1,10 @@
 """Near-duplicates, components, vectors, mixing, URLs, languages and the pipeline against plain versions."""
 
 import itertools
+import math
 import random
 import re
+from fractions import Fraction
 
 import duckdb
 import numpy as np
@@ -207,22 +209,21 @@ def test_groups_of_a_leaf_are_bounded(spark):
     assert len(met) == len(set(met)) and len({(q, m) for _, q, m in met}) == 300 * 600
 
 
-def test_schedule_stays_within_one_block():
+def test_turns_equal_a_plain_earliest_deadline_schedule():
+    """Against a scan over all sources in every slot, with the windows worked out as fractions."""
     rng = random.Random(6)
-    for _ in range(30):
-        weights = {f"s{i}": rng.choice([1, 2, 5, 0.01, 30]) for i in range(rng.randint(1, 12))}
-        parts, period = mixing.whole_parts(weights, rng.choice([16, 97, 512]))
-        assert sum(parts.values()) == period
-        slots = mixing.schedule(parts, period)
-        assert sorted(s for own in slots.values() for s in own) == list(range(period))
-        for k, own in slots.items():
-            for j, slot in enumerate(own):
-                release, due = mixing.window(j, parts[k], period)
-                assert release <= slot < due
-            count = 0
-            for t in range(period):
-                assert abs(count - t * parts[k] / period) < 1
-                count += t in set(own)
+    for _ in range(40):
+        weights = {f"s{i}": rng.choice([1, 2, 5, 0.01, 30, 0.3]) for i in range(rng.randint(1, 12))}
+        parts, period = mixing.exact(weights)
+        share = {s: Fraction(w) / sum(map(Fraction, weights.values())) for s, w in weights.items()}
+        assert {s: Fraction(n, period) for s, n in parts.items()} == share
+        given, slots = dict.fromkeys(weights, 0), 300
+        for slot, (s, j, release, due) in zip(range(slots), mixing.turns(parts, period)):
+            windows = {k: (math.floor(n / share[k]), math.ceil((n + 1) / share[k])) for k, n in given.items()}
+            want = min((d, k) for k, (r, d) in windows.items() if r <= slot)[1]
+            assert (s, j, (release, due)) == (want, given[want], windows[want]) and release <= slot < due
+            given[s] += 1
+            assert all(abs(n - (slot + 1) * share[k]) < 1 for k, n in given.items())
 
 
 MIX = "doc_id long, text string, lang string, source string, n_chars long, slot int, _key string"
@@ -238,7 +239,7 @@ def mix_frame(spark):
 @pytest.mark.parametrize("weights", [None, (("a", 1), ("b", 1), (None, 2)), (("zz", 1),)])
 def test_mix_gives_every_row_and_the_weights(spark, weights):
     docs = mix_frame(spark)
-    p = mixing.Mixing(weights=weights, block_chars=500, period=64, share_rows=50)
+    p = mixing.Mixing(weights=weights, block_chars=500, share_rows=50)
     rows = mixing.schedule_of(docs, p).collect()
     if weights == (("zz", 1),):
         assert rows == []
@@ -272,7 +273,7 @@ def _rows_of(docs, doc_id):
 
 @pytest.mark.parametrize("weights", [None, (("a", 1000), ("b", 1000.5), ("c", 50))])
 def test_mix_keeps_the_target_weights_over_many_periods(spark, weights):
-    p = mixing.Mixing(weights=weights, block_chars=50, period=16, share_rows=50)
+    p = mixing.Mixing(weights=weights, block_chars=50, share_rows=50)
     docs = mix_frame(spark)
     size = {}
     for r in docs.collect():
@@ -284,7 +285,17 @@ def test_mix_keeps_the_target_weights_over_many_periods(spark, weights):
         assert r.block == r.start // 50
         assert abs(number - r.slot * share) < 1 and abs(number + 1 - (r.slot + 1) * share) < 1
         seen.add(r.slot)
-    assert max(seen) > 20 * p.period
+    assert max(seen) > 320
+
+
+def test_parts_of_uses_do_not_change_the_mix(spark):
+    """One source of a single block that is used every other slot, and a row over many blocks."""
+    docs = mix_frame(spark).where("source <> 'c' or doc_id % 7 = 0")
+    plain, cut = (mixing.Mixing(weights=(("a", 1), ("b", 1), ("c", 3)), block_chars=40, share_rows=50, part=n) for n in (1 << 20, 3))
+    want = sorted(map(str, mixing.schedule_of(docs, plain).collect()))
+    assert sorted(map(str, mixing.schedule_of(docs, cut).collect())) == want and max(
+        r.epoch for r in mixing.schedule_of(docs, cut).collect()) > 30
+    assert [str(r) for r in mixing.mixed(docs, cut).collect()] == [str(r) for r in mixing.mixed(docs, plain).collect()]
 
 
 def test_small_weights_do_not_stretch_the_mix(spark):
