@@ -20,7 +20,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskledger.llm.common import Workspace, query, table
-from riskledger.operators.corpus import salted_join
 
 
 @dataclass(frozen=True)
@@ -148,11 +147,14 @@ def _rows(docs: DataFrame, p: Mixing) -> DataFrame:
     blocks = sums.select("_key", "_share", "_before", F.explode(
         F.sequence(place(F.col("_before")), place(F.col("_before") + F.col("_sum") - 1))).alias("_block"))
     # a block of a small source can be used in every few slots: its uses come in parts, rows meet the parts in a join
-    part = [F.floor(F.col(c) / p.part).alias(f"{c}_part") for c in ("_block", "_epoch")]
-    uses = salted_join(slots, blocks, ["_key", "_block"], ["_epoch"]).select("*", *part)
-    key = ["_key", "_share", "_before", "_block_part", "_epoch_part"]
-    uses = uses.groupBy(*key, "_block").agg(F.collect_list(F.struct("_epoch", "_slot", "_release", "_deadline")).alias("_uses"))
-    uses = uses.groupBy(*key).agg(F.collect_list(F.struct("_block", "_uses")).alias("_blocks"))
+    parts = slots.withColumn("_epoch_part", F.floor(F.col("_epoch") / p.part))
+    last = parts.groupBy("_key").agg(F.max("_epoch_part").alias("_last"))
+    listed = parts.groupBy("_key", "_block", "_epoch_part").agg(
+        F.collect_list(F.struct("_epoch", "_slot", "_release", "_deadline")).alias("_uses"))
+    blocks = blocks.join(last, "_key").withColumn("_epoch_part", F.explode(F.sequence(F.lit(0).cast("long"), "_last")))
+    uses = blocks.join(listed, ["_key", "_block", "_epoch_part"])
+    uses = uses.groupBy("_key", "_share", "_before", F.floor(F.col("_block") / p.part).alias("_block_part"), "_epoch_part").agg(
+        F.collect_list(F.struct("_block", "_uses")).alias("_blocks"))
     uses = work.keep(uses, "uses")
     inside = F.sum("_size").over(Window.partitionBy("_key", "_share").orderBy("_h", "_id", "_t", "_size")
                                  .rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_size")
