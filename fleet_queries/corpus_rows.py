@@ -127,12 +127,8 @@ def direct_home(spark, sf):
                               "ORDER BY tier_rank) AS n FROM placed) SELECT scan_id, path, tier, "
                               "CAST(tier_rank AS BIGINT) AS tier_rank FROM r WHERE n = 1")
 def dedupe(spark, sf):
-    f, homes = _home_files(spark, sf), _homes(spark, sf)
-    direct = C.with_path_parts(f).join(homes.select("scan_id", F.col("home").alias("dir")), ["scan_id", "dir"]) \
-        .select("scan_id", "path", F.lit("home").alias("tier"), F.lit(0).alias("tier_rank"))
-    below = C.with_path_parts(f).select("scan_id", "path", F.explode(paths.ancestor_dirs(F.col("dir"))).alias("root")) \
-        .join(C.tier_roots(homes), ["scan_id", "root"]).select("scan_id", "path", "tier", "tier_rank")
-    return C.dedupe_first_origin(direct.unionAll(below)).withColumn("tier_rank", F.col("tier_rank").cast("bigint"))
+    found = C.tiers_of(_home_files(spark, sf), _homes(spark, sf))
+    return C.dedupe_first_origin(found).withColumn("tier_rank", F.col("tier_rank").cast("bigint"))
 
 
 _WALK = """row_number() OVER (PARTITION BY scan_id ORDER BY sha256(scan_id || '/' || path)) AS walk_rank, count(*) OVER (PARTITION BY scan_id) AS walk_total"""

@@ -54,37 +54,51 @@ def candidates(files: DataFrame, system: bool = False) -> DataFrame:
     return files.where(~below_excluded_dir(path, root, system) & ~editor_noise(path, root))
 
 
+#: Tier directories below a home of each system: ``(directory, tier, rank)``.
+_TIER_DIRS = {
+    os_name: [(d, "host", 1) for d in [*names.HOST_CONFIG_DIRS, *[f"{base}/{d}" for d in names.EDITOR_USER_DIRS]]]
+    + [(d, "home", 2) for d in names.USER_SPACE_DIRS[os_name]] for os_name, base in names.EDITOR_BASE.items()}
+
+
 def tier_roots(homes: DataFrame) -> DataFrame:
     """Tier roots of each ``(scan_id, os, home)``: ``root, tier, tier_rank``."""
-    def rows(tier, rank, dirs):
-        return [F.struct(F.lit(d).alias("rel"), F.lit(tier).alias("tier"), F.lit(rank).alias("rank"))
-                for d in dirs]
-
-    fixed = rows("host", 1, names.HOST_CONFIG_DIRS)
-    per_os = F.lit(None)
     arms = None
-    for os_name, base in names.EDITOR_BASE.items():
-        listed = F.array(*fixed, *rows("host", 1, [f"{base}/{d}" for d in names.EDITOR_USER_DIRS]),
-                         *rows("home", 2, names.USER_SPACE_DIRS[os_name]))
+    for os_name, rows in _TIER_DIRS.items():
+        listed = F.array(*[F.struct(F.lit(d).alias("rel"), F.lit(tier).alias("tier"), F.lit(rank).alias("rank")) for d, tier, rank in rows])
         arms = F.when(F.col("os") == os_name, listed) if arms is None else arms.when(F.col("os") == os_name, listed)
-    per_os = arms
-    return (homes.select("scan_id", "home", F.explode(F.coalesce(per_os, F.array())).alias("r"))
+    return (homes.select("scan_id", "home", F.explode(F.coalesce(arms, F.array())).alias("r"))
             .select("scan_id", F.concat("home", F.lit("/"), F.col("r.rel")).alias("root"),
                     F.col("r.tier").alias("tier"), F.col("r.rank").alias("tier_rank")))
 
 
+def tiers_of(files: DataFrame, homes: DataFrame) -> DataFrame:
+    """``scan_id, path, tier, tier_rank``: every tier that a file lies in (``homes``: ``scan_id, os, home``).
+
+    A file meets the homes among its ancestor directories, an equality with one row a home.  Which tier roots lie
+    between home and file is read off its path, so the roots of all homes are never written out.  The planner knows
+    homes by their compressed size only, so they are kept from being broadcast.
+    """
+    above = files.select("scan_id", "path", F.explode(paths.ancestor_dirs(paths.parent_dir(F.col("path")))).alias("home"))
+    met = above.join(homes.select("scan_id", "os", "home").hint("merge"), ["scan_id", "home"]).withColumn("dir", paths.parent_dir(F.col("path")))
+    inner = paths.ancestor_dirs(paths.relative_to(F.col("dir"), F.col("home")))
+
+    def below(rank):
+        met_by = [F.when(F.col("os") == os_name, F.arrays_overlap(inner, str_array([rel for rel, _, r in rows if r == rank])))
+                  for os_name, rows in _TIER_DIRS.items()]
+        return (F.col("dir") != F.col("home")) & F.coalesce(*met_by, F.lit(False))
+
+    tier = lambda name, rank: F.struct(F.lit(name).alias("tier"), F.lit(rank).alias("tier_rank"))
+    found = F.array(F.when(F.col("dir") == F.col("home"), tier("home", 0)), F.when(below(1), tier("host", 1)),
+                    F.when(below(2), tier("home", 2)))
+    return met.select("scan_id", "path", F.inline(F.array_compact(found)))
+
+
 def assign_origin(files: DataFrame, homes: DataFrame) -> DataFrame:
     """Origin of each file under a home: direct home files first, then host roots, then user space.
 
-    A file below several roots gets the first tier.  The join is on the ancestor directories of a
-    file, an equality, so it never compares every file with every root.
+    A file below several roots gets the first tier.
     """
-    parts = with_path_parts(files.select("scan_id", "path")).select("scan_id", "path", "dir")
-    roots = tier_roots(homes).withColumn("only_here", F.lit(False)).unionByName(homes.select(
-        "scan_id", F.col("home").alias("root"), F.lit("home").alias("tier"), F.lit(0).alias("tier_rank"), F.lit(True).alias("only_here")))
-    above = parts.withColumn("root", F.explode(paths.ancestor_dirs(F.col("dir"))))
-    return (salted_join(above, roots, ["scan_id", "root"], ["path"]).where(~F.col("only_here") | (F.col("root") == F.col("dir")))
-            .groupBy("scan_id", "path").agg(F.min(F.struct("tier_rank", "tier")).alias("m"))
+    return (tiers_of(files, homes).groupBy("scan_id", "path").agg(F.min(F.struct("tier_rank", "tier")).alias("m"))
             .select("scan_id", "path", F.col("m.tier").alias("origin")))
 
 
