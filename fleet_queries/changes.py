@@ -419,7 +419,7 @@ USER_RULES_SQL = """r AS (SELECT p_partkey AS k, 'part-' || p_partkey AS rule_na
     'filename_match:' || name || CASE WHEN kw THEN '|kw:and' ELSE '' END || CASE WHEN rx THEN '|rx:[Tt]he[a-z]+ing' ELSE '' END AS signals FROM s""")
 def user_rule_apply(spark, sf):
     from riskledger.operators import rules as RO
-    from riskledger.sources.rules import load_rules
+    from riskledger.sources.rules import accepted_rules
     part = table(spark, sf, "part").withColumn("kind", F.col("p_partkey") % 4)
     is_kind = lambda n, text: F.when(F.col("kind") == n, F.array(F.expr(text)))
     none = F.array().cast("array<string>")
@@ -430,7 +430,7 @@ def user_rule_apply(spark, sf):
         suffixes=F.coalesce(is_kind(1, "concat(p_partkey, '-prompt.txt')"), none),
         confidence=F.when(F.col("p_partkey") % 5 == 0, 0.0).otherwise(0.25), keywords=_terms(F.array(F.lit("and")), boost=0.5),
         patterns=F.when(F.col("kind") == 3, _terms(F.array(F.lit("[Tt]he[a-z]+ing")), "rx")))
-    rules = [r for r in load_rules(spark, user)[0] if r["source"] == "user"]
+    rules = accepted_rules(spark, user)[0].where("source = 'user'")
     kinds = F.array(F.lit("md"), F.lit("txt"), F.lit("tok"))
     docs = table(spark, sf, "documents").select(
         F.col("doc_id").alias("file_id"), "text", F.lit(True).alias("content_ok"),

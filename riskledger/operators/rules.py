@@ -2,8 +2,10 @@
 
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from riskledger.functions import signals as G
 from riskledger.functions.regex import to_java
@@ -11,6 +13,10 @@ from riskledger.operators.corpus import any_of, salted_join
 from riskledger.sources.rules import BLOCKS
 
 
+#: Rules that meet a text at a time, where rules come as a frame.
+RULES_A_LIST = 1000
+
+
 def glob_to_java(glob: str) -> str:
     """``*`` and ``?`` wildcards over a file name; ``[...]`` sets stay sets."""
     out, i = [], 0
@@ -72,12 +78,20 @@ def match_rules(files: DataFrame, rules: list[dict]) -> DataFrame:
     lower = F.lower("name")
     keyed = files.withColumn("_keys", F.array_compact(F.array(*_hits(lower, rules)))).withColumn("_key", F.explode("_keys"))
     table = rule_table(files.sparkSession, rules)
-    met = keyed.join(table.withColumn("_key", F.explode("rule_keys")), "_key")
-    first = F.filter("rule_keys", lambda k: F.array_contains("_keys", k))[0]
+    met = _first_meeting(keyed.drop("_keys").join(table.withColumn("_key", F.explode("rule_keys")), "_key"), lower)
+    return met.drop("_key", "rule_keys", "exact", "endings", "globs")
+
+
+def _first_meeting(met: DataFrame, lower: Column) -> DataFrame:
+    """Of names that met rules by key: one row a name and rule that fits, with ``match_kind``."""
+    def fits(key):
+        kind, part = F.left(key, F.lit(1)), F.substr(key, F.lit(2))
+        return F.when(kind == "e", lower == part).when(kind == "s", lower.endswith(part)).otherwise(lower.startswith(part))
+
     kind = (F.when(F.array_contains("exact", lower), 0).when(F.exists("endings", lambda x: lower.endswith(x)), 1)
             .when(F.exists("globs", lambda x: F.rlike(lower, x)), 2))
-    return (met.where(F.col("_key") == first).withColumn("match_kind", kind).where("match_kind is not null")
-            .drop("_key", "_keys", "rule_keys", "exact", "endings", "globs"))
+    tried = G.computed_once(met, match_kind=kind, _first=F.filter("rule_keys", fits)[0])
+    return tried.where("match_kind is not null and _key = _first").drop("_first")
 
 
 def rule_table(spark: SparkSession, rules: list[dict]) -> DataFrame:
@@ -100,16 +114,69 @@ def rule_table(spark: SparkSession, rules: list[dict]) -> DataFrame:
     return spark.createDataFrame(rows, schema)
 
 
-def apply_rules(files: DataFrame, rules: list[dict], deep: bool, content_gate: bool = True) -> DataFrame:
+_STRINGS = ArrayType(StringType())
+
+
+@F.pandas_udf(StructType([StructField(c, _STRINGS) for c in ("rule_keys", "exact", "endings", "globs")]))
+def _looked_up(filenames: pd.Series, suffixes: pd.Series) -> pd.DataFrame:
+    rows = []
+    for names, endings in zip(filenames, suffixes):
+        names, endings = [] if names is None else list(names), [] if endings is None else list(endings)
+        plain, globs = ([f.lower() for f in names if ("*" in f) == wild] for wild in (False, True))
+        rows.append((rule_keys({"filenames": names, "suffixes": endings}), plain, [x.lower() for x in endings],
+                     [glob_to_java(g) for g in globs]))
+    return pd.DataFrame(rows, columns=["rule_keys", "exact", "endings", "globs"])
+
+
+@F.pandas_udf(_STRINGS)
+def _jvm_spelling(terms: pd.Series) -> pd.Series:
+    return pd.Series([None if ts is None else [to_java(t) for t in ts] for ts in terms], dtype=object)
+
+
+def rule_frame(rules: DataFrame) -> DataFrame:
+    """The table of :func:`rule_table` from a frame of accepted rules, which stays one."""
+    out = rules.withColumn("_keys", _looked_up("filenames", "suffixes"))
+    for block in BLOCKS:
+        b = F.col(block)
+        jvm = _jvm_spelling(b["terms"]) if "patterns" in block else F.array().cast("array<string>")
+        out = out.withColumn(block, F.when(b.isNotNull(), F.struct(
+            b["terms"].alias("terms"), jvm.alias("jvm"), b["signals_prefix"].alias("prefix"),
+            b["boost_confidence"].alias("boost"), b["boost_threshold"].alias("threshold"))))
+    return out.select("rule_rank", F.col("name").alias("rule_name"), "artifact_type",
+                      F.col("confidence").alias("match_confidence"), "_keys.*", *BLOCKS)
+
+
+def _rules_of_names(names: DataFrame, rules: DataFrame) -> DataFrame:
+    """``name, _rules``: the rules of a frame that fit each distinct name, with ``match_kind``, in lists of at most
+    ``RULES_A_LIST`` (several rows a name, if more fit).
+
+    A name meets rules in an equality on all its beginnings and endings.
+    """
+    lower = F.lower("name")
+    sizes = F.sequence(F.lit(0), F.length(lower))
+    keys = F.concat(F.array(F.concat(F.lit("e"), lower)), F.transform(sizes, lambda n: F.concat(F.lit("s"), F.right(lower, n))),
+                    F.transform(sizes, lambda n: F.concat(F.lit("p"), F.left(lower, n))))
+    keyed = names.select("name").where("name is not null").distinct().withColumn("_key", F.explode(keys))
+    met = keyed.join(rule_frame(rules).withColumn("_key", F.explode("rule_keys")), "_key")
+    fit = _first_meeting(met, lower)
+    at = F.row_number().over(Window.partitionBy("name").orderBy("rule_rank"))
+    item = F.struct("rule_rank", "rule_name", "artifact_type", "match_confidence", *BLOCKS, "match_kind")
+    return (fit.withColumn("_list", F.floor((at - 1) / RULES_A_LIST)).groupBy("name", "_list")
+            .agg(F.collect_list(item).alias("_rules")).drop("_list"))
+
+
+def apply_rules(files: DataFrame, rules: list[dict] | DataFrame, deep: bool, content_gate: bool = True) -> DataFrame:
     """One row per file and matching rule with ``rule_name, artifact_type, confidence, signals``.
 
-    ``files`` needs ``name, text, content_ok``.  Texts are scanned once per file, before rows
-    multiply by rule.
+    ``files`` needs ``name, text, content_ok``.  Texts are scanned once per file (and list of ``RULES_A_LIST``
+    rules), before rows multiply by rule.  ``rules`` are accepted rules, as rows the driver holds or as a frame
+    (:func:`riskledger.sources.rules.accepted_rules`) that is neither collected nor written into the plan.
     """
     readable = F.col("text").isNotNull() & (F.col("content_ok") if content_gate else F.lit(True))
-    scanned = G.with_signals(files.where(matches_any(F.col("name"), rules)), "text", readable) \
-        .withColumn("_low", F.lower("text"))
-    per_rule = match_rules(scanned, rules)
+    whole = isinstance(rules, list)
+    known = files.where(matches_any(F.col("name"), rules)) if whole else files.join(_rules_of_names(files, rules), "name")
+    scanned = G.with_signals(known, "text", readable).withColumn("_low", F.lower("text"))
+    per_rule = match_rules(scanned, rules) if whole else scanned.select("*", F.inline("_rules")).drop("_rules")
     text = F.when(readable, F.col("text"))
     none = F.array().cast("array<string>")
     used = [b for b in BLOCKS if deep or not b.startswith("deep_")]

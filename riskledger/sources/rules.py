@@ -172,7 +172,8 @@ def load_rules(spark: SparkSession, user: DataFrame | None = None):
     """``(rows, errors)``: accepted rules as plain rows, built-in first, and a frame of what is wrong
     with the rejected ones.
 
-    Rules are configuration: the driver holds them, however many there are, and operators join them.
+    Rules are configuration here: the driver holds them and operators join them.  Very many go as a frame
+    (:func:`accepted_rules`).
     """
     accepted = [_as_dict(rule_row(r, i, "builtin")) for i, r in enumerate(R.BUILTIN_RULES)]
     errors = spark.createDataFrame([], ERROR_SCHEMA)
@@ -182,3 +183,15 @@ def load_rules(spark: SparkSession, user: DataFrame | None = None):
         rows = sorted(user.collect(), key=lambda r: r.rule_rank)
         accepted += [row.asDict(recursive=True) for row in rows if row.rule_rank not in bad]
     return [r | {"rule_rank": i} for i, r in enumerate(accepted)], errors
+
+
+def accepted_rules(spark: SparkSession, user: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """As :func:`load_rules`, with the accepted rules as a frame: nothing is collected, however many there are.
+
+    Ranks of user rules keep their order and come after those of the built-in ones.
+    """
+    errors = rule_errors(user)
+    bad = errors.select(F.col("rule_rank").alias("_bad")).distinct()
+    kept = user.join(bad, F.col("rule_rank").eqNullSafe(F.col("_bad")), "left_anti")
+    after = F.col("rule_rank") + F.lit(len(R.BUILTIN_RULES))
+    return builtin_rules(spark).unionByName(kept.withColumn("rule_rank", after)), errors

@@ -105,3 +105,28 @@ def test_many_terms_at_once_against_each_term(spark):
                                   "rule_rank int, terms array<string>, prefix string, confidence double, boost double, threshold int")
     found = {r.rule_rank: (r.confidence, r.signals) for r in RO.term_rules(frame.where("k = 152"), ["k"], rules).collect()}
     assert found == {1: (0.9, ["kw:b", "kw:A"])}
+
+
+def test_rules_as_a_frame_equal_rules_on_the_driver(spark, monkeypatch):
+    """Same rows, nothing collected while the plan is made, also where more rules fit a name than a list holds."""
+    made = [("a", ["A.md", "*.md"], [], "x"), ("b", [], [".md", "d"], "Y"), ("c", ["x*y?z", "*q*"], [], "x"), ("d", ["*"], [], "none"),
+            ("e", ["pre*"], ["", "post"], "x"), ("Bad", ["*"], [], "x"), ("f", ["[ab]*"], [], "y")]
+    rows = [R.rule_row({"detector": {"name": n, "artifact_type": "kind"}, "match": {"filenames": f, "suffixes": s, "confidence": 0.3},
+                        "keywords": {"keywords": [w], "boost_confidence": 0.6}, "deep_patterns": {"patterns": [f"{w}+$"]}}, i)
+            for i, (n, f, s, w) in enumerate(made) if "" not in s]
+    user = spark.createDataFrame(rows, R.RULE_SCHEMA)
+    names = ["a.md", "A.MD", "x1yzz", "x1y2z", "aqb", "pre", "prefix-post", "", "b", "d", None, "b"]
+    files = spark.createDataFrame([(i, n, t, True) for i, n in enumerate(names) for t in ("Xyx", "y\nxx", None)],
+                                  "id int, name string, text string, content_ok boolean")
+    held, errors = R.load_rules(spark, user)
+    columns = ["id", "name", "text", "rule_rank", "rule_name", "artifact_type", "match_kind", "confidence", "signals"]
+    rank = {r["name"]: r["rule_rank"] for r in held}
+    of = lambda df: sorted((r.asDict() | {"rule_rank": rank[r.rule_name]} for r in df.select(columns).collect()), key=repr)
+    want = of(RO.apply_rules(files, held, deep=True))
+    with monkeypatch.context() as m:
+        m.setattr(type(user), "collect", lambda self: 1 / 0)
+        frame, bad = R.accepted_rules(spark, user)
+        m.setattr(RO, "RULES_A_LIST", 2)
+        found = RO.apply_rules(files, frame, deep=True)
+    assert of(found) == want and len(want) > 60
+    assert sorted(bad.collect()) == sorted(errors.collect()) and {r.name for r in bad.collect()} == {"Bad"}
