@@ -144,10 +144,15 @@ def salted_join(big: DataFrame, small: DataFrame, keys, spread, how: str = "inne
     Rows of ``big`` go to one of ``salts`` shares of their key (by the ``spread`` columns), and the
     rows of ``small``, few per key, are repeated for every share.  The result is that of the plain
     join (``how``: inner, left or left_semi).
+
+    Repeated rows and path prefixes are packed to a small part of their size in a shuffle, by which the planner would
+    broadcast them whole or bring many partitions to one task.  So both sides are dealt to a fixed number of partitions.
     """
+    parts = int(big.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     left = big.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
     right = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return left.join(right, [*keys, "_salt"], how).drop("_salt")
+    on = [*keys, "_salt"]
+    return left.repartition(parts, *on).join(right.repartition(parts, *on).hint("merge"), on, how).drop("_salt")
 
 
 def any_of(columns: list[Column]) -> Column:

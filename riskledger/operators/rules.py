@@ -73,12 +73,13 @@ def match_rules(files: DataFrame, rules: list[dict]) -> DataFrame:
     name, 1 suffix, 2 glob; a rule counts once, under the first kind that fits).
 
     Names meet rules in an equality on look-up keys, however many rules there are; a glob is tried in
-    full only where its literal head or tail fits.
+    full only where its literal head or tail fits.  The rules, which the driver holds, go to the files: a shuffle
+    by key would bring all texts of a common name to one task.
     """
     lower = F.lower("name")
     keyed = files.withColumn("_keys", F.array_compact(F.array(*_hits(lower, rules)))).withColumn("_key", F.explode("_keys"))
     table = rule_table(files.sparkSession, rules)
-    met = _first_meeting(keyed.drop("_keys").join(table.withColumn("_key", F.explode("rule_keys")), "_key"), lower)
+    met = _first_meeting(keyed.drop("_keys").join(F.broadcast(table.withColumn("_key", F.explode("rule_keys"))), "_key"), lower)
     return met.drop("_key", "rule_keys", "exact", "endings", "globs")
 
 
