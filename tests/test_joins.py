@@ -25,3 +25,18 @@ def test_texts_are_not_shuffled_by_rule_key(spark):
     files = spark.range(20).select(F.lit("AGENTS.md").alias("name"), F.lit("text").alias("text"), F.lit(True).alias("content_ok"))
     found = RO.apply_rules(files, rules, deep=True)
     assert "Exchange hashpartitioning" not in _plan(found) and found.count() == 20
+
+
+def test_rows_of_texts_and_rules_are_not_shuffled(spark, monkeypatch):
+    rules = [(i, ["ing", "No", "none"], "kw", 0.1, 0.9, 2) for i in range(30)] + [(3, ["run"], "u", 0.2, None, 1), (None, ["ing"], "x", 0.3, None, 1)]
+    frame = spark.createDataFrame(rules, "rule_rank int, terms array<string>, prefix string, confidence double, boost double, threshold int")
+    texts = spark.createDataFrame([(1, "running, NO"), (1, "running, NO"), (2, "ing"), (3, None), (4, "n")], "k int, text string")
+    monkeypatch.setattr(RO, "POSTINGS", 7)
+    found = RO.term_rules(texts, ["k"], frame)
+    plan = _plan(found)
+    assert "Exchange" not in plan[:plan.index("inline(_rules")]
+    want = {(k, i): (0.9, ["kw:ing", "kw:No"]) if k == 1 else (0.1, ["kw:ing"]) for k in (1, 2) for i in range(30) if i != 3}
+    rows = found.collect()
+    assert {(r.k, r.rule_rank): (r.confidence, r.signals) for r in rows if r.rule_rank != 3} == want
+    assert sorted((r.k, r.confidence, r.signals) for r in rows if r.rule_rank == 3) == [
+        (1, 0.2, ["u:ing", "u:run", "u:No"]), (1, 0.9, ["kw:ing", "kw:run", "kw:No"]), (2, 0.1, ["kw:ing"]), (2, 0.2, ["u:ing"])]
