@@ -10,6 +10,10 @@ The frontier holds states (word, position, node, edits).  Those without an edit
 letters that lead from a node to an edge with the letter after the edit; then a level joins the states
 with the edge table on node and next letter, and those whose rest of the word fits the edge's label go
 on at its child.  A state that has used up its word at a terminal node is a pair of neighbours.
+
+The planner sizes a table by its packed file and knows nothing of the rows that a batch function or an explode
+adds, so it would send large tables through the driver.  Joins here are merged, but for a frontier of a few rows,
+which is measured before it is broadcast.
 """
 
 from __future__ import annotations
@@ -30,6 +34,8 @@ DROP_EVERY = 31
 LEAST_LENGTH, LEAST_COUNT, RATIO = 7, 2, 10
 #: Words that pass a node beyond which its edges are kept several times, for as many shares of its states.
 SHARE = 20_000
+#: Bytes of states, as counted, up to which a frontier is broadcast instead of dealing out all edges.
+SMALL_FRONTIER = 4 << 20
 PATHS = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("back", pa.bool_()), ("pos", pa.int32()),
                    ("a", pa.int64()), ("b", pa.int64()), ("c", pa.int32())])
 
@@ -130,9 +136,9 @@ def trie(words: DataFrame, work: Workspace, share: int = SHARE) -> tuple[DataFra
     nodes = work.keep(nodes.withColumn("shares", (1 + F.floor(F.col("through") / share)).cast("int")).drop("through"), "nodes")
 
     known = nodes.select("a", "b", "first", "shares", "end_n")
-    steps = path.select("id", "back", "pos", "a", "b").join(known, ["a", "b"]).withColumn("own", F.col("first") == F.col("id"))
+    steps = path.select("id", "back", "pos", "a", "b").join(known.hint("merge"), ["a", "b"]).withColumn("own", F.col("first") == F.col("id"))
     steps = steps.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("back", "pos", "a", "b", "shares", "own", "end_n"))).alias("nodes"))
-    steps = work.keep(steps.join(words, "id").drop("id"), "steps")
+    steps = work.keep(steps.join(words.hint("merge"), "id").drop("id"), "steps")
 
     pairs = steps.selectExpr("word", "explode(filter(transform(slice(nodes, 2, size(nodes)), (x, i) -> struct(nodes[i] as up, x as down)), "
                              "e -> e.down.own and e.up.back = e.down.back)) as e")
@@ -158,7 +164,7 @@ def first_states(steps: DataFrame, wild: DataFrame) -> DataFrame:
     at = steps.selectExpr("word", "n", "explode(nodes) as s").withColumn("text", F.when(F.col("s.back"), F.reverse("word")).otherwise(F.col("word")))
     at = at.selectExpr("text", "n", "s.back as back", "s.pos as pos", "s.a as a", "s.b as b", "s.shares as shares",
                        "ascii(substring(text, s.pos + 1, 1)) as own_letter", "ascii(substring(text, s.pos + 2, 1)) as after").where("pos < length(text)")
-    at = at.withColumn("share", F.pmod(F.xxhash64("text"), F.col("shares")).cast("int")).join(wild, ["a", "b", "after", "share"])
+    at = at.withColumn("share", F.pmod(F.xxhash64("text"), F.col("shares")).cast("int")).join(wild.hint("merge"), ["a", "b", "after", "share"])
     at = at.selectExpr(
         "text", "n", "back", "pos", "a", "b", "shares", "end_n", "explode(concat("
         "transform(filter(letters, x -> x > own_letter), x -> struct(x as c, false as shorter)), "
@@ -168,6 +174,11 @@ def first_states(steps: DataFrame, wild: DataFrame) -> DataFrame:
                          "case when e.shorter and e.c = 0 then end_n end as found_n")
 
 
+def _size(frontier: DataFrame) -> int:
+    """Bytes of the states, 100 a row besides their texts; 0 if there are none."""
+    return frontier.agg(F.coalesce(F.sum(F.octet_length("text") + F.octet_length("found") + 100), F.lit(0)).alias("b")).first()["b"]
+
+
 def neighbours(words: DataFrame, work: Workspace, share: int = SHARE) -> DataFrame:
     """word, n, near, near_n: all pairs of different words that one edit apart makes equal, both ways round.
 
@@ -177,10 +188,10 @@ def neighbours(words: DataFrame, work: Workspace, share: int = SHARE) -> DataFra
     frontier = work.keep(first_states(steps, wild), "level0")
     work.drop("steps", "nodes")
     met, level = [], 0
-    while True:
+    while size := _size(frontier):
         met.append(frontier.where("found_n is not null").select("text", "n", "back", "found", "found_n"))
         going = frontier.where("found_n is null").withColumn("share", F.pmod(F.xxhash64("text"), F.col("shares")).cast("int")).drop("shares", "found_n")
-        going = going.join(edges, ["a", "b", "c", "share"]).where("substring(found, pos + 1, length(label)) = label")
+        going = (F.broadcast(going) if size <= SMALL_FRONTIER else going.hint("merge")).join(edges, ["a", "b", "c", "share"]).where("substring(found, pos + 1, length(label)) = label")
         going = going.withColumn("pos", F.expr("pos + length(label)"))
         ended = F.col("pos") == F.length("found")
         going = going.where(~ended | F.col("end_n").isNotNull()).select(
@@ -189,10 +200,8 @@ def neighbours(words: DataFrame, work: Workspace, share: int = SHARE) -> DataFra
             F.when(ended, F.col("end_n")).alias("found_n"))
         level += 1
         frontier = work.keep(going, f"level{level}")
-        if frontier.isEmpty():
-            break
-    pairs = met[0]
-    for more in met[1:]:
+    pairs = frontier.select("text", "n", "back", "found", "found_n")
+    for more in met:
         pairs = pairs.unionByName(more)
     turned = [F.when(F.col("back"), F.reverse(x)).otherwise(F.col(x)) for x in ("text", "found")]
     pairs = pairs.select(turned[0].alias("word"), "n", turned[1].alias("near"), F.col("found_n").alias("near_n"))
@@ -204,7 +213,7 @@ def neighbours(words: DataFrame, work: Workspace, share: int = SHARE) -> DataFra
 def forms(words: DataFrame, pairs: DataFrame, ratio: int = RATIO) -> DataFrame:
     """word, n, n_near, form, form_n: the most frequent neighbour (ties: smallest word), if it is frequent enough."""
     best = pairs.groupBy("word").agg(F.count("*").alias("n_near"), F.min(F.struct((-F.col("near_n")).alias("k"), "near")).alias("best"))
-    found = words.join(best, "word", "left").withColumn("best_n", -F.col("best.k"))
+    found = words.join(best.hint("merge"), "word", "left").withColumn("best_n", -F.col("best.k"))
     enough = F.col("best_n") >= ratio * F.col("n")
     return found.select("word", "n", F.coalesce("n_near", F.lit(0).cast("long")).alias("n_near"),
                         F.when(enough, F.col("best.near")).alias("form"), F.when(enough, F.col("best_n")).alias("form_n"))
@@ -216,13 +225,13 @@ def rooted(found: DataFrame, work: Workspace) -> DataFrame:
     step = 0
     while True:
         onward = jump.select(F.col("word").alias("root"), F.col("root").alias("further"))
-        ahead = jump.join(onward, "root", "left").select("word", F.coalesce("further", "root").alias("root"), F.col("further").isNotNull().alias("_moved"))
+        ahead = jump.join(onward.hint("merge"), "root", "left").select("word", F.coalesce("further", "root").alias("root"), F.col("further").isNotNull().alias("_moved"))
         step += 1
         ahead = work.keep(ahead, f"jump{step}")
         jump = ahead.drop("_moved")
         if ahead.where("_moved").isEmpty():
             break
-    return found.join(jump, "word", "left").withColumn("root", F.coalesce("root", "word"))
+    return found.join(jump.hint("merge"), "word", "left").withColumn("root", F.coalesce("root", "word"))
 
 
 def variants(docs: DataFrame, drop_every: int = DROP_EVERY, length: int = LEAST_LENGTH, count: int = LEAST_COUNT, ratio: int = RATIO,

@@ -106,3 +106,20 @@ def test_nodes_are_prefixes(spark):
     assert all(len(k) == 1 for k in by_prefix.values()) and len({next(iter(k)) for k in by_prefix.values()}) == len(by_prefix)
     _, edges, _ = spelling.trie(words, Workspace(spark))
     assert edges.select("a", "b", "c", "share").distinct().count() == edges.count()
+
+
+def test_no_table_goes_through_the_driver_by_its_packed_size(spark, monkeypatch):
+    plans, keep = {}, Workspace.keep
+
+    def kept(self, df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return keep(self, df, name)
+    monkeypatch.setattr(Workspace, "keep", kept)
+    docs = random_docs(9, "ab", (7, 8), 12)
+    frame = spark.createDataFrame([(*d, "x", 1, "f") for d in docs], DOCS)
+    want = plain_variants(docs)
+    for most in (0, 4 << 20):
+        monkeypatch.setattr(spelling, "SMALL_FRONTIER", most, raising=False)
+        plans.clear()
+        assert rows_of(spelling.variants(frame)) == want
+        assert {n for n, p in plans.items() if "BroadcastHashJoin" in p} == {n for n in plans if most and n.startswith("level") and n != "level0"}
