@@ -40,3 +40,30 @@ def test_rows_of_texts_and_rules_are_not_shuffled(spark, monkeypatch):
     assert {(r.k, r.rule_rank): (r.confidence, r.signals) for r in rows if r.rule_rank != 3} == want
     assert sorted((r.k, r.confidence, r.signals) for r in rows if r.rule_rank == 3) == [
         (1, 0.2, ["u:ing", "u:run", "u:No"]), (1, 0.9, ["kw:ing", "kw:run", "kw:No"]), (2, 0.1, ["kw:ing"]), (2, 0.2, ["u:ing"])]
+
+
+def test_texts_with_several_terms_of_a_rule(spark, monkeypatch):
+    """Rules by every number and place of terms against a plain loop."""
+    import itertools
+    words = ["ab", "ing", "xyz", "Abc d", "none at all"]
+    rules = [(i, list(t), "kw", 0.1, 0.9, 2) for i, t in enumerate([*itertools.permutations(words, 2), *itertools.permutations(words[:4], 3), ("ab", "ab"), ("ing",), ()])]
+    texts = [(i, " ".join(c)) for i, c in enumerate(c for n in range(5) for c in itertools.combinations(["AB,", "thing", "xyz!", "abc de"], n))] + [(99, None)]
+    want = set()
+    for (k, text), (rank, terms, *_) in itertools.product(texts, rules):
+        if hit := [f"kw:{t}" for t in terms if text and t.lower() in text.lower()]:
+            want.add((k, rank, 0.9 if len(hit) > 1 else 0.1, tuple(hit)))
+    frame = spark.createDataFrame(rules, "rule_rank int, terms array<string>, prefix string, confidence double, boost double, threshold int")
+    for size in (3, 1000):
+        monkeypatch.setattr(RO, "POSTINGS", size)
+        found = RO.term_rules(spark.createDataFrame(texts, "k int, text string"), ["k"], frame)
+        rows = [(r.k, r.rule_rank, r.confidence, tuple(r.signals)) for r in found.collect()]
+        assert set(rows) == want and len(rows) == len(want) > 300
+
+
+def test_terms_with_a_run_in_no_text_meet_no_text(spark, monkeypatch):
+    joined = []
+    plain = RO.salted_join
+    monkeypatch.setattr(RO, "salted_join", lambda *a, **b: joined.append(a[1]) or plain(*a, **b))
+    texts = spark.createDataFrame([(1, "no such thing"), (2, "term of it")], "k int, text string")
+    found = RO.term_hits(texts, ["k"], spark.createDataFrame([("no such term 7",), ("thing",)], "term string"))
+    assert [tuple(r) for r in found.collect()] == [(1, "thing")] and [r.term for r in joined[0].collect()] == ["thing"]
