@@ -36,7 +36,9 @@ class Pigeonhole:
 
 
 SLACK = 1e-4
-CELLS_DDL = "vec_id long, embedding array<double>, n long, dim int, block int, cell long, home boolean"
+#: Jobs that share the blocks of a vector: copies of vectors for a job's cells are on disk for that job only.
+ROUNDS = 8
+CELLS_DDL = "vec_id long, embedding {kind}, n long, dim int, block int, cell long, home boolean"
 FOUND = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64())])
 
 
@@ -74,12 +76,13 @@ class Blocks:
 
 
 def unit(x: np.ndarray) -> np.ndarray:
+    x = x.astype(np.float64)
     x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
 
 
-def spread(sizes: dict[int, int], p: Pigeonhole):
-    """Rows into cells, for vectors of each length in ``sizes``."""
+def spread(sizes: dict[int, int], p: Pigeonhole, turn: int = 0, rounds: int = 1):
+    """Rows into cells, for vectors of each length in ``sizes``: the blocks of one of ``rounds`` turns."""
     def run(batches):
         made = {}
         for batch in batches:
@@ -88,7 +91,7 @@ def spread(sizes: dict[int, int], p: Pigeonhole):
                 own = batch.take(pa.array(np.flatnonzero(lengths == dim)))
                 blocks = made.setdefault(dim, Blocks(dim, sizes[dim], p))
                 rotated = unit(matrix(own.column("embedding"))) @ blocks.rotation
-                for b in range(len(blocks.budget)):
+                for b in range(turn, len(blocks.budget), rounds):
                     for rows, cells, home in blocks.cells(rotated, b):
                         if len(rows):
                             part = own.take(pa.array(rows))
@@ -176,6 +179,19 @@ def _join(label: np.ndarray, u: np.ndarray, v: np.ndarray) -> None:
             label[:] = further
 
 
+def _tiled(cells: DataFrame, p: Pigeonhole) -> DataFrame:
+    """Rows of cells, those of large cells once for each tile, sorted by cell and tile."""
+    key = ["dim", "block", "cell"]
+    large = cells.groupBy(*key).agg(F.ceil(F.count("*") / p.chunk).alias("parts")).where("parts > 1")
+    cells = cells.join(large, key, "left").withColumn("parts", F.coalesce("parts", F.lit(1).cast("long")))
+    cells = cells.withColumn("own", F.pmod(F.xxhash64("vec_id"), F.col("parts")))
+    roles = F.expr("""explode(if(parts = 1, array(struct(0L as tile, int(home) as as_home, 1 as as_member)), concat(
+        transform(sequence(0L, parts - 1), t -> struct(own * parts + t as tile, int(home) as as_home, 0 as as_member)),
+        transform(sequence(0L, parts - 1), t -> struct(t * parts + own as tile, 0 as as_home, 1 as as_member)))))""")
+    cells = cells.select(*key, "vec_id", "embedding", "n", roles.alias("r")).select(*key, "r.*", "vec_id", "embedding", "n").where("as_home + as_member > 0")
+    return cells.repartition(*key, "tile").sortWithinPartitions(*key, "tile")
+
+
 def near_vectors(table_: DataFrame, p: Pigeonhole | None = None) -> DataFrame:
     """vec_id, n_links, component_id, kept for each distinct vec_id.
 
@@ -183,25 +199,23 @@ def near_vectors(table_: DataFrame, p: Pigeonhole | None = None) -> DataFrame:
     linked directly, component_id is the smallest vec_id reachable.  Vectors that are null, zero or hold
     null or non-finite components link with nothing, and vectors of different length never link.  Rows
     that repeat a vec_id count as one vector, the smallest; a null vec_id links with nothing and has a
-    null component.  Equal vectors are joined once and count with their number.
+    null component.  Equal vectors are joined once and count with their number.  Vectors of floats stay floats on
+    disk and in shuffles; all arithmetic is in double precision.
     """
-    p, work = p or Pigeonhole(), Workspace(table_.sparkSession)
-    every = work.keep(vectors(table_), "vectors")
+    p, work = p or Pigeonhole(), Workspace(table_.sparkSession, free_shuffles=True)
+    given = table_.schema["embedding"].dataType.simpleString()
+    kind = given if given == "array<float>" else "array<double>"
+    every = work.keep(vectors(table_).withColumn("embedding", F.col("embedding").cast(kind)), "vectors")
     keyed = classed(every)
     classes = work.keep(keyed.groupBy("k1", "k2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")), "classes")
     reps = work.keep(every.join(classes.select(F.col("rep").alias("vec_id"), "n"), "vec_id"), "reps")
     sizes = {r["dim"]: r["n"] for r in reps.groupBy(F.size("embedding").alias("dim")).agg(F.count("*").alias("n")).collect()}
-    cells = reps.select("vec_id", "embedding", "n").mapInArrow(spread(sizes, p), CELLS_DDL)
-    key = ["dim", "block", "cell"]
-    large = cells.groupBy(*key).agg(F.ceil(F.count("*") / p.chunk).alias("parts")).where("parts > 1")
-    cells = cells.join(large, key, "left").withColumn("parts", F.coalesce("parts", F.lit(1).cast("long")))
-    cells = cells.withColumn("own", F.pmod(F.xxhash64("vec_id"), F.col("parts")))
-    roles = F.expr("""explode(if(parts = 1, array(struct(0L as tile, int(home) as as_home, 1 as as_member)), concat(
-        transform(sequence(0L, parts - 1), t -> struct(own * parts + t as tile, int(home) as as_home, 0 as as_member)),
-        transform(sequence(0L, parts - 1), t -> struct(t * parts + own as tile, 0 as as_home, 1 as as_member)))))""")
-    cells = cells.select(*key, "vec_id", "embedding", "n", roles.alias("r")).select(*key, "r.*", "vec_id", "embedding", "n").where("as_home + as_member > 0")
-    found = cells.repartition(*key, "tile").sortWithinPartitions(*key, "tile").mapInArrow(linked(sizes, p), "a long, b long, n long")
-    found = work.keep(found, "found")
+    rounds = min(ROUNDS, max((-(-dim // p.block) for dim in sizes), default=1))
+    found = None
+    for turn in range(rounds):
+        cells = reps.select("vec_id", "embedding", "n").mapInArrow(spread(sizes, p, turn, rounds), CELLS_DDL.format(kind=kind))
+        part = work.keep(_tiled(cells, p).mapInArrow(linked(sizes, p), "a long, b long, n long"), f"found{turn}")
+        found = part if found is None else found.unionByName(part)
     counts = found.where("n > 0").groupBy("a").agg(F.sum("n").alias("far"))
     tied = components(found.where("n = 0").select("a", "b"), work)
     classes = classes.join(counts.withColumnRenamed("a", "rep"), "rep", "left").join(tied.withColumnRenamed("id", "rep"), "rep", "left")

@@ -437,3 +437,22 @@ def test_pipeline_edges(spark):
     for name, stage in corpus_pipeline.STAGES:
         out = stage(spark, docs.limit(0), "")
         assert out.count() == 0
+
+
+def test_vectors_of_floats_stay_floats_and_blocks_take_turns(spark, monkeypatch):
+    tables, keep = {}, Workspace.keep
+
+    def kept(self, df, name):
+        out = keep(self, df, name)
+        tables[name] = out, self.free_shuffles
+        return out
+    monkeypatch.setattr(Workspace, "keep", kept)
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(20, 12))
+    rows = [(i, (base[i % 20] + 0.05 * rng.normal(size=12)).astype(np.float32).tolist()) for i in range(80)]
+    p = vector_dedup.Pigeonhole(block=4)
+    one = vector_dedup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), p).collect()
+    assert all(df.schema["embedding"].dataType.simpleString() == "array<float>" for name, (df, _) in tables.items() if name in ("vectors", "reps"))
+    assert {n for n in tables if n.startswith("found")} == {"found0", "found1", "found2"} and all(free for _, free in tables.values())
+    other = vector_dedup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), p).collect()
+    assert sorted(one) == sorted(other) and sum(r.n_links for r in one) > 100
